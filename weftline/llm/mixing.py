@@ -22,27 +22,30 @@ _FIT = "source string, size long, base int, extra long"
 
 
 def subset_sum(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each size (at most its count) to take so that the sum comes nearest below or at ``budget`` (all below REACH exactly)."""
+    """How many of each size (at most its count) to take so that the sum comes nearest to ``budget``, of two as near the lower."""
+    positive = sizes[(sizes > 0) & (counts > 0)]
+    if budget <= 0 or not len(positive):
+        return np.zeros(len(sizes), np.int64)
+    top = budget + min(budget, int(positive.max()))  # without any of its items a nearest sum above lies below, and zero is a sum too
     take = np.zeros(len(sizes), np.int64)
-    first = np.full(budget + 1, -1, np.int64)
+    first = np.full(top + 1, -1, np.int64)
     items: list[tuple[int, int]] = []
-    reach = np.zeros(budget + 1, bool)
+    reach = np.zeros(top + 1, bool)
     reach[0] = True
     for k in np.argsort(sizes, kind="stable"):  # small sizes first: they close any gap
-        left, part = int(counts[k]), 1
-        while left > 0 and not reach[budget] and sizes[k] > 0:
+        left, part = min(int(counts[k]), top // int(sizes[k]) if sizes[k] > 0 else 0), 1
+        while left > 0 and not reach[budget]:
             n = min(part, left)
             w = n * int(sizes[k])
             left, part = left - n, 2 * part
-            if w > budget:
-                break
-            new = np.flatnonzero(reach[: budget + 1 - w] & ~reach[w:]) + w
+            new = np.flatnonzero(reach[: top + 1 - w] & ~reach[w:]) + w
             first[new] = len(items)
             reach[new] = True
             items.append((int(k), n))
         if reach[budget]:
             break
-    at = int(np.flatnonzero(reach)[-1])
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.argmin(np.abs(sums - budget))])
     while at:
         k, n = items[first[at]]
         take[k] += n
@@ -75,9 +78,9 @@ def targets(sources: DataFrame) -> DataFrame:
     w = sources.withColumn("w", F.element_at(F.array(*(F.lit(x) for x in WEIGHTS)), (rank % n + 1).cast("int")))
     cap, by = F.col("source_size") * MOST, Window.orderBy(F.col("source_size") * MOST / F.col("w"), F.col("source").asc_nulls_last())
     whole = Window.partitionBy()
-    w = w.withColumns({"before": F.coalesce(F.sum(cap).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "rest": F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing)), "total": F.sum("source_size").over(whole)})
+    w = w.withColumns({"before": F.coalesce(F.sum(cap).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "rest": F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing)), "total": F.sum("source_size").over(whole), "nth": F.row_number().over(by)})
     w = w.withColumn("level", (F.col("total") - F.col("before")) / F.col("rest"))
-    w = w.withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= cap, F.col("level"))).over(whole))
+    w = w.withColumn("level", F.min_by("level", F.when(F.col("level") * F.col("w") <= cap, F.col("nth"))).over(whole))
     return w.select("source", "source_size", F.least(F.coalesce(F.col("level"), F.lit(0.0)) * F.col("w"), cap.cast("double")).alias("target"))
 
 

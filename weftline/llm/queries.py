@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lattice_lm, mixing, quality, sharding, simhash, url_filter, warc
+from . import chat, decontam, lattice_lm, mixing, quality, sharding, simhash, token_counts, url_filter, warc
 from .common import materialize, table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    transcripts = chat.raw(table(spark, sf_dir, "conversations"))
+    model = chat.train(transcripts.filter(~chat.held_out()))
+    return chat.parse(transcripts.drop("role"), model)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("stratum"), "text")
     features = materialize(quality.with_features(docs).drop("text"), "quality-features")
@@ -26,6 +32,11 @@ def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.scored(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.recount(docs.select("doc_id", "text", token_counts.sample_edits().alias("edits")))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(table(spark, sf_dir, "pages"))
 
@@ -48,5 +59,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op3_simhash, op4_lattice_lm, op6_warc, op7_url_filter, op8_mixing, op9_sharding, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_simhash, op4_lattice_lm, op5_token_counts, op6_warc, op7_url_filter, op8_mixing, op9_sharding, op10_decontamination)}
 SQL = {"op2_quality_rules": quality.sql(), "op6_warc": warc.SQL, "op7_url_filter": url_filter.sql()}
