@@ -52,6 +52,20 @@ def test_expected_counts_are_those_of_all_segmentations():
     assert counts.keys() == want.keys() and all(math.isclose(counts[k], want[k], rel_tol=1e-9) for k in want)
 
 
+def test_batches_equal_single_words():
+    import numpy as np
+
+    m = lm.vocabulary()
+    words = ["the", "x", "Über", "ndtheing", "a\u0300\U0001f600q", "z" * 90, "", "tion" * 9, "\x1c"] * 2
+    counts, batch = list(range(1, len(words) + 1)), lm.Batch(m)
+    assert np.allclose(batch.log_probabilities(words), [m.log_probability(w) for w in words], rtol=1e-12)
+    pieces, octets, found, spelled = np.zeros(len(batch.names)), np.zeros(256), {}, np.zeros(256)
+    batch.expected(words, counts, pieces, octets)
+    for w, c in zip(words, counts):
+        m.expected(w, c, found, spelled)
+    assert np.allclose(octets, spelled) and np.allclose(pieces, [found.get(p, 0.0) for p in batch.names], rtol=1e-9, atol=1e-9)
+
+
 def test_vocabulary_is_a_distribution():
     m = lm.vocabulary()
     assert math.isclose(sum(map(math.exp, [*m.weights.values(), *m.bytes, m.end])), 1.0, rel_tol=1e-9)

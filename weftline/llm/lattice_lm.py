@@ -90,6 +90,114 @@ class Lattice:
                 beta[i] = path if old == -math.inf else max(old, path) + math.log1p(math.exp(-abs(old - path)))
 
 
+SPAN_CHARS, BATCH_CELLS = 48, 1 << 15
+
+
+class Batch:
+    """Forward and backward recursion over many words of one length at once; longer words than SPAN_CHARS take the path above."""
+
+    def __init__(self, model: Lattice) -> None:
+        self.model, self.names = model, list(model.weights)
+        self.number = {p: k for k, p in enumerate(self.names)}
+        self.logs = np.array([*model.weights.values(), -np.inf])  # the last stands for no piece
+        self.trie: dict = {}
+        for p, k in self.number.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = k
+
+    def _spelled(self, char: str) -> float:
+        return sum(self.model.bytes[b] for b in char.encode("utf-8", "surrogatepass"))
+
+    def _spans(self, texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, str]]]:
+        """Numbers and log weights of the pieces at (word, start, length - 1), and the characters that are spelled."""
+        wide, none, root = min(n, self.model.longest), len(self.names), self.trie
+        where, number = [], []
+        for w, t in enumerate(texts):
+            base = w * n
+            for i in range(n):
+                node, at = root, (base + i) * wide
+                for c in t[i : i + wide]:
+                    node = node.get(c)
+                    if node is None:
+                        break
+                    if "" in node:
+                        where.append(at)
+                        number.append(node[""])
+                    at += 1
+        ids = np.full(len(texts) * n * wide, none, np.int32)
+        ids[where] = number
+        ids = ids.reshape(len(texts), n, wide)
+        used = np.flatnonzero((ids != none).any(axis=(0, 1)))
+        ids = ids[:, :, : int(used[-1]) + 1 if len(used) else 1]  # no piece here is longer
+        logs = self.logs[ids]
+        bare = [(int(w), int(i), texts[w][i]) for w, i in zip(*np.nonzero(ids[:, :, 0] == none), strict=True)]
+        for w, i, c in bare:
+            logs[w, i, 0] = self._spelled(c)
+        return ids, logs, bare
+
+    @staticmethod
+    def _sum(terms: np.ndarray) -> np.ndarray:
+        top = terms.max(axis=1)
+        return top + np.log(np.exp(terms - np.where(np.isfinite(top), top, 0.0)[:, None]).sum(axis=1))
+
+    def _forward(self, logs: np.ndarray) -> np.ndarray:
+        words, n, wide = logs.shape
+        alpha = np.zeros((words, n + 1))
+        for j in range(1, n + 1):
+            k = np.arange(min(j, wide))
+            alpha[:, j] = self._sum(alpha[:, j - 1 - k] + logs[:, j - 1 - k, k])
+        return alpha
+
+    def _groups(self, words: list[str]):  # noqa: ANN202
+        """(length, numbers of words) of manageable size; length 0 for those that are too long."""
+        by: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by.setdefault(len(w) + 1 if len(w) < SPAN_CHARS else 0, []).append(k)
+        for n, at in by.items():
+            step = max(1, BATCH_CELLS // max(1, n))
+            for lo in range(0, len(at), step):
+                yield n, at[lo : lo + step]
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        out = np.zeros(len(words))
+        with np.errstate(divide="ignore"):
+            for n, at in self._groups(words):
+                if n:
+                    out[at] = self._forward(self._spans([_MARK + words[k] for k in at], n)[1])[:, -1]
+                else:
+                    out[at] = [self.model.log_probability(words[k]) for k in at]
+        return out
+
+    def expected(self, words: list[str], counts: list[int], pieces: np.ndarray, octets: np.ndarray) -> None:
+        """Adds expected numbers of pieces, by piece number, and of bytes."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for n, at in self._groups(words):
+                if not n:
+                    found: dict[str, float] = {}
+                    for k in at:
+                        self.model.expected(words[k], counts[k], found, octets)
+                    for p, x in found.items():
+                        pieces[self.number[p]] += x
+                    continue
+                texts = [_MARK + words[k] for k in at]
+                ids, logs, bare = self._spans(texts, n)
+                alpha, wide = self._forward(logs), logs.shape[2]
+                beta = np.zeros((len(at), n + 1))
+                share = np.zeros(logs.shape)
+                for i in range(n - 1, -1, -1):
+                    k = np.arange(min(n - i, wide))
+                    path = logs[:, i, k] + beta[:, i + 1 + k]
+                    beta[:, i] = self._sum(path)
+                    share[:, i, k] = np.exp(alpha[:, i, None] + path - alpha[:, -1:])
+                share *= np.array([counts[k] for k in at], float)[:, None, None]
+                for w, i, c in bare:
+                    for b in c.encode("utf-8", "surrogatepass"):
+                        octets[b] += share[w, i, 0]
+                pieces += np.bincount(ids.ravel(), share.ravel(), len(self.names) + 1)[:-1]
+
+
 def vocabulary(path: str = VOCABULARY) -> Lattice:
     """The pieces of a SentencePiece model. Scores that are log-probabilities become weights as they are; scores of merges are ranks
     (0, -1, -2, ...) and become weights by Zipf's law. Byte pieces share a hundredth of all weight, the end a thousandth."""
@@ -109,12 +217,12 @@ def reweighted(model: Lattice, prior: Lattice, counts: DataFrame, ends: int) ->
     shared = spark.sparkContext.broadcast(model)  # the vocabulary's size
 
     def run(batches):  # noqa: ANN001, ANN202
-        m, found, octets = shared.value, {}, np.zeros(256)
+        batch, octets = Batch(shared.value), np.zeros(256)
+        pieces = np.zeros(len(batch.names))
         for b in batches:
-            for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                m.expected(w, c, found, octets)
-        names = [*found, *(f"\n{b}" for b in range(256))]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*found.values(), *octets.tolist()], pa.float64())], names=["piece", "n"])
+            batch.expected(b.column(0).to_pylist(), b.column(1).to_pylist(), pieces, octets)
+        names = [*batch.names, *(f"\n{b}" for b in range(256))]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate([pieces, octets]))], names=["piece", "n"])
 
     rows = counts.select("word", "c").mapInArrow(run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     found = {r["piece"]: r["n"] for r in rows}
@@ -177,10 +285,17 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
         m, known = shared.value
         if _MEMO.get("tag") != tag:
             _MEMO.clear()
-            _MEMO.update(tag=tag, words={})
+            _MEMO.update(tag=tag, words={}, batch=Batch(m))
         memo = _MEMO["words"]
         for b in batches:
             ids, helds, texts = (b.column(i) for i in range(3))
+            if len(memo) > MEMO:
+                memo.clear()
+            fresh: set[bytes] = set()
+            for t in texts:
+                fresh.update(words_of(t.as_py()))
+            new = [w for w in fresh if w not in memo]
+            memo.update(zip(new, _MEMO["batch"].log_probabilities([w.decode("utf-8", "surrogatepass") for w in new]).tolist(), strict=True))
             docs_out: list[tuple] = []
             tail: list[tuple] = []
             for i, held, t in zip(ids.to_pylist(), helds.to_pylist(), texts, strict=True):
@@ -195,14 +310,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
                     else:
                         hits += k
                         base += k * c
-                    p = memo.get(w)
-                    if p is None:
-                        p = m.log_probability(w.decode("utf-8", "surrogatepass"))
-                        if len(w) <= HEAD_BYTES:
-                            if len(memo) >= MEMO:
-                                memo.clear()
-                            memo[w] = p
-                    score += k * p
+                    score += k * memo[w]
                 docs_out.append((key, i, held, len(found) + 1, hits, base - (len(found) + 1) * each, score / math.log(10), 1, "\n" + key.hex(), 0))
                 if len(tail) > 200_000:
                     yield _rows(tail)
@@ -210,6 +318,8 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
             yield _docs(docs_out)
             if tail:
                 yield _rows(tail)
+            for w in [w for w in new if len(w) > HEAD_BYTES]:
+                del memo[w]  # long words don't stay
 
     rows = own.mapInArrow(run, schema)
     rare = counts.filter(~common).select(F.col("word").alias("w"), "c")
