@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, small, words
+from .common import materialize, small, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -146,8 +146,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     columns, p = docs.columns, "__q_f_"
     ids = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__q_lab")).distinct()
-    some = with_features(docs.select("doc_id", "lang", "text"), prefix=p).drop("text").join(ids, F.col("doc_id") == F.col("__q_lab"), "left_semi")
-    cutoffs = judged(some, labels, prefix=p)
+    some = docs.select("doc_id", "lang", "text").join(small(ids), F.col("doc_id") == F.col("__q_lab"), "left_semi")
+    some = materialize(with_features(some, prefix=p).drop("text"), "quality-labelled")
+    cutoffs = materialize(judged(some, labels, prefix=p), "quality-cutoffs")
     return with_verdict(with_features(docs, prefix=p), cutoffs, prefix=p).filter(F.col(p + "kept")).select(*(F.col(f"`{c}`") for c in columns))
 
 
