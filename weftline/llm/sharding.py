@@ -19,7 +19,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .common import scratch_path
 
-SHARDS, SEED, BUCKET_BYTES = 16, 20240607, 24 << 20
+SHARDS, SEED, BUCKET_BYTES = 16, 20240607, 4 << 20
 _BITS = 20  # buckets are ranges of so many leading bits of the hash
 
 
