@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small
 
-WINDOW, LITERALS, SHARE, INDEX_ROWS, MEMO = 8, 4, 0.25, 500_000, 300_000
+WINDOW, LITERALS, SHARE, INDEX_ROWS, MEMO, MEMO_BYTES = 8, 4, 0.25, 500_000, 200_000, 32 << 20
 #: Fixed words that are units after a number.
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs pound pounds oz ounce ounces ml cl l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years w kw kwh v a hz mhz ghz b kb mb gb tb % percent degrees c f k euro euros dollar dollars cent cents eur usd gbp".split())
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:[%€$£]|[a-z]{1,3})?")
@@ -34,9 +34,6 @@ _ENDS = re.compile(r"[.!?][\"'\)\]\}»”]*$")
 PLAIN, NUMBER, NAME, UNIT = range(4)
 _HOLDERS = ("", "<number>", "<name>", "<unit>")
 _IDS = [0, *(xxhash.xxh64_intdigest(h) for h in _HOLDERS[1:])]
-_KNOWN: dict[bytes, tuple[int, int, bool, str]] = {}
-
-
 def _facts(word: bytes) -> tuple[int, int, bool, str]:
     """(id of the bare word, 0 number 1 capital 2 other 3 nothing left, whether a sentence ends here, the bare word)."""
     text = word.decode("utf-8", "replace")
@@ -46,33 +43,58 @@ def _facts(word: bytes) -> tuple[int, int, bool, str]:
     return xxhash.xxh64_intdigest(low), kind, bool(_ENDS.search(text)), low
 
 
-def template(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+class _Words:
+    """What is known of words met so far, by number: columns grow with them and are begun anew when MEMO or MEMO_BYTES is reached."""
+
+    def __init__(self, room: int) -> None:
+        self.number: dict[bytes, int] = {}
+        self.low: list[str] = []
+        self.bytes = 0
+        self.ids, self.kinds, self.ends, self.units = np.zeros(room, np.uint64), np.zeros(room, np.int8), np.zeros(room, bool), np.zeros(room, bool)
+
+    def add(self, word: bytes) -> int:
+        k = self.number[word] = len(self.low)
+        self.ids[k], self.kinds[k], self.ends[k], low = _facts(word)
+        self.units[k] = low in UNITS
+        self.bytes += len(word)
+        self.low.append(low)
+        return k
+
+
+class _Bare:
+    """The bare words of a text, looked up when asked for."""
+
+    def __init__(self, words: _Words, numbers: np.ndarray) -> None:
+        self.words, self.numbers = words.low, numbers
+
+    def __getitem__(self, k: int) -> str:
+        return self.words[self.numbers[k]]
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+
+_SEEN = [_Words(0)]
+
+
+def template(text: str | None) -> tuple[np.ndarray, np.ndarray, _Bare]:
     """Template token ids (uint64), their types and the bare words."""
-    if len(_KNOWN) > MEMO:
-        _KNOWN.clear()
-    facts = []
-    for w in (text or "").encode("utf-8", "surrogatepass").split():
-        f = _KNOWN.get(w)
-        if f is None:
-            f = _facts(w)
-            if len(w) <= 64:
-                _KNOWN[w] = f
-        facts.append(f)
-    facts = [f for f in facts if f[1] != 3]
-    n = len(facts)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int8), []
-    ids, kinds, ends, low = zip(*facts, strict=True)
-    ids, kinds, ends = np.array(ids, np.uint64), np.array(kinds, np.int8), np.array(ends)
-    types = np.zeros(n, np.int8)
+    found = (text or "").encode("utf-8", "surrogatepass").split()
+    seen = _SEEN[0]
+    if len(seen.low) + len(found) > len(seen.ids) or seen.bytes > MEMO_BYTES:
+        seen = _SEEN[0] = _Words(max(MEMO, len(found)))
+    numbers = list(map(seen.number.get, found))
+    if None in numbers:
+        numbers = [seen.number[w] if w in seen.number else seen.add(w) for w in found]
+    at = np.array(numbers, np.int64)
+    at = at[seen.kinds[at] != 3]
+    kinds, types = seen.kinds[at], np.zeros(len(at), np.int8)
     types[kinds == 0] = NUMBER
-    types[1:][(kinds[1:] == 1) & ~ends[:-1]] = NAME
-    for i in np.flatnonzero(types[:-1] == NUMBER) + 1:
-        if types[i] == PLAIN and low[i] in UNITS:
-            types[i] = UNIT
-    slots = types != PLAIN
+    types[1:][(kinds[1:] == 1) & ~seen.ends[at[:-1]]] = NAME
+    types[1:][(types[1:] == PLAIN) & (types[:-1] == NUMBER) & seen.units[at[1:]]] = UNIT
+    ids, slots = seen.ids[at], types != PLAIN
     ids[slots] = np.array(_IDS, np.uint64)[types[slots]]
-    return ids, types, list(low)
+    return ids, types, _Bare(seen, at)
 
 
 def window_hashes(ids: np.ndarray, types: np.ndarray, width: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +143,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def _indexed(docs: DataFrame, items: DataFrame) -> DataFrame:
-    given = [(r["id"], template(r["text"])) for r in items.collect()]  # at most INDEX_ROWS words
+    given = []
+    for r in items.collect():  # at most INDEX_ROWS words
+        ids, types, low = template(r["text"])
+        given.append((r["id"], (ids, types, [low[k] for k in range(len(low))])))
     index: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
     totals, vocabulary = [], set()
     for k, (_, (ids, types, _low)) in enumerate(given):
