@@ -29,13 +29,29 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
-def pattern() -> re.Pattern:
+def pattern(others: str) -> re.Pattern:
     """PATTERN in the standard library's syntax: its word characters less digits, other numerals and the underscore are the letters."""
-    others = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in ("No", "Nl"))
     given = {r"\p{L}": rf"[^\W\d_{others}]", r"\p{N}": rf"[\d{others}]", r"[^\s\p{L}\p{N}]": rf"(?:[^\w{_SPACES}]|_)", r"\s": f"[{_SPACES}]", r"\S": f"[^{_SPACES}]"}
     return re.compile("|".join(re.sub(r"\[\^\\s\\p\{L\}\\p\{N\}\]|\\p\{[LN]\}|\\[sS]", lambda m: given[m[0]], part) for part in PATTERN.split("|")))
 
 
+class Cutter:
+    """Cuts as PATTERN does. The hundreds of numerals that are no digits make its classes slow, so texts without any take a pattern without them."""
+
+    def __init__(self) -> None:
+        others = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in ("No", "Nl"))
+        self.plain, self.full, self.others = pattern(""), pattern(others), re.compile(f"[{others}]")
+
+    def of(self, text: str) -> re.Pattern:
+        return self.plain if text.isascii() or not self.others.search(text) else self.full
+
+    def findall(self, text: str) -> list[str]:
+        return self.of(text).findall(text)
+
+    def finditer(self, text: str, at: int):  # noqa: ANN201
+        return self.of(text).finditer(text, at)
+
+
 class Counter:
     """Tokens of a pre-token, remembered."""
 
@@ -45,7 +61,7 @@ class Counter:
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        self.encoding, self.pattern, self.memo = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}), pattern(), {}
+        self.encoding, self.pattern, self.memo = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}), Cutter(), {}
 
     def __call__(self, piece: str) -> int:
         n = self.memo.get(piece)
