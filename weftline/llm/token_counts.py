@@ -40,10 +40,10 @@ class Cutter:
 
     def __init__(self) -> None:
         others = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in ("No", "Nl"))
-        self.plain, self.full, self.others = pattern(""), pattern(others), re.compile(f"[{others}]")
+        self.plain, self.full, self.others = pattern(""), pattern(others), frozenset(others)
 
     def of(self, text: str) -> re.Pattern:
-        return self.plain if text.isascii() or not self.others.search(text) else self.full
+        return self.plain if text.isascii() or self.others.isdisjoint(text) else self.full
 
     def findall(self, text: str) -> list[str]:
         return self.of(text).findall(text)
