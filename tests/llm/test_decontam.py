@@ -43,3 +43,9 @@ def test_paths_agree_on_data_and_find_what_shared_windows_find(spark):
 
 def test_empty(spark):
     assert found(spark, [(1, ITEM)], []).count() == 0 and found(spark, [], [(1, ITEM)]).count() == 0 and found(spark, [], [(1, ITEM)], index_rows=0).count() == 0
+
+
+def test_a_clean_row_stays_when_another_row_of_its_id_goes(spark):
+    docs = spark.createDataFrame([(2, ITEM), (2, "x"), (2, "y"), (None, "z"), (3, None)], "doc_id long, text string")
+    clean = decontam.clean(docs, spark.createDataFrame([(10, ITEM)], "item_id long, text string"))
+    assert clean.columns == docs.columns and sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted([(2, "x"), (2, "y"), (None, "z"), (3, None)], key=str)

@@ -241,13 +241,8 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, with their columns.
 
-    Documents are named by id and text digest, so null and repeated ids are told apart; those that go are few and known before rows move.
+    Rows are named by id and text digest, so null and repeated ids are told apart; those that go are few and known before rows move.
     """
-    key = F.sha2(F.concat_ws("\n", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(text)), 256)
-    found = contaminated(docs.select(doc_id, text), benchmark, doc_id, text)
-    ids = materialize(found.select(F.col("doc_id").alias("__id")).distinct(), "decontam-found")
-    if ids.filter(F.col("__id").isNull()).limit(1).count():
-        with_key = docs.withColumn("__key", F.xxhash64(key))
-        again = contaminated(with_key, benchmark, "__key", text).select(F.col("doc_id").alias("__gone")).distinct()
-        return with_key.join(small(materialize(again, "decontam-keys")), F.col("__key") == F.col("__gone"), "left_anti").drop("__key")
-    return docs.join(small(ids), F.col(doc_id) == F.col("__id"), "left_anti")
+    with_key = docs.withColumn("__key", F.xxhash64(doc_id, text))
+    found = contaminated(with_key, benchmark, "__key", text).select(F.col("doc_id").alias("__gone")).distinct()
+    return with_key.join(small(materialize(found, "decontam-found")), F.col("__key") == F.col("__gone"), "left_anti").drop("__key")
