@@ -49,3 +49,33 @@ def test_a_clean_row_stays_when_another_row_of_its_id_goes(spark):
     docs = spark.createDataFrame([(2, ITEM), (2, "x"), (2, "y"), (None, "z"), (3, None)], "doc_id long, text string")
     clean = decontam.clean(docs, spark.createDataFrame([(10, ITEM)], "item_id long, text string"))
     assert clean.columns == docs.columns and sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted([(2, "x"), (2, "y"), (None, "z"), (3, None)], key=str)
+
+
+def test_copies_in_capitals_and_items_of_few_plain_words(spark):
+    plain = "the river runs past the old mill and then turns north between two low hills before it meets the sea"
+    dense = "Anna 3 Berta 4 Carla 5 Dora 6 Emma 7"
+    twins = "the first train takes 2 hours from the coast to the hills and the second train takes 2 hours from the hills to the valley below"
+    altered = twins.replace("2 hours from the hills", "9 hours from the hills")
+    docs = [(1, f"Before. {plain.upper()} AFTER"), (2, f"It was {plain.title()} again"), (3, f"so {dense} then"), (4, "so Anna 3 Berta 4 Carla 5 Dora 6 Emma 8 then"), (5, plain[:30]), (6, altered), (7, "so Zoe 9 Ypsilon 8 Xaver 7 Walter 6 Vera 5 then")]
+    items = [(10, plain), (11, dense), (12, twins)]
+    rows = [sorted(tuple(r) for r in found(spark, docs, items, index_rows=n).collect()) for n in (decontam.INDEX_ROWS, 0)]
+    assert rows[0] == rows[1] and {r[:2] for r in rows[0]} == {(1, 10), (2, 10), (3, 11), (4, 11), (6, 12)}
+
+
+def test_verbatim_copies_on_more_data(spark):
+    d = "/root/testdata/sf0.1"
+    docs, items = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()}
+    grams = lambda t: {tuple(w[i : i + 8]) for w in [t.lower().split()] for i in range(len(w) - 7)}
+    bench, having = {r.item_id: grams(r.text) for r in items.collect()}, {}
+    for k, b in bench.items():
+        for g in b:
+            having.setdefault(g, []).append(k)
+    want = set()
+    for r in docs.collect():
+        n = {}
+        for g in grams(r.text):
+            for k in having.get(g, ()):
+                n[k] = n.get(k, 0) + 1
+        want |= {(r.doc_id, k) for k, c in n.items() if c >= 0.5 * len(bench[k])}
+    assert {(1699, 130), (6420, 37), (8376, 101)} <= want <= got

@@ -3,12 +3,13 @@
 Numbers, names and units become typed placeholders, so that a question keeps its template when its parameters change. Windows of WINDOW
 template tokens are hash-joined with those of the benchmark; what meets is compared token by token and put on the diagonal (position in the
 document less position in the item) it lies on. On a diagonal the values of slots must map one to one from the item's to the document's,
-for each type: a question that was re-parameterised renames things consistently, chance does not. A document holds an item if windows on
-consistent diagonals cover at least SHARE of the item's windows.
+for each type: a question that was re-parameterised renames things consistently, chance does not. Windows of equal bare words in lower case
+count as well, whatever their slots, so that a copy in capitals or one with few plain words is found. A document holds an item if windows of
+equal words and those on consistent diagonals cover at least SHARE of the item's windows with LITERALS plain tokens, or of all its windows.
 
 Benchmarks of at most INDEX_ROWS windows (counted) are known to every task; larger ones meet the documents' windows in a shuffled join.
-Defined results: null texts have no tokens; an item without a window of LITERALS plain tokens is never found; repeated documents and items
-are judged each, rows alike merging into one; null ids are kept as null. Items shorter than WINDOW tokens are one window.
+Defined results: null texts have no tokens; an item without a window of LITERALS plain tokens is found by equal words only; its windows
+counted are those with LITERALS plain tokens if their share suffices, else all; repeated documents and items are judged each, rows alike merging into one; null ids are kept as null. Items shorter than WINDOW tokens are one window.
 """
 
 from __future__ import annotations
@@ -62,10 +63,10 @@ class _Words:
 
 
 class _Bare:
-    """The bare words of a text, looked up when asked for."""
+    """The bare words of a text, looked up when asked for, and their ids."""
 
-    def __init__(self, words: _Words, numbers: np.ndarray) -> None:
-        self.words, self.numbers = words.low, numbers
+    def __init__(self, seen: _Words, numbers: np.ndarray, ids: np.ndarray) -> None:
+        self.seen, self.words, self.numbers, self.ids = seen, seen.low, numbers, ids
 
     def __getitem__(self, k: int) -> str:
         return self.words[self.numbers[k]]
@@ -92,19 +93,21 @@ def template(text: str | None) -> tuple[np.ndarray, np.ndarray, _Bare]:
     types[kinds == 0] = NUMBER
     types[1:][(kinds[1:] == 1) & ~seen.ends[at[:-1]]] = NAME
     types[1:][(types[1:] == PLAIN) & (types[:-1] == NUMBER) & seen.units[at[1:]]] = UNIT
-    ids, slots = seen.ids[at], types != PLAIN
+    plain, slots = seen.ids[at], types != PLAIN
+    ids = plain.copy()
     ids[slots] = np.array(_IDS, np.uint64)[types[slots]]
-    return ids, types, _Bare(seen, at)
+    return ids, types, _Bare(seen, at, plain)
 
 
-def window_hashes(ids: np.ndarray, types: np.ndarray, width: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes) of the windows that have enough plain tokens."""
+def window_hashes(ids: np.ndarray, types: np.ndarray | None, width: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the windows that have enough plain tokens, without types of all."""
     n = len(ids) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    plain = np.append(0, np.cumsum(types == PLAIN))
     at = np.arange(n) if starts is None else starts
-    at = at[plain[at + width] - plain[at] >= min(LITERALS, width)]
+    if types is not None:
+        plain = np.append(0, np.cumsum(types == PLAIN))
+        at = at[plain[at + width] - plain[at] >= min(LITERALS, width)]
     h = np.zeros(len(at), np.uint64)
     for k in range(width):
         h = (h ^ ids[at + k]) * np.uint64(0x9E3779B97F4A7C15)
@@ -118,17 +121,26 @@ def consistent(pairs: list[tuple[int, str, str]]) -> bool:
     return all(there.setdefault((t, a), b) == b and back.setdefault((t, b), a) == a for t, a, b in pairs)
 
 
-def judge(found: dict[int, set[int]], item: tuple, doc: tuple, total: int, width: int) -> tuple[int, int, int] | None:
-    """From {diagonal: item positions of windows that met}: (windows, slots, changed slots) on consistent diagonals, or None."""
-    covered, slots, changed = set(), 0, 0
-    for diagonal, at in found.items():
-        tokens = sorted({p + k for p in at for k in range(width)})
-        pairs = [(int(item[1][p]), item[2][p], doc[2][p + diagonal]) for p in tokens if item[1][p] != PLAIN]
+def verdict(covered: set[int], rich: set[int], n_rich: int, total: int, slots: dict[tuple[int, int], bool]) -> tuple[int, int, float, int, int] | None:
+    """(windows met, windows, their share, slots, changed slots) of the item's windows in ``rich`` or else of all, or None if both shares are low."""
+    for met, of in ((len(covered & rich), n_rich), (len(covered), total)):
+        if met >= max(1.0, SHARE * of):
+            return met, of, met / of, len(slots), sum(slots.values())
+    return None
+
+
+def judge(found: dict[int, tuple[set[int], set[int]]], item: tuple, doc: tuple, rich: set[int], total: int, width: int) -> tuple[int, int, float, int, int] | None:
+    """From {diagonal: item positions of windows that met by (template, equal words)}: the verdict."""
+    covered, slots = set(), {}
+    for diagonal, (typed, equal) in found.items():
+        tokens = [p for p in sorted({p + k for p in typed for k in range(width)}) if item[1][p] != PLAIN]
+        pairs = [(int(item[1][p]), item[2][p], doc[2][p + diagonal]) for p in tokens]
         if consistent(pairs):
-            covered |= at
-            slots += len(pairs)
-            changed += sum(a != b for _, a, b in pairs)
-    return (len(covered), slots, changed) if len(covered) >= max(1.0, SHARE * total) else None
+            covered |= typed
+            slots |= {(diagonal, p): a != b for p, (_, a, b) in zip(tokens, pairs, strict=True)}
+        covered |= equal
+        slots |= {(diagonal, p + k): False for p in equal for k in range(width) if item[1][p + k] != PLAIN}
+    return verdict(covered, rich, len(rich), total, slots)
 
 
 _OUT = "doc_id long, item_id long, n_windows long, item_windows long, coverage double, n_slots long, n_changed long"
@@ -146,41 +158,55 @@ def _indexed(docs: DataFrame, items: DataFrame) -> DataFrame:
     given = []
     for r in items.collect():  # at most INDEX_ROWS words
         ids, types, low = template(r["text"])
-        given.append((r["id"], (ids, types, [low[k] for k in range(len(low))])))
-    index: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-    totals, vocabulary = [], set()
-    for k, (_, (ids, types, _low)) in enumerate(given):
+        given.append((r["id"], (ids, types, [low[k] for k in range(len(low))], low.ids)))
+    index: dict[int, tuple[dict, dict]] = defaultdict(lambda: (defaultdict(list), defaultdict(list)))  # by template, by words
+    rich, totals, vocabulary = [], [], set()
+    for k, (_, (ids, types, _low, plain)) in enumerate(given):
         width = min(WINDOW, len(ids))
-        at, h = window_hashes(ids, types, width) if width else (np.zeros(0, int), np.zeros(0, np.uint64))
-        totals.append(len(at))
-        vocabulary.update(ids.tolist())
-        for p, x in zip(at.tolist(), h.tolist(), strict=True):
-            index[width][x].append((k, p))
-    plain = {w: dict(x) for w, x in index.items()}
-    shared = docs.sparkSession.sparkContext.broadcast((given, totals, plain, np.array(sorted(vocabulary), np.uint64)))
+        rich.append(set())
+        totals.append(len(ids) - width + 1 if width else 0)
+        vocabulary.update(plain.tolist())
+        for by, (at, h) in enumerate((window_hashes(ids, types, width), window_hashes(plain, None, width)) if width else ()):
+            for p, x in zip(at.tolist(), h.tolist(), strict=True):
+                index[width][by][x].append((k, p))
+            if not by:
+                rich[k].update(at.tolist())
+    tables = {w: (dict(x), dict(y)) for w, (x, y) in index.items()}
+    shared = docs.sparkSession.sparkContext.broadcast((given, rich, totals, tables, np.array(sorted(vocabulary), np.uint64)))
 
     def run(batches):  # noqa: ANN001, ANN202
-        given, totals, index, words = shared.value
-        keys = {w: np.array(sorted(x), np.uint64) for w, x in index.items()}
+        given, rich, totals, index, words = shared.value
+        keys = {w: [np.array(sorted(x), np.uint64) for x in both] for w, both in index.items()}
         has = lambda a, x: (a[np.minimum(np.searchsorted(a, x), len(a) - 1)] == x) if len(a) else np.zeros(len(x), bool)
+        held, known, done = None, np.zeros(0, bool), 0  # which words of the memo occur in the benchmark
         for b in batches:
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 doc = template(t.as_py())
-                unknown = np.append(0, np.cumsum(~has(words, doc[0])))
-                met: dict = defaultdict(lambda: defaultdict(set))
-                for width, by in index.items():
-                    n = len(doc[0]) - width + 1
-                    starts = np.flatnonzero(unknown[width:] == unknown[:-width]) if n > 0 else np.zeros(0, np.int64)  # every token occurs in the benchmark
-                    at, h = window_hashes(doc[0], doc[1], width, starts)
-                    hit = has(keys[width], h)
-                    for p, x in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
-                        for k, q in by[x]:
-                            if np.array_equal(doc[0][p : p + width], given[k][1][0][q : q + width]):
-                                met[k, width][p - q].add(q)
+                seen, plain = doc[2].seen, doc[2].ids
+                if seen is not held:
+                    held, known, done = seen, np.zeros(len(seen.ids), bool), 0
+                if done < len(seen.low):
+                    known[done : len(seen.low)] = has(words, seen.ids[done : len(seen.low)])
+                    done = len(seen.low)
+                ours = known[doc[2].numbers]
+                met: dict = defaultdict(lambda: defaultdict(lambda: (set(), set())))
+                for by, (ids, types, fits) in enumerate(((doc[0], doc[1], ours | (doc[1] != PLAIN)), (plain, None, ours))):
+                    unknown = np.append(0, np.cumsum(~fits))
+                    for width, both in index.items():
+                        n = len(ids) - width + 1
+                        starts = np.flatnonzero(unknown[width:] == unknown[:-width]) if n > 0 else np.zeros(0, np.int64)  # every word occurs in the benchmark
+                        if not len(starts):
+                            continue
+                        at, h = window_hashes(ids, types, width, starts)
+                        hit = has(keys[width][by], h)
+                        for p, x in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
+                            for k, q in both[by][x]:
+                                if np.array_equal(ids[p : p + width], given[k][1][3 if by else 0][q : q + width]):
+                                    met[k, width][p - q][by].add(q)
                 for (k, width), found in met.items():
-                    if got := judge(found, given[k][1], doc, totals[k], width):
-                        rows.append({"doc_id": i, "item_id": given[k][0], "n_windows": got[0], "item_windows": totals[k], "coverage": got[0] / totals[k], "n_slots": got[1], "n_changed": got[2]})
+                    if got := judge(found, given[k][1], doc, rich[k], totals[k], width):
+                        rows.append(dict(zip(_SCHEMA.names, (i, given[k][0], *got), strict=True)))
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
@@ -191,8 +217,9 @@ _SCHEMA = pa.schema([(k, pa.float64() if k == "coverage" else pa.int64()) for k
 
 
 def _windows(df: DataFrame, widths: list[int], whole_if_short: bool) -> DataFrame:
-    """(key, id, pos, width, h, total, slots): every window; slots are its (offset, type, value)."""
-    schema = "key binary, id long, pos long, width int, h long, total long, slots array<struct<o:int,t:int,v:string>>"
+    """(key, id, pos, width, words, h, rich, total, slots): every window by template and by words; slots are its (offset, type, value),
+    rich says whether it has enough plain tokens, total counts all windows."""
+    schema = "key binary, id long, pos long, width int, words boolean, h long, rich boolean, n_rich long, total long, slots array<struct<o:int,t:int,v:string>>"
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
@@ -201,17 +228,19 @@ def _windows(df: DataFrame, widths: list[int], whole_if_short: bool) -> DataFram
                 ids, types, low = template(t)
                 key, rows = xxhash.xxh3_128_digest(f"{i}\n{t}".encode("utf-8", "surrogatepass")), []
                 for width in {min(WINDOW, len(ids))} - {0} if whole_if_short else widths:
-                    at, h = window_hashes(ids, types, width)
-                    for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-                        slots = [{"o": k, "t": int(types[p + k]), "v": low[p + k]} for k in range(width) if types[p + k] != PLAIN]
-                        rows.append({"key": key, "id": i, "pos": p, "width": width, "h": x, "total": len(at), "slots": slots})
+                    typed, equal = window_hashes(ids, types, width), window_hashes(low.ids, None, width)
+                    rich = set(typed[0].tolist())
+                    for by, (at, h) in ((False, typed), (True, equal)):
+                        for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
+                            slots = [{"o": k, "t": int(types[p + k]), "v": low[p + k]} for k in range(width) if types[p + k] != PLAIN] if whole_if_short or not by else []
+                            rows.append({"key": key, "id": i, "pos": p, "width": width, "words": by, "h": x, "rich": p in rich, "n_rich": len(rich), "total": len(equal[0]), "slots": slots})
                 for lo in range(0, len(rows), 20_000):
                     yield pa.RecordBatch.from_pylist(rows[lo : lo + 20_000], schema=_WINDOWS)
 
     return df.mapInArrow(run, schema)
 
 
-_WINDOWS = pa.schema([("key", pa.binary()), ("id", pa.int64()), ("pos", pa.int64()), ("width", pa.int32()), ("h", pa.int64()), ("total", pa.int64()), ("slots", pa.list_(pa.struct([("o", pa.int32()), ("t", pa.int32()), ("v", pa.string())])))])
+_WINDOWS = pa.schema([("key", pa.binary()), ("id", pa.int64()), ("pos", pa.int64()), ("width", pa.int32()), ("words", pa.bool_()), ("h", pa.int64()), ("rich", pa.bool_()), ("n_rich", pa.int64()), ("total", pa.int64()), ("slots", pa.list_(pa.struct([("o", pa.int32()), ("t", pa.int32()), ("v", pa.string())])))])
 
 
 def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -219,21 +248,23 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
     bench = materialize(_windows(items, [], True), "decontam-items")
     widths = [r[0] for r in bench.select("width").distinct().collect()]  # at most WINDOW numbers
     a, b = _windows(docs, widths, False).alias("a"), bench.alias("b")
-    met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.width") == F.col("b.width"))).select(
-        F.col("a.key").alias("dk"), F.col("a.id").alias("doc_id"), F.col("b.key").alias("ik"), F.col("b.id").alias("item_id"), F.col("b.pos").alias("q"), (F.col("a.pos") - F.col("b.pos")).alias("diagonal"), F.col("b.total").alias("total"), F.col("a.slots").alias("ds"), F.col("b.slots").alias("bs")
+    met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.width") == F.col("b.width")) & (F.col("a.words") == F.col("b.words"))).select(
+        F.col("a.key").alias("dk"), F.col("a.id").alias("doc_id"), F.col("b.key").alias("ik"), F.col("b.id").alias("item_id"), F.col("b.pos").alias("q"), (F.col("a.pos") - F.col("b.pos")).alias("diagonal"), "b.words", "b.rich", "b.n_rich", "b.total", F.col("a.slots").alias("ds"), F.col("b.slots").alias("bs")
     ).distinct()
 
     def group(f: pd.DataFrame) -> pd.DataFrame:
-        covered, slots, changed, total = set(), 0, 0, int(f["total"].iloc[0])
-        for _, d in f.groupby("diagonal"):
-            pairs = {(q + x["o"], x["t"], x["v"], y["v"]) for q, bs, ds in zip(d["q"], d["bs"], d["ds"], strict=True) for x, y in zip(bs, ds, strict=True)}
+        covered, slots, total, n_rich = set(), {}, int(f["total"].iloc[0]), int(f["n_rich"].iloc[0])
+        for diagonal, d in f.groupby("diagonal"):
+            typed, equal = d[~d["words"]], d[d["words"]]
+            pairs = {(q + x["o"], x["t"], x["v"], y["v"]) for q, bs, ds in zip(typed["q"], typed["bs"], typed["ds"], strict=True) for x, y in zip(bs, ds, strict=True)}
             if consistent([p[1:] for p in sorted(pairs)]):
-                covered |= set(d["q"])
-                slots += len(pairs)
-                changed += sum(x != y for _, _, x, y in pairs)
-        ok = len(covered) >= max(1.0, SHARE * total)
-        row = [f["doc_id"].iloc[0], f["item_id"].iloc[0], len(covered), total, len(covered) / total, slots, changed]
-        return pd.DataFrame([row] if ok else [], columns=["doc_id", "item_id", "n_windows", "item_windows", "coverage", "n_slots", "n_changed"])
+                covered |= set(typed["q"])
+                slots |= {(diagonal, p): x != y for p, _, x, y in pairs}
+            covered |= set(equal["q"])
+            slots |= {(diagonal, q + x["o"]): False for q, bs in zip(equal["q"], equal["bs"], strict=True) for x in bs}
+        rich = set(f.loc[f["rich"], "q"])  # of the item's rich windows those that met
+        got = verdict(covered, rich, n_rich, total, slots)
+        return pd.DataFrame([[f["doc_id"].iloc[0], f["item_id"].iloc[0], *got]] if got else [], columns=_SCHEMA.names)
 
     return met.groupBy("dk", "ik").applyInPandas(group, _OUT)
 
