@@ -7,6 +7,7 @@ from weftline.errors import ConfigError
 from weftline.operators import chunking, churn, embedding
 from weftline.plans.index import Index
 from weftline.plans.service import Project
+from weftline.sources.files import read_documents
 from weftline.streaming.ingest import follow
 
 
@@ -61,6 +62,19 @@ def test_stream_of_files(spark, tmp_path):
     assert sorted(r.text for r in ix.active().collect()) == ["first file", "second file"] and ix.newest().generation == 2
 
 
+def test_stream_names_files_by_their_path_below_the_folder(spark, tmp_path):
+    ix, provider = Index(spark, f"file://{tmp_path}/ix"), embedding.HashProvider("s", 16)
+    batches = [{"a/README.md": "one", "b/README.md": "two", "a b/c+d %20#ä.md": "three"}, {"c/README.md": "four"}, {"d/README.md": "five"}]
+    for files in batches:
+        for name, text in files.items():
+            (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / "in" / name).write_text(text)
+        follow(spark, f"{tmp_path}/in", ix, chunking.Fixed(8), provider, f"{tmp_path}/cp").awaitTermination()
+    want = {k: v for files in batches for k, v in files.items()}
+    assert {r.document_id: r.text for r in ix.active().collect()} == want
+    assert {r.document_id for r in read_documents(spark, f"file://{tmp_path}/in").collect()} == set(want)
+
+
 def test_edits():
     text = "# Title\n\nAlpha one. Alpha two! Three?\n\n## First\n\nBody alpha here.\n\n## Second\n\nMore alpha.\n"
     got = {k: f(text) for k, f in churn.EDITS.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import fnmatch
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import file_system
@@ -21,13 +21,18 @@ def excluded(relative: str, patterns: tuple[str, ...]) -> bool:
     return any(fnmatch.fnmatch(relative, p) or fnmatch.fnmatch(name, p) for p in every)
 
 
+def relative_id(spark: SparkSession, path: Column, base: str) -> Column:
+    """The part of a file's path below ``base``."""
+    fs, root = file_system(spark, base)
+    prefix = re.sub("^file:/+", "file:/", fs.makeQualified(root).toString().rstrip("/") + "/")
+    return F.regexp_replace(F.replace(F.regexp_replace(path, "^file:/+", "file:/"), F.lit(prefix), F.lit("")), "^/", "")
+
+
 def read_documents(spark: SparkSession, base: str, exclude: tuple[str, ...] = (), suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """document_id (path below ``base``), text, metadata, mtime_ns, size. Files with a NUL byte in the first 8192 or that are not UTF-8
     are errors; a byte-order mark is dropped."""
-    fs, root = file_system(spark, base)
-    prefix = fs.makeQualified(root).toString().rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    own = files.withColumn("document_id", F.regexp_replace(F.replace(F.regexp_replace("path", "^file:/+", "file:/"), F.lit(re.sub("^file:/+", "file:/", prefix)), F.lit("")), "^/", ""))
+    own = files.withColumn("document_id", relative_id(spark, F.col("path"), base))
     own = own.where(F.lower(F.regexp_extract("document_id", r"(\.[^./]+)$", 1)).isin(*suffixes))
     if exclude:
         keep = F.udf(lambda p: not excluded(p, exclude), "boolean")

@@ -8,15 +8,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import chunking, embedding
 from ..plans.index import Index, occurrences
+from ..sources.files import relative_id, unique_ids
 
 
 def follow(spark: SparkSession, folder: str, index: Index, chunker: chunking.Chunker, provider: embedding.Provider, checkpoint: str) -> StreamingQuery:
-    """Each batch replaces the documents it holds and keeps the others. A batch that is repeated after a crash changes nothing."""
+    """Each batch replaces the documents it holds, named by their path below the folder, and keeps the others. A batch that is repeated
+    after a crash changes nothing; one that holds an id twice is an error."""
     files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(folder)
-    docs = files.select(F.regexp_replace(F.col("_metadata.file_path"), "^.*/", "").alias("document_id"), F.col("value").alias("text"))
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # the metadata hold it as a URI
+    docs = files.select(relative_id(spark, path, folder).alias("document_id"), F.col("value").alias("text"))
 
     def batch(new: DataFrame, _number: int) -> None:
-        fresh = occurrences(chunking.chunk_documents(new.dropDuplicates(["document_id"]), chunker)).select(*_COLUMNS)
+        fresh = occurrences(chunking.chunk_documents(unique_ids(new), chunker)).select(*_COLUMNS)
         old = index.active().select(*_COLUMNS).join(new.select("document_id"), "document_id", "left_anti")
         index.apply(old.unionByName(fresh), provider)
 
