@@ -1,9 +1,12 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.errors import BackendError
 from weftline.functions import hashing
-from weftline.operators import chunking, diff, embedding, merkle, retrieval
+from weftline.operators import chunking, churn, diff, embedding, merkle, retrieval
+from weftline.plans import catalogue
 from weftline.plans.index import Commit, Index, occurrences, problems
 from weftline.sources.cache import KEY, Cache
 from weftline.sources.files import excluded, read_documents
@@ -132,3 +135,23 @@ def test_problems_names_repeats(spark):
     good = spark.createDataFrame([("d", 0, "h", 0, 1, 1), ("d", 1, "k", 1, 2, 1)], schema)
     bad = good.where("position = 0").unionByName(good.where("position = 0"))
     assert {(r.position, r.problem) for r in problems(good, bad).collect()} == {(0, "more than one active row"), (1, "position is missing")}
+
+
+def test_churn_grid_has_every_strategy_and_edit(spark, tmp_path):
+    body = "# Title\n\nAlpha one went far. Alpha two stayed here! Three?\n\n## First\n\n{}\n\n## Second\n\nMore of alpha was seen.\n"
+    texts = [body.format(" ".join(f"word{i % (40 + k)} lies here." for i in range(60))) for k in range(3)] + ["short", "", None]
+    spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.strategy, r.operation): r for r in catalogue.churn_grid(spark, str(tmp_path)).collect()}
+    assert set(got) == {(s, e) for s in ("fixed", "recursive", "semantic", "cdc-rabin", "cdc-rabin+snap") for e in churn.EDITS}
+
+    def changed(text, operation):
+        try:
+            return churn.EDITS[operation](text) if text else text
+        except ValueError:
+            return text
+
+    for (s, e), r in got.items():
+        bag = lambda ts: Counter(c["chunk_hash"] for t in ts if t for c in chunking.split(t, catalogue.STRATEGIES[s]))  # noqa: B023, E731
+        old, new = bag(texts), bag([changed(t, e) for t in texts])
+        assert (r.old_chunks, r.new_chunks, r.reused, r.to_embed) == (old.total(), new.total(), (old & new).total(), (new - old).total())
+        assert r.reembed_fraction == pytest.approx((new - old).total() / new.total())

@@ -135,12 +135,12 @@ def edited(docs: DataFrame, operation: str, text: str = "text") -> DataFrame:
     return docs.withColumn(text, apply(text))
 
 
-def bag_churn(old: DataFrame, new: DataFrame, price_per_million: float | None = None) -> DataFrame:
-    """One row from two tables (chunk_hash, token_count): occurrences reused, removed, to embed, their tokens, the share of new chunks."""
-    count = lambda df, p: df.groupBy("chunk_hash").agg(F.count("*").alias(p), F.min("token_count").alias(f"{p}_tokens"))
-    both = count(old, "o").join(count(new, "n"), "chunk_hash", "full").fillna(0, ["o", "n"])
+def bag_churn(old: DataFrame, new: DataFrame, price_per_million: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one a group of the columns ``by``, from two tables (by, chunk_hash, token_count): occurrences reused, removed, to embed, their tokens, the share of new chunks."""
+    count = lambda df, p: df.groupBy(*by, "chunk_hash").agg(F.count("*").alias(p), F.min("token_count").alias(f"{p}_tokens"))
+    both = count(old, "o").join(count(new, "n"), [*by, "chunk_hash"], "full").fillna(0, ["o", "n"])
     added = F.greatest(F.col("n") - F.col("o"), F.lit(0).cast("long"))
     total = F.coalesce(F.sum("n"), F.lit(0))
-    out = both.agg(F.coalesce(F.sum("o"), F.lit(0)).alias("old_chunks"), total.alias("new_chunks"), F.coalesce(F.sum(F.least("o", "n")), F.lit(0)).alias("reused"), F.coalesce(F.sum(F.greatest(F.col("o") - F.col("n"), F.lit(0).cast("long"))), F.lit(0)).alias("removed"), F.coalesce(F.sum(added), F.lit(0)).alias("to_embed"), F.coalesce(F.sum(added * F.coalesce("n_tokens", F.lit(0))), F.lit(0)).alias("tokens_to_embed"))
+    out = both.groupBy(*by).agg(F.coalesce(F.sum("o"), F.lit(0)).alias("old_chunks"), total.alias("new_chunks"), F.coalesce(F.sum(F.least("o", "n")), F.lit(0)).alias("reused"), F.coalesce(F.sum(F.greatest(F.col("o") - F.col("n"), F.lit(0).cast("long"))), F.lit(0)).alias("removed"), F.coalesce(F.sum(added), F.lit(0)).alias("to_embed"), F.coalesce(F.sum(added * F.coalesce("n_tokens", F.lit(0))), F.lit(0)).alias("tokens_to_embed"))
     rate = F.lit(None if price_per_million is None else price_per_million / 1e6).cast("double")
     return out.withColumns({"reembed_fraction": F.when(F.col("new_chunks") > 0, F.col("to_embed") / F.col("new_chunks")).otherwise(0.0), "estimated_cost": F.col("tokens_to_embed") * rate})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -379,16 +380,19 @@ for _name in ("insert-sentence", "insert-paragraph", "insert-section", "delete-s
     _edit(_name)
 
 
+_SMALL = chunking.CDCParams(window_words=8, min_tokens=24, max_tokens=64, primary_mask_bits=5, backup_mask_bits=3, snap_window_words=8)
+#: The strategies of the benchmark, with its small sizes.
+STRATEGIES: dict[str, chunking.Chunker] = {"fixed": chunking.Fixed(48), "recursive": chunking.Recursive(64, 16), "semantic": chunking.Semantic(64, 16), "cdc-rabin": chunking.CDC(_SMALL), "cdc-rabin+snap": chunking.CDC(_SMALL.snapping())}
+
+
 @query()
 def churn_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strategies by edits over all documents: chunks made new, their share and tokens."""
-    small = {"window_words": 8, "min_tokens": 24, "max_tokens": 64, "primary_mask_bits": 5, "backup_mask_bits": 3, "snap_window_words": 8}
-    grid = {"fixed": chunking.Fixed(48), "cdc-rabin": chunking.CDC(chunking.CDCParams(**small))}
-    docs, out = documents(spark, sf_dir), None
-    for strategy, chunker in grid.items():
-        old = written(chunking.chunk_documents(docs, chunker).select("chunk_hash", "token_count"), "churn")
-        for operation in ("insert-sentence", "delete-sentence", "append"):
-            new = chunking.chunk_documents(churn.edited(docs, operation), chunker).select("chunk_hash", "token_count")
-            row = churn.bag_churn(old, new).select(F.lit(strategy).alias("strategy"), F.lit(operation).alias("operation"), "old_chunks", "new_chunks", "reused", "to_embed", "tokens_to_embed", "reembed_fraction")
-            out = row if out is None else out.unionByName(row)
-    return out
+    docs, by = documents(spark, sf_dir).select("document_id", "text"), ("strategy", "operation")
+    cells = spark.createDataFrame([(s, e) for s in STRATEGIES for e in churn.EDITS], "strategy string, operation string")
+    cut = lambda d, s: chunking.chunk_documents(d, STRATEGIES[s]).select(F.lit(s).alias("strategy"), "chunk_hash", "token_count")
+    old = written(reduce(DataFrame.unionByName, (cut(docs, s) for s in STRATEGIES)), "churn").join(F.broadcast(cells), "strategy")
+    changed = {e: written(churn.edited(docs, e), "churn-edit") for e in churn.EDITS}
+    new = reduce(DataFrame.unionByName, (cut(d, s).withColumn("operation", F.lit(e)) for e, d in changed.items() for s in STRATEGIES))
+    out = churn.bag_churn(old, new, by=by).select(*by, "old_chunks", "new_chunks", "reused", "to_embed", "tokens_to_embed", "reembed_fraction")
+    return cells.join(F.broadcast(out), list(by), "left").fillna(0)  # one row a cell, also without chunks
