@@ -93,6 +93,17 @@ def test_base_and_counts_against_brute_force(spark, sf, head, monkeypatch):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, train) and math.isclose(r.base_score, base, rel_tol=1e-9)
 
 
+def test_scores_are_those_of_the_model_word_by_word(spark, sf, monkeypatch):
+    docs = [(1, "The river runs ab ab"), (2, "the RIVER"), (3, "z" * 70 + " the"), (4, None)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    want = lm.vocabulary()
+    for head in (1_000_000, 1):
+        monkeypatch.setattr(lm, "HEAD", head)
+        got = {r.doc_id: r.score for r in lm.scored(table, rounds=0).collect()}
+        for i, t in docs:
+            assert math.isclose(got[i], (want.end + sum(map(want.log_probability, (t or "").lower().split()))) / math.log(10), rel_tol=1e-9)
+
+
 def test_learning_helps_held_out_texts(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300)
     total = lambda rounds: sum(r.score for r in lm.scored(table, rounds=rounds).filter("held_out").collect())

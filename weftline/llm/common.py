@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space as a Java and RE2 character class; a word is a run of anything else.
@@ -39,10 +43,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes a table into the shared folder and reads it back: later steps neither repeat the work nor depend on executors that are lost."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -54,3 +58,36 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def words(text: Column) -> Column:
     """The words of a text, none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
+
+
+def slices(batches: Iterable[pa.RecordBatch], text: int, octets: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``octets`` of their column number ``text`` (a longer text is a piece by itself)."""
+    for b in batches:
+        held = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(held, (held[lo - 1] if lo else 0) + octets, "right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
+def sortable(df: DataFrame) -> list[Column]:
+    """All columns in a form that has an order (maps have none of their own)."""
+    return [F.to_json(f"`{f.name}`") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str = "__row") -> DataFrame:
+    """Adds ``name``, the number of a row in its group, without bringing a group to one task: by range, then by counts before it. Rows
+    alike in keys and order are spread over ranges too."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = rows.withColumn("__tied", F.monotonically_increasing_id())
+    ranged = marked.repartitionByRange(parts, *(F.col(k).asc_nulls_first() for k in keys), *order, "__tied")
+    own = materialize(ranged.withColumn("__part", F.spark_partition_id()), "numbered")
+    counts = own.groupBy(*keys, "__part").agg(F.count("*").alias("n"))  # a row a partition and group
+    before = counts.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__part").alias("__p"), (F.sum("n").over(Window.partitionBy(*keys).orderBy("__part")) - F.col("n")).alias("__before")).filter("__before > 0")
+    same = F.col("__part") == F.col("__p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    got = own.join(small(materialize(before, "numbered-before")), same, "left")
+    at = F.row_number().over(Window.partitionBy("__part", *keys).orderBy(*order, "__tied"))
+    return got.withColumn(name, F.coalesce("__before", F.lit(0)) + at - 1).drop("__part", "__p", "__before", "__tied", *(f"__{k}" for k in keys))

@@ -6,221 +6,68 @@ as often as it occurs. The model draws pieces one after another, a document's en
 all ways to cut its words into pieces; since pieces never cross words it factors into words, each summed by forward recursion in log space.
 Characters without a piece of their own are spelled in byte pieces, so every text has a probability.
 
-The plainer word model (base) needs the training count of each word. Words that make up at least one in HEAD training tokens (so at most
-HEAD of them, short ones) are known to every task; the other words of a document meet their counts in a join on the word. Word counts,
-piece weights and joins cover all training documents.
+Every distinct word of the corpus is one row with its training count and, once the weights are final, its log probability; documents look
+both up. Words that make up at least one in HEAD tokens (so at most HEAD of them) are known to every task; the other words of a document
+meet their row in a join on the word, where none is frequent enough to be a hot key. Counts, weights and joins cover all documents.
 
 Defined results: null text is empty, so only its end is a token; a null id counts as the empty text; repeated rows are scored each; with no
-training documents N = V = 0 and the vocabulary's own weights hold.
+training documents N = V = 0 and the vocabulary's own weights hold; octets that are not UTF-8 are scored as replacement characters.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from hashlib import md5
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
+from .lattice import Batch, Lattice
+from .lattice import vocabulary as read_vocabulary
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Rounds of re-weighting; strength of the vocabulary's weights in tokens; the least share of tokens that makes a word common; its bytes.
-ROUNDS, PRIOR, HEAD, HEAD_BYTES, MEMO = 2, 1000.0, 1_000_000, 40, 300_000
-_MARK = "▁"
-END = "</s>"
-
-
-class Lattice:
-    """Pieces with natural log weights; ``bytes`` are the log weights of the 256 byte pieces."""
-
-    def __init__(self, weights: dict[str, float], octets: list[float], end: float) -> None:
-        self.weights, self.bytes, self.end = weights, octets, end
-        self.longest = max(map(len, weights), default=1)
-
-    def edges(self, text: str) -> list[list[tuple[int, float, str | None]]]:
-        """For each end position: (start, log weight, piece, None for spelled characters)."""
-        n, get, into = len(text), self.weights.get, [[] for _ in range(len(text) + 1)]
-        for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                w = get(text[i:j])
-                if w is not None:
-                    into[j].append((i, w, text[i:j]))
-                elif j == i + 1:
-                    into[j].append((i, sum(self.bytes[b] for b in text[i].encode("utf-8", "surrogatepass")), None))
-        return into
-
-    def log_probability(self, word: str) -> float:
-        """Natural log of the sum over all segmentations of a word (forward recursion)."""
-        return self._forward(self.edges(_MARK + word))[-1]
-
-    @staticmethod
-    def _forward(into: list) -> list[float]:
-        alpha, exp, log = [0.0], math.exp, math.log
-        for own in into[1:]:
-            if len(own) == 1:
-                alpha.append(alpha[own[0][0]] + own[0][1])
-            else:
-                terms = [alpha[i] + w for i, w, _ in own]
-                top = max(terms)
-                alpha.append(top + log(sum([exp(t - top) for t in terms])))
-        return alpha
-
-    def expected(self, word: str, count: float, into_counts: dict[str, float], octets: np.ndarray) -> None:
-        """Adds the word's expected numbers of pieces (forward-backward), times its count."""
-        text = _MARK + word
-        into = self.edges(text)
-        alpha = self._forward(into)
-        beta = [-math.inf] * len(into)
-        beta[-1] = 0.0
-        for j in range(len(into) - 1, 0, -1):
-            right = beta[j]
-            for i, w, piece in into[j]:
-                path = w + right
-                share = count * math.exp(alpha[i] + path - alpha[-1])
-                if piece is None:
-                    for b in text[i].encode("utf-8", "surrogatepass"):
-                        octets[b] += share
-                else:
-                    into_counts[piece] = into_counts.get(piece, 0.0) + share
-                old = beta[i]
-                beta[i] = path if old == -math.inf else max(old, path) + math.log1p(math.exp(-abs(old - path)))
-
-
-SPAN_CHARS, BATCH_CELLS = 48, 1 << 15
-
-
-class Batch:
-    """Forward and backward recursion over many words of one length at once; longer words than SPAN_CHARS take the path above."""
-
-    def __init__(self, model: Lattice) -> None:
-        self.model, self.names = model, list(model.weights)
-        self.number = {p: k for k, p in enumerate(self.names)}
-        self.logs = np.array([*model.weights.values(), -np.inf])  # the last stands for no piece
-        self.trie: dict = {}
-        for p, k in self.number.items():
-            node = self.trie
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = k
-
-    def _spelled(self, char: str) -> float:
-        return sum(self.model.bytes[b] for b in char.encode("utf-8", "surrogatepass"))
-
-    def _spans(self, texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, str]]]:
-        """Numbers and log weights of the pieces at (word, start, length - 1), and the characters that are spelled."""
-        wide, none, root = min(n, self.model.longest), len(self.names), self.trie
-        where, number = [], []
-        for w, t in enumerate(texts):
-            base = w * n
-            for i in range(n):
-                node, at = root, (base + i) * wide
-                for c in t[i : i + wide]:
-                    node = node.get(c)
-                    if node is None:
-                        break
-                    if "" in node:
-                        where.append(at)
-                        number.append(node[""])
-                    at += 1
-        ids = np.full(len(texts) * n * wide, none, np.int32)
-        ids[where] = number
-        ids = ids.reshape(len(texts), n, wide)
-        used = np.flatnonzero((ids != none).any(axis=(0, 1)))
-        ids = ids[:, :, : int(used[-1]) + 1 if len(used) else 1]  # no piece here is longer
-        logs = self.logs[ids]
-        bare = [(int(w), int(i), texts[w][i]) for w, i in zip(*np.nonzero(ids[:, :, 0] == none), strict=True)]
-        for w, i, c in bare:
-            logs[w, i, 0] = self._spelled(c)
-        return ids, logs, bare
-
-    @staticmethod
-    def _sum(terms: np.ndarray) -> np.ndarray:
-        top = terms.max(axis=1)
-        return top + np.log(np.exp(terms - np.where(np.isfinite(top), top, 0.0)[:, None]).sum(axis=1))
-
-    def _forward(self, logs: np.ndarray) -> np.ndarray:
-        words, n, wide = logs.shape
-        alpha = np.zeros((words, n + 1))
-        for j in range(1, n + 1):
-            k = np.arange(min(j, wide))
-            alpha[:, j] = self._sum(alpha[:, j - 1 - k] + logs[:, j - 1 - k, k])
-        return alpha
-
-    def _groups(self, words: list[str]):  # noqa: ANN202
-        """(length, numbers of words) of manageable size; length 0 for those that are too long."""
-        by: dict[int, list[int]] = {}
-        for k, w in enumerate(words):
-            by.setdefault(len(w) + 1 if len(w) < SPAN_CHARS else 0, []).append(k)
-        for n, at in by.items():
-            step = max(1, BATCH_CELLS // max(1, n))
-            for lo in range(0, len(at), step):
-                yield n, at[lo : lo + step]
-
-    def log_probabilities(self, words: list[str]) -> np.ndarray:
-        out = np.zeros(len(words))
-        with np.errstate(divide="ignore"):
-            for n, at in self._groups(words):
-                if n:
-                    out[at] = self._forward(self._spans([_MARK + words[k] for k in at], n)[1])[:, -1]
-                else:
-                    out[at] = [self.model.log_probability(words[k]) for k in at]
-        return out
-
-    def expected(self, words: list[str], counts: list[int], pieces: np.ndarray, octets: np.ndarray) -> None:
-        """Adds expected numbers of pieces, by piece number, and of bytes."""
-        with np.errstate(divide="ignore", invalid="ignore"):
-            for n, at in self._groups(words):
-                if not n:
-                    found: dict[str, float] = {}
-                    for k in at:
-                        self.model.expected(words[k], counts[k], found, octets)
-                    for p, x in found.items():
-                        pieces[self.number[p]] += x
-                    continue
-                texts = [_MARK + words[k] for k in at]
-                ids, logs, bare = self._spans(texts, n)
-                alpha, wide = self._forward(logs), logs.shape[2]
-                beta = np.zeros((len(at), n + 1))
-                share = np.zeros(logs.shape)
-                for i in range(n - 1, -1, -1):
-                    k = np.arange(min(n - i, wide))
-                    path = logs[:, i, k] + beta[:, i + 1 + k]
-                    beta[:, i] = self._sum(path)
-                    share[:, i, k] = np.exp(alpha[:, i, None] + path - alpha[:, -1:])
-                share *= np.array([counts[k] for k in at], float)[:, None, None]
-                for w, i, c in bare:
-                    for b in c.encode("utf-8", "surrogatepass"):
-                        octets[b] += share[w, i, 0]
-                pieces += np.bincount(ids.ravel(), share.ravel(), len(self.names) + 1)[:-1]
+#: Rounds of re-weighting; strength of the vocabulary's weights in tokens; the least share of tokens that makes a word common; octets up to
+#: which a common word is known by itself, longer ones by their digest; octets of text that a task takes at once.
+ROUNDS, PRIOR, HEAD, HEAD_BYTES, SLICE = 2, 1000.0, 1_000_000, 40, 8 << 20
 
 
 def vocabulary(path: str = VOCABULARY) -> Lattice:
-    """The pieces of a SentencePiece model. Scores that are log-probabilities become weights as they are; scores of merges are ranks
-    (0, -1, -2, ...) and become weights by Zipf's law. Byte pieces share a hundredth of all weight, the end a thousandth."""
-    import sentencepiece
+    return read_vocabulary(path)
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    scores = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and sp.get_score(i) > -1e8}
-    ranks = all(s == int(s) for s in scores.values())
-    raw = {p: 1.0 / (2.7 - s) if ranks else math.exp(s) for p, s in scores.items()}
-    whole = sum(raw.values())
-    return Lattice({p: math.log(0.989 * w / whole) for p, w in raw.items()}, [math.log(0.01 / 256)] * 256, math.log(0.001))
+
+_BATCH: list = [None, None]
+
+
+def _batch(model: Lattice, tag: int) -> Batch:
+    """The recursions of a model, kept by a worker process for its next task; ``tag`` is a digest of the weights."""
+    if _BATCH[0] != tag:
+        _BATCH[:] = tag, Batch(model)
+    return _BATCH[1]
+
+
+def _tag(model: Lattice) -> int:
+    return xxhash.xxh64_intdigest(repr((list(model.weights.items()), model.bytes, model.end)))
+
+
+def _texts(words: pa.Array) -> list[str]:
+    return [w.decode("utf-8", "replace") for w in words.to_pylist()]
 
 
 def reweighted(model: Lattice, prior: Lattice, counts: DataFrame, ends: int) -> Lattice:
     """One round of expectation maximisation over (word, c); what comes to the driver is a number a piece."""
-    spark = counts.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # the vocabulary's size
+    shared, tag = counts.sparkSession.sparkContext.broadcast(model), _tag(model)  # the vocabulary's size
 
     def run(batches):  # noqa: ANN001, ANN202
-        batch, octets = Batch(shared.value), np.zeros(256)
+        batch, octets = _batch(shared.value, tag), np.zeros(256)
         pieces = np.zeros(len(batch.names))
         for b in batches:
-            batch.expected(b.column(0).to_pylist(), b.column(1).to_pylist(), pieces, octets)
+            batch.expected(_texts(b.column(0)), b.column(1).to_pylist(), pieces, octets)
         names = [*batch.names, *(f"\n{b}" for b in range(256))]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate([pieces, octets]))], names=["piece", "n"])
 
@@ -235,114 +82,97 @@ def held_out(doc_id: str) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts as one array, and the number of each one's text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat, owner = lists.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    kept = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    return flat.filter(pa.array(kept)), owner[kept]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over all texts; each task sends a word once for every so many distinct ones it has met."""
+    """(word, c, total) over (held_out, text): how often a word occurs in training texts, and in all. A task sends a word once for every
+    SLICE of texts that hold it, and Spark adds up before it shuffles."""
 
     def run(batches):  # noqa: ANN001, ANN202
-        found: Counter = Counter()
+        for b in slices(batches, 1, SLICE):
+            words, owner = words_of(b.column(1))
+            coded = words.dictionary_encode()
+            codes, n = coded.indices.to_numpy(), len(coded.dictionary)
+            training = ~b.column(0).to_numpy(zero_copy_only=False).astype(bool)[owner]
+            sums = [np.bincount(codes[training], minlength=n), np.bincount(codes, minlength=n)]
+            yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.binary()), *map(pa.array, sums)], names=["word", "c", "total"])
 
-        def flush():  # noqa: ANN202
-            rows = pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "surrogatepass") for w in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-            found.clear()
-            return rows
+    return docs.select("held_out", "text").mapInArrow(run, "word binary, c long, total long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
 
-        for b in batches:
-            for t in b.column(0):
-                found.update(words_of(t.as_py()))
-                if len(found) > 500_000:
-                    yield flush()
-        yield flush()
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
+def word_scores(counts: DataFrame, model: Lattice) -> DataFrame:
+    """(word, c, total, score): adds every word's natural log probability."""
+    shared, tag = counts.sparkSession.sparkContext.broadcast(model), _tag(model)
 
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            yield b.append_column("score", pa.array(_batch(shared.value, tag).log_probabilities(_texts(b.column(0)))))
 
-_MEMO: dict = {}
+    return counts.select("word", "c", "total").mapInArrow(run, "word binary, c long, total long, score double")
 
 
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text"))
-    training = own.filter(~F.col("held_out"))
-    counts = materialize(word_counts(training), "lm-words")
-    ends = training.count()
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    counts = materialize(word_counts(own), "lm-words")
+    ends = own.filter(~F.col("held_out")).count()
+    n, v, whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum("total"), F.lit(0))).first()
     n, v = n + ends, v + (ends > 0)
     model = prior = vocabulary(path)
     for _ in range(rounds):
-        model = reweighted(model, prior, counts, ends) if n else model
-    common = (F.col("c") >= max(1.0, n / HEAD)) & (F.octet_length("word") <= HEAD_BYTES)
-    head = {r["word"].encode(): math.log10(r["c"] + 1) for r in counts.filter(common).collect()}  # at most HEAD short words
-    shared = spark.sparkContext.broadcast((model, head))
-    each, last, tag = math.log10(n + v + 1), math.log10(ends + 1), xxhash.xxh64_intdigest(repr((path, rounds, n, v, ends)))
-    schema = "key binary, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, one int, word string, n long"
+        model = reweighted(model, prior, counts.filter("c > 0"), ends) if n else model
+    words = materialize(word_scores(counts, model), "lm-scores")
+    common = F.col("total") >= max(1.0, whole / HEAD)
+    short = F.octet_length("word") <= HEAD_BYTES
+    head = words.filter(common).select(F.when(short, F.col("word")).otherwise(F.unhex(F.md5("word"))).alias("word"), short.alias("short"), "c", "score").collect()  # at most HEAD rows of at most HEAD_BYTES
+    numbers = [{bytes(r["word"]): k for k, r in enumerate(head) if r["short"] == s} for s in (True, False)]
+    shared = spark.sparkContext.broadcast((*numbers, np.array([r["c"] for r in head], np.int64), np.array([r["score"] for r in head], float)))
+    each, first, last, end = math.log10(n + v + 1), int(ends > 0), math.log10(ends + 1), model.end / math.log(10)
+    schema = "key binary, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, one int, word binary, n long"
 
     def run(batches):  # noqa: ANN001, ANN202
-        m, known = shared.value
-        if _MEMO.get("tag") != tag:
-            _MEMO.clear()
-            _MEMO.update(tag=tag, words={}, batch=Batch(m))
-        memo = _MEMO["words"]
-        for b in batches:
-            ids, helds, texts = (b.column(i) for i in range(3))
-            if len(memo) > MEMO:
-                memo.clear()
-            fresh: set[bytes] = set()
-            for t in texts:
-                fresh.update(words_of(t.as_py()))
-            new = [w for w in fresh if w not in memo]
-            memo.update(zip(new, _MEMO["batch"].log_probabilities([w.decode("utf-8", "surrogatepass") for w in new]).tolist(), strict=True))
-            docs_out: list[tuple] = []
-            tail: list[tuple] = []
-            for i, held, t in zip(ids.to_pylist(), helds.to_pylist(), texts, strict=True):
-                t = t.as_py()
-                key = xxhash.xxh3_128_digest(f"{i}\n{t}".encode("utf-8", "surrogatepass"))
-                found = words_of(t)
-                hits, base, score = int(ends > 0), last, m.end
-                for w, k in Counter(found).items():
-                    c = known.get(w)
-                    if c is None:
-                        tail.append((key, w, k))
-                    else:
-                        hits += k
-                        base += k * c
-                    score += k * memo[w]
-                docs_out.append((key, i, held, len(found) + 1, hits, base - (len(found) + 1) * each, score / math.log(10), 1, "\n" + key.hex(), 0))
-                if len(tail) > 200_000:
-                    yield _rows(tail)
-                    tail = []
-            yield _docs(docs_out)
-            if tail:
-                yield _rows(tail)
-            for w in [w for w in new if len(w) > HEAD_BYTES]:
-                del memo[w]  # long words don't stay
+        short, long, c, logs = shared.value
+        base, logs = np.append(np.log10(c + 1.0), 0.0), np.append(logs / math.log(10), 0.0)
+        seen = np.append(c > 0, False)
+        for b in slices(batches, 2, SLICE):
+            found, owner = words_of(b.column(2))
+            coded = found.dictionary_encode()
+            codes, names, size = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()), b.num_rows
+            rows = np.fromiter(map(short.get, names.to_pylist(), repeat(-1)), np.int64, len(names))
+            for k in np.flatnonzero(pc.binary_length(names).to_numpy(zero_copy_only=False) > HEAD_BYTES).tolist() if long else ():
+                rows[k] = long.get(md5(names[k].as_py()).digest(), -1)
+            at, sums = rows[codes], lambda of: np.bincount(owner, of, size)  # noqa: B023
+            tokens = np.bincount(owner, minlength=size) + 1
+            keys = [xxhash.xxh3_128_digest(f"{i}\n".encode() + (t.as_buffer().to_pybytes() if t.is_valid else b"\n")) for i, t in zip(b.column(0).to_pylist(), b.column(2), strict=True)]
+            sums = [tokens, sums(seen[at]).astype(np.int64) + first, sums(base[at]) + last - tokens * each, sums(logs[at]) + end]
+            marks = pa.array([b"\n" + k for k in keys], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(0), b.column(1), *map(pa.array, sums), pa.array(np.ones(size, np.int32)), marks, pa.array(np.zeros(size, np.int64))], names=_NAMES)
+            rare = at < 0
+            pairs, times = np.unique(owner[rare] * len(names) + codes[rare], return_counts=True)
+            for lo in range(0, len(pairs), 100_000):
+                p, k = pairs[lo : lo + 100_000], times[lo : lo + 100_000].astype(np.int64)
+                none = [pa.nulls(len(p), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                given = [pa.array(keys, pa.binary()).take(pa.array(p // len(names))), *none, pa.array(np.zeros(len(p), np.int32)), names.take(pa.array(p % len(names))), pa.array(k)]
+                yield pa.RecordBatch.from_arrays(given, names=_NAMES)
 
     rows = own.mapInArrow(run, schema)
-    rare = counts.filter(~common).select(F.col("word").alias("w"), "c")
+    rare = words.filter(~common).select(F.col("word").alias("w"), "c", F.col("score").alias("s"))
     got = rows.join(rare, F.col("word") == F.col("w"), "left")  # the rows of documents have words that no text has: a line feed and the key
-    found = F.col("c").isNotNull()
+    found = lambda x: F.sum(F.when(F.col("c").isNotNull(), F.col("n") * x).otherwise(0))
     per = got.groupBy("key").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("head_known"), F.max("base").alias("head_base"), F.max("score").alias("score"),
-        F.sum("one").alias("rows"), F.sum(F.when(found, F.col("n")).otherwise(0)).alias("tail_known"), F.sum(F.when(found, F.col("n") * F.log10(F.col("c") + 1)).otherwise(0.0)).alias("tail_base"),
+        *(F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens", "n_known", "base", "score")), F.sum("one").alias("rows"),
+        found((F.col("c") > 0).cast("int")).alias("tail_known"), found(F.log10(F.col("c") + 1)).alias("tail_base"), found(F.col("s") / math.log(10)).alias("tail_score"),
     )
     per = per.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    return per.select("doc_id", "held_out", "n_tokens", (F.col("head_known") + F.floor(F.col("tail_known") / F.col("rows"))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("head_base") + F.col("tail_base") / F.col("rows")).alias("base_score"), "score")
-
-
-_ARROW = [("key", pa.binary()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("one", pa.int32()), ("word", pa.string()), ("n", pa.int64())]
-
-
-def _docs(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * len(_ARROW)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _ARROW, strict=True)], names=[k for k, _ in _ARROW])
+    more = lambda x: F.col(f"tail_{x}") / F.col("rows")
+    return per.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.floor(more("known"))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + more("base")).alias("base_score"), (F.col("score") + more("score")).alias("score"))
 
 
-def _rows(tail: list[tuple]) -> pa.RecordBatch:
-    keys, found, n = zip(*tail, strict=True)
-    none = lambda t: pa.nulls(len(tail), t)
-    given = {"key": pa.array(keys, pa.binary()), "word": pa.array([w.decode("utf-8", "surrogatepass") for w in found], pa.string()), "n": pa.array(n, pa.int64()), "one": pa.array(np.zeros(len(tail), np.int32))}
-    return pa.RecordBatch.from_arrays([given.get(k, None) if k in given else none(t) for k, t in _ARROW], names=[k for k, _ in _ARROW])
+_NAMES = ["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "one", "word", "n"]
