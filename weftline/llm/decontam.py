@@ -1,118 +1,204 @@
 """Benchmark decontamination by templates.
 
 Numbers, names and units become typed placeholders, so that a question keeps its template when its parameters change. Windows of WINDOW
-template tokens are hash-joined with those of the benchmark; what meets is compared token by token and put on the diagonal (position in the
-document less position in the item) it lies on. On a diagonal the values of slots must map one to one from the item's to the document's,
-for each type: a question that was re-parameterised renames things consistently, chance does not. Windows of equal bare words in lower case
-count as well, whatever their slots, so that a copy in capitals or one with few plain words is found. A document holds an item if windows of
-equal words and those on consistent diagonals cover at least SHARE of the item's windows with LITERALS plain tokens, or of all its windows.
-
-Benchmarks of at most INDEX_ROWS windows (counted) are known to every task; larger ones meet the documents' windows in a shuffled join.
+template tokens are hash-joined with those of the benchmark and put on the diagonal (position in the document less position in the item)
+they lie on. On a diagonal the values of slots must map one to one from the item's to the document's, for each type: a question that was
+re-parameterised renames things consistently, chance does not. Windows of equal bare words in lower case count as well, whatever their
+slots, so that a copy in capitals or one with few plain words is found. A document holds an item if windows of equal words and those on
+consistent diagonals cover at least SHARE of the item's windows with LITERALS plain tokens, or of all its windows.
+
+64-bit hashes stand for windows. Where the benchmark has at most INDEX_ROWS words (counted), tasks know its words and window hashes and
+send only windows that will meet; else they send all. The join and what follows are the same, so results don't depend on it.
 Defined results: null texts have no tokens; an item without a window of LITERALS plain tokens is found by equal words only; its windows
-counted are those with LITERALS plain tokens if their share suffices, else all; repeated documents and items are judged each, rows alike merging into one; null ids are kept as null. Items shorter than WINDOW tokens are one window.
+counted are those with LITERALS plain tokens if their share suffices, else all; documents, or items, alike in id and text are judged once;
+null ids are kept as null. Items shorter than WINDOW tokens are one window.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, slices, small
 
-WINDOW, LITERALS, SHARE, INDEX_ROWS, MEMO, MEMO_BYTES = 8, 4, 0.25, 500_000, 200_000, 32 << 20
+WINDOW, LITERALS, SHARE, INDEX_ROWS, SLICE = 8, 4, 0.25, 500_000, 4 << 20
 #: Fixed words that are units after a number.
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs pound pounds oz ounce ounces ml cl l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years w kw kwh v a hz mhz ghz b kb mb gb tb % percent degrees c f k euro euros dollar dollars cent cents eur usd gbp".split())
-_NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:[%€$£]|[a-z]{1,3})?")
-_STRIP = re.compile(r"^\W+|[^\w%]+$")
-_ENDS = re.compile(r"[.!?][\"'\)\]\}»”]*$")
+_NUMBER, _STRIP, _ENDS = r"[+-]?[$€£]?\d[\d.,:/]*(?:[%€$£]|[a-z]{1,3})?", r"^\W+|[^\w%]+$", r"[.!?][\"'\)\]\}»”]*$"
 PLAIN, NUMBER, NAME, UNIT = range(4)
 _HOLDERS = ("", "<number>", "<name>", "<unit>")
-_IDS = [0, *(xxhash.xxh64_intdigest(h) for h in _HOLDERS[1:])]
-def _facts(word: bytes) -> tuple[int, int, bool, str]:
-    """(id of the bare word, 0 number 1 capital 2 other 3 nothing left, whether a sentence ends here, the bare word)."""
-    text = word.decode("utf-8", "replace")
-    bare = _STRIP.sub("", text)
+_IDS = np.array([0, *(xxhash.xxh64_intdigest(h) for h in _HOLDERS[1:])], np.uint64)
+_DIGIT, _CAPITAL, _OTHER, _NOTHING = range(4)
+
+
+@lru_cache(200_000)
+def _word(word: str) -> tuple[str, int, bool]:
+    """(bare word in lower case, kind, whether a sentence ends here)."""
+    bare = re.sub(_STRIP, "", word)
     low = bare.lower()
-    kind = 3 if not bare else 0 if _NUMBER.fullmatch(low) else 1 if bare[0].isupper() else 2
-    return xxhash.xxh64_intdigest(low), kind, bool(_ENDS.search(text)), low
-
-
-class _Words:
-    """What is known of words met so far, by number: columns grow with them and are begun anew when MEMO or MEMO_BYTES is reached."""
-
-    def __init__(self, room: int) -> None:
-        self.number: dict[bytes, int] = {}
-        self.low: list[str] = []
-        self.bytes = 0
-        self.ids, self.kinds, self.ends, self.units = np.zeros(room, np.uint64), np.zeros(room, np.int8), np.zeros(room, bool), np.zeros(room, bool)
-
-    def add(self, word: bytes) -> int:
-        k = self.number[word] = len(self.low)
-        self.ids[k], self.kinds[k], self.ends[k], low = _facts(word)
-        self.units[k] = low in UNITS
-        self.bytes += len(word)
-        self.low.append(low)
-        return k
-
-
-class _Bare:
-    """The bare words of a text, looked up when asked for, and their ids."""
-
-    def __init__(self, seen: _Words, numbers: np.ndarray, ids: np.ndarray) -> None:
-        self.seen, self.words, self.numbers, self.ids = seen, seen.low, numbers, ids
-
-    def __getitem__(self, k: int) -> str:
-        return self.words[self.numbers[k]]
-
-    def __len__(self) -> int:
-        return len(self.numbers)
-
-
-_SEEN = [_Words(0)]
-
-
-def template(text: str | None) -> tuple[np.ndarray, np.ndarray, _Bare]:
-    """Template token ids (uint64), their types and the bare words."""
-    found = (text or "").encode("utf-8", "surrogatepass").split()
-    seen = _SEEN[0]
-    if len(seen.low) + len(found) > len(seen.ids) or seen.bytes > MEMO_BYTES:
-        seen = _SEEN[0] = _Words(max(MEMO, len(found)))
-    numbers = list(map(seen.number.get, found))
-    if None in numbers:
-        numbers = [seen.number[w] if w in seen.number else seen.add(w) for w in found]
-    at = np.array(numbers, np.int64)
-    at = at[seen.kinds[at] != 3]
-    kinds, types = seen.kinds[at], np.zeros(len(at), np.int8)
-    types[kinds == 0] = NUMBER
-    types[1:][(kinds[1:] == 1) & ~seen.ends[at[:-1]]] = NAME
-    types[1:][(types[1:] == PLAIN) & (types[:-1] == NUMBER) & seen.units[at[1:]]] = UNIT
-    plain, slots = seen.ids[at], types != PLAIN
-    ids = plain.copy()
-    ids[slots] = np.array(_IDS, np.uint64)[types[slots]]
-    return ids, types, _Bare(seen, at, plain)
-
-
-def window_hashes(ids: np.ndarray, types: np.ndarray | None, width: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes) of the windows that have enough plain tokens, without types of all."""
-    n = len(ids) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.arange(n) if starts is None else starts
-    if types is not None:
-        plain = np.append(0, np.cumsum(types == PLAIN))
-        at = at[plain[at + width] - plain[at] >= min(LITERALS, width)]
-    h = np.zeros(len(at), np.uint64)
-    for k in range(width):
-        h = (h ^ ids[at + k]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return at, h
+    kind = _NOTHING if not bare else _DIGIT if re.fullmatch(_NUMBER, low) else _CAPITAL if bare[0].isupper() else _OTHER
+    return low, kind, bool(re.search(_ENDS, word))
+
+
+def _words(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The same of many words, as columns; Arrow's expressions know ASCII only, so other words go one by one."""
+    flags = lambda a: a.to_numpy(zero_copy_only=False).astype(bool)
+    bare = pc.replace_substring_regex(words, _STRIP, "")
+    low, ends = pc.ascii_lower(bare), flags(pc.match_substring_regex(words, _ENDS))
+    kinds = np.where(flags(pc.ascii_is_upper(pc.utf8_slice_codeunits(bare, 0, 1))), _CAPITAL, _OTHER)
+    kinds[flags(pc.match_substring_regex(low, f"^(?:{_NUMBER})$"))] = _DIGIT
+    kinds[pc.binary_length(bare).to_numpy(zero_copy_only=False) == 0] = _NOTHING
+    odd = ~flags(pc.string_is_ascii(words))
+    if odd.any():
+        own = [_word(w.decode("utf-8", "replace")) for w in words.filter(pa.array(odd)).cast(pa.binary()).to_pylist()]
+        low = pc.replace_with_mask(low, pa.array(odd), pa.array([w[0] for w in own], pa.string()))
+        kinds[odd], ends[odd] = [w[1] for w in own], [w[2] for w in own]
+    return low, kinds.astype(np.int8), ends
+
+
+@dataclass(frozen=True)
+class Known:
+    """What a small benchmark consists of: its bare words with their ids, and the sorted hashes of its windows by (width, equal words)."""
+
+    words: pa.Array
+    ids: np.ndarray
+    hashes: dict[tuple[int, bool], np.ndarray]
+
+
+def word_ids(low: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in low.cast(pa.binary()).to_pylist()], np.uint64)
+
+
+class Tokens:
+    """Template tokens of many texts in one row of columns: owner (number of the text), types, ids of bare words, whether these are known."""
+
+    def __init__(self, texts: pa.Array, known: Known | None = None) -> None:
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = lists.flatten().dictionary_encode()
+        self.low, kinds, ends = _words(coded.dictionary)
+        units = pc.is_in(self.low, pa.array(sorted(UNITS))).to_numpy(zero_copy_only=False)
+        if known is None:
+            ids, ours = word_ids(self.low), np.ones(len(self.low), bool)
+        else:
+            at = pc.index_in(self.low, known.words).fill_null(-1).to_numpy(zero_copy_only=False)
+            ids, ours = np.append(known.ids, np.uint64(0))[at], at >= 0
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        kept = kinds[codes] != _NOTHING
+        self.codes, self.owner = codes[kept], owner[kept]
+        kinds, types = kinds[self.codes], np.zeros(len(self.codes), np.int8)
+        types[kinds == _DIGIT] = NUMBER
+        later = np.flatnonzero(self.owner[1:] == self.owner[:-1]) + 1  # tokens that aren't their text's first
+        types[later[(kinds[later] == _CAPITAL) & ~ends[self.codes[later - 1]]]] = NAME
+        types[later[(types[later] == PLAIN) & (types[later - 1] == NUMBER) & units[self.codes[later]]]] = UNIT
+        self.types, self.ids, self.ours = types, ids[self.codes], ours[self.codes]
+        self.first = np.searchsorted(self.owner, np.arange(len(texts) + 1))  # where each text starts
+        self.typed = np.where(types == PLAIN, self.ids, _IDS[types])
+
+    def word(self, k: int) -> str:
+        return self.low[self.codes[k].item()].as_py()
+
+    def slots(self, start: int, width: int) -> list[dict]:
+        return [{"o": k, "t": int(self.types[start + k]), "v": self.word(start + k)} for k in range(width) if self.types[start + k] != PLAIN]
+
+    def windows(self, width: int, equal: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, hashes) of the windows inside a text, of known words; without ``equal`` of templates with enough plain tokens."""
+        ids, fits = (self.ids, self.ours) if equal else (self.typed, self.ours | (self.types != PLAIN))
+        n = len(ids) - width + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        unknown, plain = np.append(0, np.cumsum(~fits)), np.append(0, np.cumsum(self.types == PLAIN))
+        at = np.flatnonzero((unknown[width:] == unknown[:-width]) & (self.owner[width - 1 :] == self.owner[:n]))
+        if not equal:
+            at = at[plain[at + width] - plain[at] >= min(LITERALS, width)]
+        h = np.zeros(len(at), np.uint64)
+        for k in range(width):
+            h = (h ^ ids[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return at, h
+
+
+def template(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Template token ids (uint64), their types and the bare words of one text."""
+    own = Tokens(pa.array([text], pa.string()))
+    return own.typed, own.types, [own.word(k) for k in range(len(own.types))]
+
+
+_SLOTS = pa.list_(pa.struct([("o", pa.int32()), ("t", pa.int32()), ("v", pa.string())]))
+_WINDOWS = pa.schema([("key", pa.binary()), ("id", pa.int64()), ("pos", pa.int64()), ("width", pa.int32()), ("words", pa.bool_()), ("h", pa.int64()), ("rich", pa.bool_()), ("n_rich", pa.int64()), ("total", pa.int64()), ("slots", _SLOTS)])
+_DDL = "key binary, id long, pos long, width int, words boolean, h long, rich boolean, n_rich long, total long, slots array<struct<o:int,t:int,v:string>>"
+
+
+def _key(i: int | None, text: pa.Scalar) -> bytes:
+    return xxhash.xxh3_128_digest(f"{i}\n".encode() + (text.as_buffer().to_pybytes() if text.is_valid else b"\n"))
+
+
+def _item_windows(items: DataFrame) -> DataFrame:
+    """Every window of every item (id, text) by template and by words; rich says whether it has enough plain tokens, n_rich counts those,
+    total all."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                own, rows = Tokens(pa.array([t.as_py()], pa.string())), []
+                width = min(WINDOW, len(own.types))
+                typed, equal = (own.windows(width, False), own.windows(width, True)) if width else (((), ()), ((), ()))
+                rich = set(map(int, typed[0]))
+                for by, (at, h) in ((False, typed), (True, equal)):
+                    for p, x in zip(map(int, at), np.asarray(h, np.uint64).view(np.int64).tolist(), strict=True):
+                        rows.append({"key": _key(i, t), "id": i, "pos": p, "width": width, "words": by, "h": x, "rich": p in rich, "n_rich": len(rich), "total": len(equal[0]), "slots": own.slots(p, width)})
+                yield pa.RecordBatch.from_pylist(rows, schema=_WINDOWS)
+
+    return items.mapInArrow(run, _DDL)
+
+
+def _bare_words(items: DataFrame) -> DataFrame:
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([Tokens(b.column(1)).low.unique()], names=["word"])
+
+    return items.mapInArrow(run, "word string").filter("word <> ''").distinct()
+
+
+def _document_windows(docs: DataFrame, widths: list[int], known: Known | None) -> DataFrame:
+    """(key, id, pos, width, words, h, slots) of the documents' windows; with ``known`` only of those that the benchmark has."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # at most INDEX_ROWS words and twice as many hashes
+    schema = pa.schema([_WINDOWS.field(c) for c in ("key", "id", "pos", "width", "words", "h", "slots")])
+
+    def run(batches):  # noqa: ANN001, ANN202
+        have = shared.value
+        for b in slices(batches, 1, SLICE):
+            own, rows = Tokens(b.column(1), have), []
+            for width in widths:
+                for by in (False, True):
+                    at, h = own.windows(width, by)
+                    if have is not None:
+                        keys = have.hashes.get((width, by), np.zeros(0, np.uint64))
+                        hit = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h if len(keys) else np.zeros(len(h), bool)
+                        at, h = at[hit], h[hit]
+                    for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
+                        doc = own.owner[p].item()
+                        rows.append((doc, p - own.first[doc].item(), width, by, x, [] if by else own.slots(p, width)))
+                        if len(rows) == 20_000:
+                            yield _batch(rows, b, schema)
+                            rows = []
+            yield _batch(rows, b, schema)
+
+    return docs.mapInArrow(run, _DDL.replace("rich boolean, n_rich long, total long, ", ""))
+
+
+def _batch(rows: list[tuple], texts: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    made = {d: (_key(i := texts.column(0)[d].as_py(), texts.column(1)[d]), i) for d in {r[0] for r in rows}}
+    columns = list(zip(*((*made[r[0]], *r[1:]) for r in rows), strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def consistent(pairs: list[tuple[int, str, str]]) -> bool:
@@ -121,152 +207,62 @@ def consistent(pairs: list[tuple[int, str, str]]) -> bool:
     return all(there.setdefault((t, a), b) == b and back.setdefault((t, b), a) == a for t, a, b in pairs)
 
 
-def verdict(covered: set[int], rich: set[int], n_rich: int, total: int, slots: dict[tuple[int, int], bool]) -> tuple[int, int, float, int, int] | None:
-    """(windows met, windows, their share, slots, changed slots) of the item's windows in ``rich`` or else of all, or None if both shares are low."""
-    for met, of in ((len(covered & rich), n_rich), (len(covered), total)):
-        if met >= max(1.0, SHARE * of):
-            return met, of, met / of, len(slots), sum(slots.values())
-    return None
-
-
-def judge(found: dict[int, tuple[set[int], set[int]]], item: tuple, doc: tuple, rich: set[int], total: int, width: int) -> tuple[int, int, float, int, int] | None:
-    """From {diagonal: item positions of windows that met by (template, equal words)}: the verdict."""
+def judge(met: list[dict], n_rich: int, total: int) -> tuple[int, int, float, int, int] | None:
+    """(windows met, windows, their share, slots, changed slots) of an item's windows with plain tokens or else of all; None if both shares
+    are low. ``met``: the windows of an item that a document has, with their diagonals and both sides' slots."""
+    diagonals: dict[int, list[dict]] = {}
+    for m in met:
+        diagonals.setdefault(m["diagonal"], []).append(m)
     covered, slots = set(), {}
-    for diagonal, (typed, equal) in found.items():
-        tokens = [p for p in sorted({p + k for p in typed for k in range(width)}) if item[1][p] != PLAIN]
-        pairs = [(int(item[1][p]), item[2][p], doc[2][p + diagonal]) for p in tokens]
-        if consistent(pairs):
-            covered |= typed
-            slots |= {(diagonal, p): a != b for p, (_, a, b) in zip(tokens, pairs, strict=True)}
-        covered |= equal
-        slots |= {(diagonal, p + k): False for p in equal for k in range(width) if item[1][p + k] != PLAIN}
-    return verdict(covered, rich, len(rich), total, slots)
+    for d, own in diagonals.items():
+        typed, equal = [m for m in own if not m["words"]], [m for m in own if m["words"]]
+        pairs = {(m["q"] + x["o"], x["t"], x["v"], y["v"]) for m in typed for x, y in zip(m["bs"], m["ds"], strict=True)}
+        if consistent([p[1:] for p in sorted(pairs)]):
+            covered |= {m["q"] for m in typed}
+            slots |= {(d, p): x != y for p, _, x, y in pairs}
+        covered |= {m["q"] for m in equal}
+        slots |= {(d, m["q"] + x["o"]): False for m in equal for x in m["bs"]}
+    rich = {m["q"] for m in met if m["rich"]}
+    for n, of in ((len(covered & rich), n_rich), (len(covered), total)):
+        if n >= max(1.0, SHARE * of):
+            return n, of, n / of, len(slots), sum(slots.values())
+    return None
 
 
 _OUT = "doc_id long, item_id long, n_windows long, item_windows long, coverage double, n_slots long, n_changed long"
+_FOUND = pa.schema([(k, pa.float64() if k == "coverage" else pa.int64()) for k in ("doc_id", "item_id", "n_windows", "item_windows", "coverage", "n_slots", "n_changed")])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", index_rows: int = INDEX_ROWS) -> DataFrame:
     """One row a (document, item) that it holds: windows met and how many the item has, their share, slots met and how many differ."""
-    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"))
+    own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"))
     size = items.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).first()[0] or 0
-    return _indexed(own, items) if size <= index_rows else _joined(own, items)
-
-
-def _indexed(docs: DataFrame, items: DataFrame) -> DataFrame:
-    given = []
-    for r in items.collect():  # at most INDEX_ROWS words
-        ids, types, low = template(r["text"])
-        given.append((r["id"], (ids, types, [low[k] for k in range(len(low))], low.ids)))
-    index: dict[int, tuple[dict, dict]] = defaultdict(lambda: (defaultdict(list), defaultdict(list)))  # by template, by words
-    rich, totals, vocabulary = [], [], set()
-    for k, (_, (ids, types, _low, plain)) in enumerate(given):
-        width = min(WINDOW, len(ids))
-        rich.append(set())
-        totals.append(len(ids) - width + 1 if width else 0)
-        vocabulary.update(plain.tolist())
-        for by, (at, h) in enumerate((window_hashes(ids, types, width), window_hashes(plain, None, width)) if width else ()):
-            for p, x in zip(at.tolist(), h.tolist(), strict=True):
-                index[width][by][x].append((k, p))
-            if not by:
-                rich[k].update(at.tolist())
-    tables = {w: (dict(x), dict(y)) for w, (x, y) in index.items()}
-    shared = docs.sparkSession.sparkContext.broadcast((given, rich, totals, tables, np.array(sorted(vocabulary), np.uint64)))
+    bench = materialize(_item_windows(items), "decontam-items")
+    kinds = [tuple(r) for r in bench.select("width", "words").distinct().collect()]  # at most twice WINDOW
+    known = None
+    if size <= index_rows:
+        words = pa.array(sorted(r[0] for r in _bare_words(items).collect()), pa.string())  # at most INDEX_ROWS
+        hashes = {k: [] for k in kinds}
+        for w, by, h in bench.select("width", "words", "h").distinct().collect():  # at most twice as many
+            hashes[w, by].append(h)
+        known = Known(words, word_ids(words), {k: np.sort(np.array(h, np.int64).view(np.uint64)) for k, h in hashes.items()})
+    a, b = _document_windows(own, sorted({w for w, _ in kinds}), known).alias("a"), small(bench).alias("b")
+    met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.width") == F.col("b.width")) & (F.col("a.words") == F.col("b.words"))).select(
+        F.col("a.key").alias("dk"), F.col("a.id").alias("doc_id"), F.col("b.key").alias("ik"), F.col("b.id").alias("item_id"), F.col("b.pos").alias("q"), (F.col("a.pos") - F.col("b.pos")).alias("diagonal"), "b.words", "b.rich", "b.n_rich", "b.total", F.col("a.slots").alias("ds"), F.col("b.slots").alias("bs")
+    )
+    every = F.collect_set(F.struct("q", "diagonal", "words", "rich", "ds", "bs"))  # a document's windows on one item
+    pairs = met.groupBy("dk", "ik").agg(*(F.max(c).alias(c) for c in ("doc_id", "item_id", "n_rich", "total")), every.alias("met")).drop("dk", "ik")
 
     def run(batches):  # noqa: ANN001, ANN202
-        given, rich, totals, index, words = shared.value
-        keys = {w: [np.array(sorted(x), np.uint64) for x in both] for w, both in index.items()}
-        has = lambda a, x: (a[np.minimum(np.searchsorted(a, x), len(a) - 1)] == x) if len(a) else np.zeros(len(x), bool)
-        held, known, done = None, np.zeros(0, bool), 0  # which words of the memo occur in the benchmark
-        for b in batches:
+        for batch in batches:
             rows = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                doc = template(t.as_py())
-                seen, plain = doc[2].seen, doc[2].ids
-                if seen is not held:
-                    held, known, done = seen, np.zeros(len(seen.ids), bool), 0
-                if done < len(seen.low):
-                    known[done : len(seen.low)] = has(words, seen.ids[done : len(seen.low)])
-                    done = len(seen.low)
-                ours = known[doc[2].numbers]
-                met: dict = defaultdict(lambda: defaultdict(lambda: (set(), set())))
-                for by, (ids, types, fits) in enumerate(((doc[0], doc[1], ours | (doc[1] != PLAIN)), (plain, None, ours))):
-                    unknown = np.append(0, np.cumsum(~fits))
-                    for width, both in index.items():
-                        n = len(ids) - width + 1
-                        starts = np.flatnonzero(unknown[width:] == unknown[:-width]) if n > 0 else np.zeros(0, np.int64)  # every word occurs in the benchmark
-                        if not len(starts):
-                            continue
-                        at, h = window_hashes(ids, types, width, starts)
-                        hit = has(keys[width][by], h)
-                        for p, x in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
-                            for k, q in both[by][x]:
-                                if np.array_equal(ids[p : p + width], given[k][1][3 if by else 0][q : q + width]):
-                                    met[k, width][p - q][by].add(q)
-                for (k, width), found in met.items():
-                    if got := judge(found, given[k][1], doc, rich[k], totals[k], width):
-                        rows.append(dict(zip(_SCHEMA.names, (i, given[k][0], *got), strict=True)))
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
-
-    return docs.mapInArrow(run, _OUT)
-
-
-_SCHEMA = pa.schema([(k, pa.float64() if k == "coverage" else pa.int64()) for k in ("doc_id", "item_id", "n_windows", "item_windows", "coverage", "n_slots", "n_changed")])
-
-
-def _windows(df: DataFrame, widths: list[int], whole_if_short: bool) -> DataFrame:
-    """(key, id, pos, width, words, h, rich, total, slots): every window by template and by words; slots are its (offset, type, value),
-    rich says whether it has enough plain tokens, total counts all windows."""
-    schema = "key binary, id long, pos long, width int, words boolean, h long, rich boolean, n_rich long, total long, slots array<struct<o:int,t:int,v:string>>"
+            for r in batch.to_pylist():
+                if got := judge(r["met"], r["n_rich"], r["total"]):
+                    rows.append(dict(zip(_FOUND.names, (r["doc_id"], r["item_id"], *got), strict=True)))
+            yield pa.RecordBatch.from_pylist(rows, schema=_FOUND)
 
-    def run(batches):  # noqa: ANN001, ANN202
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                t = t.as_py()
-                ids, types, low = template(t)
-                key, rows = xxhash.xxh3_128_digest(f"{i}\n{t}".encode("utf-8", "surrogatepass")), []
-                for width in {min(WINDOW, len(ids))} - {0} if whole_if_short else widths:
-                    typed, equal = window_hashes(ids, types, width), window_hashes(low.ids, None, width)
-                    rich = set(typed[0].tolist())
-                    for by, (at, h) in ((False, typed), (True, equal)):
-                        for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-                            slots = [{"o": k, "t": int(types[p + k]), "v": low[p + k]} for k in range(width) if types[p + k] != PLAIN] if whole_if_short or not by else []
-                            rows.append({"key": key, "id": i, "pos": p, "width": width, "words": by, "h": x, "rich": p in rich, "n_rich": len(rich), "total": len(equal[0]), "slots": slots})
-                for lo in range(0, len(rows), 20_000):
-                    yield pa.RecordBatch.from_pylist(rows[lo : lo + 20_000], schema=_WINDOWS)
-
-    return df.mapInArrow(run, schema)
-
-
-_WINDOWS = pa.schema([("key", pa.binary()), ("id", pa.int64()), ("pos", pa.int64()), ("width", pa.int32()), ("words", pa.bool_()), ("h", pa.int64()), ("rich", pa.bool_()), ("n_rich", pa.int64()), ("total", pa.int64()), ("slots", pa.list_(pa.struct([("o", pa.int32()), ("t", pa.int32()), ("v", pa.string())])))])
-
-
-def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same by a shuffled join of windows (64-bit hashes stand for them), for benchmarks of any size."""
-    bench = materialize(_windows(items, [], True), "decontam-items")
-    widths = [r[0] for r in bench.select("width").distinct().collect()]  # at most WINDOW numbers
-    a, b = _windows(docs, widths, False).alias("a"), bench.alias("b")
-    met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.width") == F.col("b.width")) & (F.col("a.words") == F.col("b.words"))).select(
-        F.col("a.key").alias("dk"), F.col("a.id").alias("doc_id"), F.col("b.key").alias("ik"), F.col("b.id").alias("item_id"), F.col("b.pos").alias("q"), (F.col("a.pos") - F.col("b.pos")).alias("diagonal"), "b.words", "b.rich", "b.n_rich", "b.total", F.col("a.slots").alias("ds"), F.col("b.slots").alias("bs")
-    ).distinct()
-
-    def group(f: pd.DataFrame) -> pd.DataFrame:
-        covered, slots, total, n_rich = set(), {}, int(f["total"].iloc[0]), int(f["n_rich"].iloc[0])
-        for diagonal, d in f.groupby("diagonal"):
-            typed, equal = d[~d["words"]], d[d["words"]]
-            pairs = {(q + x["o"], x["t"], x["v"], y["v"]) for q, bs, ds in zip(typed["q"], typed["bs"], typed["ds"], strict=True) for x, y in zip(bs, ds, strict=True)}
-            if consistent([p[1:] for p in sorted(pairs)]):
-                covered |= set(typed["q"])
-                slots |= {(diagonal, p): x != y for p, _, x, y in pairs}
-            covered |= set(equal["q"])
-            slots |= {(diagonal, q + x["o"]): False for q, bs in zip(equal["q"], equal["bs"], strict=True) for x in bs}
-        rich = set(f.loc[f["rich"], "q"])  # of the item's rich windows those that met
-        got = verdict(covered, rich, n_rich, total, slots)
-        return pd.DataFrame([[f["doc_id"].iloc[0], f["item_id"].iloc[0], *got]] if got else [], columns=_SCHEMA.names)
-
-    return met.groupBy("dk", "ik").applyInPandas(group, _OUT)
+    return pairs.mapInArrow(run, _OUT)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
