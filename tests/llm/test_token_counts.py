@@ -29,17 +29,33 @@ def test_edits_equal_full_encoding():
             new = "".join(rng.choice(parts) for _ in range(rng.randint(0, 8)))
             tree, text, seen = tc.edit(tree, text, a, b, new, COUNT)
             lengths, tokens = tree.flat()
-            assert tree.total == full(text) == sum(tokens) and lengths == list(map(len, COUNT.pattern.findall(text)))
+            assert tree.total == full(text) == sum(tokens) and lengths.tolist() == list(map(len, COUNT.pattern.findall(text)))
     long = "word " * 50_000
     tree, text, seen = tc.edit(tc.build(long, COUNT), long, 100_000, 100_010, "other", COUNT)
     assert seen < 20 and tree.total == full(text)
 
 
-def test_query_shape(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+def test_state_is_read_back_and_only_edits_are_encoded(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40).withColumn("tokens", F.lit("clash"))
     odd = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "x" * 100_000)], "doc_id long, text string")
-    for table in (docs, odd, odd.limit(0)):
-        got = tc.recount(table.select("doc_id", "text", tc.sample_edits().alias("edits")), keep_state=True).collect()
-        assert len(got) == table.count() and all(r.tokens_after == full(r.text_after) == sum(r.tokens) for r in got)
-    none = tc.recount(odd.withColumn("edits", F.lit(None).cast(tc.EDITS))).collect()
-    assert all(r.n_tokens == r.tokens_after for r in none)
+    for n, table in enumerate((docs, odd, odd.limit(0))):
+        tc.trees(table).write.parquet(f"{tmp_path}/{n}")
+        state, rounds = spark.read.parquet(f"{tmp_path}/{n}"), 0
+        for again in range(2):  # the second call starts from what the first one left
+            got = tc.recount(state.withColumn("edits", tc.sample_edits()), keep_state=True)
+            got.write.parquet(f"{tmp_path}/{n}-{again}")
+            state = spark.read.parquet(f"{tmp_path}/{n}-{again}")
+            rows = state.collect()
+            assert len(rows) == table.count() and all(r.tokens_after == full(r.text) == sum(r.tokens) and r.pretokens_after == len(r.lengths) for r in rows)
+            assert all(r.n_reencoded < 60 for r in rows if r.n_pretokens > 300)
+    kept = spark.read.parquet(f"{tmp_path}/0").withColumn("tokens", F.transform("tokens", lambda x: x + 1000))
+    none = tc.recount(kept.withColumn("edits", F.lit(None).cast(tc.EDITS))).collect()
+    assert none and all(r.n_tokens == r.tokens_after >= 1000 * r.n_pretokens and r.n_reencoded == 0 for r in none)  # kept counts are believed, not made anew
+
+
+def test_edits_with_nulls_and_out_of_range(spark):
+    rows = [(1, "some words here", [(2, 4, None), None, (None, None, "x"), (90, 99, " end"), (5, 1, "")])]
+    state = tc.trees(spark.createDataFrame(rows, f"doc_id long, text string, edits {tc.EDITS}"))
+    edits = spark.createDataFrame(rows, f"doc_id long, t string, edits {tc.EDITS}").drop("t")
+    got = tc.recount(state.join(edits, "doc_id"), keep_state=True).first()
+    assert got.text == "xso words here end" and got.n_edits == 4 and got.tokens_after == full(got.text)

@@ -33,8 +33,8 @@ def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return token_counts.recount(docs.select("doc_id", "text", token_counts.sample_edits().alias("edits")))
+    state = materialize(token_counts.trees(table(spark, sf_dir, "documents")), "token-trees", compression="zstd")
+    return token_counts.recount(state.withColumn("edits", token_counts.sample_edits()))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ A document's pre-tokens (the pieces its tokenizer's pattern cuts it into before
 characters and tokens; leaves are held in blocks. An edit descends to the block that holds its start, steps back over the pre-tokens whose
 match could have looked at the edit (the pattern looks at most LOOK characters past a match's end), cuts the new text from there until a
 cut falls on an old one past the edit, encodes just these pre-tokens and adds the differences on the way from each touched block to the
-root. Matching is left to right without look-behind, so from a shared cut on, the same text is cut the same way: counts equal those of a
+root. Trees are kept as tables of their leaves (``trees``), so an edit costs no encoding of the whole text. Matching is left to right without look-behind, so from a shared cut on, the same text is cut the same way: counts equal those of a
 full encoding.
 
 Defined results: null text is empty; null or empty edits change nothing; edits out of range are clipped; null ids are kept; repeated rows
@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-LOOK, BLOCK, MEMO, MEMO_CHARS = 4, 64, 400_000, 48
+LOOK, BLOCK, MEMO, MEMO_CHARS, SLICE = 4, 64, 400_000, 48, 4 << 20
 EDITS = "array<struct<start:int,stop:int,text:string>>"
 #: The pattern of byte-level BPE vocabularies, fixed.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -75,25 +77,38 @@ class Counter:
 
 
 class Tree:
-    """Segment tree over blocks of pre-tokens (lengths and token counts)."""
+    """Segment tree over blocks of pre-tokens (lengths and token counts); a block's leaves stay as they were read until an edit opens it."""
 
-    def __init__(self, lengths: list[int], tokens: list[int]) -> None:
+    def __init__(self, lengths, tokens) -> None:  # noqa: ANN001
+        lengths, tokens = np.asarray(lengths, np.int64), np.asarray(tokens, np.int64)
         n = max(1, -(-len(lengths) // BLOCK))
-        self.lengths = [lengths[i * BLOCK : (i + 1) * BLOCK] for i in range(n)]
-        self.tokens = [tokens[i * BLOCK : (i + 1) * BLOCK] for i in range(n)]
+        self.blocks = [(lengths[i * BLOCK : (i + 1) * BLOCK], tokens[i * BLOCK : (i + 1) * BLOCK]) for i in range(n)]
         self.leaves = 1 << (n - 1).bit_length()
         level = np.zeros((self.leaves, 2), np.int64)
-        level[:n] = [(sum(a), sum(b)) for a, b in zip(self.lengths, self.tokens, strict=True)]
+        if len(lengths):
+            at = np.arange(0, len(lengths), BLOCK)
+            level[:n, 0], level[:n, 1] = np.add.reduceat(lengths, at), np.add.reduceat(tokens, at)
         levels = [level]
         while len(levels[-1]) > 1:
             levels.append(levels[-1].reshape(-1, 2, 2).sum(axis=1))
         flat = np.concatenate([np.zeros((1, 2), np.int64), *levels[::-1]])
         self.chars, self.sums = flat[:, 0].tolist(), flat[:, 1].tolist()
 
+    def open(self, block: int) -> tuple[list[int], list[int]]:
+        """A block's lengths and token counts, as lists to be changed."""
+        own = self.blocks[block]
+        if not isinstance(own[0], list):
+            own = self.blocks[block] = (own[0].tolist(), own[1].tolist())
+        return own
+
     @property
     def total(self) -> int:
         return self.sums[1]
 
+    @property
+    def count(self) -> int:
+        return sum(len(a) for a, _ in self.blocks)
+
     def block_at(self, offset: int) -> tuple[int, int]:
         """The block in which a character offset lies (the last one for the end) and the offset at which it starts."""
         node, start = 1, 0
@@ -107,14 +122,16 @@ class Tree:
     def update(self, block: int) -> None:
         """Adds a block's differences to all sums above it."""
         node = block + self.leaves
-        chars, tokens = sum(self.lengths[block]) - self.chars[node], sum(self.tokens[block]) - self.sums[node]
+        own = self.open(block)
+        chars, tokens = sum(own[0]) - self.chars[node], sum(own[1]) - self.sums[node]
         while node:
             self.chars[node] += chars
             self.sums[node] += tokens
             node //= 2
 
-    def flat(self) -> tuple[list[int], list[int]]:
-        return [x for b in self.lengths for x in b], [x for b in self.tokens for x in b]
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """All leaves: what is kept of a tree, as its sums follow from them."""
+        return tuple(np.concatenate([np.asarray(b[k], np.int64) for b in self.blocks]) for k in (0, 1))
 
 
 def build(text: str, count: Counter) -> Tree:
@@ -130,8 +147,9 @@ def edit(tree: Tree, text: str, start: int, stop: int, new: str, count: Counter)
     after, shift = text[:start] + new + text[stop:], len(new) - (stop - start)
     block, at = tree.block_at(max(0, start - LOOK))
     i = 0
-    while i < len(tree.lengths[block]) and at + tree.lengths[block][i] + LOOK <= start:
-        at += tree.lengths[block][i]
+    own = tree.open(block)[0]
+    while i < len(own) and at + own[i] + LOOK <= start:
+        at += own[i]
         i += 1
     first, last, j, old = (block, i), block, i, at  # the old cut ``old`` lies before pre-token (last, j)
     lengths, tokens, pos, closed = [], [], at, False
@@ -140,29 +158,30 @@ def edit(tree: Tree, text: str, start: int, stop: int, new: str, count: Counter)
         tokens.append(count(m[0]))
         pos = m.end()
         while old < pos - shift or old < stop:
-            if j < len(tree.lengths[last]):
-                old += tree.lengths[last][j]
+            if j < len(own):
+                old += own[j]
                 j += 1
-            elif last + 1 < len(tree.lengths):
+            elif last + 1 < len(tree.blocks):
                 last, j = last + 1, 0
+                own = tree.open(last)[0]
             else:
                 break
         if pos >= start + len(new) and old >= stop and old == pos - shift:
             closed = True
             break
     if not closed:
-        last, j = len(tree.lengths) - 1, len(tree.lengths[-1])
+        last = len(tree.blocks) - 1
+        j = len(tree.blocks[last][0])
     block, i = first
     if last == block:
-        tree.lengths[block][i:j], tree.tokens[block][i:j] = lengths, tokens
+        put = {block: (slice(i, j), lengths, tokens)}
     else:
-        tree.lengths[block][i:], tree.tokens[block][i:] = lengths, tokens
-        tree.lengths[last][:j], tree.tokens[last][:j] = [], []
-        for b in range(block + 1, last):
-            tree.lengths[b], tree.tokens[b] = [], []
-    for b in range(block, last + 1):
+        put = {block: (slice(i, None), lengths, tokens), last: (slice(0, j), [], [])} | {b: (slice(0, None), [], []) for b in range(block + 1, last)}
+    for b, (at, *new) in put.items():
+        for own, x in zip(tree.open(b), new, strict=True):
+            own[at] = x
         tree.update(b)
-    if len(tree.lengths[block]) > 8 * BLOCK:
+    if len(tree.blocks[block][0]) > 8 * BLOCK:
         tree = Tree(*tree.flat())
     return tree, after, len(lengths)
 
@@ -176,34 +195,55 @@ def _counter(ranks: bytes) -> Counter:
     return _STATE["counter"]
 
 
-def recount(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: str = "edits", ranks: str = RANKS, keep_state: bool = False) -> DataFrame:
-    """doc_id, n_pretokens and n_tokens before the edits, n_edits, n_reencoded (pre-tokens encoded for them), pretokens_after and
-    tokens_after; with ``keep_state`` also text_after and the leaves (lengths, tokens) of the new tree."""
+STATE = "doc_id long, text string, lengths array<int>, tokens array<int>, n_pretokens long, n_tokens long"
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.append(0, np.cumsum([len(r) for r in rows]))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *rows]), pa.int32()))
+
+
+def trees(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str = RANKS) -> DataFrame:
+    """The state of every document (STATE): its text and its tree's leaves, which are the lengths and token counts of its pre-tokens.
+    To be written once; ``recount`` reads it and gives the next one."""
     with open(ranks, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # the vocabulary, about 1 MB
-    schema = "doc_id long, n_pretokens long, n_tokens long, n_edits long, n_reencoded long, pretokens_after long, tokens_after long" + ", text_after string, lengths array<int>, tokens array<int>" * keep_state
-    names = [x.strip().split()[0] for x in schema.split(",")]
-    types = [*[pa.int64()] * 7, pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def run(batches):  # noqa: ANN001, ANN202
         count = _counter(shared.value)
-        for b in batches:
-            rows = []
-            for i, t, changes in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                t = t.as_py() or ""
-                tree = build(t, count)
-                before, tokens, made, seen = sum(map(len, tree.lengths)), tree.total, 0, 0
+        for b in slices(batches, 1, SLICE):
+            made = [build(t.as_py() or "", count) for t in b.column(1)]
+            leaves = [t.flat() for t in made]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(_lists([x[k] for x in leaves]) for k in (0, 1)), pa.array([t.count for t in made], pa.int64()), pa.array([t.total for t in made], pa.int64())], names=["doc_id", "text", "lengths", "tokens", "n_pretokens", "n_tokens"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, STATE)
+
+
+def recount(state: DataFrame, edits: str = "edits", ranks: str = RANKS, keep_state: bool = False) -> DataFrame:
+    """From STATE and a column of edits: doc_id, n_pretokens and n_tokens before them, n_edits, n_reencoded (pre-tokens encoded for them),
+    pretokens_after and tokens_after; with ``keep_state`` also the new text, lengths and tokens. Only what edits touch is cut and encoded."""
+    with open(ranks, "rb") as f:
+        shared = state.sparkSession.sparkContext.broadcast(f.read())  # the vocabulary, about 1 MB
+    schema = "doc_id long, n_pretokens long, n_tokens long, n_edits long, n_reencoded long, pretokens_after long, tokens_after long" + ", text string, lengths array<int>, tokens array<int>" * keep_state
+
+    def run(batches):  # noqa: ANN001, ANN202
+        count = _counter(shared.value)
+        for b in slices(batches, 1, SLICE):
+            leaves = [[x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int64) for x in b.column(k)] for k in (2, 3)]
+            figures, kept = [], []
+            for i, t, lengths, tokens, changes in zip(b.column(0).to_pylist(), b.column(1), *leaves, b.column(4).to_pylist(), strict=True):
+                t, tree = t.as_py() or "", Tree(lengths, tokens)
+                before, sums, made, seen = tree.count, tree.total, 0, 0
                 for e in changes or ():
                     if e is not None:
                         tree, t, n = edit(tree, t, e["start"] or 0, e["stop"] or 0, e["text"] or "", count)
                         made, seen = made + 1, seen + n
-                row = (i, before, tokens, made, seen, sum(map(len, tree.lengths)), tree.total)
-                rows.append((*row, t, *tree.flat()) if keep_state else row)
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=False)], names=names)
+                figures.append((i, before, sums, made, seen, tree.count, tree.total))
+                kept += [(t, *tree.flat())] * keep_state
+            columns = [pa.array(c, pa.int64()) for c in zip(*figures, strict=True)] + ([pa.array([k[0] for k in kept], pa.string()), *(_lists([k[n] for k in kept]) for n in (1, 2))] if keep_state else [])
+            yield pa.RecordBatch.from_arrays(columns, names=[x.strip().split()[0] for x in schema.split(",")])
 
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(edits).cast(EDITS).alias("edits"))
-    return own.mapInArrow(run, schema)
+    return state.select("doc_id", "text", "lengths", "tokens", F.col(edits).cast(EDITS).alias("edits")).mapInArrow(run, schema)
 
 
 def sample_edits(doc_id: str = "doc_id", text: str = "text"):  # noqa: ANN201
