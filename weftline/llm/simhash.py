@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import BROADCAST_ROWS, materialize, small, sortable
 from .components import components
 
 SHINGLE, RADIUS, HASH_SEED, SHARD = 3, 3, 42, 20_000
@@ -159,21 +159,35 @@ def links(fps: DataFrame, fp: str = "fp", radius: int = RADIUS, shard: int = SHA
 
 
 def grouped(rows: DataFrame, doc_id: str = "doc_id", fp: str = "__fp", radius: int = RADIUS) -> DataFrame:
-    """From one row a document (written already): (fp, component_id) for every fingerprint."""
-    each = materialize(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("rep")), "simhash-nodes")
+    """From one row a document (written already): (__nfp, __n, __component) for every fingerprint that several documents have or that has links;
+    a document of any other fingerprint is a component by itself."""
+    each = materialize(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("rep"), F.count("*").alias("n")), "simhash-nodes")
     found = components(links(each, radius=radius))
     members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     members = members.join(each, members["node"] == each["fp"]).select("node", "root", "rep")
     least = members.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = members.select("node", "root").join(least, "root").select("node", "component_id")
-    return each.join(named, each["fp"] == named["node"], "left").select("fp", F.when(F.col("node").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
+    both = each.join(named, each["fp"] == named["node"], "left").filter((F.col("n") > 1) | F.col("node").isNotNull())
+    return materialize(both.select(F.col("fp").alias("__nfp"), F.col("n").alias("__n"), F.when(F.col("node").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("__component")), "simhash-named")
+
+
+def with_component(rows: DataFrame, named: DataFrame, own: str, fp: str = "__fp", most: int = BROADCAST_ROWS) -> DataFrame:
+    """Adds __component. Fingerprints of at least one in ``most`` rows, so at most ``most`` of them, are joined where rows lie; only rows of
+    other repeated or linked fingerprints move to meet theirs, unless all of them are few."""
+    at = F.col(fp) == F.col("__nfp")
+    fewer = named.drop("__n")
+    fill = lambda df: df.withColumn("__component", F.when(F.col("__nfp").isNull(), F.col(own)).otherwise(F.col("__component"))).drop("__nfp")
+    if named.limit(most + 1).count() <= most:
+        return fill(rows.join(F.broadcast(fewer), at, "left"))
+    total = named.agg(F.sum("__n")).first()[0]
+    hot = F.broadcast(named.filter(F.col("__n") >= total / most).drop("__n"))
+    return fill(rows.join(hot, at)).unionByName(fill(rows.join(hot, at, "left_anti").join(fewer, at, "left")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest id that links reach) for every row."""
     rows = materialize(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), "simhash-rows")
-    named = grouped(rows, radius=radius)
-    return rows.join(named, rows["__fp"] == named["fp"]).select("doc_id", F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
+    return with_component(rows, grouped(rows, radius=radius), "doc_id").select("doc_id", F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), F.col("__component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -185,11 +199,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     named = grouped(rows, doc_id="__id")
     n, ids = rows.agg(F.count("*"), F.count_distinct("__id")).first()
     if n == ids:
-        gone = materialize(rows.join(named, rows["__fp"] == named["fp"]).filter(F.col("__id") != F.col("component_id")).select("__id"), "simhash-gone")
+        gone = materialize(with_component(rows, named, "__id").filter(F.col("__id") != F.col("__component")).select("__id"), "simhash-gone")
         return docs.join(small(gone), F.col(doc_id) == F.col("__id"), "left_anti")
     own = with_fingerprint(docs.withColumn("__text_in", F.col(text)), "__text_in", [*docs.columns])
-    joined = own.join(named, own["__fp"] == named["fp"])
-    key = F.struct(F.col(f"`{doc_id}`").isNull().alias("n"), F.col(f"`{doc_id}`").alias("i"), F.xxhash64(text).alias("h"))
+    joined = with_component(own, named, f"`{doc_id}`")
+    key = F.struct(F.col(f"`{doc_id}`").isNull().alias("n"), F.col(f"`{doc_id}`").alias("i"), F.to_json(F.struct(*sortable(docs))).alias("h"))
     every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    group = F.when(F.col("component_id").isNull(), F.concat(F.lit("f"), F.col("fp"))).otherwise(F.concat(F.lit("c"), F.col("component_id")))
+    group = F.when(F.col("__component").isNull(), F.concat(F.lit("f"), F.col("__fp"))).otherwise(F.concat(F.lit("c"), F.col("__component")))
     return joined.groupBy(group.alias("__g")).agg(F.min_by(every, key).alias("__row")).select("__row.*")
