@@ -50,8 +50,19 @@ def test_a_changed_byte_is_an_error(spark, tmp_path):
 
 
 def test_range_bounds_cover_skewed_keys(spark):
-    keys = [(k, 10) for k in range(100)] + [(10**15, 10), (-(10**15), 10)]
-    bounds = warc.range_bounds(spark.createDataFrame(keys, "k long, w long"), "k", "w", 100)
-    assert bounds == sorted(bounds) and bounds[0] == -(10**15) and len(bounds) >= 9
-    per = [sum(1 for k, _ in keys if lo <= k < hi) for lo, hi in zip(bounds, [*bounds[1:], 1 << 62])]
-    assert max(per) <= 10
+    import numpy as np
+
+    keys = [(k, 10) for k in range(100)] + [(10**15, 10), (-(10**15), 10)] + [(55, 100)] * 7
+    bounds, cuts = warc.range_bounds(spark.createDataFrame(keys, "k long, w long"), "k", "w", 100)
+    assert (np.diff(bounds) > 0).all() and bounds[0] == -(10**15) and len(bounds) >= 9
+    per = [sum(w for k, w in keys if lo <= k < hi) for lo, hi in zip(bounds.tolist(), [*bounds[1:].tolist(), 1 << 62])]
+    assert all(w <= 100 * c for w, c in zip(per, cuts.tolist())) and dict(zip(bounds.tolist(), cuts.tolist()))[55] == 8
+
+
+def test_a_hot_key_and_null_keys_are_spread_over_shards(spark, tmp_path):
+    rows = [(None if k % 2 else 3, f"u{k}", f"{k} page " * 150) for k in range(80)] + [(9, "u", "x")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = warc.write_warc(table, f"file://{tmp_path}/h", shard_bytes=4000)
+    assert len({m["shard"] for m in manifest}) > 10 and sum(m["records"] for m in manifest) == 81
+    got = warc.read_warc(spark, f"file://{tmp_path}/h").collect()
+    assert sorted((str(r.key), bytes(r.payload).decode()) for r in got) == sorted((str(k), t) for k, _, t in rows)

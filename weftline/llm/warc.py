@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer, and the reader of what it wrote.
 
-Records are dealt to shards by key ranges of about ``shard_bytes`` (from an exact histogram of bytes over keys, not from samples), sorted
-inside a shard, written one gzip member each, and rolled to a new file when the compressed size passes ``roll_bytes``. Headers and digests
+Records are dealt to shards by key ranges of about ``shard_bytes`` (from an exact histogram of bytes over keys, not from samples; a key that
+holds more is cut by digests), sorted inside a shard, written one gzip member each, and rolled to a new file when the compressed size passes ``roll_bytes``. Headers and digests
 are made anew. Each task writes under temporary names of its own; the driver renames the files that tasks reported and publishes a
 manifest last, so a reader sees all files or none, and repeated or lost attempts leave nothing behind. File names, bytes and manifest
 depend on the records only.
@@ -19,6 +19,7 @@ import json
 import re
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialize, scratch_path, small
 
 SHARD_BYTES, ROLL_BYTES, REVISIT_BYTES = 64 << 20, 32 << 20, 1000
-DATE = "2024-01-01T00:00:00Z"
+DATE, MOST_TASKS = "2024-01-01T00:00:00Z", 16_384
 _BINS = 4096
 #: Fixed names of the format.
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -35,14 +36,15 @@ _FILES = "temp string, name string, shard long, part long, records long, bytes l
 _RECORDS = "key long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
-def range_bounds(rows: DataFrame, key: str, weight: str, target: int) -> list[int]:
-    """Lower bounds of key ranges of about ``target`` weight (the first is the least key); a range of one key may weigh more.
+def range_bounds(rows: DataFrame, key: str, weight: str, target: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower bounds of key ranges of about ``target`` weight (the first is the least key), and into how many shards each is cut: one, but
+    for a single key that weighs more.
 
-    Histograms of at most 4096 bins a heavy range, each level one aggregate; what the driver holds follows weight / target.
+    Histograms of at most 4096 bins a heavy range, each level one aggregate; what the driver holds is a few numbers per ``target`` weight.
     """
     low, high = rows.agg(F.min(key), F.max(key)).first()
     if low is None:
-        return [0]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     width, k = max(1, -(-(high - low + 1) // _BINS)), F.col(key).cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
     at = lambda w: F.floor(k / F.lit(w).cast("decimal(20,0)")).cast("long")
     done: dict[int, int] = {}
@@ -50,29 +52,44 @@ def range_bounds(rows: DataFrame, key: str, weight: str, target: int) -> list[in
     while True:
         found = {r[0]: r[1] for r in ask.groupBy(at(width)).agg(F.sum(weight)).collect()}  # at most 4096 rows a heavy range
         heavy = [b for b, n in found.items() if n > target and width > 1]
-        done |= {low + b * width: n for b, n in found.items() if b not in heavy}
+        done |= {low + b * width: n for b, n in found.items() if width == 1 or n <= target}
         if not heavy:
             break
-        marks = rows.sparkSession.createDataFrame([(b,) for b in heavy], "heavy long")
-        ask = ask.join(F.broadcast(marks), at(width) == F.col("heavy"), "left_semi")  # at most weight / target rows
+        marks = rows.sparkSession.createDataFrame(pa.table({"heavy": pa.array(heavy, pa.int64())}))
+        ask = ask.join(small(marks), at(width) == F.col("heavy"), "left_semi")
         width = max(1, -(-width // _BINS))
-    bounds, held = [], 0
+    bounds, cuts, held = [], [], 0
     for start in sorted(done):
-        if not bounds or held and held + done[start] > target:
+        if not bounds or cuts[-1] > 1 or held and held + done[start] > target:
             bounds.append(start)
+            cuts.append(-(-done[start] // target) or 1)
             held = 0
         held += done[start]
-    return bounds
+    return np.array(bounds, np.int64), np.array(cuts, np.int64)
 
 
-def shard_of(key: Column, bounds: list[int]) -> Column:
-    """Number of bounds at or below the key, less one; found in two steps of about the root of their number."""
-    step = max(1, int(len(bounds) ** 0.5))
-    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
-    count = lambda xs: F.size(F.filter(xs, lambda b: b <= key))
-    part = F.greatest(count(longs([p[0] for p in parts])), F.lit(1))
-    return F.when(key.isNull(), F.lit(0)).otherwise(F.greatest((part - 1) * step + count(F.element_at(F.array(*map(longs, parts)), part)) - 1, F.lit(0))).cast("long")
+class Placement:
+    """Shards in the order of keys: those of null keys first, then the ranges'. A key with several shards is spread by its payloads' digests."""
+
+    def __init__(self, bounds: np.ndarray, cuts: np.ndarray, nulls: int) -> None:
+        self.bounds, self.cuts = bounds, np.append(nulls, cuts)
+        self.first = np.append(0, np.cumsum(self.cuts))
+
+    @property
+    def shards(self) -> int:
+        return int(self.first[-1])
+
+    def column(self, spark: SparkSession, key: Column, digest: Column) -> Column:
+        shared = spark.sparkContext.broadcast(self)  # a few numbers a shard
+
+        @F.arrow_udf("long")
+        def shard(keys: pa.Array, lead: pa.Array) -> pa.Array:
+            own = shared.value
+            at = np.searchsorted(own.bounds, keys.fill_null(0).to_numpy(zero_copy_only=False), "right")
+            at = np.where(keys.is_null().to_numpy(zero_copy_only=False), 0, np.maximum(at, 1))
+            return pa.array(own.first[at] + (lead.to_numpy(zero_copy_only=False) * own.cuts[at] >> 32))
+
+        return shard(key, F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"))
 
 
 def _member(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -143,12 +160,15 @@ def write_warc(df: DataFrame, out: str, key: str = "page_id", url: str = "url",
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.sha1(body).alias("digest"), body.alias("payload"))
     narrow = materialize(rows.select("key", "digest", F.octet_length("payload").cast("long").alias("n")), "warc-keys")
-    bounds = range_bounds(narrow.select("key", (F.col("n") + 512).alias("w")), "key", "w", shard_bytes)
+    weights = narrow.select("key", (F.col("n") + 512).alias("w"))
+    nulls = weights.filter("key is null").agg(F.sum("w")).first()[0] or 0
+    place = Placement(*range_bounds(weights, "key", "w", shard_bytes), -(-nulls // shard_bytes))
     large = narrow.filter(F.col("n") >= revisit_bytes)
     copied = large.groupBy("digest").agg(F.max("key").alias("refers"), F.count("*").alias("c")).filter("c > 1").select(F.col("digest").alias("d"), "refers")
     known = large.select("key", "digest").join(small(materialize(copied, "warc-copies")), F.col("digest") == F.col("d")).select("key", "digest", "refers").distinct()
     info = known.select("key", F.lit(None).cast("string").alias("url"), "digest", F.lit(None).cast("binary").alias("payload"), F.lit(0).alias("kind"), "refers")
-    every = info.unionByName(rows.withColumns({"kind": F.lit(1), "refers": F.lit(None).cast("long")})).withColumn("shard", shard_of(F.col("key"), bounds))
+    every = info.unionByName(rows.withColumns({"kind": F.lit(1), "refers": F.lit(None).cast("long")}))
+    every = every.withColumn("shard", place.column(spark, F.col("key"), F.col("digest")))
 
     def run(batches):  # noqa: ANN001, ANN202
         roller, group, turn, refers = None, None, 0, None
@@ -171,8 +191,9 @@ def write_warc(df: DataFrame, out: str, key: str = "page_id", url: str = "url",
         if files:
             yield pa.RecordBatch.from_pylist(files)
 
-    parts = max(1, len(bounds))
-    ready = every.repartition(parts, "shard").sortWithinPartitions(F.col("shard"), F.col("key").asc_nulls_first(), "digest", "kind", "url")
+    parts = min(MOST_TASKS, max(1, place.shards))  # a task takes neighbouring shards
+    task = F.floor(F.col("shard") * parts / max(1, place.shards)).cast("int")
+    ready = every.repartitionById(parts, task).sortWithinPartitions(F.col("shard"), F.col("key").asc_nulls_first(), "digest", "kind", "url")
     written = sorted((r.asDict() for r in materialize(ready.mapInArrow(run, _FILES), "warc-files").collect()), key=lambda f: f["name"])  # a row a file
     return _commit(out, written)
 
