@@ -5,7 +5,8 @@ which only the counts matter. Most of it is filled in proportion (the same share
 dynamic programming over sums up to REACH words. Then each length's count is met by the documents with the lowest seeded hashes.
 
 Sizes are words; null text has none. Sources rank by code point, null last, and weigh 5, 2, 1 in turn; no document is taken more than
-MOST times. Repeated rows count each; rows alike in id and text have equal hashes and the quota among them is met by counting.
+MOST times. Repeated rows count each; rows alike in id and text have equal hashes and the quota among them is met by counting, in the order
+of all their columns. Texts of any length take memory for REACH sums only.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small, words
+from .common import materialize, numbered, small, sortable, words
 
 WEIGHTS, MOST, SEED, REACH = (5.0, 2.0, 1.0), 3, 97, 1 << 17
 _FIT = "source string, size long, base int, extra long"
@@ -68,7 +69,13 @@ def fit_source(sizes: np.ndarray, counts: np.ndarray, target: float) -> tuple[in
             if more > 0:
                 extra[k] += more
                 rest -= more * int(sizes[k])
-    return base, extra + subset_sum(sizes, counts - extra, min(rest, REACH + int(sizes.max())))
+    if rest > REACH:  # only documents nearly as long as the rest, or longer, are left: one of them at most comes nearer
+        left = np.flatnonzero((counts > extra) & (sizes > 0))
+        k = left[np.argmin(np.abs(sizes[left] - rest))] if len(left) else None
+        if k is not None and abs(int(sizes[k]) - rest) < rest:
+            extra[k] += 1
+            rest -= int(sizes[k])
+    return base, extra + (subset_sum(sizes, counts - extra, rest) if rest <= REACH else 0)
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -105,7 +112,6 @@ def plan(narrow: DataFrame) -> tuple[DataFrame, DataFrame]:
     part = F.shiftrightunsigned(F.col("h"), 52).cast("int").alias("part")
     keys = ["source", "size", "part"]
     hashes = narrow.groupBy("source", "size", part, "h").agg(F.count("*").alias("m"))
-    hashes = hashes.withColumn("h", F.col("h"))
     parts = hashes.groupBy(keys).agg(F.sum("m").alias("m"))
     parts = parts.withColumn("before", F.sum("m").over(Window.partitionBy("source", "size").orderBy("part")) - F.col("m"))
     fit2 = fitted.filter("extra > 0")
@@ -137,10 +143,10 @@ def with_copies(own: DataFrame, goal: DataFrame, cuts: DataFrame, source: str) -
     sure = lambda df: df.withColumn("__copies", base + lower.cast("int")).drop("__base", "__upto", "__ties")
     if not cuts.filter(F.col("ties").isNotNull()).limit(1).count():
         return sure(out)
-    # Only rows alike in id and text whose quota cuts through them: rank them.
-    alike = Window.partitionBy("__h", "__size", s).orderBy(F.lit(0))
-    some = out.filter(tied).withColumn("__rank", F.row_number().over(alike)).withColumn("__copies", base + (F.col("__rank") <= F.col("__ties")).cast("int")).drop("__rank", "__base", "__upto", "__ties")
-    return sure(out.filter(~tied)).unionByName(some)
+    # Only rows alike in id and text whose quota cuts through them: they are counted through in the order of all their columns.
+    some = numbered(out.filter(tied).withColumn("__group", F.xxhash64("__h", "__size", s)), ["__group"], sortable(own))
+    some = some.withColumn("__copies", base + (F.col("__row") < F.col("__ties")).cast("int")).drop("__row", "__group")
+    return sure(out.filter(~tied)).unionByName(some.drop("__base", "__upto", "__ties"))
 
 
 def take(docs: DataFrame) -> DataFrame:
