@@ -1,17 +1,24 @@
-"""Tables that are written once and read again: in the folder that driver and executors share."""
+"""Tables that are written once and read again, and logs of commits: what a folder's readers see is what its newest commit lists."""
 
 from __future__ import annotations
 
+import json
+import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import BackendError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests), a folder of our own."""
+    """``spark.checkpoint.dir``. Where it is unset a folder of this machine serves, which only a local session can share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise BackendError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -34,3 +41,107 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class CommitLog:
+    """Numbered JSON files in a folder. One is written under a temporary name and then renamed, never over another, so it is there whole or
+    not at all, and of two writers of one number one wins."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def newest(self) -> tuple[int, dict] | None:
+        """The highest number whose file can be read as an object; files that other tools tore are passed over."""
+        fs, p = file_system(self.spark, self.path)
+        if not fs.exists(p):
+            return None
+        names = sorted((s.getPath().getName() for s in fs.listStatus(p)), reverse=True)
+        for name in (n for n in names if n.endswith(".json") and n[:-5].isdigit()):
+            try:
+                found = json.loads(self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0])
+            except (ValueError, TypeError):
+                continue
+            if isinstance(found, dict):
+                return int(name[:-5]), found
+        return None
+
+    def publish(self, number: int, content: dict) -> None:
+        fs, temp = file_system(self.spark, f"{self.path}/.{uuid.uuid4().hex}.tmp")
+        _, final = file_system(self.spark, f"{self.path}/{number:08d}.json")
+        out = fs.create(temp, False)
+        out.write(bytearray(json.dumps(content, sort_keys=True).encode()))
+        out.close()
+        if not self._rename(fs, temp, final):
+            fs.delete(temp, False)
+            raise BackendError(f"number {number} was published by another writer")
+
+    def _rename(self, fs, temp, final) -> bool:  # noqa: ANN001
+        """Renames unless the target exists. A local file system would replace it, so there the target is made as a link."""
+        if fs.getScheme() == "file":
+            source, target = (p.toUri().getPath() for p in (temp, final))
+            try:
+                os.link(source, target)
+            except FileExistsError:
+                return False
+            os.unlink(source)
+            return True
+        return not fs.exists(final) and bool(fs.rename(temp, final))
+
+    def update(self, change: Callable[[dict], dict | None], tries: int = 8) -> dict:
+        """Publishes what ``change`` makes of the newest content, anew if another writer came first; None publishes nothing."""
+        for _ in range(tries):
+            number, now = self.newest() or (0, {})
+            new = change(now)
+            if new is None:
+                return now
+            try:
+                self.publish(number + 1, new)
+            except BackendError:
+                continue
+            return new
+        raise BackendError("other writers kept coming first")
+
+
+class Store:
+    """Small files of a project in a folder of any file system."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, (folder if "://" in folder else "file://" + os.path.abspath(folder)).rstrip("/")
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}"
+
+    def exists(self, name: str) -> bool:
+        fs, p = file_system(self.spark, self.path(name))
+        return bool(fs.exists(p))
+
+    def read(self, name: str) -> str:
+        return self.spark.read.text(self.path(name), wholetext=True).first()[0] if self.exists(name) else ""
+
+    def names(self, folder: str) -> list[str]:
+        fs, p = file_system(self.spark, self.path(folder))
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if not s.getPath().getName().startswith(".")) if fs.exists(p) else []
+
+    def write(self, name: str, text: str, exclusive: bool = False) -> None:
+        """Whole or not at all; with ``exclusive`` an existing file is an error."""
+        fs, final = file_system(self.spark, self.path(name))
+        _, temp = file_system(self.spark, f"{self.path(name)}.{uuid.uuid4().hex}.tmp")
+        out = fs.create(temp, False)
+        out.write(bytearray(text.encode()))
+        out.hsync()
+        out.close()
+        if exclusive:
+            done = CommitLog(self.spark, self.folder)._rename(fs, temp, final)
+        elif fs.getScheme() == "file":
+            os.replace(temp.toUri().getPath(), final.toUri().getPath())
+            done = True
+        else:
+            fs.delete(final, False)
+            done = fs.rename(temp, final)
+        if not done:
+            fs.delete(temp, False)
+            raise BackendError(f"{name} exists")
+
+    def delete(self, name: str) -> None:
+        fs, p = file_system(self.spark, self.path(name))
+        fs.delete(p, False)
