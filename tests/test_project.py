@@ -3,7 +3,7 @@ import json
 import pytest
 
 from weftline import cli, config
-from weftline.errors import ConfigError
+from weftline.errors import BackendError, ConfigError, ProviderError, WeftlineError
 from weftline.operators import chunking, churn, embedding
 from weftline.plans.index import Index
 from weftline.plans.service import Project
@@ -40,17 +40,68 @@ def test_commands(spark, tmp_path, capsys):
     assert go("migrate", "--strategy", "fixed", "--model", "m2", "--apply")[1]["recovered"] == "forward"
     assert 'strategy = "fixed"' in (tmp_path / config.FILENAME).read_text() and go("verify")[0] == 0
     assert go("rollback")[0] == 0 and (tmp_path / config.FILENAME).read_text() == before and go("verify")[0] == 0
-    assert go("cache", "stats")[1]["entries"] == 0 and go("measure", "--edits", "append")[1]["append"]["to_embed"] >= 1
+    seen = go("cache", "stats")[1]["entries"]
+    assert seen >= 3 and go("measure", "churn", "--edits", "append")[1]["cdc-rabin"]["append"]["to_embed"] >= 1
+    assert go("migrate", "--strategy", "fixed", "--model", "m2")[1]["cost"]["chunks_to_embed"] == 0  # all of it is in the cache
+    (tmp_path / "q.jsonl").write_text('{"question_id": "q", "query": "retrieval chunks", "evidence": ["unchanged retrieval"]}\n')
+    assert go("measure", "retrieval", "--questions", "q.jsonl", "--strategies", "fixed", "recursive")[1][0]["recall"] > 0
+    assert go("compact", "--before", "2024-01-01")[0] == 1 and go("compact", "--before", "2000-01-01T00:00:00+00:00", "--dry-run")[1] == {"tombstones": 0}
+    assert cli.main(["--project", str(tmp_path), "--format", "table", "status"], spark) == 0 and "active_chunks" in capsys.readouterr().out
+    assert go("plan", "none.md")[0] == 1 and go("plan", "a.md")[1]["operations"]["add"] == 0
 
 
 def test_a_migration_that_stopped_early_goes_back(spark, tmp_path):
-    Project.init(tmp_path)
+    Project.init(spark, tmp_path)
     (tmp_path / "docs").mkdir()
     (tmp_path / "docs/a.md").write_text("some words")
     p = Project(spark, tmp_path)
     p.apply()
-    p.journal.write_text(json.dumps({"version": 1, "generation": 1, "model_id": "hash:x", "params_hash": "y", "config": "", "previous": "", "config_sha256": ""}))
-    assert p.recover() == "back" and not p.journal.exists() and p.recover() == "nothing"
+    journal = tmp_path / ".weftline/migration.json"
+    journal.write_text(json.dumps({"version": 1, "generation": 1, "model_id": "hash:x", "params_hash": "y", "config": "", "previous": "", "config_sha256": ""}))
+    assert p.recover() == "back" and not journal.exists() and p.recover() == "nothing"
+    with pytest.raises(WeftlineError, match="receipt"):
+        p.rollback()
+
+
+def test_adoption_of_an_earlier_configuration(spark, tmp_path):
+    (tmp_path / "old.toml").write_text('[index]\nbackend = "files"\ndatabase = "state/ix"\n[chunker]\nmin_tokens = 20\n')
+    Project.adopt(spark, tmp_path, "old.toml")
+    c = Project(spark, tmp_path).config
+    assert c.store.index == "state/ix" and c.chunker.min_tokens == 20
+    with pytest.raises(BackendError):
+        Project.adopt(spark, tmp_path, "old.toml")
+
+
+def test_embedding_service(tmp_path, monkeypatch):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    answers = [(429, {}), (200, {"data": [{"index": 1, "embedding": [0.0, 2.0]}, {"index": 0, "embedding": [1.0, 0.0]}]}), (400, {}), (200, {"data": [{"index": 0, "embedding": [1.0, 0.0]}] * 2}), (200, [])]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            assert asked["input"] == ["a", "b"] and self.headers["Authorization"] == "Bearer k" and self.path == "/v1/embeddings"
+            code, body = answers.pop(0)
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("KEY", "k")
+    p = embedding.make_provider("openai", "m", 2, "KEY", f"http://127.0.0.1:{server.server_port}/v1")
+    assert embedding.embed_checked(["a", "b"], p, sleep=lambda _: None) == [[1.0, 0.0], [0.0, 2.0]]
+    for _ in range(3):
+        with pytest.raises(ProviderError):
+            p.embed(["a", "b"])
+    server.shutdown()
+    monkeypatch.delenv("KEY")
+    with pytest.raises(ProviderError, match="KEY"):
+        p.embed(["a", "b"])
 
 
 def test_stream_of_files(spark, tmp_path):

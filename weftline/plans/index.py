@@ -1,25 +1,40 @@
-"""The index: immutable generations of chunk rows behind a commit file that is created exclusively.
+"""The index: immutable generations of chunk rows behind commits.
 
-<path>/gen=<n>-<id>/{chunks,documents}/ hold Parquet, <path>/commits/<n>.json the state. Readers take the newest commit, so they see one
-generation; two writers of the same generation race for one commit file and one of them wins.
+``bodies/<id>`` hold texts and vectors, one row a chunk hash and model, and are only ever added to; ``gen=<n>-<id>`` holds the narrow rows of
+a generation (``chunks``, ``documents``) and its manifest, JSON lines of what it is to hold; ``commits/<n>.json`` names both. An edit writes
+the bodies of new chunks and narrow rows, and never copies a text or vector. Readers take the newest commit, so they see one generation; of
+two writers of a generation one wins.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import asdict, dataclass
+from functools import reduce
+from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import wire
 from ..errors import BackendError
-from ..functions.hashing import instance_id_column
+from ..functions.hashing import chunk_hash_column, hash_fields_column, instance_id_column
 from ..operators import diff, embedding, merkle
-from ..tables import file_system, written
+from ..tables import CommitLog, file_system, written
+from . import manifest
 
-CHUNKS = "instance_id string, document_id string, position int, chunk_hash string, text string, start_offset long, end_offset long, token_count long, metadata string, document_metadata string, vector array<float>, valid_from timestamp, valid_to timestamp"
-DOCUMENTS = "document_id string, root_hash string, chunk_count int, hard_cuts int, metadata string"
+CHUNKS = "instance_id string, document_id string, position int, chunk_hash string, start_offset long, end_offset long, token_count long, metadata string, document_metadata string, model_id string, params_hash string, record_digest string, valid_from timestamp, valid_to timestamp"
+BODIES = "chunk_hash string, text string, vector array<float>"
+DOCUMENTS = "document_id string, root_hash string, chunk_count int, hard_cuts int, metadata string, chunker_id string, chunker_params_hash string, normalizer_version string"
+SCHEMA_VERSION = 3
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _cast(df: DataFrame, schema: str) -> DataFrame:
+    return df.select(*(F.col(c).cast(t).alias(c) for c, t in (x.split(" ") for x in schema.split(", "))))
 
 
 @dataclass(frozen=True)
@@ -30,7 +45,26 @@ class Commit:
     model_id: str
     params_hash: str
     dimensions: int
-    schema_version: int = 2
+    bodies: tuple[str, ...] = ()
+    schema_version: int = SCHEMA_VERSION
+
+
+class IndexAdapter(Protocol):
+    """What a project needs of an index, whatever stores it."""
+
+    def newest(self) -> Commit | None: ...
+
+    def status(self) -> DataFrame: ...
+
+    def active(self, commit: Commit | None = None) -> DataFrame: ...
+
+    def apply(self, target: DataFrame, provider: embedding.Provider, cache=None) -> Commit: ...  # noqa: ANN001
+
+    def query(self, text: str, provider: embedding.Provider, k: int = 5) -> DataFrame: ...
+
+    def verify(self, expected: DataFrame | None = None) -> DataFrame: ...
+
+    def compact(self, before=None, dry_run: bool = False) -> int: ...  # noqa: ANN001
 
 
 def carried_ids(ops: DataFrame, active: DataFrame, corpus_root: str, scope: str) -> DataFrame:
@@ -41,6 +75,12 @@ def carried_ids(ops: DataFrame, active: DataFrame, corpus_root: str, scope: str)
     return now.select("document_id", F.col("new_position").alias("position"), "chunk_hash", F.coalesce("instance_id", fresh).alias("instance_id"), F.col("instance_id").isNotNull().alias("carried"))
 
 
+def record_digest() -> Column:
+    """The digest of a row with its body: every field of a record that lasts, the vector as bytes."""
+    text = [F.col(c).cast("string") for c in ("instance_id", "document_id", "position", "chunk_hash", "text", "start_offset", "end_offset", "token_count")]
+    return hash_fields_column(wire.INDEX_RECORD_DOMAIN, *text, embedding.vector_bytes("vector"), F.size("vector").cast("string"), F.col("model_id"), F.col("params_hash"), F.col("metadata"))
+
+
 def status(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """document_count, active_chunks, tombstones, hard_cuts, boundaries and hard_cut_rate."""
     a = chunks.agg(F.count_if(F.col("valid_to").isNull()).alias("active_chunks"), F.count_if(F.col("valid_to").isNotNull()).alias("tombstones"))
@@ -48,95 +88,192 @@ def status(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return a.crossJoin(F.broadcast(d)).withColumn("hard_cut_rate", F.when(F.col("boundaries") > 0, F.col("hard_cuts") / F.col("boundaries")).otherwise(0.0))  # one row each
 
 
+def _differs(a: Column, b: Column) -> Column:
+    return ~a.eqNullSafe(b)
+
+
+def _first_to_last(key: list[str], checks: list[tuple[Column, str]], df: DataFrame) -> DataFrame:
+    """A row for each check that holds."""
+    found = F.filter(F.array(*(F.when(c, F.lit(what)) for c, what in checks)), lambda x: x.isNotNull())
+    return df.select(*key, F.explode(found).alias("problem"))
+
+
+def document_problems(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(document_id, problem) between documents of a manifest and those of the index (root_hash, chunk_count, hard_cuts, metadata)."""
+    values = ["root_hash", "chunk_count", "hard_cuts", "metadata"]
+    both = expected.select("document_id", F.struct(*values).alias("exp")).join(actual.select("document_id", F.struct(*values).alias("act")), "document_id", "full")
+    there = F.col("exp").isNotNull() & F.col("act").isNotNull()
+    sane = manifest.canonical(F.col("act.metadata"))
+    checks = [(F.col("act").isNull(), "document is missing"), (F.col("exp").isNull(), "document is unexpected"), (there & _differs(F.col("exp.root_hash"), F.col("act.root_hash")), "root hash differs"), (there & _differs(F.col("exp.chunk_count"), F.col("act.chunk_count")), "chunk count differs")]
+    checks += [(there & _differs(F.col("exp.hard_cuts"), F.col("act.hard_cuts")), "hard-cut count differs"), (there & sane.isNull(), "document metadata is invalid"), (there & sane.isNotNull() & _differs(manifest.canonical(F.col("exp.metadata")), sane), "document metadata differs")]
+    return _first_to_last(["document_id"], checks, both)
+
+
 def problems(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(document_id, position, problem) between a manifest and active rows (document_id, position, chunk_hash, start_offset, end_offset, token_count)."""
     key, values = ["document_id", "position"], ["chunk_hash", "start_offset", "end_offset", "token_count"]
     twice = actual.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.lit("more than one active row").alias("problem"))
     one = actual.groupBy(*key).agg(F.min(F.struct(*values)).alias("act"))
     both = expected.select(*key, F.struct(*values).alias("exp")).join(one, key, "full")
-    found = F.when(F.col("act").isNull(), "position is missing").when(F.col("exp").isNull(), "position is unexpected")
-    for v in values:
-        found = found.when(~F.col(f"act.{v}").eqNullSafe(F.col(f"exp.{v}")), f"{v} differs")
-    return both.select(*key, found.alias("problem")).where("problem is not null").unionByName(twice)
+    there = F.col("exp").isNotNull() & F.col("act").isNotNull()
+    checks = [(F.col("act").isNull(), "position is missing"), (F.col("exp").isNull(), "position is unexpected"), *((there & _differs(F.col(f"act.{v}"), F.col(f"exp.{v}")), f"{v} differs") for v in values)]
+    return _first_to_last(key, checks, both).unionByName(twice)
+
+
+def content_problems(expected: DataFrame, actual: DataFrame, model_id: str, params_hash: str, dimensions: int) -> DataFrame:
+    """(document_id, position, problem) of what rows carry: ``actual`` are active rows with text and vector, ``expected`` the manifest's
+    rows with metadata and the identity of their document's chunker."""
+    key = ["document_id", "position"]
+    e = expected.select(*key, F.struct("chunk_hash", "start_offset", "end_offset", "token_count", "metadata", *manifest.IDENTITY).alias("exp"))
+    both = actual.join(e, key)
+    parsed, named = F.try_parse_json("metadata"), lambda k: F.get_json_object("metadata", f"$.{k}")
+    invalid = parsed.isNull() | ~F.coalesce(F.schema_of_variant(parsed), F.lit("")).startswith("OBJECT")
+    complete = reduce(lambda a, b: a & b, (F.coalesce(F.col(f"exp.{c}") != "", F.lit(False)) for c in manifest.IDENTITY))
+    real = hash_fields_column(wire.CHUNK_DOMAIN, F.lit(wire.IDENTITY_SCHEMA), F.col("exp.normalizer_version"), F.col("exp.chunker_id"), F.col("exp.chunker_params_hash"), F.coalesce("text", F.lit("")))
+    broken = F.col("vector").isNull() | (F.size("vector") == 0) | F.exists(F.coalesce("vector", F.array()), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    reserved = ("chunk_hash", "start_offset", "end_offset", "token_count")
+    checks = [(_differs(F.col("model_id"), F.lit(model_id)) | _differs(F.col("params_hash"), F.lit(params_hash)), "embedding identity differs"), (invalid, "metadata is invalid")]
+    checks += [(~invalid & named(k).isNotNull() & _differs(named(k), F.col(f"exp.{k}").cast("string")), f"metadata {k} differs") for k in reserved]
+    user = lambda text: F.to_json(F.map_filter(F.from_json(text, "map<string,string>"), lambda k, v: ~k.isin(*reserved)))
+    checks += [(~invalid & _differs(user(manifest.canonical(F.col("metadata"))), user(manifest.canonical(F.col("exp.metadata")))), "metadata differs"), (complete & _differs(real, F.col("exp.chunk_hash")), "text does not match chunk hash"), (~complete, "chunk identity is incomplete")]
+    checks += [(broken, "vector is invalid"), (~broken & (F.size("vector") != dimensions), "vector dimensions differ"), (~broken & _differs(F.col("record_digest"), F.col("__digest")), "record digest differs")]
+    return _first_to_last(key, checks, both.withColumn("__digest", record_digest()))
+
+
+def checked_rows(rows: DataFrame, dead: DataFrame, vectors: DataFrame, dimensions: int) -> None:
+    """Raises if rows to be published repeat an id or a position, if an id was a tombstone's, or if a vector is missing or invalid."""
+    for key in (["instance_id"], ["document_id", "position"]):
+        if (twice := rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").first()) is not None:
+            raise BackendError(f"{' and '.join(key)} {[twice[k] for k in key]} would occur twice")
+    if (risen := rows.join(dead.select("instance_id"), "instance_id", "left_semi").first()) is not None:
+        raise BackendError(f"instance {risen['instance_id']} was withdrawn before")
+    bad = F.col("vector").isNull() | (F.size("vector") != dimensions) | F.exists(F.coalesce("vector", F.array()), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    if not 0 < dimensions <= embedding.MAX_DIMENSIONS or (wrong := vectors.where(bad).first()) is not None:
+        raise BackendError("vectors must be finite and of the index's dimensions" if not 0 < dimensions <= embedding.MAX_DIMENSIONS else f"the vector of {wrong['chunk_hash']} is missing or invalid")
 
 
 class Index:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self.log = CommitLog(spark, f"{self.path}/commits")
 
     def newest(self) -> Commit | None:
-        fs, p = file_system(self.spark, f"{self.path}/commits")
-        if not fs.exists(p):
+        found = self.log.newest()
+        if found is None:
             return None
-        names = [s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().endswith(".json")]
-        return Commit(**json.loads(self.spark.read.text(max(names), wholetext=True).first()[0])) if names else None
+        if found[1].get("schema_version") != SCHEMA_VERSION:
+            raise BackendError(f"the index has schema version {found[1].get('schema_version')}, not {SCHEMA_VERSION}")
+        return Commit(**found[1] | {"bodies": tuple(found[1].get("bodies", ()))})
 
     def _table(self, commit: Commit | None, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{commit.folder}/{name}") if commit else self.spark.createDataFrame([], schema)
 
-    def chunks(self, commit: Commit | None = None) -> DataFrame:
+    def rows(self, commit: Commit | None = None) -> DataFrame:
+        """Narrow rows (CHUNKS), tombstones among them."""
         return self._table(commit or self.newest(), "chunks", CHUNKS)
 
     def documents(self, commit: Commit | None = None) -> DataFrame:
         return self._table(commit or self.newest(), "documents", DOCUMENTS)
 
+    def bodies(self, commit: Commit | None = None) -> DataFrame:
+        """(BODIES) of all chunk hashes, those of tombstones among them."""
+        c = commit or self.newest()
+        return self.spark.read.schema(BODIES).parquet(*(f"{self.path}/{b}" for b in c.bodies)) if c and c.bodies else self.spark.createDataFrame([], BODIES)
+
+    def manifest_lines(self, commit: Commit | None = None) -> DataFrame:
+        """The manifest as JSON lines (value)."""
+        c = commit or self.newest()
+        return self.spark.read.text(f"{self.path}/{c.folder}/manifest") if c else self.spark.createDataFrame([], "value string")
+
+    def active_rows(self, commit: Commit | None = None) -> DataFrame:
+        return self.rows(commit).where("valid_to is null")
+
     def active(self, commit: Commit | None = None) -> DataFrame:
-        return self.chunks(commit).where("valid_to is null")
+        """Active rows with text and vector."""
+        c = commit or self.newest()
+        return self.active_rows(c).join(self.bodies(c), "chunk_hash", "left")
 
     def status(self) -> DataFrame:
-        return status(self.chunks(), self.documents())
+        return status(self.rows(), self.documents())
 
     def plan(self, target: DataFrame, provider: embedding.Provider, cached: DataFrame | None = None, price: float | None = None) -> dict[str, DataFrame]:
         """Writes nothing. target: occurrences with text (CHUNK columns, position, metadata, document_metadata)."""
         now = self.newest()
         changed = now is not None and (now.model_id, now.params_hash) != (provider.model_id, provider.params_hash)
-        old = self.active(now).drop("instance_id", "vector", "valid_from", "valid_to", "text")
+        old = self.active_rows(now)
         ops = diff.occurrence_diff(old, target.drop("text"))
         return {"operations": ops, "counts": diff.op_counts(ops), "cost": diff.plan_cost(old, target, ops, cached, price, changed)}
 
-    def apply(self, target: DataFrame, provider: embedding.Provider, cached: DataFrame | None = None, force: bool = False) -> Commit:
-        """Publishes the target as the next generation; unchanged ones keep theirs. Vectors come from active rows, then ``cached``
-        (chunk_hash, vector), then the provider; under another model nothing is carried over."""
-        spark, now = self.spark, self.newest()
+    def apply(self, target: DataFrame, provider: embedding.Provider, cache=None, force: bool = False, documents: DataFrame | None = None, expected: int | None = None, batch_size: int = 64) -> Commit:  # noqa: ANN001
+        """Publishes the target as the next generation; an unchanged one stays. Vectors come from the index, then from ``cache`` (a Cache,
+        which gets the new ones), then from the provider; under another model nothing is carried over. ``documents`` (document_id,
+        metadata) names those without chunks too; ``expected`` is the generation that was planned against, another one is an error."""
+        now = self.newest()
+        if expected is not None and expected != (now.generation if now else 0):
+            raise BackendError("the index has changed since the plan was made")
         same = now is not None and (now.model_id, now.params_hash) == (provider.model_id, provider.params_hash)
-        target = written(target, "index-target")
-        old = written(self.active(now), "index-active")
-        if same and not force and not diff.requires_apply(old, target):
+        target = written(manifest.with_identity(target).withColumn("position", F.col("position").cast("int")), "index-target")
+        old = written(self.active_rows(now), "index-active")
+        docs = written(manifest.documents(target, documents), "index-documents")
+        if same and not force and not diff.requires_apply(old, target) and not self._documents_changed(docs, now):
             return now
-        roots = written(merkle.document_roots(target), "index-roots")
-        root = merkle.corpus_root(roots.select("document_id", "root_hash"))
+        root = merkle.corpus_root(docs.select("document_id", "root_hash"))
         generation = now.generation + 1 if now else 1
-        ops = diff.occurrence_diff(old.drop("text"), target.drop("text")) if same or now is None else diff.occurrence_diff(old.drop("text").limit(0), target.drop("text"))
+        ops = diff.occurrence_diff(old if same or now is None else old.limit(0), target.drop("text"))
         scope = f"{provider.model_id}\0{provider.params_hash}\0generation:{generation}"
         ids = written(carried_ids(ops, old, root, scope), "index-ids")
-        have = old.groupBy("chunk_hash").agg(F.min_by("vector", "instance_id").alias("vector")) if same else old.select("chunk_hash", "vector").limit(0)
-        if cached is not None:
-            have = have.unionByName(cached.select("chunk_hash", "vector").join(have.select("chunk_hash"), "chunk_hash", "left_anti"))
-        wanted = embedding.distinct_inputs(target.select("chunk_hash", "text", "token_count")).join(have.select("chunk_hash"), "chunk_hash", "left_anti")
-        vectors = written(have.unionByName(embedding.embed_texts(wanted, provider).select("chunk_hash", "vector")), "index-vectors")
+        bodies, fresh = self._bodies(now if same else None, target, provider, cache, batch_size)
+        rows = written(self._new_rows(target, ids, old, bodies, provider), "index-rows")
         ts = F.current_timestamp()
-        since = old.select("instance_id", F.col("valid_from").alias("since"))
-        rows = target.join(ids, ["document_id", "position", "chunk_hash"]).join(vectors, "chunk_hash").join(since, "instance_id", "left")
-        rows = rows.withColumns({"valid_from": F.coalesce("since", ts), "valid_to": F.lit(None).cast("timestamp")})
         gone = old.join(ids.select("instance_id"), "instance_id", "left_anti").withColumn("valid_to", ts)
-        buried = self.chunks(now).where("valid_to is not null") if now else old.limit(0)
-        columns = [c.split()[0] for c in CHUNKS.split(", ")]
-        casts = [F.col(c).cast(t) for c, t in (x.split(" ") for x in CHUNKS.split(", "))]
-        every = rows.select(*columns).unionByName(gone.select(*columns)).unionByName(buried.select(*columns)).select(*casts)
-        folder = f"gen={generation:08d}-{uuid.uuid4().hex[:8]}"
-        every.write.parquet(f"{self.path}/{folder}/chunks")
-        cuts = target.groupBy("document_id").agg(F.count_if(F.col("boundary_kind") == "hard").cast("int").alias("hard_cuts"), F.max("document_metadata").alias("metadata")) if "boundary_kind" in target.columns else target.groupBy("document_id").agg(F.lit(0).alias("hard_cuts"), F.max("document_metadata").alias("metadata"))
-        roots.join(cuts, "document_id").select("document_id", "root_hash", F.col("chunk_count").cast("int").alias("chunk_count"), "hard_cuts", "metadata").write.parquet(f"{self.path}/{folder}/documents")
-        return self._publish(Commit(generation, folder, root, provider.model_id, provider.params_hash, provider.dimensions))
+        buried = self.rows(now).where("valid_to is not null") if now else old.limit(0)
+        checked_rows(rows, gone.select("instance_id").unionByName(buried.select("instance_id")), rows.select("chunk_hash").distinct().join(bodies, "chunk_hash", "left"), provider.dimensions)
+        every = _cast(rows, CHUNKS).unionByName(_cast(gone, CHUNKS)).unionByName(_cast(buried, CHUNKS))
+        parts = ([] if not same else list(now.bodies)) + ([self._write_body(fresh)] if fresh is not None else [])
+        return self._publish(self._write(Commit(generation, "", root, provider.model_id, provider.params_hash, provider.dimensions, tuple(parts)), every, docs))
+
+    def _documents_changed(self, docs: DataFrame, now: Commit) -> bool:
+        a, b = docs.select("document_id", "metadata"), self.documents(now).select("document_id", "metadata")
+        return bool(a.exceptAll(b).limit(1).count() or b.exceptAll(a).limit(1).count())
+
+    def _bodies(self, now: Commit | None, target: DataFrame, provider: embedding.Provider, cache, batch_size: int) -> tuple[DataFrame, DataFrame | None]:  # noqa: ANN001
+        """All bodies that the target needs, and those of them that are new (None if there are none)."""
+        have = self.bodies(now) if now else self.spark.createDataFrame([], BODIES)
+        inputs = embedding.distinct_inputs(target.select("chunk_hash", "text", "token_count"))
+        wanted = written(inputs.join(have.select("chunk_hash"), "chunk_hash", "left_anti"), "index-wanted")
+        if not wanted.limit(1).count():
+            return have, None
+        vectors = embedding.embed_texts(wanted, provider, batch_size).select("chunk_hash", "vector") if cache is None else embedding.embed_with_cache(wanted, provider, cache, batch_size)
+        fresh = written(_cast(wanted.join(vectors, "chunk_hash"), BODIES), "index-bodies")
+        return have.unionByName(fresh), fresh
+
+    def _new_rows(self, target: DataFrame, ids: DataFrame, old: DataFrame, bodies: DataFrame, provider: embedding.Provider) -> DataFrame:
+        """(CHUNKS) of the target. A row that is as it was keeps its digest; only others meet their text and vector to make one."""
+        same = ["document_id", "position", "chunk_hash", "start_offset", "end_offset", "token_count", "metadata"]
+        before = old.select("instance_id", F.col("valid_from").alias("since"), F.struct(*same).alias("was"), F.col("record_digest").alias("old_digest"))
+        rows = target.drop("text").join(ids, ["document_id", "position", "chunk_hash"]).join(before, "instance_id", "left")
+        rows = rows.withColumns({"model_id": F.lit(provider.model_id), "params_hash": F.lit(provider.params_hash), "valid_from": F.coalesce("since", F.current_timestamp()), "valid_to": F.lit(None).cast("timestamp")})
+        unchanged = F.coalesce(F.struct(*same).eqNullSafe(F.col("was")), F.lit(False))
+        kept, moved = rows.where(unchanged), rows.where(~unchanged)
+        made = moved.join(bodies, "chunk_hash", "left").withColumn("record_digest", record_digest())
+        return _cast(kept.withColumn("record_digest", F.col("old_digest")), CHUNKS).unionByName(_cast(made, CHUNKS))
+
+    def _write_body(self, fresh: DataFrame) -> str:
+        name = f"bodies/{uuid.uuid4().hex}"
+        fresh.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def _write(self, commit: Commit, rows: DataFrame, docs: DataFrame) -> Commit:
+        """Writes a generation's tables and its manifest; the commit with their folder, not published yet."""
+        folder = f"gen={commit.generation:08d}-{uuid.uuid4().hex[:8]}"
+        rows.write.parquet(f"{self.path}/{folder}/chunks")
+        _cast(docs, DOCUMENTS).write.parquet(f"{self.path}/{folder}/documents")
+        stored = self.spark.read.schema(CHUNKS).parquet(f"{self.path}/{folder}/chunks").where("valid_to is null")
+        manifest.to_json(docs, stored).select("json").write.text(f"{self.path}/{folder}/manifest")
+        return Commit(**asdict(commit) | {"folder": folder})
 
     def _publish(self, commit: Commit) -> Commit:
-        fs, p = file_system(self.spark, f"{self.path}/commits/{commit.generation:08d}.json")
-        try:
-            out = fs.create(p, False)  # fails if the file exists
-        except Exception as e:
-            raise BackendError(f"generation {commit.generation} was published by another writer") from e
-        out.write(bytearray(json.dumps(asdict(commit), sort_keys=True).encode()))
-        out.close()
+        self.log.publish(commit.generation, asdict(commit))
         return commit
 
     def query(self, text: str, provider: embedding.Provider, k: int = 5) -> DataFrame:
@@ -148,25 +285,49 @@ class Index:
         vector = embedding.embed_checked([text], provider)[0]
         return embedding.top_k(self.active(now), vector, k, ["document_id", "start_offset"]).select("score", "chunk_hash", "text", "document_id", "start_offset", "end_offset", "metadata")
 
-    def verify(self, expected: DataFrame) -> DataFrame:
-        return problems(expected, self.active())
+    def verify(self, expected: DataFrame | None = None) -> DataFrame:
+        """(document_id, position, problem): the newest generation against its manifest, its texts, vectors and digests, and against the
+        rows ``expected`` from the sources if they are given."""
+        wrong = lambda *what: self.spark.createDataFrame([(None, None, w) for w in what], "document_id string, position int, problem string")
+        now = self.newest()
+        if now is None:
+            return wrong("index does not exist")
+        found = [wrong(*(what for bad, what in ((not now.corpus_root, "corpus root is absent"), (not now.model_id or not now.params_hash, "embedding model identity is absent"), (type(now.dimensions) is not int or now.dimensions <= 0, "vector dimensions are not a positive integer"), (type(now.generation) is not int or now.generation < 1, "generation is not a positive integer")) if bad))]
+        fs, p = file_system(self.spark, f"{self.path}/{now.folder}/manifest")
+        if not fs.exists(p):
+            return reduce(DataFrame.unionByName, [*found, wrong("manifest is absent")])
+        docs, chunks, bad = manifest.from_json(self.manifest_lines(now))
+        docs, chunks = written(docs, "verify-documents"), written(chunks, "verify-chunks")
+        if merkle.corpus_root(docs.select("document_id", "root_hash")) != now.corpus_root:
+            found.append(wrong("manifest root differs from index root"))
+        none = F.lit(None).cast("int").alias("position")
+        active = written(self.active(now), "verify-active")
+        found += [d.select("document_id", none, "problem") for d in (bad, document_problems(docs, self.documents(now)))]
+        found += [problems(chunks, active), content_problems(chunks.join(docs.select("document_id", *manifest.IDENTITY), "document_id"), active, now.model_id, now.params_hash, now.dimensions)]
+        if expected is not None:
+            found.append(problems(expected, active))
+        return reduce(DataFrame.unionByName, (f.select("document_id", F.col("position").cast("int").alias("position"), "problem") for f in found)).distinct()
 
     def compact(self, before=None, dry_run: bool = False) -> int:  # noqa: ANN001
-        """Drops tombstones up to a time (all without one); their number."""
+        """Drops tombstones up to a time (all without one), and bodies that no row needs any more; the number of tombstones."""
         now = self.newest()
+        if now is None:
+            return 0
         dead = F.col("valid_to").isNotNull() & (F.lit(True) if before is None else F.col("valid_to") <= before)
-        n = self.chunks(now).where(dead).count()
+        n = self.rows(now).where(dead).count()
         if n and not dry_run:
-            folder, c = f"gen={now.generation + 1:08d}-{uuid.uuid4().hex[:8]}", now
-            self.chunks(now).where(~dead | dead.isNull()).write.parquet(f"{self.path}/{folder}/chunks")
-            self.documents(now).write.parquet(f"{self.path}/{folder}/documents")
-            self._publish(Commit(c.generation + 1, folder, c.corpus_root, c.model_id, c.params_hash, c.dimensions))
+            rows = written(self.rows(now).where(~dead | dead.isNull()), "compact-rows")
+            bodies, parts = self.bodies(now), now.bodies
+            needed = bodies.join(rows.select("chunk_hash").distinct(), "chunk_hash", "left_semi")
+            if needed.count() < bodies.count():
+                parts = (self._write_body(needed),)
+            self._publish(self._write(Commit(now.generation + 1, "", now.corpus_root, now.model_id, now.params_hash, now.dimensions, parts), rows, written(self.documents(now), "compact-documents")))
         return n
 
 
 def occurrences(chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """Chunk rows as index targets: position, metadata and document metadata added."""
-    facts = F.to_json(F.struct("chunk_index", "end_word", "start_word"))
+    facts = F.to_json(F.struct("boundary_kind", "chunk_index", "end_word", "raw_end_word", "snap_kind", "start_word"))
     out = chunks.withColumns({"position": F.col("chunk_index"), "metadata": facts})
     if documents is None:
         return out.withColumn("document_metadata", F.lit("{}"))

@@ -1,14 +1,12 @@
-"""Projects: configuration, sources, index and cache together; migrations with a journal."""
+"""Projects: configuration, sources, index and cache together; migrations with a journal. A project lives in a folder of any file system
+that Spark reads."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
-import uuid
-from dataclasses import asdict
+from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,113 +17,147 @@ from ..errors import ConfigError, VerificationError, WeftlineError
 from ..operators import chunking
 from ..sources.cache import Cache
 from ..sources.files import read_documents, unique_ids
+from ..tables import Store, written
 from .index import Commit, Index, occurrences
 
+JOURNAL, RECEIPTS, STATE = ".weftline/migration.json", ".weftline/receipts", ".weftline"
 
-def _replace(path: Path, text: str) -> None:
-    """Whole or not at all."""
-    temp = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
-    with temp.open("x") as f:
-        f.write(text)
-        f.flush()
-        os.fsync(f.fileno())
-    temp.replace(path)
+
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """A plan with what it was made from: chunks and documents are read and cut once, and the plan holds for one generation only."""
+
+    target: DataFrame
+    documents: DataFrame
+    generation: int
+    operations: dict[str, int]
+    cost: dict[str, Any]
 
 
 class Project:
-    def __init__(self, spark: SparkSession, folder: str | Path, config: cfg.Config | None = None) -> None:
-        self.spark, self.folder = spark, Path(folder).resolve()
-        self.file = self.folder / cfg.FILENAME
-        self.journal, self.receipts = self.folder / ".weftline/migration.json", self.folder / ".weftline/receipts"
-        self.config = config or cfg.load(self.file)
-        self.index, self.cache = Index(spark, f"file://{self.folder / self.config.store.index}"), Cache(spark, f"file://{self.folder / self.config.store.cache}")
+    def __init__(self, spark: SparkSession, folder: object, config: cfg.Config | None = None) -> None:
+        self.spark, self.store = spark, Store(spark, str(folder))
+        if config is None and not self.store.exists(cfg.FILENAME):
+            raise ConfigError(f"{self.store.path(cfg.FILENAME)} does not exist")
+        self.config = config or cfg.loads(self.store.read(cfg.FILENAME))
+        self._open()
 
-    @staticmethod
-    def init(folder: str | Path, force: bool = False) -> Path:
-        path = Path(folder) / cfg.FILENAME
-        if path.exists() and not force:
-            raise ConfigError(f"{path} exists")
-        path.parent.mkdir(parents=True, exist_ok=True)
-        _replace(path, cfg.render(cfg.Config()))
-        return path
-
-    def target(self, config: cfg.Config | None = None) -> DataFrame:
-        """Occurrences of the sources; the project's own state is never a source."""
-        c = config or self.config
-        docs = unique_ids(read_documents(self.spark, f"file://{self.folder / c.sources.base}", c.sources.exclude))
-        return occurrences(chunking.chunk_documents(docs, c.chunker.build()), docs)
+    def _open(self) -> None:
+        self.index, self.cache = Index(self.spark, self.store.path(self.config.store.index)), Cache(self.spark, self.store.path(self.config.store.cache))
 
-    def _cached(self, c: cfg.Config) -> DataFrame:
-        p = c.embedding.build()
-        return self.cache.rows().where((F.col("model_id") == p.model_id) & (F.col("params_hash") == p.params_hash)).select("chunk_hash", "vector")
+    @staticmethod
+    def init(spark: SparkSession, folder: object, force: bool = False) -> str:
+        store = Store(spark, str(folder))
+        if store.exists(cfg.FILENAME) and not force:
+            raise ConfigError(f"{store.path(cfg.FILENAME)} exists")
+        store.write(cfg.FILENAME, cfg.render(cfg.Config()))
+        return store.path(cfg.FILENAME)
 
-    def plan(self, config: cfg.Config | None = None) -> dict[str, Any]:
-        """Counts of operations and cost; writes nothing."""
+    @staticmethod
+    def adopt(spark: SparkSession, folder: object, old: str) -> str:
+        """Makes the project's configuration of an earlier one's file, which stays as it is."""
+        store = Store(spark, str(folder))
+        if not store.exists(old):
+            raise ConfigError(f"{store.path(old)} does not exist")
+        store.write(cfg.FILENAME, cfg.render(cfg.adopted(store.read(old))), exclusive=True)
+        return store.path(cfg.FILENAME)
+
+    def documents(self, config: cfg.Config | None = None, inputs: tuple[str, ...] = ()) -> DataFrame:
+        """The sources; the project's own state is never one."""
+        s = (config or self.config).sources
+        base = "" if s.base in (".", "") else s.base.rstrip("/") + "/"
+        own = (cfg.FILENAME, STATE, self.config.store.index, self.config.store.cache)
+        protect = tuple(p.removeprefix(base) for p in own if p.startswith(base))
+        return unique_ids(read_documents(self.spark, self.store.path(s.base), s.exclude, include=s.include, inputs=inputs, protect=protect))
+
+    def prepare(self, config: cfg.Config | None = None, force: bool = False, inputs: tuple[str, ...] = ()) -> Prepared:
+        """Reads, cuts and plans; writes nothing but scratch tables."""
         c = config or self.config
-        out = self.index.plan(self.target(c), c.embedding.build(), self._cached(c), c.embedding.price_per_million_tokens)
-        return {"operations": {r["kind"]: r["n"] for r in out["counts"].collect()}, "cost": out["cost"].first().asDict()}
-
-    def apply(self, config: cfg.Config | None = None, allow_deletes: bool = False) -> Commit:
+        docs = written(self.documents(c, inputs), "sources")
+        target = written(occurrences(chunking.chunk_documents(docs, c.chunker.build()), docs), "target")
+        now, provider = self.index.newest(), c.embedding.build()
+        known = self.cache.rows().where((F.col("model_id") == provider.model_id) & (F.col("params_hash") == provider.params_hash)).select("chunk_hash")
+        out = self.index.plan(target, provider, known, c.embedding.price_per_million_tokens)
+        return Prepared(target, docs.select("document_id", "metadata"), now.generation if now else 0, {r["kind"]: r["n"] for r in out["counts"].collect()}, out["cost"].first().asDict())
+
+    def plan(self, config: cfg.Config | None = None, inputs: tuple[str, ...] = ()) -> dict[str, Any]:
+        p = self.prepare(config, inputs=inputs)
+        return {"operations": p.operations, "cost": p.cost}
+
+    def apply_prepared(self, p: Prepared, config: cfg.Config | None = None, force: bool = False) -> Commit:
         c = config or self.config
-        planned = self.plan(c)["operations"]
-        if planned["delete"] and not allow_deletes and self.index.newest() is not None:
-            raise WeftlineError(f"{planned['delete']} chunks would be deleted; allow it explicitly")
-        return self.index.apply(self.target(c), c.embedding.build(), self._cached(c))
+        return self.index.apply(p.target, c.embedding.build(), self.cache, force, p.documents, p.generation, c.embedding.batch_size)
+
+    def apply(self, config: cfg.Config | None = None, allow_deletes: bool = False, inputs: tuple[str, ...] = ()) -> Commit:
+        p = self.prepare(config, inputs=inputs)
+        if p.operations["delete"] and not allow_deletes and p.generation:
+            raise WeftlineError(f"{p.operations['delete']} chunks would be deleted; allow it explicitly")
+        return self.apply_prepared(p, config)
 
     def query(self, text: str, k: int = 5) -> list[dict[str, Any]]:
         if not text.strip() or k < 1:
             raise WeftlineError("a query needs text and a positive limit")
         return [r.asDict() for r in self.index.query(text, self.config.embedding.build(), k).collect()]
 
-    def verify(self) -> None:
-        found = self.index.verify(self.target()).limit(20).collect()  # the first of them for the message
+    def verify(self, sources: bool = True) -> None:
+        """The index against its manifest and, with ``sources``, against the files as they are now."""
+        found = self.index.verify(self.prepare().target if sources else None).limit(20).collect()  # the first of them for the message
         if found:
-            raise VerificationError("; ".join(f"{r['document_id']}[{r['position']}]: {r['problem']}" for r in found))
+            raise VerificationError("; ".join(f"{r['document_id'] or 'index'}[{r['position']}]: {r['problem']}" for r in found))
 
     def migrate(self, strategy: str | None = None, model: str | None = None, apply: bool = False) -> dict[str, Any]:
         """Another chunker or model: preview, or a new generation and then the new configuration, through a journal."""
         self.recover()
-        new, text = self.config.with_changes(strategy, model), self.file.read_text()
-        out = {"changes": [k for k in ("chunker", "embedding") if getattr(new, k) != getattr(self.config, k)], **self.plan(new)}
+        new, text = self.config.with_changes(strategy, model), self.store.read(cfg.FILENAME)
+        p = self.prepare(new)
+        out = {"changes": [k for k in ("chunker", "embedding") if getattr(new, k) != getattr(self.config, k)], "operations": p.operations, "cost": p.cost}
         if not apply or not out["changes"]:
             return out
-        self.journal.parent.mkdir(parents=True, exist_ok=True)
-        old = self.index.newest()
-        entry = {"version": 1, "config_sha256": hashlib.sha256(text.encode()).hexdigest(), "config": cfg.render(new), "previous": text, "generation": old.generation if old else 0, "params_hash": new.embedding.build().params_hash, "model_id": new.embedding.build().model_id}
-        with self.journal.open("x") as f:  # one migration at a time
-            f.write(json.dumps(entry, sort_keys=True))
-            f.flush()
-            os.fsync(f.fileno())
-        self.index.apply(self.target(new), new.embedding.build(), self._cached(new), force=True)
+        provider = new.embedding.build()
+        entry = {"version": 1, "config_sha256": _sha(text), "config": cfg.render(new), "previous": text, "generation": p.generation, "params_hash": provider.params_hash, "model_id": provider.model_id}
+        self.store.write(JOURNAL, json.dumps(entry, sort_keys=True), exclusive=True)  # one migration at a time
+        self.apply_prepared(p, new, force=True)
         return out | {"recovered": self.recover()}
 
     def recover(self) -> str:
         """Ends a migration that was cut short: forward if its generation was published, else back."""
-        if not self.journal.exists():
+        if not self.store.exists(JOURNAL):
             return "nothing"
-        entry, now = json.loads(self.journal.read_text()), self.index.newest()
+        entry, now = json.loads(self.store.read(JOURNAL)), self.index.newest()
         if entry.get("version") != 1:
             raise ConfigError("the journal is of another version")
         done = now is not None and now.generation > entry["generation"] and (now.model_id, now.params_hash) == (entry["model_id"], entry["params_hash"])
         if done:
-            if hashlib.sha256(self.file.read_bytes()).hexdigest() not in (entry["config_sha256"], hashlib.sha256(entry["config"].encode()).hexdigest()):
+            if _sha(self.store.read(cfg.FILENAME)) not in (entry["config_sha256"], _sha(entry["config"])):
                 raise ConfigError("the configuration was changed during a migration")
-            self.receipts.mkdir(parents=True, exist_ok=True)
-            _replace(self.receipts / f"{now.generation:08d}.json", json.dumps({"applied_at": datetime.now(UTC).isoformat(), "previous": entry["previous"], **asdict(now)}, sort_keys=True))
-            _replace(self.file, entry["config"])
-            self.config = cfg.load(self.file)
-        self.journal.unlink()
+            receipt = {"applied_at": datetime.now(UTC).isoformat(), "previous": entry["previous"], "config_sha256": _sha(entry["config"]), **asdict(now)}
+            self.store.write(f"{RECEIPTS}/{now.generation:08d}.json", json.dumps(receipt, sort_keys=True))
+            self.store.write(cfg.FILENAME, entry["config"])
+            self.config = cfg.loads(entry["config"])
+            self._open()
+        self.store.delete(JOURNAL)
         return "forward" if done else "back"
 
+    def receipt(self) -> dict[str, Any]:
+        """The newest migration that led to the index and the configuration as they are."""
+        now, sha = self.index.newest(), _sha(self.store.read(cfg.FILENAME))
+        found = [json.loads(self.store.read(f"{RECEIPTS}/{n}")) for n in self.store.names(RECEIPTS)]
+        same = ("generation", "corpus_root", "model_id", "params_hash")
+        fits = [r for r in found if now and all(r[k] == getattr(now, k) for k in same) and r["config_sha256"] == sha]
+        if not fits:
+            raise WeftlineError("no receipt fits the index and the configuration as they are")
+        return max(fits, key=lambda r: r["applied_at"])
+
     def rollback(self) -> Commit:
-        """The configuration before the newest migration, as a new generation."""
-        now, names = self.index.newest(), sorted(self.receipts.glob("*.json"))
-        found = [r for r in (json.loads(p.read_text()) for p in names) if now and r["generation"] == now.generation and r["corpus_root"] == now.corpus_root]
-        if not found:
-            raise WeftlineError("no receipt fits the index as it is")
-        old = cfg.loads(found[-1]["previous"])
-        out = self.index.apply(self.target(old), old.embedding.build(), self._cached(old), force=True)
-        _replace(self.file, found[-1]["previous"])
+        """The configuration before the newest migration, as a new generation of the sources as they are."""
+        text = self.receipt()["previous"]
+        old = cfg.loads(text)
+        out = self.apply_prepared(self.prepare(old), old, force=True)
+        self.store.write(cfg.FILENAME, text)
         self.config = old
+        self._open()
         return out
-

@@ -24,3 +24,6 @@ WORD_PERSON = b"cairn-word-v1"
 HASH_FEATURE_PERSON = b"cairn-hash-v1"
 
 RABIN_BASE = 0x100000001B3
+
+#: Values of a chunk's ``boundary_reason`` that mean a hard cut.
+HARD_REASONS = ("hard-cut", "hard_max", "max")
