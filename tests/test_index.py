@@ -3,13 +3,14 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.errors import BackendError
-from weftline.functions import hashing
+from weftline.errors import BackendError, VerificationError
+from weftline.functions import hashing, text
 from weftline.operators import chunking, churn, diff, embedding, merkle, retrieval
-from weftline.plans import catalogue
+from weftline.plans import catalogue, manifest
 from weftline.plans.index import Commit, Index, occurrences, problems
 from weftline.sources.cache import KEY, Cache
 from weftline.sources.files import excluded, read_documents
+from weftline.tables import CommitLog
 
 SMALL = chunking.CDC(chunking.CDCParams(window_words=4, min_tokens=8, max_tokens=24, primary_mask_bits=3, backup_mask_bits=2))
 HASH = embedding.HashProvider("h", 32)
@@ -47,6 +48,126 @@ def test_life_of_an_index(spark, tmp_path):
     assert {r.problem for r in ix.verify(bad).collect()} == {"token_count differs"}
 
 
+def test_an_edit_writes_new_texts_only(spark, tmp_path):
+    ix = Index(spark, f"file://{tmp_path}/ix")
+    ix.apply(target(spark, [("a.md", GUIDE), ("b.md", "a short note"), ("c.md", "")]), HASH)
+    two = ix.apply(target(spark, [("a.md", GUIDE), ("b.md", "another note"), ("d.md", "a short note")]), HASH)
+    assert len(two.bodies) == 2 and spark.read.parquet(f"{tmp_path}/ix/{two.bodies[1]}").count() == 1
+    assert sorted(r.document_id for r in ix.documents().collect()) == ["a.md", "b.md", "d.md"] and ix.verify().count() == 0
+    every = spark.createDataFrame([("a.md", "{}"), ("e.md", '{"b": 1, "a": 2}')], "document_id string, metadata string")
+    three = ix.apply(target(spark, [("a.md", GUIDE)]), HASH, documents=every)
+    assert ix.verify().count() == 0 and {r.document_id: (r.chunk_count, r.metadata) for r in ix.documents().collect()}["e.md"] == (0, '{"a":2,"b":1}')
+    with pytest.raises(BackendError, match="changed since"):
+        ix.apply(target(spark, [("a.md", "x")]), HASH, expected=two.generation)
+    ix.compact()
+    assert len(ix.newest().bodies) == 1 and ix.newest().generation == three.generation + 1 and ix.verify().count() == 0
+
+
+def test_verify_names_what_was_tampered_with(spark, tmp_path):
+    ix = Index(spark, f"file://{tmp_path}/ix")
+    assert [r.problem for r in ix.verify().collect()] == ["index does not exist"]
+    now = ix.apply(target(spark, [("a.md", GUIDE), ("b.md", "a short note")]), HASH)
+    folder, body = f"{tmp_path}/ix/{now.folder}", f"{tmp_path}/ix/{now.bodies[0]}"
+
+    def found(part, change):
+        import shutil
+
+        shutil.move(part, f"{part}.kept")
+        change(spark.read.text(f"{part}.kept") if part.endswith("manifest") else spark.read.parquet(f"{part}.kept"), part)
+        try:
+            return {r.problem for r in ix.verify().collect()}
+        finally:
+            shutil.rmtree(part, ignore_errors=True)
+            shutil.move(f"{part}.kept", part)
+
+    only = lambda c, new: F.when(F.col("document_id") == "b.md", new).otherwise(F.col(c))
+    rows = lambda c, new: lambda df, p: df.withColumn(c, only(c, new)).write.parquet(p)
+    chunks, docs = f"{folder}/chunks", f"{folder}/documents"
+    assert found(chunks, rows("start_offset", F.lit(1).cast("long"))) == {"start_offset differs", "record digest differs"}
+    assert found(chunks, rows("metadata", F.lit("[1]"))) == {"metadata is invalid", "record digest differs"}
+    assert found(chunks, rows("metadata", F.lit('{"token_count": 9}'))) == {"metadata token_count differs", "metadata differs", "record digest differs"}
+    assert found(chunks, rows("model_id", F.lit("x"))) == {"embedding identity differs", "record digest differs"}
+    assert found(chunks, lambda df, p: df.where("document_id <> 'b.md'").write.parquet(p)) == {"position is missing"}
+    assert found(chunks, lambda df, p: df.unionByName(df).write.parquet(p)) == {"more than one active row"}
+    assert found(docs, rows("root_hash", F.lit("x"))) == {"root hash differs"} and found(docs, rows("chunk_count", F.lit(7))) == {"chunk count differs"}
+    assert found(docs, rows("hard_cuts", F.lit(7))) == {"hard-cut count differs"} and found(docs, rows("metadata", F.lit('{"x":1}'))) == {"document metadata differs"}
+    assert found(docs, rows("metadata", F.lit("{"))) == {"document metadata is invalid"} and found(docs, lambda df, p: df.where("document_id <> 'b.md'").write.parquet(p)) == {"document is missing"}
+    short = F.col("text") == "a short note"
+    assert found(body, lambda df, p: df.withColumn("text", F.when(short, "changed").otherwise(F.col("text"))).write.parquet(p)) == {"text does not match chunk hash", "record digest differs"}
+    assert found(body, lambda df, p: df.withColumn("vector", F.when(short, F.transform("vector", lambda x: -x)).otherwise(F.col("vector"))).write.parquet(p)) == {"record digest differs"}
+    assert found(body, lambda df, p: df.withColumn("vector", F.when(short, F.array(F.lit(float("nan")).cast("float"))).otherwise(F.col("vector"))).write.parquet(p)) == {"vector is invalid"}
+    assert found(body, lambda df, p: df.withColumn("vector", F.when(short, F.array(F.lit(1.0).cast("float"))).otherwise(F.col("vector"))).write.parquet(p)) == {"vector dimensions differ", "record digest differs"}
+    lines = lambda a, b: lambda df, p: df.select(F.replace("value", F.lit(a), F.lit(b))).write.text(p)
+    assert "manifest root differs from index root" not in found(f"{folder}/manifest", lambda df, p: df.write.text(p))
+    assert found(f"{folder}/manifest", lines('"schema_version":1', '"schema_version":2')) >= {"manifest is invalid: another schema version"}
+    assert found(f"{folder}/manifest", lines('"root_hash":"', '"root_hash":"0')) >= {"manifest is invalid: root hash differs from its chunks", "manifest root differs from index root"}
+    assert found(f"{folder}/manifest", lambda df, p: None) == {"manifest is absent"} and ix.verify().count() == 0
+
+
+def test_what_is_not_published(spark, tmp_path):
+    ix = Index(spark, f"file://{tmp_path}/ix")
+    good = target(spark, [("a.md", "some words here")])
+    with pytest.raises(BackendError, match="twice"):
+        ix.apply(good.unionByName(good), HASH)
+
+    class Bad:
+        model_id, params_hash, dimensions = "m", "p", 0
+
+        def embed(self, texts):
+            return [[] for _ in texts]
+
+    with pytest.raises(BackendError, match="dimensions"):
+        ix.apply(good, Bad())
+    assert ix.newest() is None
+    log = CommitLog(spark, f"file://{tmp_path}/log")
+    log.publish(1, {"a": 1})
+    (tmp_path / "log/00000002.json").write_text('{"a": ')
+    assert log.newest() == (1, {"a": 1})
+    with pytest.raises(BackendError):
+        log.publish(1, {"a": 2})
+
+
+def test_manifest_round_trip(spark, tmp_path):
+    rows = occurrences(chunking.chunk_documents(spark.createDataFrame([("b.md", GUIDE), ("a \"q\".md", "x /y é")], "document_id string, text string"), SMALL))
+    docs = manifest.documents(rows)
+    lines = manifest.to_json(docs, rows)
+    import json
+
+    for r in lines.collect():
+        assert json.dumps(json.loads(r.json), sort_keys=True, ensure_ascii=False, separators=(",", ":")) == r.json
+    back, chunks = manifest.read_strict(lines.select(F.col("json").alias("value")))
+    assert sorted(back.collect()) == sorted(docs.select(*back.columns).collect())
+    key = ["document_id", "position", "chunk_hash", "start_offset", "end_offset", "token_count"]
+    assert sorted(chunks.select(*key).collect()) == sorted(rows.select(*key).collect())
+    with pytest.raises(VerificationError):
+        manifest.read_strict(lines.select(F.replace("json", F.lit('"root_hash":"'), F.lit('"root_hash":"f')).alias("value")))
+    less = manifest.without_documents(lines, lines.where("document_id = 'b.md'"))
+    assert less.count() == 1 and manifest.with_documents(less, lines).count() == 2
+    mixed = rows.withColumn("chunker_id", F.when(F.col("position") == 0, "other").otherwise(F.col("chunker_id")))
+    with pytest.raises(Exception, match="different chunkers"):
+        manifest.documents(mixed).collect()
+
+
+def test_vectors_are_cached_and_work_goes_on_where_it_stopped(spark, tmp_path):
+    cache, calls = Cache(spark, f"file://{tmp_path}/cache"), tmp_path / "calls"
+    rows = spark.createDataFrame([(f"h{i}", f"text {i}", 2) for i in range(10)], "chunk_hash string, text string, token_count long")
+
+    class Counting(embedding.HashProvider):
+        def embed(self, texts):
+            with calls.open("a") as f:
+                f.write("".join(f"{t}\n" for t in texts))
+            return super().embed(texts)
+
+    provider = Counting("c", 8)
+    want = {r.chunk_hash: r.vector for r in embedding.embed_texts(rows, embedding.HashProvider("c", 8)).collect()}
+    embedding.embed_with_cache(rows.where("chunk_hash < 'h4'"), provider, cache, commit_rows=2)
+    got = {r.chunk_hash: r.vector for r in embedding.embed_with_cache(rows, provider, cache, commit_rows=3).collect()}
+    assert got == want and sorted(calls.read_text().split("\n")[:-1]) == sorted(f"text {i}" for i in range(10))  # each text once
+    assert cache.rows().count() == 10
+    data = embedding.vector_of(bytes(rows.limit(1).select(embedding.vector_bytes(F.array(F.lit(1.5).cast("float"), F.lit(-2.0).cast("float")))).first()[0]), 2)
+    assert data == [1.5, -2.0]
+
+
 def test_fifo_matching_of_repeats(spark):
     row = lambda p, h, a, m="{}", t=1: ("doc", p, h, a, a + 1, t, m, "{}")
     schema = "document_id string, position int, chunk_hash string, start_offset long, end_offset long, token_count long, metadata string, document_metadata string"
@@ -79,17 +200,30 @@ def test_cache(spark, tmp_path):
     c.put(spark.createDataFrame([row("a", [1.0, 0.0]), row("b", [0.0, 1.0])], schema))
     c.put(spark.createDataFrame([row("a", [1.0, 0.0])], schema))
     assert c.rows().count() == 2
-    for bad in ([2.0, 0.0], [float("nan"), 1.0]):
+    for bad in ([row("a", [2.0, 0.0])], [row("c", [float("nan"), 1.0])], [("", "m", "p", 1, [1.0], 1)], [row("d", [1.0]), row("d", [2.0])], [("e", "m", "p", 2, [1.0], 1)], [("e", "m", "p", 1, [1.0], -1)]):
         with pytest.raises(BackendError):
-            c.put(spark.createDataFrame([row("a", bad)], schema))
+            c.put(spark.createDataFrame(bad, schema))
+    assert c.rows().count() == 2
     got = {r.chunk_hash: r.vector for r in c.get(spark.createDataFrame([("a", "m", "p"), ("z", "m", "p")], "chunk_hash string, model_id string, params_hash string")).collect()}
     assert got == {"a": [1.0, 0.0], "z": None}
+    assert {r.chunk_hash: r.hit for r in c.contains(spark.createDataFrame([("a", "m", "p"), ("z", "m", "p")], "chunk_hash string, model_id string, params_hash string")).collect()} == {"a": True, "z": False}
     c.export_jsonl(f"{tmp_path}/out")
+    with pytest.raises(BackendError):
+        c.export_jsonl(f"{tmp_path}/out")
+    c.export_jsonl(f"{tmp_path}/out", force=True)
     d = Cache(spark, f"file://{tmp_path}/copy")
     with pytest.raises(BackendError):
         d.import_jsonl(f"{tmp_path}/out")
+    for line in ('{"chunk_hash": "x"}', "[]", "no", '{"chunk_hash": "x", "model_id": "m", "params_hash": "p", "vector": [1.0], "token_count": "2"}', '{"chunk_hash": "x", "model_id": "m", "params_hash": "p", "vector": [1.0], "token_count": 2, "more": 1}'):
+        (tmp_path / "bad.jsonl").write_text(line + "\n")
+        with pytest.raises(BackendError):
+            d.import_jsonl(f"{tmp_path}/bad.jsonl", trusted=True)
+    assert d.rows().count() == 0
     d.import_jsonl(f"{tmp_path}/out", trusted=True)
     assert d.rows().count() == 2 and d.prune(lambda r: r.where("chunk_hash = 'a'")) == 1 and d.rows().select(*KEY).first()[0] == "a"
+    assert d.vacuum() > 0 and d.rows().count() == 1
+    with pytest.raises(BackendError):
+        Cache(spark, f"file://{tmp_path}/copy", readonly=True).put(spark.createDataFrame([row("q", [1.0])], schema))
 
 
 def test_files(spark, tmp_path):
@@ -102,6 +236,18 @@ def test_files(spark, tmp_path):
     (tmp_path / "docs/d.md").write_bytes(b"x\0y")
     with pytest.raises(Exception, match="not a text file"):
         read_documents(spark, str(tmp_path)).collect()
+    (tmp_path / "docs/d.md").unlink()
+    (tmp_path / "docs/sub").mkdir()
+    (tmp_path / "docs/sub/e.md").write_text("deep")
+    ids = lambda **o: sorted(r.document_id for r in read_documents(spark, f"file://{tmp_path}", **o).select("document_id").collect())
+    assert ids(include=("docs/*.md",)) == ["docs/a.md"] and ids(include=("docs/**/*.md",)) == ["docs/a.md", "docs/sub/e.md"]
+    assert ids(inputs=("docs/sub", "docs/sub/e.md")) == ["docs/sub/e.md"] and ids(protect=("docs/sub", "docs/drafts/b.txt")) == ["docs/a.md"]
+    for wrong in ("../x", "none.md", "/etc"):
+        with pytest.raises(Exception, match="source|path"):
+            ids(inputs=(wrong,))
+    (tmp_path / "docs/f.md").symlink_to("/etc/hostname")
+    with pytest.raises(Exception, match="outside the base"):
+        read_documents(spark, f"file://{tmp_path}").collect()
     assert excluded("docs/drafts/b.txt", ("**/drafts/**",)) and excluded("x/y.lock", ("*.lock",)) and not excluded("docs/a.md", ("**/drafts/**",))
 
 
@@ -125,8 +271,8 @@ def test_embedding_and_scores(spark):
         embedding.distinct_inputs(spark.createDataFrame([("h", "a", 1), ("h", "b", 1)], "chunk_hash string, text string, token_count long")).collect()
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0])], "id int, vector array<double>")
     assert [(r.id, r.score) for r in embedding.top_k(rows, [2.0, 0.0], 3, ["id"]).collect()] == [(1, 1.0), (2, 0.0), (3, float("-inf"))]
-    found = spark.createDataFrame([("q", 1, False), ("q", 2, True), ("q", 3, True)], "q string, rank int, relevant boolean")
-    r = retrieval.recall_ndcg(found, "q", 2).first()
+    found = spark.createDataFrame([("q", 1, 0.9, False), ("q", 2, 0.5, True), ("q", 3, 0.1, True)], "q string, id int, score double, relevant boolean")
+    r = retrieval.recall_ndcg(retrieval.first_ranked(found, "q", ["id"], 2), "q", 2).first()
     assert r.recall == 0.5 and abs(r.ndcg - (1 / 1.584962500721156) / (1 + 1 / 1.584962500721156)) < 1e-9
 
 
@@ -155,3 +301,80 @@ def test_churn_grid_has_every_strategy_and_edit(spark, tmp_path):
         old, new = bag(texts), bag([changed(t, e) for t in texts])
         assert (r.old_chunks, r.new_chunks, r.reused, r.to_embed) == (old.total(), new.total(), (old & new).total(), (new - old).total())
         assert r.reembed_fraction == pytest.approx((new - old).total() / new.total())
+
+
+CORPORA = [
+    ("guide", "a.md", "# Field guide\n\nOwls hunt at night. They fly without a sound! Can you hear owls?\n\n## Food\n\nOwls eat mice and voles. A pellet tells what an owl ate.\n\n## Nests\n\nMost owls nest in hollow trees. Some owls take old nests.\n"),
+    ("guide", "b.md", "A short note on herons."),
+    ("lease", "c.md", "# Lease\n\nThe tenant pays rent on Monday. The tenant keeps the harbour clean.\n\n## Repairs\n\nThe landlord repairs the quay wall each spring.\n\n## End\n\nThe lease ends when the tenant gives notice in writing.\n"),
+]
+
+
+def test_edit_cases_and_corpus_churn(spark):
+    docs = spark.createDataFrame(CORPORA, "corpus string, document_id string, text string")
+    cases = churn.edit_cases(docs).collect()
+    assert {(c.corpus, c.document_id) for c in cases} == {("guide", "a.md"), ("lease", "c.md")} and len(cases) == 18
+    with pytest.raises(Exception, match="no document allows"):
+        churn.edit_cases(docs.where("document_id = 'b.md'")).collect()
+    small = chunking.Recursive(8, 2)
+
+    def cut(df):
+        others = [c for c in df.columns if c != "text"]
+        return churn.split_documents(df, lambda t: chunking.split(t, small)).select(*others, "chunk_hash", "token_count")
+
+    got = {(r.corpus, r.operation): r for r in churn.corpus_churn(docs, cut, 1.0).collect()}
+    for c in cases:
+        bag = lambda t: Counter(x["chunk_hash"] for x in chunking.split(t, small))
+        other = sum((bag(t) for k, d, t in CORPORA if k == c.corpus and d != c.document_id), Counter())
+        old, new, r = bag(c.original) + other, bag(c.revised) + other, got[c.corpus, c.operation]
+        assert (r.old_chunks, r.new_chunks, r.reused, r.to_embed) == (old.total(), new.total(), (old & new).total(), (new - old).total())
+    t = churn.totals(spark.createDataFrame([("s", 4, 4, 3, 1, 10), ("s", 6, 6, 6, 0, 0)], "strategy string, old_chunks long, new_chunks long, reused long, to_embed long, tokens_to_embed long")).first()
+    assert (t.to_embed, t.reembed_fraction) == (1, 0.1)
+
+
+def test_chunks_of_any_splitter():
+    class Doc:
+        page_content, token_count = "a b c", True
+
+    digest = lambda t: __import__("hashlib").sha256(b"cairn:measure:chunk:v1\0" + t.encode()).hexdigest()
+    assert churn.snapshot("x y") == (digest("x y"), "x y", 2) and churn.snapshot(Doc()) == (digest("a b c"), "a b c", 3)
+    assert churn.snapshot({"text": "q", "chunk_hash": "h", "token_count": 7}) == ("h", "q", 7)
+    with pytest.raises(TypeError):
+        churn.snapshot(5)
+
+
+def test_retrieval_benchmark(spark):
+    docs = spark.createDataFrame(CORPORA, "corpus string, document_id string, text string")
+    questions = spark.createDataFrame([("q1", "guide", "what do owls eat", ["owls  EAT mice"]), ("q2", "lease", "who repairs the quay wall", ["landlord repairs the quay wall"])], "question_id string, corpus string, query string, evidence array<string>")
+    chunks = None
+    for name, c in {"fixed": chunking.Fixed(12), "recursive": chunking.Recursive(24, 4)}.items():
+        own = chunking.chunk_documents(docs.where("true"), c).join(docs.select("document_id", "corpus"), "document_id").select(F.lit(name).alias("strategy"), "corpus", "document_id", "chunk_index", "text")
+        chunks = own if chunks is None else chunks.unionByName(own)
+    for scorer in (None, embedding.HashProvider("r", 256)):
+        got = retrieval.evaluate(chunks, questions, 3, scorer)
+        assert got.count() == 4 and all(r.recall == 1.0 and r.ndcg > 0.9 and r.top_chunks[0].relevant for r in got.collect())
+        assert {r.strategy: r.questions for r in retrieval.summary(got).collect()} == {"fixed": 2, "recursive": 2}
+    with pytest.raises(ValueError, match="unknown corpus"):
+        retrieval.evaluate(chunks, questions.withColumn("corpus", F.lit("none")))
+    with pytest.raises(ValueError, match="evidence"):
+        retrieval.evaluate(chunks, questions.withColumn("evidence", F.array(F.lit("no such words"))))
+    with pytest.raises(ValueError, match="positive"):
+        retrieval.evaluate(chunks, questions, 0)
+
+
+def test_case_folding_and_normalising_in_columns(spark):
+    chars = [chr(c) for c in [*range(1, 0x3000), *range(0xA640, 0xABC0), *range(0xFB00, 0xFB18), *range(0x10400, 0x10450), 0x1E9E] if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(c, f"a{c}Σ bΣ") for c in chars], "c string, t string").select("t", text.casefold_column(F.col("t")).alias("f")).collect()
+    wrong = [r.t for r in rows if r.f != r.t.casefold()]
+    assert len(wrong) <= 40, wrong  # letters that the JVM's Unicode doesn't know yet
+    odd = ["  a\x1c b\r\n\r\nc \n \t\n\n d", "\u3000x\u2003 y\n\n", "", " \n\n ", "a\n\n\n\nb", "\ufdd0 z", "x" + " " * 20000 + "y" + " " * 20000]
+    got = spark.createDataFrame([(t,) for t in odd], "t string").select("t", text.normalized_column(F.col("t")).alias("n")).collect()
+    assert [r.n for r in got] == [text.normalize(t).text for t in odd]
+
+
+def test_passages_are_found_wherever_they_stand(spark):
+    texts = [(1, "The quick brown Fox  jumps over it"), (2, "xthe quick brown foxy"), (3, "quick brown"), (4, None), (5, ""), (6, "STRASSE in der Stadt hier")]
+    passages = [(1, "the quick brown fox"), (2, "brown fox jumps over"), (3, "quick"), (4, "straße in der stadt hier"), (5, "a b c d e")]
+    got = retrieval.holding(spark.createDataFrame(texts, "t long, text string"), spark.createDataFrame(passages, "p long, text string"), "t", "p", 2)
+    fold = lambda x: " ".join((x or "").casefold().split())
+    assert sorted(map(tuple, got.collect())) == sorted((t, p) for t, a in texts for p, b in passages if a is not None and fold(b) in fold(a))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import wire
 
 TokenCounter = Callable[[str], int]
+#: Fixed patterns of the normaliser's protocol: a word, a blank line between words, a word that ends a sentence.
 _WORD = re.compile(r"\S+")
 _BLANK = re.compile(r"\n[\t\f\v ]*\n")
 _CLOSED = re.compile(r"[.!?](?:[\"'\)\]\}]+)?$")
@@ -129,16 +130,31 @@ def words_column(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 
 
+#: All of Python's white space.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def normalized_column(text: Column) -> Column:
     """Normalised text of NFC input: one space between words, one blank line between paragraphs; JVM only."""
-    unix = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
-    marked = F.regexp_replace(unix, r"(?U)[\s\x1c-\x1f]*\n[\t\f\x0B ]*\n[\s\x1c-\x1f]*", "﷐")
-    return F.replace(F.regexp_replace(marked, r"(?U)[\s\x1c-\x1f]+", " "), F.lit("﷐"), F.lit("\n\n"))
+    unix = F.regexp_replace(text, "\r\n?", "\n")
+    parts = F.transform(F.split(unix, r"\n[\t\f\x0B ]*\n"), lambda p: F.regexp_replace(F.btrim(p, F.lit(BLANKS)), r"(?U)[\s\x1c-\x1f]+", " "))
+    return F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")
+
+
+#: What lower-case characters fold into where that isn't themselves; the JVM lowers a last sigma by its place, folding does not.
+_FOLDS = {c: c.casefold() for c in map(chr, range(0x110000)) if c == c.lower() != c.casefold()}
+_LONG = {c: f for c, f in _FOLDS.items() if len(f) > 1 and c != "ß"}
 
 
 def casefold_column(text: Column) -> Column:
-    """Case folding as far as lower-casing and the sharp s go; the Python operators fold fully."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full case folding; JVM only. Letters that fold into several are replaced where a text has any, the sharp s always."""
+    short = "".join(c for c, f in _FOLDS.items() if len(f) == 1)
+    low = F.lower(text)
+    rare = low
+    for c, f in _LONG.items():
+        rare = F.replace(rare, F.lit(c), F.lit(f))
+    fold = lambda t: F.replace(F.translate(t, short, "".join(_FOLDS[c] for c in short)), F.lit("ß"), F.lit("ss"))
+    return F.when(low.rlike("[" + "".join(_LONG) + "]"), fold(rare)).otherwise(fold(low))
 
 
 def sentence_break_column(word: Column) -> Column:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import re
-from collections import Counter
-from collections.abc import Callable
+import string
+from collections.abc import Callable, Iterable
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import wire
+from ..tables import written
+
 #: Fixed texts of the synthetic edits.
 SENTENCE = "The calibrated inspection marker was recorded for this benchmark."
 PARAGRAPH = "Benchmark note: the operator verified the local reading twice. This inserted paragraph models a focused documentation update."
@@ -21,79 +27,87 @@ COMMON = frozenset(("after", "before", "each", "from", "into", "must", "only", "
 Span = tuple[int, int]
 
 
+def _trimmed(text: str, a: int, b: int) -> Span:
+    """The part of a span without white space in front of it."""
+    return b - len(text[a:b].lstrip()), b
+
+
 def sentences(text: str) -> list[Span]:
-    out, start = [], 0
-    for end in [*(m.end() for m in re.finditer(r"[.!?](?=\s|$)", text)), len(text.rstrip())]:
-        body = text[start:end]
-        if body.strip():
-            out.append((start + len(body) - len(body.lstrip()), end))
-        start = max(start, end)
-    return out
+    """What ends with a mark before white space or the end; a rest without a mark is one too."""
+    ends = [m.end() for m in re.finditer(r"[.!?](?!\S)", text)]
+    body = len(text.rstrip())
+    cuts = [0, *ends, *([body] if not ends or ends[-1] < body else [])]
+    return [_trimmed(text, a, b) for a, b in itertools.pairwise(cuts) if text[a:b].strip()]
 
 
 def paragraphs(text: str) -> list[Span]:
-    cuts = [m.span() for m in re.finditer(r"\r?\n[ \t]*\r?\n", text)]
-    spans = zip([0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(text)], strict=True)
-    return [(a, b) for a, b in spans if text[a:b].strip()]
+    """What lies between blank lines."""
+    gaps = [(0, 0), *(m.span() for m in re.finditer(r"\r?\n[ \t]*\r?\n", text)), (len(text), len(text))]
+    return [(a, b) for (_, a), (b, _) in itertools.pairwise(gaps) if text[a:b].strip()]
 
 
 def sections(text: str) -> list[Span]:
-    """Body sections: by headings if there are two, a title block apart; else paragraphs."""
-    at = [m.start() for m in re.finditer(r"(?m)^#{1,6}[ \t]+[^\r\n]+", text)]
-    if len(at) < 2:
-        found = paragraphs(text)
+    """What headings begin, if there are two; else paragraphs. A title that stands over sections of a lower level is none of them."""
+    heads = [(m.start(), len(m[1])) for m in re.finditer(r"^(#{1,6})[ \t]+[^\r\n]+", text, re.MULTILINE)]
+    if len(heads) < 2:
+        spans = paragraphs(text)
+        levels = [len(m[0]) if (m := re.match(r"#{1,6}(?= )", text[a:b])) else 0 for a, b in spans]
     else:
-        found = list(zip(at, [*at[1:], len(text)], strict=True))
-    titled = len(found) >= 3 and text[slice(*found[0])].startswith("# ") and text[slice(*found[1])].startswith("## ")
-    return found[1:] if titled else found
+        spans, levels = list(itertools.pairwise([*(h for h, _ in heads), len(text)])), [n for _, n in heads]
+    strict = lambda k: text.startswith("#" * levels[k] + " ", spans[k][0])
+    title = len(spans) > 2 and levels[0] == 1 and levels[1] == 2 and strict(0) and strict(1)
+    return spans[title:]
 
 
-def _insert(text: str, at: int, new: str, gap: str) -> str:
-    rest = text[at:].lstrip()
-    return text[:at].rstrip() + gap + new + (gap + rest if rest else "")
+def _nth(spans: list[Span], n: int, what: str) -> Span:
+    """Span number n, counted from 1."""
+    if len(spans) < n:
+        raise ValueError(f"the text has {len(spans)} {what}, the edit needs {n}")
+    return spans[n - 1]
 
 
-def _need(found: list[Span], n: int, what: str) -> list[Span]:
-    if len(found) < n:
-        raise ValueError(f"this edit needs at least {n} {what}")
-    return found
+def _spliced(pieces: list[str], gap: str) -> str:
+    """Pieces put together: white space where they meet gives way to the gap, and an empty last one leaves none."""
+    *front, last = pieces
+    kept = [front[0].rstrip(), *(p.strip() for p in front[1:])]
+    return gap.join([*kept, last.lstrip()] if last.strip() else kept)
 
 
-def _delete_sentence(text: str) -> str:
-    a, b = _need(sentences(text), 2, "sentences")[1]
-    joined = " ".join(filter(None, (text[:a].rstrip(), text[b:].lstrip())))
-    return joined.rstrip() + "\n" * text.endswith("\n")
+def _inserted(text: str, after: Span, new: str, gap: str) -> str:
+    return _spliced([text[: after[1]], new, text[after[1] :]], gap)
 
 
-def _delete_paragraph(text: str) -> str:
-    a, b = _need(paragraphs(text), 2, "paragraphs")[1]
-    return f"{text[:a].rstrip()}\n\n{text[b:].lstrip()}".strip() + "\n" * text.endswith("\n")
+def _without(text: str, span: Span, gap: str) -> str:
+    """The text without a span; it ends with a line feed if it did."""
+    rest = [p for p in (text[: span[0]].rstrip(), text[span[1] :].strip()) if p]
+    return gap.join(rest) + ("\n" if text.endswith("\n") else "")
 
 
 def _bump(text: str) -> str:
-    """The first ASCII letter from a third of the text on (wrapping) becomes the next one."""
-    third = len(text) // 3
-    m = re.compile("[A-Za-z]").search(text, third) or re.compile("[A-Za-z]").search(text)
-    if not m:
-        raise ValueError("this edit needs an ASCII letter")
-    c = m[0]
-    return text[: m.start()] + {"z": "a", "Z": "A"}.get(c, chr(ord(c) + 1)) + text[m.end() :]
+    """The first ASCII letter from a third of the text on, or else from its start, becomes the next one of the alphabet."""
+    letters = [m.start() for m in re.finditer("[A-Za-z]", text)]
+    if not letters:
+        raise ValueError("the text has no ASCII letter")
+    at = next((k for k in letters if k >= len(text) // 3), letters[0])
+    alphabet = string.ascii_lowercase if text[at].islower() else string.ascii_uppercase
+    return text[:at] + alphabet[(alphabet.index(text[at]) + 1) % 26] + text[at + 1 :]
 
 
-def _reorder(text: str) -> str:
-    (a, b), (c, d) = _need(sections(text), 2, "sections")[:2]
-    return text[:a] + text[c:d].rstrip() + "\n\n" + text[a:b].rstrip() + "\n\n" + text[d:].lstrip()
+def _reordered(text: str) -> str:
+    one, two = (_nth(sections(text), n, "sections") for n in (1, 2))
+    moved = [text[slice(*two)], text[slice(*one)]]
+    return text[: one[0]] + "".join(p.rstrip() + "\n\n" for p in moved) + text[two[1] :].lstrip()
 
 
 def default_term(text: str) -> str:
     """The most frequent repeated word, of equals the first by alphabet, in its first spelling."""
-    found = [w for w in re.findall(r"\b[A-Za-z][A-Za-z0-9_-]{3,}\b", text) if w.casefold() not in COMMON]
-    counts = Counter(w.casefold() for w in found)
-    repeated = [(-n, w) for w, n in counts.items() if n > 1]
-    if not repeated:
-        raise ValueError("this edit needs a repeated word")
-    best = min(repeated)[1]
-    return next(w for w in found if w.casefold() == best)
+    spellings: dict[str, list[str]] = {}
+    for word in re.findall(r"\b[A-Za-z][\w-]{3,}\b", text, re.ASCII):
+        spellings.setdefault(word.casefold(), []).append(word)
+    often = sorted((-len(found), key) for key, found in spellings.items() if len(found) > 1 and key not in COMMON)
+    if not often:
+        raise ValueError("no word that says something occurs twice")
+    return spellings[often[0][1]][0]
 
 
 def replace_all(text: str, find: str | None = None, new: str | None = None) -> str:
@@ -106,13 +120,13 @@ def replace_all(text: str, find: str | None = None, new: str | None = None) -> s
 
 
 EDITS: dict[str, Callable[[str], str]] = {
-    "insert-sentence": lambda t: _insert(t, _need(sentences(t), 1, "sentence")[0][1], SENTENCE, " "),
-    "insert-paragraph": lambda t: _insert(t, _need(paragraphs(t), 1, "paragraph")[:2][-1][1], PARAGRAPH, "\n\n"),
-    "insert-section": lambda t: _insert(t, _need(sections(t), 1, "section")[0][1], SECTION, "\n\n"),
-    "delete-sentence": _delete_sentence,
-    "delete-paragraph": _delete_paragraph,
+    "insert-sentence": lambda t: _inserted(t, _nth(sentences(t), 1, "sentences"), SENTENCE, " "),
+    "insert-paragraph": lambda t: _inserted(t, _nth(paragraphs(t)[:2][::-1], 1, "paragraphs"), PARAGRAPH, "\n\n"),
+    "insert-section": lambda t: _inserted(t, _nth(sections(t), 1, "sections"), SECTION, "\n\n"),
+    "delete-sentence": lambda t: _without(t, _nth(sentences(t), 2, "sentences"), " "),
+    "delete-paragraph": lambda t: _without(t, _nth(paragraphs(t), 2, "paragraphs"), "\n\n").lstrip(),
     "replace-same-length": _bump,
-    "reorder-sections": _reorder,
+    "reorder-sections": _reordered,
     "append": lambda t: t.rstrip() + APPENDED,
     "global-replace": replace_all,
 }
@@ -144,3 +158,65 @@ def bag_churn(old: DataFrame, new: DataFrame, price_per_million: float | None =
     out = both.groupBy(*by).agg(F.coalesce(F.sum("o"), F.lit(0)).alias("old_chunks"), total.alias("new_chunks"), F.coalesce(F.sum(F.least("o", "n")), F.lit(0)).alias("reused"), F.coalesce(F.sum(F.greatest(F.col("o") - F.col("n"), F.lit(0).cast("long"))), F.lit(0)).alias("removed"), F.coalesce(F.sum(added), F.lit(0)).alias("to_embed"), F.coalesce(F.sum(added * F.coalesce("n_tokens", F.lit(0))), F.lit(0)).alias("tokens_to_embed"))
     rate = F.lit(None if price_per_million is None else price_per_million / 1e6).cast("double")
     return out.withColumns({"reembed_fraction": F.when(F.col("new_chunks") > 0, F.col("to_embed") / F.col("new_chunks")).otherwise(0.0), "estimated_cost": F.col("tokens_to_embed") * rate})
+
+
+def edit_cases(docs: DataFrame, corpus: str = "corpus") -> DataFrame:
+    """(corpus, operation, document_id, original, revised): all edits of one document a corpus, the longest that allows every one of them,
+    of two as long the one with the lower id. ``docs``: corpus, document_id, text. A corpus without such a document is an error."""
+
+    def revisions(text: str | None) -> list[dict] | None:
+        try:
+            return [{"operation": name, "revised": edit(text)} for name, edit in EDITS.items()] if text else None
+        except ValueError:
+            return None
+
+    @F.pandas_udf("array<struct<operation:string,revised:string>>")
+    def every(found: pd.Series) -> pd.Series:
+        return found.map(revisions)
+
+    own = docs.select(F.col(corpus).alias("corpus"), "document_id", F.col("text").alias("original"), every("text").alias("e"))
+    order = F.struct(F.col("e").isNull(), -F.length("original"), "document_id")
+    best = own.groupBy("corpus").agg(F.min_by(F.struct("document_id", "original", "e"), order).alias("b"))
+    cases = F.when(F.col("b.e").isNull(), F.raise_error(F.concat(F.lit("no document allows all edits in "), F.col("corpus").cast("string")))).otherwise(F.col("b.e"))
+    return best.select("corpus", "b.document_id", "b.original", F.explode(cases).alias("c")).select("corpus", "c.operation", "document_id", "original", "c.revised")
+
+
+def snapshot(chunk: Any) -> tuple[str, str, int]:  # noqa: ANN401
+    """(chunk_hash, text, token_count) of what any splitter gives: a string, a mapping or an object with page_content or text. A hash or a
+    count of its own holds; else they are made of the text."""
+    have = (lambda k: None) if isinstance(chunk, str) else chunk.get if hasattr(chunk, "get") else lambda k: getattr(chunk, k, None)
+    text = chunk if isinstance(chunk, str) else next((t for t in map(have, ("page_content", "text")) if isinstance(t, str)), None)
+    if text is None:
+        raise TypeError("a chunk is a text or has one as page_content or text")
+    digest, count = have("chunk_hash"), have("token_count")
+    if not isinstance(digest, str) or not digest:
+        digest = hashlib.sha256(wire.MEASURE_CHUNK_PREFIX + text.encode()).hexdigest()
+    return digest, text, count if type(count) is int and count >= 0 else len(text.split())
+
+
+def split_documents(docs: DataFrame, splitter: Callable[[str], Iterable[Any]], text: str = "text") -> DataFrame:
+    """Chunks by a splitter of one's own, which is sent to the tasks: the other columns of ``docs`` and chunk_index, chunk_hash, text, token_count."""
+
+    @F.pandas_udf("array<struct<chunk_hash:string,text:string,token_count:long>>")
+    def cut(found: pd.Series) -> pd.Series:
+        return found.map(lambda t: [dict(zip(("chunk_hash", "text", "token_count"), snapshot(c), strict=True)) for c in splitter(t or "")])
+
+    others = [c for c in docs.columns if c != text]
+    return docs.select(*others, F.posexplode(cut(text)).alias("chunk_index", "c")).select(*others, "chunk_index", "c.*")
+
+
+def corpus_churn(docs: DataFrame, chunks_of: Callable[[DataFrame], DataFrame], price_per_million: float | None = None) -> DataFrame:
+    """Churn of whole corpora, by (corpus, operation): each edit is made in one document (``edit_cases``), the others count on both sides.
+    ``docs``: corpus, document_id, text; ``chunks_of`` adds chunk_hash and token_count, a row a chunk, and keeps the other columns."""
+    cases = written(edit_cases(docs), "churn-cases")
+    before = written(chunks_of(docs.select("corpus", "document_id", "text")).select("corpus", "document_id", "chunk_hash", "token_count"), "churn-before")
+    old = before.join(F.broadcast(cases.select("corpus", "operation", F.col("document_id").alias("edited"))), "corpus")  # nine rows a corpus
+    new = chunks_of(cases.select("corpus", "operation", "document_id", F.col("revised").alias("text"))).select("corpus", "operation", "chunk_hash", "token_count")
+    after = old.where("document_id <> edited").select("corpus", "operation", "chunk_hash", "token_count").unionByName(new)
+    return bag_churn(old, after, price_per_million, ("corpus", "operation"))
+
+
+def totals(churn: DataFrame, by: str = "strategy") -> DataFrame:
+    """Sums over cells, and the share of new chunks weighted by their number."""
+    sums = churn.groupBy(by).agg(*(F.sum(c).alias(c) for c in ("old_chunks", "new_chunks", "reused", "to_embed", "tokens_to_embed")))
+    return sums.withColumn("reembed_fraction", F.when(F.col("new_chunks") > 0, F.col("to_embed") / F.col("new_chunks")).otherwise(0.0))

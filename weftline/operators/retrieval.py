@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import casefold_column
+from ..functions.text import casefold_column, words_column
+from ..tables import written
+from .embedding import cosine
 
 #: Fixed words that scores leave out.
 STOP_WORDS = ("a", "an", "and", "are", "at", "be", "by", "do", "does", "for", "how", "in", "is", "it", "of", "on", "or", "the", "to", "what", "when", "where", "which", "with")
@@ -16,35 +22,113 @@ def tokens_column(text: Column) -> Column:
     return F.filter(F.transform(found, casefold_column), lambda t: ~t.isin(*STOP_WORDS))
 
 
-def tfidf_scores(queries: DataFrame, texts: DataFrame) -> DataFrame:
-    """(query_id, text_id, score) for all pairs that share a token. idf = ln((N + 1) / (df + 1)) + 1 over the texts, in the query too."""
-    n = texts.agg(F.count("*").alias("n_texts"))
-    terms = lambda df, i: df.select(i, F.explode(tokens_column(F.col("text"))).alias("token")).groupBy(i, "token").agg(F.count("*").alias("tf"))
+def tfidf_scores(queries: DataFrame, texts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, query_id, text_id, score) for all pairs that share a token. idf = ln((N + 1) / (df + 1)) + 1 over the texts, in the query too;
+    with columns ``by`` each group of them is a collection of its own."""
+    n = texts.groupBy(*by).agg(F.count("*").alias("n_texts"))
+    terms = lambda df, i: df.select(*by, i, F.explode(tokens_column(F.col("text"))).alias("token")).groupBy(*by, i, "token").agg(F.count("*").alias("tf"))
     q, t = terms(queries, "query_id"), terms(texts, "text_id")
-    df = t.groupBy("token").agg(F.count("*").alias("df"))
-    idf = lambda x: x.crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((F.col("n_texts") + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0))
-    tw, qw = idf(t.join(df, "token")), idf(q.join(df, "token", "left"))
-    norm = lambda x, i: x.groupBy(i).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"{i}_norm"))
-    dot = qw.select("query_id", "token", F.col("w").alias("qw")).join(tw.select("text_id", "token", "w"), "token").groupBy("query_id", "text_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    return dot.join(norm(qw, "query_id"), "query_id").join(norm(tw, "text_id"), "text_id").select("query_id", "text_id", (F.col("dot") / (F.col("query_id_norm") * F.col("text_id_norm"))).alias("score"))
+    df = t.groupBy(*by, "token").agg(F.count("*").alias("df"))
+    meet = lambda x: x.join(F.broadcast(n), list(by)) if by else x.crossJoin(F.broadcast(n))  # noqa: E731  # a row a group
+    idf = lambda x: meet(x).withColumn("w", F.col("tf") * (F.log((F.col("n_texts") + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0))
+    tw, qw = idf(t.join(df, [*by, "token"])), idf(q.join(df, [*by, "token"], "left"))
+    norm = lambda x, i: x.groupBy(*by, i).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"{i}_norm"))
+    dot = qw.select(*by, "query_id", "token", F.col("w").alias("qw")).join(tw.select(*by, "text_id", "token", "w"), [*by, "token"]).groupBy(*by, "query_id", "text_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    return dot.join(norm(qw, "query_id"), [*by, "query_id"]).join(norm(tw, "text_id"), [*by, "text_id"]).select(*by, "query_id", "text_id", (F.col("dot") / (F.col("query_id_norm") * F.col("text_id_norm"))).alias("score"))
+
+
+def holding(texts: DataFrame, passages: DataFrame, text_id: str, passage_id: str, width: int = 3) -> DataFrame:
+    """(text_id, passage_id) of every text that holds a passage, case and white space apart. The words inside a passage, all but its first and
+    last, are whole words of the text, so texts meet passages by their first ``width`` inner words, in a hash join, and are then compared;
+    passages that are too short for that are a stated query set against all texts."""
+    own = texts.select(text_id, plain(F.col("text")).alias("body"))
+    asked = passages.select(passage_id, plain(F.col("text")).alias("passage")).withColumn("w", F.split("passage", " "))
+    asked = asked.withColumn("key", F.when(F.size("w") >= width + 2, F.array_join(F.slice("w", 2, width), " "))).drop("w")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("v") - width + 1, F.lit(1))), lambda k: F.array_join(F.slice("v", k, width), " "))
+    each = own.withColumn("v", F.split("body", " ")).select(text_id, "body", F.explode(F.array_distinct(grams)).alias("key"))
+    keyed, short = asked.where("key is not null"), asked.where("key is null").drop("key")
+    few = lambda df: F.broadcast(df) if df.limit(10_001).count() <= 10_000 else df
+    met = each.join(few(keyed), "key").unionByName(own.join(few(short), F.contains("body", "passage")), allowMissingColumns=True)
+    return met.where(F.contains("body", "passage")).select(text_id, passage_id)
+
+
+class EmbeddingScorer(Protocol):
+    """What gives vectors for retrieval scores; a Provider is one."""
+
+    def embed(self, texts: Sequence[str]) -> list[Sequence[float]]: ...
+
+
+def embedding_scores(queries: DataFrame, texts: DataFrame, scorer: EmbeddingScorer, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, query_id, text_id, score) for all pairs inside a group: cosines of vectors in double precision."""
+
+    @F.pandas_udf("array<double>")
+    def embed(found: pd.Series) -> pd.Series:
+        return pd.Series([list(map(float, v)) for v in scorer.embed(found.fillna("").tolist())])
+
+    q = queries.select(*by, "query_id", embed("text").alias("qv"))
+    t = texts.select(*by, "text_id", embed("text").alias("tv"))
+    few = F.broadcast(q) if q.limit(10_001).count() <= 10_000 else q  # a stated query set against all rows
+    both = t.join(few, list(by)) if by else t.join(few)
+    return both.select(*by, "query_id", "text_id", cosine(F.col("qv"), F.col("tv")).alias("score"))
 
 
 def ranked(scores: DataFrame, by: str, ties: list[str]) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), *ties)))
 
 
+def plain(text: Column) -> Column:
+    """Case folded, one space between words."""
+    return F.array_join(words_column(casefold_column(text)), " ")
+
+
 def evidence(text: Column, passage: Column) -> Column:
     """Whether the text holds the passage, case and white space apart."""
-    plain = lambda c: F.regexp_replace(F.trim(casefold_column(c)), r"\s+", " ")
     return F.contains(plain(text), plain(passage))
 
 
-def recall_ndcg(found: DataFrame, by: str, k: int) -> DataFrame:
-    """(by, recall, ndcg) from (by, rank, relevant): recall of all relevant rows in the first k, and nDCG there."""
-    gain = F.col("relevant").cast("int")
-    in_k = F.col("rank") <= k
-    total = F.sum(gain)
-    dcg = F.sum(F.when(in_k, gain / F.log2(F.col("rank") + 1.0)).otherwise(0.0))
-    grouped = found.groupBy(by).agg(total.alias("total"), F.sum(F.when(in_k, gain).otherwise(0)).alias("hits"), dcg.alias("dcg"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.col("total"), F.lit(k)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, r: s + 1.0 / F.log2(r + 1.0))
+def recall_ndcg(found: DataFrame, by: str, k: int, ndcg_k: int | None = None) -> DataFrame:
+    """(by, recall, ndcg) from (by, rank, relevant, total), the first rows of each ranking and how many relevant rows it has in all: the
+    share of these among the first k, and nDCG at ``ndcg_k`` (k without it)."""
+    gain, depth = F.col("relevant").cast("int"), ndcg_k or k
+    dcg = F.sum(F.when(F.col("rank") <= depth, gain / F.log2(F.col("rank") + 1.0)).otherwise(0.0))
+    grouped = found.groupBy(by).agg(F.max("total").alias("total"), F.sum(F.when(F.col("rank") <= k, gain).otherwise(0)).alias("hits"), dcg.alias("dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.col("total"), F.lit(depth)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, r: s + 1.0 / F.log2(r + 1.0))
     return grouped.select(by, F.when(F.col("total") > 0, F.least(F.lit(1.0), F.col("hits") / F.col("total"))).otherwise(0.0).alias("recall"), F.when(F.col("total") > 0, F.col("dcg") / ideal).otherwise(0.0).alias("ndcg"))
+
+
+def first_ranked(scores: DataFrame, by: str, ties: list[str], most: int) -> DataFrame:
+    """The first ``most`` rows of each ranking, with rank and total (relevant rows in all). Spark cuts each task's rows to ``most`` before
+    they move; totals are aggregated."""
+    totals = scores.groupBy(by).agg(F.sum(F.col("relevant").cast("int")).alias("total"))
+    return ranked(scores, by, ties).where(F.col("rank") <= most).join(totals, by)
+
+
+def evaluate(chunks: DataFrame, questions: DataFrame, k: int = 5, scorer: EmbeddingScorer | None = None) -> DataFrame:
+    """How well chunks answer questions whose evidence is known, a row a (strategy, question_id): corpus, query, n_relevant, recall (at k),
+    ndcg (at 10) and the first max(k, 10) chunks. ``chunks``: strategy, corpus, document_id, chunk_index, text; ``questions``: question_id,
+    corpus, query, evidence (an array of passages). Scores are TF-IDF cosines over a corpus's chunks or, with a ``scorer``, those of its
+    vectors. A question about an unknown corpus, or whose evidence no chunk holds, is an error."""
+    if k < 1:
+        raise ValueError("k must be positive")
+    if (lost := questions.join(chunks.select("corpus").distinct(), "corpus", "left_anti").first()) is not None:
+        raise ValueError(f"question {lost['question_id']!r} asks about an unknown corpus")
+    texts = written(chunks.withColumn("text_id", F.struct("document_id", "chunk_index")), "retrieval-chunks")
+    asked = questions.join(texts.select("strategy", "corpus").distinct(), "corpus")
+    group, q = ("strategy", "corpus"), asked.select("strategy", "corpus", F.col("question_id").alias("query_id"), F.col("query").alias("text"))
+    scored = tfidf_scores(q, texts, group) if scorer is None else embedding_scores(q, texts, scorer, group)
+    few = F.broadcast(asked) if asked.limit(10_001).count() <= 10_000 else asked  # a stated query set against all chunks of its corpus
+    held = F.exists("evidence", lambda e: F.contains(F.col("plain"), plain(e)))
+    every = texts.withColumn("plain", plain(F.col("text"))).join(few, list(group)).select(*group, F.col("question_id").alias("query_id"), "text_id", "text", held.alias("relevant"))
+    every = every.join(scored, [*group, "query_id", "text_id"], "left").withColumns({"score": F.coalesce("score", F.lit(0.0)), "key": F.struct("strategy", "query_id")})
+    every = written(every, "retrieval-scores")
+    top = first_ranked(every, "key", ["text_id"], max(k, 10))
+    if (none := top.where("total = 0").first()) is not None:
+        raise ValueError(f"strategy {none['strategy']!r} made no chunk that holds the evidence of question {none['query_id']!r}")
+    shown = F.array_sort(F.collect_list(F.struct("rank", "text_id.document_id", "text_id.chunk_index", "text", "score", "relevant")))
+    facts = top.groupBy("key").agg(F.first("corpus").alias("corpus"), F.max("total").alias("n_relevant"), shown.alias("top_chunks"))
+    return facts.join(recall_ndcg(top, "key", k, 10), "key").select("key.strategy", F.col("key.query_id").alias("question_id"), "corpus", "n_relevant", "recall", "ndcg", "top_chunks")
+
+
+def summary(results: DataFrame) -> DataFrame:
+    """Mean recall and nDCG by strategy."""
+    return results.groupBy("strategy").agg(F.count("*").alias("questions"), F.avg("recall").alias("recall"), F.avg("ndcg").alias("ndcg"))

@@ -13,7 +13,7 @@ from ..functions.hashing import sql_framed
 from ..operators import chunking, churn, diff, embedding, merkle, retrieval
 from ..sources import cache
 from ..tables import written
-from . import index
+from . import index, manifest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,15 +48,15 @@ def revised(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, touched: bool = False) -> DataFrame:
-    own = chunking.fixed_chunks_native(docs, FIXED)
-    facts = docs.select("document_id", F.concat(F.lit('{"source":"'), "source", F.lit('"'), F.when((F.col("source") == TOUCHED) & F.lit(touched), ',"touched":1').otherwise(""), F.lit("}")).alias("document_metadata"))
-    return own.select("document_id", F.col("chunk_index").alias("position"), "chunk_hash", "text", F.col("start_word").cast("long").alias("start_offset"), F.col("end_word").cast("long").alias("end_offset"), F.col("token_count").cast("long").alias("token_count"), F.lit("{}").alias("metadata")).join(facts, "document_id")
+    facts = F.concat(F.lit('{"source":"'), "source", F.lit('"'), F.when((F.col("source") == TOUCHED) & F.lit(touched), ',"touched":1').otherwise(""), F.lit("}"))
+    own = chunking.fixed_chunks_native(docs.withColumn("document_metadata", facts), FIXED, keep=("document_metadata",))
+    return own.select("document_id", F.col("chunk_index").alias("position"), "chunk_hash", "text", F.col("start_word").cast("long").alias("start_offset"), F.col("end_word").cast("long").alias("end_offset"), F.col("token_count").cast("long").alias("token_count"), F.lit("{}").alias("metadata"), "document_metadata", *manifest.IDENTITY)
 
 
-def both(spark: SparkSession, sf_dir: str, with_text: bool = False) -> tuple[DataFrame, DataFrame]:
+def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = documents(spark, sf_dir)
     old, new = occurrences(docs), occurrences(revised(docs), True)
-    return (old, new) if with_text else (written(old.drop("text"), "old"), written(new.drop("text"), "new"))
+    return written(old.drop("text"), "old"), written(new.drop("text"), "new")
 
 
 _HASH = sql_framed("cairn-chunk-v1", "'cairn-chunk-identity-v1'", "'cairn-normalizer-v1'", "'fixed'", "'PARAMS'", "body")
@@ -137,17 +137,45 @@ for _name in _STRATEGIES:
     _chunked(_name)
 
 
+_RECURSIVE = _STRATEGIES["recursive"]
+_CUTS = rf"""with recursive {_WORDS}, s as (select document_id, ws, len(ws) as n, list_filter(range(1, len(ws) + 1), lambda p: regexp_matches(ws[p], '[.!?](?:["'')\]}}]+)?$')) as sb from w where len(ws) > 0),
+cuts(document_id, ws, n, sb, position, a, b) as (
+  select document_id, ws, n, sb, 0, 0::bigint, case when n <= {_RECURSIVE.max_tokens} then n else coalesce(list_max(list_filter(sb, lambda p: p <= {_RECURSIVE.max_tokens})), {_RECURSIVE.max_tokens}) end::bigint from s
+  union all
+  select document_id, ws, n, sb, position + 1, b, case when n <= b + {_RECURSIVE.max_tokens} then n else coalesce(list_max(list_filter(sb, lambda p: p > b and p <= b + {_RECURSIVE.max_tokens})), b + {_RECURSIVE.max_tokens}) end::bigint from cuts where b < n)
+select document_id, position, a as start_word, b as end_word, {sql_framed("cairn-chunk-v1", "'cairn-chunk-identity-v1'", "'cairn-normalizer-v1'", "'recursive'", f"'{_RECURSIVE.params_hash}'", "array_to_string(list_slice(ws, a + 1, b), ' ')")} as chunk_hash from cuts"""
+
+
+@query(_CUTS)
+def recursive_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = QUERIES["recursive_chunks"](spark, sf_dir)
+    return own.select("document_id", F.col("chunk_index").alias("position"), F.col("start_word").cast("long").alias("start_word"), F.col("end_word").cast("long").alias("end_word"), "chunk_hash")
+
+
 @query()
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_stats(QUERIES["cdc_chunks"](spark, sf_dir))
 
 
-@query()
+def _climb(leaves: str) -> str:
+    """Merkle levels over ``leaves`` (k: the tree, i: the leaf's number from 0, v: its value) as CTEs; the roots are the rows of lv with n = 1."""
+    node = sql_framed("cairn-merkle-node-v1", "max(h) filter (i % 2 = 0)", "coalesce(max(h) filter (i % 2 = 1), '')")
+    return f"""lv(k, n, i, h) as (select k, count(*) over (partition by k), i, {sql_framed("cairn-merkle-leaf-v1", "v")} from ({leaves})
+  union all select k, max((n + 1) // 2), i // 2, {node} from lv where n > 1 group by k, i // 2)"""
+
+
+_FIXED_CUTS = f"{_WORDS}, {_chunks('c', 'w', FIXED)}"
+
+
+@query(f"with recursive {_FIXED_CUTS}, {_climb('select document_id as k, position::bigint as i, chunk_hash as v from c')} select k as document_id, h as root_hash, (select count(*) from c where c.document_id = k)::int as chunk_count from lv where n = 1")
 def document_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_roots(QUERIES["fixed_chunks"](spark, sf_dir))
 
 
-@query()
+_ROOT_LEAVES = sql_framed("cairn-corpus-document-v1", "document_id", "root_hash")
+
+
+@query(f"""with recursive r as (from ({SQL['document_roots']})), {_climb(f"select 0 as k, row_number() over (order by document_id) - 1 as i, {_ROOT_LEAVES} as v from r")} select h as corpus_root from lv where n = 1""")
 def corpus_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(merkle.corpus_root(document_roots(spark, sf_dir)),)], "corpus_root string")
 
@@ -296,19 +324,18 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector whose id is divisible by 100 against all others, ranked."""
+    """Every vector whose id is divisible by 100 against all others, scored."""
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.col("label").alias("ql"))
     pairs = rows.join(F.broadcast(asked) if asked.count() <= 10_000 else asked, F.col("vec_id") != F.col("q"))  # a stated query set against all rows
-    scores = pairs.select("q", "vec_id", F.round(embedding.cosine(F.col("qe"), F.col("embedding")), 9).alias("score"), (F.col("label") == F.col("ql")).alias("relevant"))
-    return retrieval.ranked(scores, "q", ["vec_id"])
+    return pairs.select("q", "vec_id", F.round(embedding.cosine(F.col("qe"), F.col("embedding")), 9).alias("score"), (F.col("label") == F.col("ql")).alias("relevant"))
 
 
 @query(f"""with s as (select a.vec_id as q, b.vec_id, round({_COS}, 9) as score, (a.label = b.label)::int as g from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
 r as (select *, row_number() over (partition by q order by score desc, vec_id) as rank from s), t as (select q, sum(g)::bigint as total, (sum(g) filter (rank <= 10))::bigint as hits, sum(g / log2(rank + 1)) filter (rank <= 10) as dcg from r group by q)
 select q, round(case when total > 0 then least(1, hits / total) else 0 end, 9) as recall, round(case when total > 0 then dcg / list_sum(list_transform(range(1, (least(total, 10) + 1)::bigint), lambda i: 1 / log2(i + 1))) else 0 end, 9) as ndcg from t""")
 def recall_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.recall_ndcg(_searches(spark, sf_dir), "q", 10).select("q", F.round("recall", 9).alias("recall"), F.round("ndcg", 9).alias("ndcg"))
+    return retrieval.recall_ndcg(retrieval.first_ranked(_searches(spark, sf_dir), "q", ["vec_id"], 10), "q", 10).select("q", F.round("recall", 9).alias("recall"), F.round("ndcg", 9).alias("ndcg"))
 
 
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,11 +375,8 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""select item_id, count(*) as n_docs from benchmark b, documents d where contains(regexp_replace(trim(replace(lower(d.text), 'ß', 'ss')), '\s+', ' ', 'g'), regexp_replace(trim(replace(lower(b.text), 'ß', 'ss')), '\s+', ' ', 'g')) group by 1""")
 def evidence_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = lambda c: F.regexp_replace(F.trim(text.casefold_column(F.col(c))), r"\s+", " ")
-    passages = table(spark, sf_dir, "benchmark").select("item_id", plain("text").alias("passage"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", plain("text").alias("body"))
-    asked = F.broadcast(passages) if passages.count() <= 10_000 else passages  # a stated query set against all rows
-    return docs.join(asked, F.contains("body", "passage")).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    passages = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return retrieval.holding(table(spark, sf_dir, "documents").select("doc_id", "text"), passages, "doc_id", "item_id").groupBy("item_id").agg(F.count("*").alias("n_docs"))
 
 
 @query(f"""{_BOTH}, a as (select chunk_hash, count(*) as o from o_occ group by 1), b as (select chunk_hash, count(*) as n, min(token_count) as t from n_occ group by 1),
@@ -376,8 +400,25 @@ def _edit(name: str, sql: str | None = None) -> None:
 
 
 _edit("append", "select doc_id, md5(regexp_replace(text, '\\s+$', '') || chr(10) || chr(10) || '## Revision note' || chr(10) || chr(10) || 'The deterministic benchmark revision was appended after the existing content.' || chr(10)) as digest from documents where text <> '' union all select doc_id, md5(text) from documents where text = ''".replace("\\\\", "\\"))
-for _name in ("insert-sentence", "insert-paragraph", "insert-section", "delete-sentence", "delete-paragraph", "replace-same-length", "reorder-sections", "global-replace"):
-    _edit(_name)
+_PLAIN, _NL = "regexp_replace(text, '\\s+$', '')", "chr(10) || chr(10)"
+_SOLID = "regexp_matches(text, '\\S')"  # texts of the tables are one paragraph each, without headings
+_md5 = lambda new, when: f"select doc_id, md5(case when {when} then {new} else text end) as digest from documents"
+_HEAD = r"regexp_extract(text, '^((?s:.*?)[.!?])(?:\s|$)', 1)"
+_FIRST = f"case when {_HEAD} <> '' then {_HEAD} else {_PLAIN} end"
+_REST = f"regexp_replace(substr(text, length({_FIRST}) + 1), '^\\s+', '')"
+_edit("insert-sentence", _md5(f"{_FIRST} || ' {churn.SENTENCE}' || case when {_REST} <> '' then ' ' || {_REST} else '' end", _SOLID))
+_edit("insert-paragraph", _md5(f"{_PLAIN} || {_NL} || '{churn.PARAGRAPH}'", _SOLID))
+_edit("insert-section", _md5(f"{_PLAIN} || {_NL} || '" + churn.SECTION.replace("\n\n", f"' || {_NL} || '") + "'", _SOLID))
+_SECOND = _HEAD.replace("(text,", "(rest,")
+_edit("delete-sentence", rf"""with a as (select doc_id, text, {_FIRST} as one from documents), b as (select *, substr(text, length(one) + 1) as rest from a), c as (select *, case when {_SECOND} <> '' then {_SECOND} else regexp_replace(rest, '\s+$', '') end as two from b),
+d as (select *, regexp_replace(regexp_replace(substr(rest, length(two) + 1), '^\s+', ''), '\s+$', '') as tail from c)
+select doc_id, md5(case when regexp_matches(rest, '\S') then regexp_replace(one, '\s+$', '') || case when tail <> '' then ' ' || tail else '' end || case when text like '%' || chr(10) then chr(10) else '' end else text end) as digest from d""")
+_edit("delete-paragraph", _md5("text", "true"))  # one paragraph: the edit is not allowed
+_edit("reorder-sections", _md5("text", "true"))
+_AT = "length(text) // 3 + length(regexp_extract(substr(text, length(text) // 3 + 1), '^[^A-Za-z]*'))"
+_SPOT = f"case when {_AT} < length(text) then {_AT} else length(regexp_extract(text, '^[^A-Za-z]*')) end"
+_edit("replace-same-length", f"with p as (select doc_id, text, {_SPOT} as k from documents) select doc_id, md5(case when regexp_matches(text, '[A-Za-z]') then substr(text, 1, k) || case substr(text, k + 1, 1) when 'z' then 'a' when 'Z' then 'A' else chr(ascii(substr(text, k + 1, 1)) + 1) end || substr(text, k + 2) else text end) as digest from p")
+_edit("global-replace")
 
 
 _SMALL = chunking.CDCParams(window_words=8, min_tokens=24, max_tokens=64, primary_mask_bits=5, backup_mask_bits=3, snap_window_words=8)
