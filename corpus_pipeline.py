@@ -1,4 +1,8 @@
-"""Documents in, shuffled training shards out: five stages, each over all that the one before kept."""
+"""Documents in, shuffled training shards out: five stages, each over all that the one before kept.
+
+In every stage null and empty texts are texts without words, null ids and sources are values of their own, rows of one id are told apart by
+their texts, an empty table gives an empty table, and further columns pass through, those named like a result under another name.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,28 @@ from weftline.llm.common import materialize, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, their cutoffs certified on the labels."""
+    """Documents that pass the quality rules, their cutoffs certified on the labels; each repeated row is judged, ties don't arise."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id."""
+    """One document of each group of near copies, that of the smallest id (a null id only where there is no other; of rows that share the
+    smallest id the first in the order of all columns)."""
     return simhash.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; rows alike in id and text go or stay together."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; repeated rows count each, ties of hashes are cut in the order of all columns."""
     return mixing.take(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows in shuffled order with shard and slot."""
+    """All rows in shuffled order with shard and slot; repeated rows are placed each."""
     return sharding.shuffled(docs).drop("__bucket")
 
 
