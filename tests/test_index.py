@@ -276,6 +276,20 @@ def test_embedding_and_scores(spark):
     assert r.recall == 0.5 and abs(r.ndcg - (1 / 1.584962500721156) / (1 + 1 / 1.584962500721156)) < 1e-9
 
 
+def test_hash_embeddings_of_a_table_against_the_rule(spark, sf):
+    import hashlib
+    import math
+    import re
+
+    for r in catalogue.QUERIES["hash_embeddings"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id").collect():
+        words, want = [w.casefold() for w in re.findall(r"[^\W_]+", r.text)], [0] * 256
+        for f in words + [f"{a}\x1f{b}" for a, b in zip(words, words[1:])]:
+            d = hashlib.blake2b(f.encode(), digest_size=16, person=b"cairn-hash-v1").digest()
+            want[int.from_bytes(d[:8], "little") % 256] += 1 if d[8] & 1 else -1
+        norm = math.sqrt(sum(v * v for v in want)) or 1.0
+        assert r.vector == pytest.approx([v / norm for v in want], abs=1e-6)
+
+
 def test_problems_names_repeats(spark):
     schema = "document_id string, position int, chunk_hash string, start_offset long, end_offset long, token_count long"
     good = spark.createDataFrame([("d", 0, "h", 0, 1, 1), ("d", 1, "k", 1, 2, 1)], schema)

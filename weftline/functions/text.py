@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column
@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from .. import wire
 
 TokenCounter = Callable[[str], int]
-#: Fixed patterns of the normaliser's protocol: a word, a blank line between words, a word that ends a sentence.
-_WORD = re.compile(r"\S+")
+#: All of Python's white space, which is what lies between words; as a table by code point, the last entry for all higher ones.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+_IS_BLANK = np.array([chr(c) in BLANKS for c in range(0x3002)])
+#: Fixed patterns of the normaliser's protocol: a blank line between words, a word that ends a sentence.
 _BLANK = re.compile(r"\n[\t\f\v ]*\n")
+_CLOSERS = frozenset(".!?\"')]}")
 _CLOSED = re.compile(r"[.!?](?:[\"'\)\]\}]+)?$")
 
 
@@ -26,12 +29,11 @@ class Stream:
 
     source: str
     words: list[str]
-    starts: list[int]
-    ends: list[int]
+    starts: np.ndarray
+    ends: np.ndarray
     prefix: np.ndarray
     paragraph: np.ndarray
     tokenizer_id: str = wire.TOKENIZER
-    _sentence: dict[int, bool] = field(default_factory=dict, repr=False, compare=False)
 
     def __len__(self) -> int:
         return len(self.words)
@@ -42,6 +44,8 @@ class Stream:
 
     def slice(self, a: int, b: int) -> str:
         self._check(a, b)
+        if not self.paragraph[a + 1 : b].any():
+            return " ".join(self.words[a:b])
         parts = []
         for k in range(a, b):
             if k > a:
@@ -52,8 +56,8 @@ class Stream:
     def offsets(self, a: int, b: int) -> tuple[int, int]:
         self._check(a, b)
         if a < b:
-            return self.starts[a], self.ends[b - 1]
-        at = self.starts[a] if a < len(self) else self.ends[-1] if self.ends else 0
+            return int(self.starts[a]), int(self.ends[b - 1])
+        at = int(self.starts[a]) if a < len(self) else int(self.ends[-1]) if len(self) else 0
         return at, at
 
     def tokens(self, a: int, b: int) -> int:
@@ -66,16 +70,20 @@ class Stream:
     def sentence_break(self, p: int) -> bool:
         if not 0 < p <= len(self):
             return False
-        if p not in self._sentence:
-            self._sentence[p] = _CLOSED.search(self.words[p - 1]) is not None
-        return self._sentence[p]
+        word = self.words[p - 1]
+        return word[-1] in _CLOSERS and _CLOSED.search(word) is not None
+
+    def breaks(self) -> list[int]:
+        """Positions inside the stream where a sentence ends or a paragraph starts."""
+        ends = [p for p, w in enumerate(self.words[:-1], 1) if w[-1] in _CLOSERS and _CLOSED.search(w)]
+        return sorted({*ends, *np.flatnonzero(self.paragraph).tolist()})
 
     def items(self):  # noqa: ANN201
         """Words and paragraph marks in order: (kind, text, start, end, word number)."""
         for k, w in enumerate(self.words):
             if self.paragraph[k]:
-                yield "paragraph_break", "\n\n", self.ends[k - 1], self.starts[k], k
-            yield "word", w, self.starts[k], self.ends[k], k
+                yield "paragraph_break", "\n\n", int(self.ends[k - 1]), int(self.starts[k]), k
+            yield "word", w, int(self.starts[k]), int(self.ends[k]), k
 
     def end_at_limit(self, start: int, limit: int) -> int:
         """The last end of a slice from ``start`` with at most ``limit`` tokens."""
@@ -101,16 +109,16 @@ def tokenizer_identity(counter: TokenCounter | None, tokenizer_id: str | None) -
 
 
 def normalize(text: str, counter: TokenCounter | None = None, tokenizer_id: str = wire.TOKENIZER) -> Stream:
-    words, starts, ends, paragraph = [], [], [], []
-    last = 0
-    for m in _WORD.finditer(text):
-        gap = text[last : m.start()]
-        blank = bool(words) and gap not in (" ", "\n") and _BLANK.search(gap.replace("\r\n", "\n").replace("\r", "\n")) is not None
-        words.append(m[0] if m[0].isascii() else unicodedata.normalize("NFC", m[0]))
-        starts.append(m.start())
-        ends.append(m.end())
-        paragraph.append(blank)
-        last = m.end()
+    words = text.split()
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = _IS_BLANK[np.minimum(codes, len(_IS_BLANK) - 1)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]])))
+    starts, ends, paragraph = edges[::2], edges[1::2], np.zeros(len(words), bool)
+    for k in np.flatnonzero(starts[1:] - ends[:-1] > 1).tolist():  # wider gaps may hold a blank line
+        gap = text[ends[k] : starts[k + 1]]
+        paragraph[k + 1] = _BLANK.search(gap.replace("\r\n", "\n").replace("\r", "\n")) is not None
+    if not text.isascii():
+        words = [w if w.isascii() else unicodedata.normalize("NFC", w) for w in words]
     if counter is None:
         prefix = np.arange(len(words) + 1, dtype=np.int64)
     else:
@@ -118,7 +126,7 @@ def normalize(text: str, counter: TokenCounter | None = None, tokenizer_id: str
         if any(type(c) is not int or c < 1 for c in counts):
             raise ValueError("token counts must be integers of at least 1")
         prefix = np.append(0, np.cumsum(counts)).astype(np.int64)
-    return Stream(text, words, starts, ends, prefix, np.array(paragraph, bool), tokenizer_id)
+    return Stream(text, words, starts, ends, prefix, paragraph, tokenizer_id)
 
 
 #: Runs of what Python calls non-space, as a Java pattern.
@@ -130,10 +138,6 @@ def words_column(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 
 
-#: All of Python's white space.
-BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-
-
 def normalized_column(text: Column) -> Column:
     """Normalised text of NFC input: one space between words, one blank line between paragraphs; JVM only."""
     unix = F.regexp_replace(text, "\r\n?", "\n")

@@ -12,7 +12,7 @@ from ..functions import hashing, text
 from ..functions.hashing import sql_framed
 from ..operators import chunking, churn, diff, embedding, merkle, retrieval
 from ..sources import cache
-from ..tables import written
+from ..tables import scratch, spread, written
 from . import index, manifest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text", "source", "lang")
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("document_id"), "text", "source", "lang")
 
 
 # The corpus before and after an edit: a source is withdrawn, a sentence is put before German documents, one source's metadata changes.
@@ -274,6 +274,82 @@ def verify_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.problems(good, bad.unionByName(good.where("position = 2").withColumn("position", F.lit(9999))))
 
 
+_PROVIDER = embedding.HashProvider("catalogue", 16)
+
+
+def _applied(spark: SparkSession, sf_dir: str) -> index.Index:
+    """An index in the shared folder to which the corpus was applied before and after the edit."""
+    ix, docs = index.Index(spark, scratch(spark, "catalogue-index")), documents(spark, sf_dir)
+    for target in (occurrences(docs), occurrences(revised(docs), True)):
+        ix.apply(target, _PROVIDER)
+    return ix
+
+
+@query(f"""{_OPS}, kept as (select document_id, np as position, chunk_hash, true as active from ops where kind <> 'delete') select * from kept union all select document_id, op, chunk_hash, false from ops where kind = 'delete'""")
+def index_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the second generation, tombstones among them."""
+    return _applied(spark, sf_dir).rows().select("document_id", "position", "chunk_hash", F.col("valid_to").isNull().alias("active"))
+
+
+@query("select ''::varchar as document_id, 0::int as position, ''::varchar as problem where false")
+def index_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems of an index that nobody tampered with: none."""
+    return _applied(spark, sf_dir).verify()
+
+
+_META, _BARE = "'{\"source\":\"' || source || '\"}'", '"metadata":{}'
+_CHUNK_JSON = f"""'{{"chunk_hash":"' || chunk_hash || '","end_offset":' || end_word || ',{_BARE},"start_offset":' || start_word || ',"token_count":' || (end_word - start_word) || '}}'"""
+
+
+@query(f"""with recursive {_FIXED_CUTS}, {_climb('select document_id as k, position::bigint as i, chunk_hash as v from c')}, r as (select k, h from lv where n = 1),
+j as (select document_id, source, string_agg({_CHUNK_JSON}, ',' order by position) as cs from c group by 1, 2)
+select document_id, md5('{{"chunker_id":"fixed","chunker_params_hash":"{FIXED.params_hash}","chunks":[' || cs || '],"document_id":"' || document_id || '","metadata":' || {_META} || ',"normalizer_version":"cairn-normalizer-v1","root_hash":"' || h || '","schema_version":1}}') as digest from j join r on r.k = document_id""")
+def manifest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(occurrences(documents(spark, sf_dir)).drop("text"), "manifest")
+    return manifest.to_json(manifest.documents(rows), rows).select("document_id", F.md5("json").alias("digest"))
+
+
+@query(f"""with d as (select doc_id::varchar as document_id, source, lang from documents where regexp_matches(text, '\\S'))
+select document_id, 'document is missing' as problem from d where source = '{GONE}' union all select document_id, 'document metadata differs' from d where source = '{TOUCHED}' union all select document_id, 'root hash differs' from d where lang = '{EDITED}' and source <> '{GONE}'
+union all select document_id, 'chunk count differs' from d where lang = 'fr' and source <> '{GONE}' union all select document_id, 'hard-cut count differs' from d where lang = 'fr' and source <> '{GONE}' union all select 'another', 'document is unexpected'""")
+def verify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest against documents of which some were withdrawn, changed or added."""
+    docs = documents(spark, sf_dir)
+    good = written(manifest.documents(occurrences(docs).drop("text")), "verify-documents").join(docs.select("document_id", "source", "lang"), "document_id")
+    changed = {"root_hash": F.when(F.col("lang") == EDITED, "x").otherwise(F.col("root_hash")), "metadata": F.when(F.col("source") == TOUCHED, '{"source":"other"}').otherwise(F.col("metadata"))}
+    changed |= {c: F.col(c) + (F.col("lang") == "fr").cast("int") for c in ("chunk_count", "hard_cuts")}
+    bad = good.where(F.col("source") != GONE).withColumns(changed)
+    more = bad.limit(1).withColumn("document_id", F.lit("another"))
+    return index.document_problems(good, bad.unionByName(more))
+
+
+@query(f"""{_BOTH}, t as (select document_id, position from o_occ)
+select document_id, position, unnest(case when position = 0 then ['text does not match chunk hash', 'record digest differs'] when position = 1 then ['vector is invalid'] when position = 2 then ['vector dimensions differ', 'record digest differs'] when position = 3 then ['record digest differs']
+  when position = 4 then ['metadata token_count differs', 'metadata differs', 'record digest differs'] when position = 5 then ['embedding identity differs', 'record digest differs'] when position = 6 then ['metadata is invalid', 'record digest differs'] else [] end) as problem from t""")
+def verify_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active rows of which text, vector, metadata or identity were changed, by position, against their manifest."""
+    rows = occurrences(documents(spark, sf_dir)).withColumns({"instance_id": F.concat_ws(":", "document_id", "position"), "model_id": F.lit("m"), "params_hash": F.lit("p"), "vector": F.array(*(F.lit(x).cast("float") for x in (0.5, -0.25)))})
+    good = written(rows.withColumn("record_digest", index.record_digest()), "verify-content")
+    at = lambda n, new, c: F.when(F.col("position") == n, new).otherwise(F.col(c))
+    floats = lambda *xs: F.array(*(F.lit(x).cast("float") for x in xs))
+    vector = F.when(F.col("position") == 1, floats(float("nan"), 1.0)).when(F.col("position") == 2, floats(1.0)).when(F.col("position") == 3, floats(0.5, 0.25)).otherwise(F.col("vector"))
+    metadata = F.when(F.col("position") == 4, '{"token_count":-1,"x":2}').when(F.col("position") == 6, "[1]").otherwise(F.col("metadata"))
+    bad = good.withColumns({"text": at(0, F.concat("text", F.lit(" ")), "text"), "vector": vector, "metadata": metadata, "model_id": at(5, F.lit("other"), "model_id")})
+    return index.content_problems(good, bad.drop(*manifest.IDENTITY), "m", "p", 2)
+
+
+@query(f"with {_WORDS}, {_chunks('c', 'w', FIXED)} select distinct chunk_hash, chunk_hash < '8' as hit_before, true as hit_after from c")
+def cache_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cache holds before and after all chunks were embedded through it, half of them having been there."""
+    store = cache.Cache(spark, scratch(spark, "catalogue-cache"))
+    wanted = written(embedding.distinct_inputs(chunking.fixed_chunks_native(documents(spark, sf_dir), FIXED)), "catalogue-wanted")
+    embedding.embed_with_cache(wanted.where("chunk_hash < '8'"), _PROVIDER, store)
+    keys = wanted.select("chunk_hash", F.lit(_PROVIDER.model_id).alias("model_id"), F.lit(_PROVIDER.params_hash).alias("params_hash"))
+    before = written(store.contains(keys).select("chunk_hash", F.col("hit").alias("hit_before")), "catalogue-before")
+    embedding.embed_with_cache(wanted, _PROVIDER, store)
+    return before.join(store.contains(keys).select("chunk_hash", F.col("hit").alias("hit_after")), "chunk_hash")
+
+
 _CACHE = "c as (select sha256('v' || vec_id) as chunk_hash, case when label % 2 = 0 then 'hash:a' else 'hash:b' end as model_id, 'p' as params_hash, len(embedding)::int as dimensions, e.ts as accessed_at, label from embeddings v join events e on e.event_id = v.vec_id)"
 
 
@@ -339,7 +415,7 @@ def recall_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_hash"), "text", F.lit(1).alias("token_count"))
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("chunk_hash"), "text", F.lit(1).alias("token_count"))
     return embedding.embed_texts(docs, embedding.HashProvider()).select(F.col("chunk_hash").cast("long").alias("doc_id"), "vector")
 
 
@@ -390,7 +466,7 @@ def churn_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _edit(name: str, sql: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = churn.edited(table(spark, sf_dir, "documents").select("doc_id", "text"), name)
+        out = churn.edited(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), name)
         return out.select("doc_id", F.md5("text").alias("digest"))
 
     key = f"edit_{name.replace('-', '_')}"

@@ -31,18 +31,31 @@ def file_system(spark: SparkSession, path: str):  # noqa: ANN201
 
 
 def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
     fs, p = file_system(spark, path)
     fs.deleteOnExit(p)
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Writes a table into the shared folder and reads it back: later steps neither repeat the work nor depend on executors that are lost."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, least_bytes: int = 2 << 20, most_bytes: int = 1 << 30) -> DataFrame:
+    """A table of some megabytes in fewer files than there are cores, dealt over all of them; a smaller or larger one stays as it lies. For
+    work that is far dearer than moving such a table once."""
+    spark, files = df.sparkSession, df.inputFiles()
+    cores = spark.sparkContext.defaultParallelism
+    if not 0 < len(files) < cores:
+        return df
+    size = sum(fs.getFileStatus(p).getLen() for fs, p in (file_system(spark, f) for f in files))
+    return df.repartition(cores) if least_bytes <= size <= most_bytes else df
+
+
 class CommitLog:
     """Numbered JSON files in a folder. One is written under a temporary name and then renamed, never over another, so it is there whole or
     not at all, and of two writers of one number one wins."""
