@@ -2,7 +2,8 @@ from collections import Counter
 
 import duckdb
 import pytest
-from test_mixing import check
+from pyspark.sql import functions as F
+from test_mixing import levelled
 from test_simhash import groups
 
 import corpus_pipeline
@@ -27,7 +28,11 @@ def test_every_stage_against_brute_force(spark, steps):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     assert {r.doc_id for r in good} == {r[0] for r in con.sql(f"select doc_id from ({quality.sql()}) where kept").fetchall()}
     ordered = sorted(good, key=lambda r: r.doc_id)
-    root = groups([simhash.fingerprint(r.text) for r in ordered])
+    root = list(range(len(ordered)))  # groups over all views
+    for view in zip(*(simhash.fingerprints(r.text) for r in ordered)):
+        for i, c in enumerate(groups(list(view))):
+            old, new = max(root[i], root[c]), min(root[i], root[c])
+            root = [new if x == old else x for x in root]
     assert {r.doc_id for r in unique} == {ordered[min(i for i, x in enumerate(root) if x == c)].doc_id for c in set(root)} and len(unique) == len(set(root))
     grams = lambda t: {tuple(w[i : i + 8]) for w in [t.lower().split()] for i in range(len(w) - 7)}
     bench = [grams(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -38,8 +43,6 @@ def test_every_stage_against_brute_force(spark, steps):
     size = Counter()
     for r in clean:
         size[r.source] += n[r.doc_id]
-    from test_mixing import levelled
-
     goal, taken = levelled(size), Counter()
     for r in clean:
         taken[r.source] += copies[r.doc_id] * n[r.doc_id]
@@ -62,4 +65,13 @@ def test_empty_documents(spark):
         assert docs.count() == 0
 
 
-assert check
+def test_nulls_repeats_and_clashing_names(spark):
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (7, "", "en", None, 0), (None, "w " * 50, "xx", "s", 0), (5, "word " * 100_000, "en", "s", 0)], base.schema)
+    docs = base.unionByName(odd).unionByName(base.limit(20)).withColumns({"size": F.lit(1), "shard": F.lit("x"), "kept": F.lit(2), "component_id": F.lit(3)})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, SF), name)
+        assert docs.columns == columns
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert out.count() == docs.count() > 0 and {"shard_in", "shard", "slot"} <= set(out.columns)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,6 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import scratch as scratch_path
+from ..tables import spread
+from ..tables import written as materialize
+
+__all__ = ["BROADCAST_ROWS", "SPACE", "materialize", "numbered", "scratch_path", "slices", "small", "sortable", "table", "words"]
+
 #: ASCII white space as a Java and RE2 character class; a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
 #: Size in rows up to which a side may be broadcast after it was counted (some MB at most).
@@ -19,35 +23,7 @@ BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset (tests) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Writes a table into the shared folder and reads it back: later steps neither repeat the work nor depend on executors that are lost."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -6,6 +6,8 @@ the parent) and each of them follows only the edges that its radius allows. A sh
 all pairs; components are found over those. Shards of more than SHARD fingerprints are split into blocks, and every pair of blocks gets a
 tree. Shard trees travel with the shuffle instead of a broadcast: together they hold all fingerprints, which have no size bound.
 
+``keep_one`` looks at several fingerprints of a text, by hash functions of their own, and links where any two lie within RADIUS bits.
+
 Defined results: null text has no shingles and fingerprint zero, which links like any other; null ids never name a component unless it
 has no others (then null); repeated rows are judged each; an empty table gives none.
 """
@@ -23,37 +25,61 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, materialize, small, sortable
 from .components import components
 
-SHINGLE, RADIUS, HASH_SEED, SHARD = 3, 3, 42, 20_000
+SHINGLE, RADIUS, HASH_SEED, SHARD, VIEWS = 3, 3, 42, 20_000, 8
 _CUTS = (0, 13, 26, 39, 52, 64)
 _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)  # bits of each octet
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """A bit is 1 if set in over half of the shingles' hashes; octets are counted first, then their bits."""
+def _shingle_hashes(text: str | None, width: int) -> np.ndarray | None:
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return None
     if len(found) < width:
         shingles = [b" ".join(found)]
     else:
         shingles = list(map(b" ".join, zip(*(found[i:] for i in range(width)), strict=False)))
     one = xxhash.xxh64_intdigest
-    hashes = np.fromiter((one(s, HASH_SEED) for s in shingles), np.uint64, len(shingles))
+    return np.fromiter((one(s, HASH_SEED) for s in shingles), np.uint64, len(shingles))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the hashes; octets are counted first, then their bits."""
     octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(octets[:, i], minlength=256) @ _BITS_OF for i in range(8)])
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` and __fp (long: the fingerprint's 64 bits)."""
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """A bit is 1 if set in over half of the shingles' hashes."""
+    hashes = _shingle_hashes(text, width)
+    return 0 if hashes is None else _majority(hashes)
+
+
+def fingerprints(text: str | None, width: int = SHINGLE, views: int = VIEWS) -> list[int]:
+    """The fingerprint and those under further hash functions, each a mix of the first's hashes."""
+    hashes = _shingle_hashes(text, width)
+    return [0] * views if hashes is None else [_majority(_mixed(hashes, v) if v else hashes) for v in range(views)]
+
+
+def _mixed(h: np.ndarray, view: int) -> np.ndarray:
+    h = (h ^ np.uint64(view * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def with_fingerprint(df: DataFrame, text: str = "text", keep: list[str] | None = None, views: int = 1) -> DataFrame:
+    """The columns ``keep`` and __fp (long: the fingerprint's 64 bits), then __fp1, __fp2 and so on for further views."""
     keep = keep or [c for c in df.columns if c != text]
-    schema = df.select(*(F.col(f"`{c}`") for c in keep)).schema.add("__fp", "long")
+    names = ["__fp", *(f"__fp{v}" for v in range(1, views))]
+    schema = df.select(*(F.col(f"`{c}`") for c in keep)).schema
+    for n in names:
+        schema = schema.add(n, "long")
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
             texts = b.column(b.schema.get_field_index("__text"))
-            fps = np.array([fingerprint(t.as_py()) for t in texts], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(fps)], names=[*keep, "__fp"])
+            fps = np.array([fingerprints(t.as_py(), SHINGLE, views) for t in texts], np.uint64).reshape(-1, views).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *(pa.array(np.ascontiguousarray(fps[:, v])) for v in range(views))], names=[*keep, *names])
 
     return df.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("__text")).mapInArrow(run, schema)
 
@@ -106,11 +132,16 @@ def _keys(fp: Column) -> Column:
     return F.array(*(F.shiftleft(F.shiftleft(block(i), 13).bitwiseOR(block(j)), 4).bitwiseOR(F.lit(n)) for n, (i, j) in enumerate(combinations(range(5), 2))))
 
 
-def links(fps: DataFrame, fp: str = "fp", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that make the same components as all pairs within the radius (at most 3)."""
+_VIEW_BITS = 40  # a shard's key below, its view above
+
+
+def links(fps: DataFrame, fp: str = "fp", radius: int = RADIUS, shard: int = SHARD, view: str | None = None) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints that make the same components as all pairs within the radius (at most 3); with a column
+    ``view`` (view, a, b), each view by itself."""
     if radius > RADIUS:
         raise ValueError(f"five blocks find links of up to {RADIUS} bits")
-    keyed = fps.select(F.explode(_keys(F.col(fp))).alias("k"), F.col(fp).alias("v"))
+    of = F.shiftleft(F.col(view).cast("long"), _VIEW_BITS) if view else F.lit(0).cast("long")
+    keyed = fps.select(F.explode(F.transform(_keys(F.col(fp)), lambda k: k.bitwiseOR(of))).alias("k"), F.col(fp).alias("v"))
     sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
     hot = materialize(sizes.filter(F.col("n") > shard).select(F.col("k").alias("hk"), F.ceil(F.col("n") / shard).alias("g")), "simhash-hot")
     rows = keyed.withColumn("pair", F.lit(0).cast("long"))
@@ -123,7 +154,7 @@ def links(fps: DataFrame, fp: str = "fp", radius: int = RADIUS, shard: int = SHA
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def solve(k, v, p):  # noqa: ANN001, ANN202
-            a, b = [], []
+            a, b, views = [], [], []
             cut = np.flatnonzero((np.diff(k) != 0) | (np.diff(p) != 0)) + 1
             starts, ends = np.append(0, cut), np.append(cut, len(k))
             for lo, hi in zip(*(x[ends - starts > 1].tolist() for x in (starts, ends)), strict=True):
@@ -132,8 +163,9 @@ def links(fps: DataFrame, fp: str = "fp", radius: int = RADIUS, shard: int = SHA
                 moved = to != np.arange(len(own))
                 a.append(own[moved])
                 b.append(own[to[moved]])
+                views.append(np.full(len(a[-1]), k[lo] >> _VIEW_BITS))
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (views, a, b)], names=["view", "a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -155,7 +187,8 @@ def links(fps: DataFrame, fp: str = "fp", radius: int = RADIUS, shard: int = SHA
 
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ready = rows.select("k", "v", "pair").repartition(parts, "k", "pair").sortWithinPartitions("k", "pair")
-    return ready.mapInArrow(run, "a long, b long").distinct()
+    found = ready.mapInArrow(run, "view long, a long, b long")
+    return (found if view else found.drop("view")).distinct()
 
 
 def grouped(rows: DataFrame, doc_id: str = "doc_id", fp: str = "__fp", radius: int = RADIUS) -> DataFrame:
@@ -171,12 +204,12 @@ def grouped(rows: DataFrame, doc_id: str = "doc_id", fp: str = "__fp", radius: i
     return materialize(both.select(F.col("fp").alias("__nfp"), F.col("n").alias("__n"), F.when(F.col("node").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("__component")), "simhash-named")
 
 
-def with_component(rows: DataFrame, named: DataFrame, own: str, fp: str = "__fp", most: int = BROADCAST_ROWS) -> DataFrame:
+def with_component(rows: DataFrame, named: DataFrame, own: str, fp: str = "__fp", most: int = BROADCAST_ROWS, view: str | None = None) -> DataFrame:
     """Adds __component. Fingerprints of at least one in ``most`` rows, so at most ``most`` of them, are joined where rows lie; only rows of
     other repeated or linked fingerprints move to meet theirs, unless all of them are few."""
-    at = F.col(fp) == F.col("__nfp")
+    at = (F.col(fp) == F.col("__nfp")) & (F.col(view) == F.col("__nview") if view else F.lit(True))
     fewer = named.drop("__n")
-    fill = lambda df: df.withColumn("__component", F.when(F.col("__nfp").isNull(), F.col(own)).otherwise(F.col("__component"))).drop("__nfp")
+    fill = lambda df: df.withColumn("__component", F.when(F.col("__nfp").isNull(), F.col(own)).otherwise(F.col("__component"))).drop("__nfp", "__nview")
     if named.limit(most + 1).count() <= most:
         return fill(rows.join(F.broadcast(fewer), at, "left"))
     total = named.agg(F.sum("__n")).first()[0]
@@ -190,20 +223,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return with_component(rows, grouped(rows, radius=radius), "doc_id").select("doc_id", F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), F.col("__component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", views: int = VIEWS) -> DataFrame:
     """One row of each group, that of the smallest id, with the columns of ``docs``.
 
-    Where ids are unique, rows that go are named by id and the others don't move; else one row a component is picked by aggregation.
+    Rows link if their fingerprints lie within RADIUS bits in any of ``views`` views, as one view alone misses near copies by chance; groups
+    are components over all views. Rows that go are named by a key and the others don't move: by id where ids are unique, else by id and
+    text, and of rows alike in both the first in the order of all columns stays.
     """
-    rows = materialize(with_fingerprint(docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text"))), "simhash-rows")
-    named = grouped(rows, doc_id="__id")
-    n, ids = rows.agg(F.count("*"), F.count_distinct("__id")).first()
-    if n == ids:
-        gone = materialize(with_component(rows, named, "__id").filter(F.col("__id") != F.col("__component")).select("__id"), "simhash-gone")
-        return docs.join(small(gone), F.col(doc_id) == F.col("__id"), "left_anti")
-    own = with_fingerprint(docs.withColumn("__text_in", F.col(text)), "__text_in", [*docs.columns])
-    joined = with_component(own, named, f"`{doc_id}`")
-    key = F.struct(F.col(f"`{doc_id}`").isNull().alias("n"), F.col(f"`{doc_id}`").alias("i"), F.to_json(F.struct(*sortable(docs))).alias("h"))
+    key = F.xxhash64(F.col(doc_id), F.col(text))
+    narrow = materialize(with_fingerprint(docs.select(key.alias("__key"), F.col(doc_id).alias("__id"), F.col(text).alias("text")), views=views), "simhash-rows")
+    columns = [c for c in narrow.columns if c.startswith("__fp")]
+    one = materialize(narrow.groupBy("__key").agg(F.count("*").alias("__copies"), *(F.first(c).alias(c) for c in ("__id", *columns))), "simhash-keys")
+    each = one.select("__key", F.posexplode(F.array(*columns)).alias("view", "fp"))
+    per = materialize(each.groupBy("view", "fp").agg(F.min("__key").alias("rep"), F.count("*").alias("n")), "simhash-nodes")
+    ends = lambda e, k: e.join(per.select("view", F.col("fp").alias(k), F.col("rep").alias(f"r{k}")), ["view", k])
+    linked = ends(ends(links(per, view="view"), "a"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    same = per.filter("n > 1").select(F.col("view").alias("__nview"), F.col("fp").alias("__nfp"), F.col("n").alias("__n"), F.col("rep").alias("__component"))
+    equal = with_component(each, materialize(same, "simhash-same"), "__key", "fp", view="view").filter("__key <> __component").select(F.col("__key").alias("a"), F.col("__component").alias("b"))
+    found = components(linked.unionByName(equal))
+    members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    members = materialize(one.select("__key", "__id").join(small(members), F.col("__key") == F.col("node")).select("__key", "__id", "root"), "simhash-members")
+    order = F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), F.col("__key").alias("k"))
+    stay = members.groupBy("root").agg(F.min_by("__key", order).alias("__stays"))
+    gone = members.join(small(materialize(stay, "simhash-stay")), "root").filter("__key <> __stays").select(F.col("__key").alias("__gone"))
+    kept = docs.withColumn("__key", key).join(small(materialize(gone, "simhash-gone")), F.col("__key") == F.col("__gone"), "left_anti")
+    twice = materialize(one.filter("__copies > 1").select(F.col("__key").alias("__twice")), "simhash-twice")
+    if not twice.limit(1).count():
+        return kept.drop("__key")
+    again = F.col("__key") == F.col("__twice")
     every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    group = F.when(F.col("__component").isNull(), F.concat(F.lit("f"), F.col("__fp"))).otherwise(F.concat(F.lit("c"), F.col("__component")))
-    return joined.groupBy(group.alias("__g")).agg(F.min_by(every, key).alias("__row")).select("__row.*")
+    first = kept.join(small(twice), again, "left_semi").groupBy("__key").agg(F.min_by(every, F.to_json(F.struct(*sortable(docs)))).alias("__row")).select("__row.*")
+    return kept.join(small(twice), again, "left_anti").drop("__key").unionByName(first)
