@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import materialize, numbered, small, sortable, words
 
 WEIGHTS, MOST, SEED, REACH = (5.0, 2.0, 1.0), 3, 97, 1 << 17
+#: Ranges of hashes are halved six times a step: by how many bits a hash is shifted to give its range.
+RANGES = (58, 52, 46)
 _FIT = "source string, size long, base int, extra long"
 
 
@@ -108,15 +110,19 @@ def plan(narrow: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = F.col("a.source").eqNullSafe(F.col("b.source"))
     fitted = lengths.alias("a").join(small(goal).alias("b"), same).select("a.source", "a.size", "a.n", "b.target").groupBy("source").applyInPandas(lambda f: fit(f.sort_values("size")), _FIT)
     fitted = materialize(fitted, "mix-fit")
-    # The extra-th lowest hash of each (source, size): counts by hash range first, so that a large group is ordered in many pieces.
-    part = F.shiftrightunsigned(F.col("h"), 52).cast("int").alias("part")
-    keys = ["source", "size", "part"]
-    hashes = narrow.groupBy("source", "size", part, "h").agg(F.count("*").alias("m"))
-    parts = hashes.groupBy(keys).agg(F.sum("m").alias("m"))
-    parts = parts.withColumn("before", F.sum("m").over(Window.partitionBy("source", "size").orderBy("part")) - F.col("m"))
-    fit2 = fitted.filter("extra > 0")
-    edge = parts.alias("a").join(small(fit2).alias("b"), same & (F.col("a.size") == F.col("b.size"))).where("before < extra and extra <= before + m").select("a.source", "a.size", "a.part", "b.extra", "a.before")
-    inside = hashes.alias("a").join(small(edge).alias("b"), same & (F.col("a.size") == F.col("b.size")) & (F.col("a.part") == F.col("b.part"))).select("a.source", "a.size", "a.h", "a.m", "b.extra", "b.before")
+    # The extra-th lowest hash of each (source, size): by counts over ranges of hashes, 64 at a time, so that a large group is neither
+    # sorted nor summed up in one task.
+    sized = same & (F.col("a.size") == F.col("b.size"))
+    edge = fitted.filter("extra > 0").select("source", "size", "extra", F.lit(0).cast("long").alias("before"), F.lit(None).cast("long").alias("range"))
+    hashes = narrow.alias("a").join(small(edge).alias("b"), sized, "left_semi").groupBy("source", "size", "h").agg(F.count("*").alias("m"))
+    hashes = materialize(hashes, "mix-hashes")
+    range_of = lambda shift: F.shiftrightunsigned(F.col("a.h"), shift)
+    for shift in RANGES:
+        inside = F.col("b.range").isNull() | (range_of(shift + 6) == F.col("b.range")) if shift + 6 < 64 else F.lit(True)
+        met = hashes.alias("a").join(small(edge).alias("b"), sized & inside).groupBy("a.source", "a.size", "b.extra", "b.before", range_of(shift).alias("range")).agg(F.sum("a.m").alias("m"))
+        upto = F.col("before") + F.sum("m").over(Window.partitionBy("source", "size").orderBy("range"))
+        edge = materialize(met.withColumn("upto", upto).filter("upto - m < extra and extra <= upto").select("source", "size", "extra", (F.col("upto") - F.col("m")).alias("before"), "range"), "mix-edge")
+    inside = hashes.alias("a").join(small(edge).alias("b"), sized & (range_of(RANGES[-1]) == F.col("b.range"))).select("a.source", "a.size", "a.h", "a.m", "b.extra", "b.before")
     low = Window.partitionBy("source", "size").orderBy("h")
     inside = inside.withColumn("upto_n", F.col("before") + F.sum("m").over(low)).filter("upto_n - m < extra and extra <= upto_n")
     cut = inside.select("source", "size", F.col("h").alias("upto"), F.when(F.col("extra") < F.col("upto_n"), F.col("extra") - F.col("upto_n") + F.col("m")).alias("ties"))
