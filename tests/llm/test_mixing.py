@@ -76,3 +76,14 @@ def test_subset_sum_is_exact_where_a_sum_exists(seed):
     for budget in range(0, int((sizes * counts).sum()) + 1, 7):
         take = mixing.subset_sum(sizes, counts, budget)
         assert (take <= counts).all() and (take * sizes).sum() == min(reach, key=lambda r: (abs(r - budget), r))
+
+
+def test_very_long_texts_and_ties_by_all_columns(spark):
+    docs = [(i, "a", "x " * (400_000 + i)) for i in range(6)] + [(10 + i, "b", "y z") for i in range(30)]
+    check(mixing.digest(spark.createDataFrame(docs, "doc_id long, source string, text string")).collect(), docs, 450_000)
+    huge, counts = np.array([3, 10**9, 2 * 10**9]), np.array([5, 2, 1])
+    base, extra = mixing.fit_source(huge, counts, 1.4e9)
+    assert base == 0 and int((huge * extra).sum()) == 10**9 + 15  # no array of that length is made
+    same = spark.createDataFrame([(1, "a", "x y z", k) for k in range(30)] + [(2, "b", "u v w", 0)] * 10, "doc_id long, source string, text string, extra int")
+    one, two = (sorted(mixing.take(same.repartition(n)).collect()) for n in (2, 7))
+    assert one == two

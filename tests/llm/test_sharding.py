@@ -29,3 +29,33 @@ def test_written_shards_and_empty(spark, tmp_path):
     path = sharding.write_shards(docs, f"{tmp_path}/s", shards=4)
     assert spark.read.parquet(path).groupBy("shard").count().count() == 4
     assert sharding.shuffled(docs.limit(0)).count() == 0 and sharding.digest(docs.limit(0)).count() == 0
+
+
+def test_digest_against_brute_force(spark, sf):
+    import zlib
+
+    table = spark.read.parquet(f"{sf}/documents.parquet").unionByName(spark.createDataFrame([(None, None, None, None, None), (-1, "", "x", "s", 0), (-2, "long " * 400_000, "x", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
+    docs = table.collect()
+    got = sharding.digest(table).collect()
+    facts = lambda i, t: (str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted(facts(r.doc_id, r.text) for r in docs)
+    n = Counter(r.shard for r in got)
+    assert set(n) == set(range(16)) and max(n.values()) - min(n.values()) <= 1 and {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n[s])) for s in n)
+    # Not in the order of the table: neighbours land in different shards about 15 times of 16.
+    at = {r.doc_id: r.shard for r in got}
+    same = sum(at[a.doc_id] == at[b.doc_id] for a, b in zip(docs, docs[1:]))
+    assert same < len(docs) / 8
+
+
+def test_copies_are_scattered_and_placed_by_all_columns(spark):
+    rows = [(7, "the same", k % 5) for k in range(600)] + [(k, f"t{k}", 0) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    one = sharding.shuffled(docs.repartition(3), bucket_bytes=500, copies=50).collect()
+    two = sharding.shuffled(docs.repartition(8), bucket_bytes=500, copies=50).collect()
+    assert sorted(one) == sorted(two) and len(one) == 700
+    assert len({r["__bucket"] for r in one if r.doc_id == 7}) > 10
+    whole = sharding.shuffled(docs.repartition(4), bucket_bytes=500).collect()
+    assert sorted(whole) == sorted(sharding.shuffled(docs.repartition(6), bucket_bytes=500).collect())
+    bare = sharding.shuffled(docs.withColumn("m", F.create_map(F.lit("a"), "extra")), bucket_bytes=500)
+    assert bare.count() == 700

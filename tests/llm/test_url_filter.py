@@ -26,3 +26,25 @@ def test_bloom_has_no_false_negatives_and_few_positives(spark):
         passes = passes & (F.col(f"w{i}").bitwiseAND(b) == b)
     n = {r.there: r.n for r in hit.filter(passes).groupBy("there").agg(F.count("*").alias("n")).collect()}
     assert n[True] == 20_000 and n.get(False, 0) < 800
+
+
+def test_a_list_of_its_own_against_brute_force(spark):
+    import random
+    import re
+
+    rng = random.Random(8)
+    host = lambda: ".".join(rng.choices(["a", "b", "shop", "m", "www", "x1"], k=2)) + ".com"
+    url = lambda: f"{rng.choice(['http', 'https'])}://{rng.choice(['', 'www.', 'm.'])}{host()}{rng.choice(['', ':80', ':443', ':8080'])}/{rng.randint(0, 9)}{rng.choice(['', '/'])}?{'&'.join(rng.sample(['a=1', 'b=2', 'utm_x=3', 'ref=4'], 3))}"
+    urls = [url() for _ in range(3000)] + ["http://long.com/" + "p" * 200_000] * 2
+    listed = [url() for _ in range(400)] + ["http://www.long.com/" + "p" * 200_000 + "/"]
+
+    def canonical(u):
+        h, p, q = re.match(r"(?s).*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?", u).groups()
+        keep = sorted(x for x in (q or "").split("&") if x and not re.match(r"(utm_[^=]*|ref|gclid|fbclid)(=|$)", x))
+        return re.sub(r":(80|443)$", "", re.sub(r"^(www|m)\.", "", h.lower())) + p.rstrip("/") + ("?" + "&".join(keep) if keep else "")
+
+    bad = {canonical(u) for u in listed}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.listed for r in u.filter_urls(pages, spark.createDataFrame([(x,) for x in listed], "url string")).collect()}
+    want = {k: canonical(x) in bad for k, x in enumerate(urls)}
+    assert got == want and 10 < sum(want.values()) < len(urls)
