@@ -30,7 +30,8 @@ def test_commands(spark, tmp_path, capsys):
     (tmp_path / "docs").mkdir()
     (tmp_path / "docs/a.md").write_text("unchanged retrieval chunks " * 100)
     (tmp_path / "docs/b.md").write_text("another note entirely")
-    assert go("plan")[1]["operations"]["add"] >= 2 and go("index")[1]["generation"] == 1
+    first = go("plan", "--show", "2")[1]
+    assert first["operations"]["add"] >= 2 and [f["kind"] for f in first["first"]] == ["add"] * 2 and go("index")[1]["generation"] == 1
     assert go("query", "another note")[1][0]["document_id"].endswith("b.md") and go("verify")[0] == 0
     (tmp_path / "docs/b.md").unlink()
     assert go("verify")[0] == 2 and go("index")[0] == 1 and go("index", "--allow-deletes")[1]["generation"] == 2

@@ -24,7 +24,9 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("init").add_argument("--force", action="store_true")
     sub.add_parser("adopt").add_argument("old")
-    sub.add_parser("plan").add_argument("inputs", nargs="*")
+    i = sub.add_parser("plan")
+    i.add_argument("inputs", nargs="*")
+    i.add_argument("--show", type=int, default=0, help="how many operations to list")
     for name in ("status", "rollback"):
         sub.add_parser(name)
     sub.add_parser("verify").add_argument("--no-sources", action="store_true", help="the index by itself")
@@ -71,7 +73,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> object:
     if getattr(args, "allow_network", True) is False and p.config.embedding.provider == "openai":
         raise WeftlineError("this would send texts to an embedding service; allow it with --allow-network")
     if args.command == "plan":
-        return p.plan(inputs=tuple(args.inputs))
+        return p.plan(inputs=tuple(args.inputs), show=args.show)
     if args.command == "index":
         return p.apply(allow_deletes=args.allow_deletes, inputs=tuple(args.inputs)).__dict__
     if args.command == "status":

@@ -108,6 +108,13 @@ QUERIES["fixed_chunks"], SQL["fixed_chunks"] = _fixed(FIXED)
 QUERIES["fixed_chunks_overlap"], SQL["fixed_chunks_overlap"] = _fixed(OVERLAP)
 
 
+@query(SQL["fixed_chunks_overlap"])
+def fixed_chunks_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The general kernel, which also knows paragraphs, NFC and token counters, cuts this data as the expressions in the JVM do."""
+    own = chunking.chunk_documents(documents(spark, sf_dir), OVERLAP)
+    return own.select("document_id", F.col("chunk_index").alias("position"), "chunk_hash", F.col("start_word").cast("long").alias("start_word"), F.col("end_word").cast("long").alias("end_word"))
+
+
 @query("""with t as (select conv_id, turn, list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '\\S+')) as ws from conversations)
 select a.conv_id, a.turn, round(case when len(a.ws) + len(b.ws) = 0 then 1 else len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) end, 9) as similarity from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1""".replace("\\\\S", "\\S"))
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

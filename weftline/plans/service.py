@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import config as cfg
 from ..errors import ConfigError, VerificationError, WeftlineError
-from ..operators import chunking
+from ..operators import chunking, diff
 from ..sources.cache import Cache
 from ..sources.files import read_documents, unique_ids
 from ..tables import Store, written
@@ -36,6 +36,11 @@ class Prepared:
     generation: int
     operations: dict[str, int]
     cost: dict[str, Any]
+    rows: DataFrame
+
+    def first(self, n: int) -> list[dict[str, Any]]:
+        """The first operations in the order of plans."""
+        return [r.asDict() for r in self.rows.orderBy(*diff.plan_order()).limit(n).collect()]
 
 
 class Project:
@@ -82,11 +87,12 @@ class Project:
         now, provider = self.index.newest(), c.embedding.build()
         known = self.cache.rows().where((F.col("model_id") == provider.model_id) & (F.col("params_hash") == provider.params_hash)).select("chunk_hash")
         out = self.index.plan(target, provider, known, c.embedding.price_per_million_tokens)
-        return Prepared(target, docs.select("document_id", "metadata"), now.generation if now else 0, {r["kind"]: r["n"] for r in out["counts"].collect()}, out["cost"].first().asDict())
+        return Prepared(target, docs.select("document_id", "metadata"), now.generation if now else 0, {r["kind"]: r["n"] for r in out["counts"].collect()}, out["cost"].first().asDict(), out["operations"])
 
-    def plan(self, config: cfg.Config | None = None, inputs: tuple[str, ...] = ()) -> dict[str, Any]:
+    def plan(self, config: cfg.Config | None = None, inputs: tuple[str, ...] = (), show: int = 0) -> dict[str, Any]:
+        """Counts and cost, and with ``show`` the first so many operations."""
         p = self.prepare(config, inputs=inputs)
-        return {"operations": p.operations, "cost": p.cost}
+        return {"operations": p.operations, "cost": p.cost} | ({"first": p.first(show)} if show else {})
 
     def apply_prepared(self, p: Prepared, config: cfg.Config | None = None, force: bool = False) -> Commit:
         c = config or self.config
