@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from weftline.llm import simhash
-from weftline.llm.components import components
+from weftline.llm.components import _met, components
 
 
 def slow(text):
@@ -71,6 +71,20 @@ def test_chain_of_components(spark):
     assert got == {i: 0 for i in range(1, 301)} | {901: 900}
 
 
+def test_hot_nodes_and_fingerprints_meet_the_same_rows(spark):
+    from pyspark.sql import functions as F
+
+    edges = spark.createDataFrame([(1, k) for k in range(2, 40)] + [(50 + k, k) for k in range(9)] + [(7, 8)], "a long, b long")
+    facts = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    want = sorted(map(tuple, edges.join(facts.drop("n"), "a").collect()))
+    assert all(sorted(map(tuple, _met(edges, facts, most).select("a", "b", "m").collect())) == want for most in (100, 3, 1))
+    rows = spark.createDataFrame([(k, 5 if k < 30 else k % 7) for k in range(60)], "doc_id long, __fp long")
+    named = spark.createDataFrame([(5, 34, 0), (6, 4, 33), (2, 4, 33), (3, 5, 31)], "__nfp long, __n long, __component long")
+    got = [sorted(map(tuple, simhash.with_component(rows, named, "doc_id", most=most).select("doc_id", "__component").collect())) for most in (100, 3, 2)]
+    by = {5: 0, 6: 33, 2: 33, 3: 31}
+    assert got[0] == got[1] == got[2] == sorted((r.doc_id, by.get(r["__fp"], r.doc_id)) for r in rows.collect())
+
+
 def test_groups_nulls_repeats_and_empty(spark):
     near = "one two three four five six seven eight nine ten " * 20
     rows = [(7, near), (3, near), (3, near), (None, near), (9, None), (8, ""), (None, "alone is this text here"), (5, "something else entirely"), (4, "x" * 200_000)]
