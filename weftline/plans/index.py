@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import wire
 from ..errors import BackendError
-from ..functions.hashing import chunk_hash_column, hash_fields_column, instance_id_column
+from ..functions.hashing import hash_fields_column, instance_id_column
 from ..operators import diff, embedding, merkle
 from ..tables import CommitLog, file_system, written
 from . import manifest
