@@ -8,7 +8,6 @@ rows are judged each; an empty list or table is fine.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
