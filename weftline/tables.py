@@ -45,6 +45,15 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and nobody reads any more."""
+    for df in tables:
+        folder = next(iter(df.inputFiles()), "").rpartition("/")[0]
+        if folder.rpartition("/")[2].startswith("weftline-"):
+            fs, p = file_system(df.sparkSession, folder)
+            fs.delete(p, True)
+
+
 def spread(df: DataFrame, least_bytes: int = 2 << 20, most_bytes: int = 1 << 30) -> DataFrame:
     """A table of some megabytes in fewer files than there are cores, dealt over all of them; a smaller or larger one stays as it lies. For
     work that is far dearer than moving such a table once."""
