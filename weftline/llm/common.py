@@ -10,11 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import discard
 from ..tables import scratch as scratch_path
 from ..tables import spread
 from ..tables import written as materialize
 
-__all__ = ["BROADCAST_ROWS", "SPACE", "materialize", "numbered", "scratch_path", "slices", "small", "sortable", "table", "words"]
+__all__ = ["BROADCAST_ROWS", "SPACE", "discard", "materialize", "met", "numbered", "scratch_path", "slices", "small", "sortable", "table", "words"]
 
 #: ASCII white space as a Java and RE2 character class; a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
@@ -31,6 +32,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def met(rows: DataFrame, facts: DataFrame, keys: list[str], most: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows with the facts of their key, from one row (keys, n, ...) a key, n its number of rows: all by broadcast if keys are few, else those
+    of at least one in ``most`` rows, which are at most ``most`` keys, so no key's rows are brought to one task."""
+    facts = materialize(facts, "facts")
+    if facts.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(facts.drop("n")), keys)
+    hot = F.broadcast(facts.filter(F.col("n") >= facts.agg(F.sum("n")).first()[0] / most).drop("n"))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(facts.drop("n"), keys))
+
+
 def words(text: Column) -> Column:
     """The words of a text, none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

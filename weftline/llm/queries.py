@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lattice_lm, mixing, quality, sharding, simhash, token_counts, url_filter, warc
+from . import chat, decontam, lattice_lm, mixing, quality, sharding, simhash, spelling, token_counts, url_filter, warc
 from .common import materialize, table
 
 
@@ -59,5 +59,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_simhash, op4_lattice_lm, op5_token_counts, op6_warc, op7_url_filter, op8_mixing, op9_sharding, op10_decontamination)}
-SQL = {"op2_quality_rules": quality.sql(), "op6_warc": warc.SQL, "op7_url_filter": url_filter.sql()}
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_simhash, op4_lattice_lm, op5_token_counts, op6_warc, op7_url_filter, op8_mixing, op9_sharding, op10_decontamination, op13_spelling)}
+SQL = {"op2_quality_rules": quality.sql(), "op6_warc": warc.SQL, "op7_url_filter": url_filter.sql(), "op13_spelling": spelling.SQL}
