@@ -32,14 +32,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def met(rows: DataFrame, facts: DataFrame, keys: list[str], most: int = BROADCAST_ROWS) -> DataFrame:
+def met(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """Rows with the facts of their key, from one row (keys, n, ...) a key, n its number of rows: all by broadcast if keys are few, else those
-    of at least one in ``most`` rows, which are at most ``most`` keys, so no key's rows are brought to one task."""
+    of at least one in ``most`` rows, which are at most ``most`` keys, so no key's rows are brought to one task. how: inner or left."""
     facts = materialize(facts, "facts")
     if facts.limit(most + 1).count() <= most:
-        return rows.join(F.broadcast(facts.drop("n")), keys)
+        return rows.join(F.broadcast(facts.drop("n")), keys, how)
     hot = F.broadcast(facts.filter(F.col("n") >= facts.agg(F.sum("n")).first()[0] / most).drop("n"))
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(facts.drop("n"), keys))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(facts.drop("n"), keys, how))
 
 
 def words(text: Column) -> Column:

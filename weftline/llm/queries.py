@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lattice_lm, mixing, prefix_trie, quality, sharding, simhash, spelling, token_counts, url_filter, warc
+from . import chat, decontam, lattice_lm, mixing, prefix_trie, quality, sharding, simhash, spelling, suffix_dedup, token_counts, url_filter, warc
 from .common import materialize, table
 
 
@@ -59,6 +59,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(*prefix_trie.rebuilt(prefix_trie.turns(table(spark, sf_dir, "conversations"))))
 
@@ -67,5 +71,5 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_simhash, op4_lattice_lm, op5_token_counts, op6_warc, op7_url_filter, op8_mixing, op9_sharding, op10_decontamination, op12_prefix_trie, op13_spelling)}
-SQL = {"op2_quality_rules": quality.sql(), "op6_warc": warc.SQL, "op7_url_filter": url_filter.sql(), "op12_prefix_trie": prefix_trie.SQL, "op13_spelling": spelling.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_simhash, op4_lattice_lm, op5_token_counts, op6_warc, op7_url_filter, op8_mixing, op9_sharding, op10_decontamination, op11_suffix_dedup, op12_prefix_trie, op13_spelling)}
+SQL = {"op2_quality_rules": quality.sql(), "op6_warc": warc.SQL, "op7_url_filter": url_filter.sql(), "op11_suffix_dedup": suffix_dedup.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_spelling": spelling.SQL}
