@@ -382,12 +382,12 @@ def digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
 
 
-SQL = f"""with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as x, row_number() over () as r from documents),
-s as (select r, i, md5(substr(x, 2 * i + 1, {2 * WIDTH})) as w from (select r, x, unnest(range(greatest(length(x) // 2 - {WIDTH} + 1, 0))) as i from d)),
+SQL = f"""with d as materialized (select doc_id, encode(coalesce(text, '')) as x, row_number() over () as r from documents),
+s as (select r, i, md5(x[i + 1 : i + {WIDTH}]) as w from (select r, x, unnest(range(greatest(octet_length(x) - {WIDTH} + 1, 0))) as i from d)),
 t as (select r, i from s where w in (select w from s group by 1 having count(*) > 1)),
 b as (select r, i, case when i > lag(i) over (partition by r order by i) + {WIDTH} then 1 else 0 end as fresh from t),
 g as (select r, i, sum(fresh) over (partition by r order by i) as run from b),
 p as (select r, run, min(i) as lo, max(i) + {WIDTH} as hi from g group by 1, 2),
 q as (select r, lo, hi, coalesce(lag(hi) over (partition by r order by lo), 0) as since from p),
-k as (select q.r, sum(hi - lo)::bigint as n_removed, count(*)::bigint as n_spans, string_agg(substr(x, 2 * since + 1, 2 * (lo - since)), '' order by lo) as front, max(hi) as last from q join d using (r) group by 1)
-select doc_id, (length(x) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(front || substr(x, 2 * last + 1), x))) as kept_sha256 from d left join k using (r)"""
+k as (select q.r, sum(hi - lo)::bigint as n_removed, count(*)::bigint as n_spans, string_agg(hex(x[since + 1 : lo]), '' order by lo) as front, max(hi) as last from q join d using (r) group by 1)
+select doc_id, octet_length(x) as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, case when front is null then sha256(x) else sha256(unhex(front || hex(x[last + 1 :]))) end as kept_sha256 from d left join k using (r)"""
