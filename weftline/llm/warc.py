@@ -2,9 +2,10 @@
 
 Records are dealt to shards by key ranges of about ``shard_bytes`` (from an exact histogram of bytes over keys, not from samples; a key that
 holds more is cut by digests), sorted inside a shard, written one gzip member each, and rolled to a new file when the compressed size passes ``roll_bytes``. Headers and digests
-are made anew. Each task writes under temporary names of its own; the driver renames the files that tasks reported and publishes a
-manifest last, so a reader sees all files or none, and repeated or lost attempts leave nothing behind. File names, bytes and manifest
-depend on the records only.
+are made anew. Each task writes under temporary names of its own; tasks then rename the files that were reported and Spark publishes the
+manifest last, as a table of its own, so a reader sees all files or none, and repeated or lost attempts leave nothing behind. A folder
+that has a manifest is never written again. Readers hold each file to the bytes, records and digest that the manifest states: one that was
+cut, lengthened, changed or lost is an error. File names, bytes and manifest depend on the records only.
 
 Equal payloads of at least ``revisit_bytes`` are written once, by the record with the largest key; the others are revisits of it. Defined
 results: null payload is empty; a null key sorts first and yields to any other as the response; of repeated keys with equal payloads the
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import json
 import re
 import uuid
@@ -25,11 +27,12 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import file_system
 from .common import materialize, scratch_path, small
 
 SHARD_BYTES, ROLL_BYTES, REVISIT_BYTES = 64 << 20, 32 << 20, 1000
 DATE, MOST_TASKS = "2024-01-01T00:00:00Z", 16_384
-_BINS = 4096
+_BINS, MANIFEST = 4096, "MANIFEST"
 #: Fixed names of the format.
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _FILES = "temp string, name string, shard long, part long, records long, bytes long, sha256 string"
@@ -40,24 +43,32 @@ def range_bounds(rows: DataFrame, key: str, weight: str, target: int) -> tuple[n
     """Lower bounds of key ranges of about ``target`` weight (the first is the least key), and into how many shards each is cut: one, but
     for a single key that weighs more.
 
-    Histograms of at most 4096 bins a heavy range, each level one aggregate; what the driver holds is a few numbers per ``target`` weight.
+    Histograms of at most 4096 bins first, then of two bins a ``target`` of a heavy range's weight, each level one aggregate; what the driver
+    holds is a few numbers per ``target`` weight.
     """
     low, high = rows.agg(F.min(key), F.max(key)).first()
     if low is None:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    width, k = max(1, -(-(high - low + 1) // _BINS)), F.col(key).cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
-    at = lambda w: F.floor(k / F.lit(w).cast("decimal(20,0)")).cast("long")
+    big = lambda c: F.col(c).cast("decimal(20,0)") if isinstance(c, str) else F.lit(c).cast("decimal(20,0)")
+    at = lambda start, width: F.floor((big(key) - big(start)) / big(width)).cast("long")
     done: dict[int, int] = {}
-    ask = rows.filter(F.col(key).isNotNull())
+    first = max(1, -(-(high - low + 1) // _BINS))
+    ask, ranges = rows.filter(F.col(key).isNotNull()).select(key, weight).withColumns({"__start": F.lit(low), "__width": F.lit(first)}), {low: first}
     while True:
-        found = {r[0]: r[1] for r in ask.groupBy(at(width)).agg(F.sum(weight)).collect()}  # at most 4096 rows a heavy range
-        heavy = [b for b, n in found.items() if n > target and width > 1]
-        done |= {low + b * width: n for b, n in found.items() if width == 1 or n <= target}
+        found = ask.groupBy("__start", at("__start", "__width").alias("bin")).agg(F.sum(weight).alias("w")).collect()
+        heavy: dict[int, tuple[int, int]] = {}  # start of a range to (its width, the width of its bins)
+        for start, k, w in found:
+            width = ranges[start]
+            if w > target and width > 1:
+                heavy[start + k * width] = (width, max(1, -(-width // min(_BINS, 2 * -(-w // target)))))
+            else:
+                done[start + k * width] = w
         if not heavy:
             break
-        marks = rows.sparkSession.createDataFrame(pa.table({"heavy": pa.array(heavy, pa.int64())}))
-        ask = ask.join(small(marks), at(width) == F.col("heavy"), "left_semi")
-        width = max(1, -(-width // _BINS))
+        marks = rows.sparkSession.createDataFrame(pa.table({"__heavy": pa.array(list(heavy), pa.int64()), "__next": pa.array([b for _, b in heavy.values()], pa.int64())}))
+        own = ask.withColumn("__at", (big("__start") + at("__start", "__width").cast("decimal(20,0)") * big("__width")).cast("long"))
+        ask = own.join(small(marks), F.col("__at") == F.col("__heavy")).select(key, weight, F.col("__heavy").alias("__start"), F.col("__next").alias("__width"))
+        ranges = {start: b for start, (_, b) in heavy.items()}
     bounds, cuts, held = [], [], 0
     for start in sorted(done):
         if not bounds or cuts[-1] > 1 or held and held + done[start] > target:
@@ -151,12 +162,15 @@ class _Roller:
         return {"temp": f"{self.temp}/{self.name}", "name": self.name, "shard": self.shard, "part": self.part - 1, "records": self.records, "bytes": self.size, "sha256": self.sha.hexdigest()}
 
 
-def write_warc(df: DataFrame, out: str, key: str = "page_id", url: str = "url", payload: str = "html", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, revisit_bytes: int = REVISIT_BYTES) -> list[dict]:
-    """Writes one record a row under ``out`` (a URI that pyarrow's file systems know, shared by all machines); the manifest's entries.
+def write_warc(df: DataFrame, out: str, key: str = "page_id", url: str = "url", payload: str = "html", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+    """Writes one record a row under ``out`` (a URI that Spark and pyarrow's file systems know, shared by all machines); the manifest.
 
     Payloads move once, to their shard; which records revisit which is found over digests and meets them there in sort order.
     """
     spark = df.sparkSession
+    fs, p = file_system(spark, f"{out}/{MANIFEST}")
+    if fs.exists(p):
+        raise FileExistsError(f"{out} was written before")
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.sha1(body).alias("digest"), body.alias("payload"))
     narrow = materialize(rows.select("key", "digest", F.octet_length("payload").cast("long").alias("n")), "warc-keys")
@@ -194,27 +208,51 @@ def write_warc(df: DataFrame, out: str, key: str = "page_id", url: str = "url",
     parts = min(MOST_TASKS, max(1, place.shards))  # a task takes neighbouring shards
     task = F.floor(F.col("shard") * parts / max(1, place.shards)).cast("int")
     ready = every.repartitionById(parts, task).sortWithinPartitions(F.col("shard"), F.col("key").asc_nulls_first(), "digest", "kind", "url")
-    written = sorted((r.asDict() for r in materialize(ready.mapInArrow(run, _FILES), "warc-files").collect()), key=lambda f: f["name"])  # a row a file
-    return _commit(out, written)
+    return _commit(out, materialize(ready.mapInArrow(run, _FILES), "warc-files"))
 
 
-def _commit(out: str, written: list[dict]) -> list[dict]:
-    fs, root = pafs.FileSystem.from_uri(out)
-    fs.create_dir(root, recursive=True)
-    for f in written:
-        fs.move(f"{root}/{f.pop('temp')}", f"{root}/{f['name']}")
-    with fs.open_output_stream(f"{root}/_manifest.tmp", compression=None) as m:
-        m.write("".join(json.dumps(f, sort_keys=True) + "\n" for f in written).encode())
-    fs.move(f"{root}/_manifest.tmp", f"{root}/MANIFEST.jsonl")
-    if fs.get_file_info(f"{root}/_temporary").type == pafs.FileType.Directory:
-        fs.delete_dir(f"{root}/_temporary")
-    return written
+def _commit(out: str, files: DataFrame) -> DataFrame:
+    """Gives the reported files their names, in tasks (again if one was lost), then writes the manifest."""
 
+    def run(batches):  # noqa: ANN001, ANN202
+        fs, root = pafs.FileSystem.from_uri(out)
+        for b in batches:
+            for temp, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if fs.get_file_info(f"{root}/{temp}").type == pafs.FileType.File:
+                    fs.move(f"{root}/{temp}", f"{root}/{name}")
+            yield b
+
+    spark, own = files.sparkSession, [x.split()[0] for x in _FILES.split(", ")]
+    named = materialize(files.repartition("shard").select(*own).mapInArrow(run, _FILES).drop("temp"), "warc-named")
+    named.repartitionByRange(max(1, min(64, named.count() // 100_000 + 1)), "name").sortWithinPartitions("name").write.json(f"{out}/{MANIFEST}")
+    fs, p = file_system(spark, f"{out}/_temporary")
+    fs.delete(p, True)
+    return manifest(spark, out)
+
+
+def manifest(spark: SparkSession, out: str) -> DataFrame:
+    """(name, shard, part, records, bytes, sha256) of the files that were published."""
+    fs, p = file_system(spark, f"{out}/{MANIFEST}/_SUCCESS")
+    if not fs.exists(p):
+        raise FileNotFoundError(f"{out} has no whole manifest")
+    return spark.read.schema(_FILES.removeprefix("temp string, ")).json(f"{out}/{MANIFEST}")
 
-def manifest(out: str) -> list[dict]:
-    fs, root = pafs.FileSystem.from_uri(out)
-    with fs.open_input_stream(f"{root}/MANIFEST.jsonl") as m:
-        return [json.loads(x) for x in m.read().decode().splitlines()]
+
+class _Held(io.RawIOBase):
+    """A file that is read once from start to end, with its size and digest."""
+
+    def __init__(self, source) -> None:  # noqa: ANN001
+        self.source, self.size, self.sha = source, 0, hashlib.sha256()
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:  # noqa: ANN001
+        data = self.source.read(len(into))
+        into[: len(data)] = data
+        self.size += len(data)
+        self.sha.update(data)
+        return len(data)
 
 
 def parse(stream):  # noqa: ANN001, ANN201
@@ -233,34 +271,39 @@ def parse(stream):  # noqa: ANN001, ANN201
 
 
 def read_warc(spark: SparkSession, out: str) -> DataFrame:
-    """The records of all files of the manifest; a file or payload that differs from its digest is an error. Revisits have null payload."""
-    files = manifest(out)
+    """The records of all files of the manifest; a file or payload that differs from what is stated is an error. Revisits have null payload."""
+    files = manifest(spark, out)
 
     def run(batches):  # noqa: ANN001, ANN202
         fs, root = pafs.FileSystem.from_uri(out)
         schema = pa.schema([("key", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
         number = lambda x: None if x is None else int(x)
         for b in batches:
-            for name in b.column(0).to_pylist():
-                rows, held = [], 0
-                with fs.open_input_stream(f"{root}/{name}", compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
-                    for h, block in parse(stream):
-                        if h["warc-type"] == "warcinfo":
-                            continue
-                        digest, revisit = h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"] == "revisit"
-                        payload = None if revisit else block[block.index(b"\r\n\r\n") + 4 :]
-                        if h["warc-block-digest"] != f"sha1:{hashlib.sha1(block).hexdigest()}" or payload is not None and digest != hashlib.sha1(payload).hexdigest():
-                            raise ValueError(f"{name}: a digest differs")
-                        rows.append({"key": number(h.get("x-record-key")), "url": h.get("warc-target-uri"), "record_type": h["warc-type"], "refers_to": number(h.get("x-refers-to-key")), "payload_bytes": int(h["x-payload-length"]), "payload_digest": digest, "payload": payload})
-                        held += len(payload or b"")
-                        if held > 8 << 20:
-                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                            rows, held = [], 0
+            for name, records, size, sha in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                rows, held, met = [], 0, 0
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as source:
+                    own = _Held(source)
+                    with gzip.GzipFile(fileobj=io.BufferedReader(own, 1 << 20)) as stream:
+                        for h, block in parse(stream):
+                            if h["warc-type"] == "warcinfo":
+                                continue
+                            met += 1
+                            digest, revisit = h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"] == "revisit"
+                            payload = None if revisit else block[block.index(b"\r\n\r\n") + 4 :]
+                            if h["warc-block-digest"] != f"sha1:{hashlib.sha1(block).hexdigest()}" or payload is not None and digest != hashlib.sha1(payload).hexdigest():
+                                raise ValueError(f"{name}: a digest differs")
+                            rows.append({"key": number(h.get("x-record-key")), "url": h.get("warc-target-uri"), "record_type": h["warc-type"], "refers_to": number(h.get("x-refers-to-key")), "payload_bytes": int(h["x-payload-length"]), "payload_digest": digest, "payload": payload})
+                            held += len(payload or b"")
+                            if held > 8 << 20:
+                                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                                rows, held = [], 0
+                    if (met, own.size, own.sha.hexdigest()) != (records, size, sha):
+                        raise ValueError(f"{name} differs from the manifest: {met} records and {own.size} bytes, not {records} and {size}, or another digest")
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    names = spark.createDataFrame([(f["name"],) for f in files], "name string")
-    return names.repartition(max(1, len(files))).mapInArrow(run, _RECORDS)
+    tasks = min(MOST_TASKS, max(1, files.count()))
+    return files.select("name", "records", "bytes", "sha256").repartition(tasks, "name").mapInArrow(run, _RECORDS)
 
 
 def digest(pages: DataFrame) -> DataFrame:
