@@ -1,3 +1,4 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weftline.llm import decontam
@@ -113,3 +114,77 @@ def test_rows_alike_are_judged_once_and_others_each(spark):
     docs, items = [(1, ITEM), (1, ITEM), (1, SAME), (2, ITEM)], [(10, ITEM), (10, ITEM), (11, ITEM)]
     rows = [sorted((r.doc_id, r.item_id, r.n_changed > 0) for r in found(spark, docs, items, index_rows=n).collect()) for n in (decontam.INDEX_ROWS, 0)]
     assert rows[0] == rows[1] == sorted((d, i, c) for d, c in ((1, False), (1, True), (2, False)) for i in (10, 11))
+
+
+def naive(docs, items):
+    """Pairs that the rule of the module's docstring finds, stated plainly over all windows and all diagonals."""
+    def cut(text):
+        own = decontam.Tokens(pa.array([text], pa.string()))
+        return [own.word(k) for k in range(len(own.types))], own.types.tolist()
+
+    def windows(words, types, width):
+        """(template or None, bare words, slots) of each window."""
+        for p in range(len(words) - width + 1 if width else 0):
+            w, t = words[p : p + width], types[p : p + width]
+            plain = sum(x == decontam.PLAIN for x in t)
+            yield p, tuple((a if x == decontam.PLAIN else x) for a, x in zip(w, t)) if plain >= min(decontam.LITERALS, width) else None, tuple(w), [(k, x, w[k]) for k, x in enumerate(t) if x != decontam.PLAIN]
+
+    out = set()
+    cuts = {i: cut(t) for i, t in docs}
+    for item, text in items:
+        words, types = cut(text)
+        width = min(decontam.WINDOW, len(words))
+        own = list(windows(words, types, width))
+        first, weight = {}, {}
+        for q, tem, ws, slots in own:  # windows that are alike count at their first place
+            for kind, name in (("words", ws), ("typed", (tem, tuple(s[2] for s in slots)))):
+                first.setdefault((kind, name), q)
+            weight[q] = first["words", ws]
+        rich = {q for q, tem, _, _ in own if tem is not None}
+        for d, (dw, dt) in cuts.items():
+            met, lines = set(), {}
+            by_words, by_type = {}, {}
+            for p, tem, ws, slots in windows(dw, dt, width):
+                by_words.setdefault(ws, p)
+                if tem is not None and slots:
+                    by_type.setdefault(tem, []).append((p, slots))
+            for q, tem, ws, slots in own:
+                if ws in by_words:
+                    met.add(q)
+                if tem is not None and slots and first["typed", (tem, tuple(s[2] for s in slots))] == q:
+                    for p, ds in by_type.get(tem, ()):
+                        lines.setdefault(p - q, []).append((q, slots, ds))
+            alike = {}
+            for q, tem, _, slots in own:
+                if tem is not None and slots:
+                    alike.setdefault(first["typed", (tem, tuple(s[2] for s in slots))], []).append(q)
+            for line in lines.values():
+                pairs = {(t, a, b) for _, s, ds in line for (_, t, a), (_, _, b) in zip(s, ds)}
+                if decontam.consistent(sorted(pairs)):
+                    met |= {x for q, _, _ in line for x in alike[q]}
+            n = len(met & rich)
+            if n >= max(1, decontam.SHARE * len(rich)) or len(met) >= max(1, decontam.SHARE * len(own)):
+                out.add((d, item))
+    return out
+
+
+def test_equals_the_rule_stated_plainly(spark):
+    d = "/root/testdata/sf0.01"
+    docs, items = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()}
+    assert got and got == naive([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in items.select("item_id", "text").collect()])
+    odd = [(1, ITEM), (2, SAME), (3, OFF), (4, "a " * 60), (5, "b a " * 40), (6, f"{ITEM} {SAME}"), (7, ITEM.upper()), (8, "It has 3 km and " * 30), (9, "it has 4 km and " * 9)]
+    assert {(r.doc_id, r.item_id) for r in found(spark, odd, odd).collect()} == naive(odd, odd)
+
+
+def test_repetitive_texts_cost_no_product(spark):
+    import time
+
+    took = {}
+    for n in (500, 100_000):
+        docs, items = [(1, "same " * n), (2, f"The {n} km and 3 kg of it " * (n // 8))], [(10, "same " * min(n, 5000)), (11, "The 7 km and 3 kg of it " * min(n // 8, 600)), (12, ITEM)]
+        began = time.time()
+        rows = {(r.doc_id, r.item_id): r.coverage for r in found(spark, docs, items).collect()}
+        took[n] = time.time() - began
+        assert set(rows) == {(1, 10), (2, 11)} and rows[1, 10] == 1.0
+    assert took[100_000] < took[500] + 30, took

@@ -15,7 +15,7 @@ from ..tables import scratch as scratch_path
 from ..tables import spread
 from ..tables import written as materialize
 
-__all__ = ["BROADCAST_ROWS", "SPACE", "discard", "materialize", "met", "numbered", "scratch_path", "slices", "small", "sortable", "table", "words"]
+__all__ = ["BROADCAST_ROWS", "SPACE", "discard", "fresh", "materialize", "met", "numbered", "row_key", "scratch_path", "slices", "small", "sortable", "table", "words"]
 
 #: ASCII white space as a Java and RE2 character class; a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
@@ -42,6 +42,20 @@ def met(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner",
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(facts.drop("n"), keys, how))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def row_key(*values: Column) -> list[Column]:
+    """Two 64-bit hashes, k1 and k2, that name a row by values of it, nulls told apart from empty ones."""
+    told = [x for v in values for x in (v, v.isNull())]
+    return [F.xxhash64(*told).alias("k1"), F.xxhash64(F.lit("second"), *told).alias("k2")]
+
+
 def words(text: Column) -> Column:
     """The words of a text, none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

@@ -7,6 +7,10 @@ re-parameterised renames things consistently, chance does not. Windows of equal
 slots, so that a copy in capitals or one with few plain words is found. A document holds an item if windows of equal words and those on
 consistent diagonals cover at least SHARE of the item's windows with LITERALS plain tokens, or of all its windows.
 
+Repetitive texts make no product of their lengths: a window that an item repeats, slots and all, is one with a weight, at its first place; of
+a document's windows of equal words the first of each stands for all; windows without slots are met by their words alone. Rows meet by
+diagonal, at most one a window of the item there, and what diagonals cover is joined by aggregates.
+
 64-bit hashes stand for windows. Where the benchmark has at most INDEX_ROWS words (counted), tasks know its words and window hashes and
 send only windows that will meet; else they send all. The join and what follows are the same, so results don't depend on it.
 Defined results: null texts have no tokens; an item without a window of LITERALS plain tokens is found by equal words only; its windows
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small
+from .common import fresh, materialize, row_key, slices, small
 
 WINDOW, LITERALS, SHARE, INDEX_ROWS, SLICE = 8, 4, 0.25, 500_000, 4 << 20
 #: Fixed words that are units after a number.
@@ -133,50 +137,53 @@ def template(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 _SLOTS = pa.list_(pa.struct([("o", pa.int32()), ("t", pa.int32()), ("v", pa.string())]))
-_WINDOWS = pa.schema([("key", pa.binary()), ("id", pa.int64()), ("pos", pa.int64()), ("width", pa.int32()), ("words", pa.bool_()), ("h", pa.int64()), ("rich", pa.bool_()), ("n_rich", pa.int64()), ("total", pa.int64()), ("slots", _SLOTS)])
-_DDL = "key binary, id long, pos long, width int, words boolean, h long, rich boolean, n_rich long, total long, slots array<struct<o:int,t:int,v:string>>"
-
-
-def _key(i: int | None, text: pa.Scalar) -> bytes:
-    return xxhash.xxh3_128_digest(f"{i}\n".encode() + (text.as_buffer().to_pybytes() if text.is_valid else b"\n"))
+_SLOTS_DDL = "slots array<struct<o:int,t:int,v:string>>"
+_ITEM = pa.schema([("i1", pa.int64()), ("i2", pa.int64()), ("item", pa.int64()), ("q", pa.int64()), ("width", pa.int32()), ("words", pa.bool_()), ("h", pa.int64()), ("weight", pa.int64()), ("rich", pa.int64()), ("n_rich", pa.int64()), ("total", pa.int64()), ("slots", _SLOTS)])
+_DOC = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("id", pa.int64()), ("pos", pa.int64()), ("width", pa.int32()), ("words", pa.bool_()), ("h", pa.int64()), ("slots", _SLOTS)])
 
 
 def _item_windows(items: DataFrame) -> DataFrame:
-    """Every window of every item (id, text) by template and by words; rich says whether it has enough plain tokens, n_rich counts those,
-    total all."""
+    """The windows of every item (k1, k2, id, text) by template, if they have slots, and by words; windows that are alike are one, at their
+    first place q, with how many they are (weight) and how many of these have enough plain tokens (rich); n_rich counts all of those, total all
+    windows."""
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own, rows = Tokens(pa.array([t.as_py()], pa.string())), []
+            for k1, k2, i, t in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                own, rows = Tokens(pa.array([t], pa.string())), {}
                 width = min(WINDOW, len(own.types))
                 typed, equal = (own.windows(width, False), own.windows(width, True)) if width else (((), ()), ((), ()))
                 rich = set(map(int, typed[0]))
                 for by, (at, h) in ((False, typed), (True, equal)):
                     for p, x in zip(map(int, at), np.asarray(h, np.uint64).view(np.int64).tolist(), strict=True):
-                        rows.append({"key": _key(i, t), "id": i, "pos": p, "width": width, "words": by, "h": x, "rich": p in rich, "n_rich": len(rich), "total": len(equal[0]), "slots": own.slots(p, width)})
-                yield pa.RecordBatch.from_pylist(rows, schema=_WINDOWS)
+                        slots = own.slots(p, width)
+                        if not (by or slots):
+                            continue
+                        alike = rows.setdefault((by, x, () if by else tuple(s["v"] for s in slots)), {"i1": k1, "i2": k2, "item": i, "q": p, "width": width, "words": by, "h": x, "weight": 0, "rich": 0, "n_rich": len(rich), "total": len(equal[0]), "slots": slots})
+                        alike["weight"] += 1
+                        alike["rich"] += p in rich
+                yield pa.RecordBatch.from_pylist(list(rows.values()), schema=_ITEM)
 
-    return items.mapInArrow(run, _DDL)
+    return items.mapInArrow(run, f"i1 long, i2 long, item long, q long, width int, words boolean, h long, weight long, rich long, n_rich long, total long, {_SLOTS_DDL}")
 
 
 def _bare_words(items: DataFrame) -> DataFrame:
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            yield pa.RecordBatch.from_arrays([Tokens(b.column(1)).low.unique()], names=["word"])
+            yield pa.RecordBatch.from_arrays([Tokens(b.column(3)).low.unique()], names=["word"])
 
     return items.mapInArrow(run, "word string").filter("word <> ''").distinct()
 
 
 def _document_windows(docs: DataFrame, widths: list[int], known: Known | None) -> DataFrame:
-    """(key, id, pos, width, words, h, slots) of the documents' windows; with ``known`` only of those that the benchmark has."""
+    """(k1, k2, id, pos, width, words, h, slots) of the documents' windows, by words each once; with ``known`` only of those that the benchmark
+    has."""
     shared = docs.sparkSession.sparkContext.broadcast(known)  # at most INDEX_ROWS words and twice as many hashes
-    schema = pa.schema([_WINDOWS.field(c) for c in ("key", "id", "pos", "width", "words", "h", "slots")])
 
     def run(batches):  # noqa: ANN001, ANN202
         have = shared.value
-        for b in slices(batches, 1, SLICE):
-            own, rows = Tokens(b.column(1), have), []
+        for b in slices(batches, 3, SLICE):
+            own, rows = Tokens(b.column(3), have), []
             for width in widths:
                 for by in (False, True):
                     at, h = own.windows(width, by)
@@ -184,21 +191,27 @@ def _document_windows(docs: DataFrame, widths: list[int], known: Known | None) -
                         keys = have.hashes.get((width, by), np.zeros(0, np.uint64))
                         hit = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h if len(keys) else np.zeros(len(h), bool)
                         at, h = at[hit], h[hit]
+                    if by:
+                        first = np.unique(np.stack([own.owner[at].astype(np.int64), h.view(np.int64)], 1), axis=0, return_index=True)[1]
+                        at, h = at[first], h[first]
                     for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
+                        slots = [] if by else own.slots(p, width)
+                        if not (by or slots):
+                            continue
                         doc = own.owner[p].item()
-                        rows.append((doc, p - own.first[doc].item(), width, by, x, [] if by else own.slots(p, width)))
+                        rows.append((doc, p - own.first[doc].item(), width, by, x, slots))
                         if len(rows) == 20_000:
-                            yield _batch(rows, b, schema)
+                            yield _batch(rows, b)
                             rows = []
-            yield _batch(rows, b, schema)
+            yield _batch(rows, b)
 
-    return docs.mapInArrow(run, _DDL.replace("rich boolean, n_rich long, total long, ", ""))
+    return docs.mapInArrow(run, f"k1 long, k2 long, id long, pos long, width int, words boolean, h long, {_SLOTS_DDL}")
 
 
-def _batch(rows: list[tuple], texts: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
-    made = {d: (_key(i := texts.column(0)[d].as_py(), texts.column(1)[d]), i) for d in {r[0] for r in rows}}
-    columns = list(zip(*((*made[r[0]], *r[1:]) for r in rows), strict=True)) or [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def _batch(rows: list[tuple], texts: pa.RecordBatch) -> pa.RecordBatch:
+    own = texts.select([0, 1, 2]).take(pa.array([r[0] for r in rows], pa.int64()))
+    columns = list(zip(*(r[1:] for r in rows), strict=True)) or [()] * 5
+    return pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, f.type) for c, f in zip(columns, list(_DOC)[3:], strict=True))], schema=_DOC)
 
 
 def consistent(pairs: list[tuple[int, str, str]]) -> bool:
@@ -207,36 +220,24 @@ def consistent(pairs: list[tuple[int, str, str]]) -> bool:
     return all(there.setdefault((t, a), b) == b and back.setdefault((t, b), a) == a for t, a, b in pairs)
 
 
-def judge(met: list[dict], n_rich: int, total: int) -> tuple[int, int, float, int, int] | None:
-    """(windows met, windows, their share, slots, changed slots) of an item's windows with plain tokens or else of all; None if both shares
-    are low. ``met``: the windows of an item that a document has, with their diagonals and both sides' slots."""
-    diagonals: dict[int, list[dict]] = {}
-    for m in met:
-        diagonals.setdefault(m["diagonal"], []).append(m)
-    covered, slots = set(), {}
-    for d, own in diagonals.items():
-        typed, equal = [m for m in own if not m["words"]], [m for m in own if m["words"]]
-        pairs = {(m["q"] + x["o"], x["t"], x["v"], y["v"]) for m in typed for x, y in zip(m["bs"], m["ds"], strict=True)}
-        if consistent([p[1:] for p in sorted(pairs)]):
-            covered |= {m["q"] for m in typed}
-            slots |= {(d, p): x != y for p, _, x, y in pairs}
-        covered |= {m["q"] for m in equal}
-        slots |= {(d, m["q"] + x["o"]): False for m in equal for x in m["bs"]}
-    rich = {m["q"] for m in met if m["rich"]}
-    for n, of in ((len(covered & rich), n_rich), (len(covered), total)):
-        if n >= max(1.0, SHARE * of):
-            return n, of, n / of, len(slots), sum(slots.values())
-    return None
-
-
-_OUT = "doc_id long, item_id long, n_windows long, item_windows long, coverage double, n_slots long, n_changed long"
-_FOUND = pa.schema([(k, pa.float64() if k == "coverage" else pa.int64()) for k in ("doc_id", "item_id", "n_windows", "item_windows", "coverage", "n_slots", "n_changed")])
+def covered(met: list[dict]) -> list[dict]:
+    """Rows (at, weight, rich, slot, changed) of one diagonal of a document and an item, from its template windows (q, weight, rich and both
+    sides' slots): the windows and slots they cover if slots are consistent, else none."""
+    pairs = {(m["q"] + x["o"], x["t"], x["v"], y["v"]) for m in met for x, y in zip(m["bs"], m["ds"], strict=True)}
+    if not consistent([p[1:] for p in sorted(pairs)]):
+        return []
+    rows = [{"at": m["q"], "weight": m["weight"], "rich": m["rich"], "slot": False, "changed": None} for m in met]
+    return rows + [{"at": p, "weight": 0, "rich": 0, "slot": True, "changed": x != y} for p, _, x, y in pairs]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", index_rows: int = INDEX_ROWS) -> DataFrame:
-    """One row a (document, item) that it holds: windows met and how many the item has, their share, slots met and how many differ."""
-    own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+_COVER = pa.list_(pa.struct([("at", pa.int64()), ("weight", pa.int64()), ("rich", pa.int64()), ("slot", pa.bool_()), ("changed", pa.bool_())]))
+_PAIR, _FACTS = ["k1", "k2", "i1", "i2"], ["id", "item", "n_rich", "total"]
+
+
+def _held(own: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, index_rows: int) -> DataFrame:
+    """(k1, k2, id, item, n, of, n_slots, n_changed) of the documents (k1, k2, id, text) that hold an item, once a key and item."""
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"))
+    items = items.select(*row_key(F.col("id"), F.col("text")), "id", "text").dropDuplicates(["k1", "k2"])
     size = items.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).first()[0] or 0
     bench = materialize(_item_windows(items), "decontam-items")
     kinds = [tuple(r) for r in bench.select("width", "words").distinct().collect()]  # at most twice WINDOW
@@ -247,29 +248,43 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         for w, by, h in bench.select("width", "words", "h").distinct().collect():  # at most twice as many
             hashes[w, by].append(h)
         known = Known(words, word_ids(words), {k: np.sort(np.array(h, np.int64).view(np.uint64)) for k, h in hashes.items()})
-    a, b = _document_windows(own, sorted({w for w, _ in kinds}), known).alias("a"), small(bench).alias("b")
-    met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.width") == F.col("b.width")) & (F.col("a.words") == F.col("b.words"))).select(
-        F.col("a.key").alias("dk"), F.col("a.id").alias("doc_id"), F.col("b.key").alias("ik"), F.col("b.id").alias("item_id"), F.col("b.pos").alias("q"), (F.col("a.pos") - F.col("b.pos")).alias("diagonal"), "b.words", "b.rich", "b.n_rich", "b.total", F.col("a.slots").alias("ds"), F.col("b.slots").alias("bs")
-    )
-    every = F.collect_set(F.struct("q", "diagonal", "words", "rich", "ds", "bs"))  # a document's windows on one item
-    pairs = met.groupBy("dk", "ik").agg(*(F.max(c).alias(c) for c in ("doc_id", "item_id", "n_rich", "total")), every.alias("met")).drop("dk", "ik")
+    asked = _document_windows(own, sorted({w for w, _ in kinds}), known).withColumnRenamed("slots", "ds")
+    met = asked.join(small(bench.withColumnRenamed("slots", "bs")), ["width", "words", "h"])
+    words = met.filter("words").select(*_PAIR, *_FACTS, F.col("q").alias("at"), "weight", "rich", F.lit(False).alias("slot"), F.lit(None).cast("boolean").alias("changed"))
+    same = met.filter("words and size(bs) > 0").select(*_PAIR, *_FACTS, F.explode("bs.o").alias("o"), "q").select(*_PAIR, *_FACTS, (F.col("q") + F.col("o")).alias("at"), F.lit(0).cast("long").alias("weight"), F.lit(0).cast("long").alias("rich"), F.lit(True).alias("slot"), F.lit(False).alias("changed"))
+    one = F.collect_set(F.struct("q", "weight", "rich", "ds", "bs")).alias("met")  # at most the item's windows, each once
+    lines = met.filter("not words").groupBy(*_PAIR, (F.col("pos") - F.col("q")).alias("diagonal")).agg(*(F.max(c).alias(c) for c in _FACTS), one)
+    keep = [*_PAIR, *_FACTS]
 
     def run(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                if got := judge(r["met"], r["n_rich"], r["total"]):
-                    rows.append(dict(zip(_FOUND.names, (r["doc_id"], r["item_id"], *got), strict=True)))
-            yield pa.RecordBatch.from_pylist(rows, schema=_FOUND)
+        for b in batches:
+            rows = [covered(m) for m in b.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(rows, _COVER)], names=[*keep, "rows"])
+
+    types = "".join(f"{c} long, " for c in keep)
+    typed = lines.select(*keep, "met").mapInArrow(run, f"{types}rows array<struct<at:long,weight:long,rich:long,slot:boolean,changed:boolean>>").select(*keep, F.inline("rows"))
+    each = words.unionByName(same).unionByName(typed).groupBy(*_PAIR, "slot", "at").agg(*(F.max(c).alias(c) for c in (*_FACTS, "weight", "rich")), F.min("changed").alias("changed"))
+    pairs = each.groupBy(*_PAIR).agg(*(F.max(c).alias(c) for c in _FACTS), F.sum("weight").alias("all"), F.sum("rich").alias("some"), F.count_if("slot").alias("n_slots"), F.count_if("changed").alias("n_changed"))
+    enough = lambda n, of: F.col(n) >= F.greatest(F.lit(1.0), SHARE * F.col(of))
+    pairs = pairs.filter(enough("some", "n_rich") | enough("all", "total"))
+    return pairs.select("k1", "k2", "id", "item", F.when(enough("some", "n_rich"), F.col("some")).otherwise(F.col("all")).alias("n"), F.when(enough("some", "n_rich"), F.col("n_rich")).otherwise(F.col("total")).alias("of"), "n_slots", "n_changed")
 
-    return pairs.mapInArrow(run, _OUT)
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", index_rows: int = INDEX_ROWS) -> DataFrame:
+    """One row a (document, item) that it holds: windows met and how many the item has, their share, the item's slots met and how many of these
+    differ wherever they were met."""
+    ids = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    found = _held(ids.select(*row_key(F.col("id"), F.col("text")), "id", "text"), benchmark, item_id, item_text, index_rows)
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.col("n").alias("n_windows"), F.col("of").alias("item_windows"), (F.col("n") / F.col("of")).alias("coverage"), "n_slots", "n_changed")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, with their columns.
 
-    Rows are named by id and text digest, so null and repeated ids are told apart; those that go are few and known before rows move.
+    Rows are named by 128 bits of id and text, so null and repeated ids are told apart; those that go are few and known before rows move.
     """
-    with_key = docs.withColumn("__key", F.xxhash64(doc_id, text))
-    found = contaminated(with_key, benchmark, "__key", text).select(F.col("doc_id").alias("__gone")).distinct()
-    return with_key.join(small(materialize(found, "decontam-found")), F.col("__key") == F.col("__gone"), "left_anti").drop("__key")
+    key = row_key(F.col(doc_id), F.col(text))
+    found = _held(docs.select(*key, F.lit(None).cast("long").alias("id"), F.col(text).alias("text")), benchmark, "item_id", "text", INDEX_ROWS)
+    a, b = fresh(docs, "k1"), fresh(docs, "k2")
+    gone = found.select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct()
+    return docs.withColumns({a: key[0], b: key[1]}).join(small(materialize(gone, "decontam-found")), [a, b], "left_anti").select(*docs.columns)
