@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import tempfile
@@ -46,12 +47,16 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that ``written`` made and nobody reads any more."""
+    """Deletes tables that ``written`` made and nobody reads any more, and lets Spark drop the shuffle files of finished jobs, which it does
+    only when the driver collects its garbage."""
     for df in tables:
         folder = next(iter(df.inputFiles()), "").rpartition("/")[0]
         if folder.rpartition("/")[2].startswith("weftline-"):
             fs, p = file_system(df.sparkSession, folder)
             fs.delete(p, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def spread(df: DataFrame, least_bytes: int = 2 << 20, most_bytes: int = 1 << 30) -> DataFrame:
@@ -164,6 +169,6 @@ class Store:
             fs.delete(temp, False)
             raise BackendError(f"{name} exists")
 
-    def delete(self, name: str) -> None:
+    def delete(self, name: str, recursive: bool = False) -> None:
         fs, p = file_system(self.spark, self.path(name))
-        fs.delete(p, False)
+        fs.delete(p, recursive)
