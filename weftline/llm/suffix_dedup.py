@@ -9,8 +9,9 @@ depends on the bytes around them only, so equal passages are cut alike. A suffix
   intervals, one aggregate a round. No suffix is compared or sorted again. The round in which an interval is alone gives its longest
   common prefix with any other suffix of the corpus.
 * From common prefixes follow the windows of WIDTH bytes that occur elsewhere: those inside a common prefix do, those whose anchors have no
-  common prefix don't. What is left, windows at the ends of repeats where the bytes beside the anchors decide, is checked exactly, by
-  128-bit digests of the windows themselves, against each other and against the windows of repeats that share their anchors.
+  common prefix don't. What is left, windows at the ends of repeats where the bytes beside the anchors decide, is checked exactly, against
+  each other and against the windows of repeats that share their anchors: first by what they hold around these anchors up to multiples of
+  STEP bytes, then, if that occurs elsewhere, by 128-bit digests of the windows themselves.
 
 Only anchors whose context occurs twice enter the merge. Tables are narrow but for the texts that may hold a repeat, which are written once.
 Defined results: null texts are empty; texts shorter than WIDTH lose nothing; repeated rows are copies of each other and lose all; documents
@@ -30,10 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, met, slices
+from ..tables import Store
+from .common import discard, materialize, met, scratch_path, slices
 
-WIDTH, RADIUS, GRAM, SLICE = 400, 32, 8, 4 << 20
-_FAR, _MULTIPLIER = 1 << 40, np.uint64(0x9E3779B97F4A7C15)
+WIDTH, RADIUS, GRAM, STEP, SLICE = 400, 32, 8, 16, 4 << 20
+_FAR, _MULTIPLIER = 1 << 30, np.uint64(0x9E3779B97F4A7C15)
 
 
 def _gram_hashes(data: np.ndarray, block: int = 1 << 22) -> np.ndarray:
@@ -95,7 +97,7 @@ def _may_hold(before: np.ndarray, after: np.ndarray, n: int, width: int, radius:
     return bool((low <= high).any())
 
 
-_TOKENS = pa.list_(pa.struct([("ctx", pa.int64()), ("before", pa.int64()), ("after", pa.int64())]))
+_TOKENS = pa.list_(pa.struct([("ctx", pa.int64()), ("before", pa.int32()), ("after", pa.int32())]))
 
 
 def _anchored(texts: DataFrame, width: int, radius: int) -> DataFrame:
@@ -113,10 +115,10 @@ def _anchored(texts: DataFrame, width: int, radius: int) -> DataFrame:
             for j, n in enumerate(own.sizes.tolist()):
                 lo, hi = own.first[j], own.first[j + 1]
                 loose.append(_may_hold(np.append(before[lo:hi], place[hi - 1] if hi > lo else -_FAR), np.append(place[lo:hi], _FAR), n, width, radius))
-            flat = pa.StructArray.from_arrays([pa.array(own.contexts().view(np.int64)), pa.array(before), pa.array(after)], names=["ctx", "before", "after"])
+            flat = pa.StructArray.from_arrays([pa.array(own.contexts().view(np.int64)), pa.array(before, pa.int32()), pa.array(after, pa.int32())], names=["ctx", "before", "after"])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own.sizes), pa.array(loose), pa.ListArray.from_arrays(pa.array(own.first, pa.int32()), flat)], schema=schema)
 
-    return texts.mapInArrow(run, "k1 long, k2 long, n long, loose boolean, tokens array<struct<ctx:long,before:long,after:long>>")
+    return texts.mapInArrow(run, "k1 long, k2 long, n long, loose boolean, tokens array<struct<ctx:long,before:int,after:int>>")
 
 
 def _candidates(lists: DataFrame, width: int, radius: int) -> DataFrame:
@@ -200,23 +202,28 @@ def _suffixes(held: DataFrame, width: int, radius: int) -> DataFrame:
 
 
 def merged(units: DataFrame) -> DataFrame:
-    """(unit, matched, lead) from (unit, copies, symbols): with how many of its symbols another suffix, or another copy, begins; lead: whether
-    the unit is the first of its final block, or shares not all of its symbols."""
-    live, done, h = units.select("unit", "copies", F.lit(0).cast("long").alias("block"), "symbols"), [], 0
+    """(unit, matched, lead) from (unit, copies, symbols): how many of its symbols another suffix, or another copy, begins with (the first
+    counts for all); lead: whether the unit is the first of its final block, or shares not all of its symbols."""
+    first = F.element_at("symbols", 1)
+    live = units.select("unit", "copies", first.alias("block"), F.slice("symbols", 2, 1 << 20).alias("symbols"))
+    done, h = [live.filter(F.size("symbols") == 0).select("unit", F.lit(1).alias("matched"), F.lit(True).alias("lead"))], 1
+    live, last = live.filter(F.size("symbols") > 0), None
     while True:
-        symbol = F.col("symbols")[h]
-        found = live.groupBy("block", symbol.alias("symbol")).agg(F.sum("copies").alias("occurrences"), F.min("unit").alias("into"), F.count("*").alias("n"))
-        step = met(live.withColumn("symbol", symbol), found, ["block", "symbol"])
-        over, whole = F.col("occurrences") == 1, F.size("symbols") == h + 1
-        step = materialize(step.select("unit", "copies", F.col("into").alias("block"), "symbols", over.alias("over"), (over | whole).alias("out")), "repeat-step")
-        ended = step.filter("out").select("unit", F.when(F.col("over"), h).otherwise(h + 1).alias("matched"), (F.col("over") | (F.col("block") == F.col("unit"))).alias("lead"))
-        done.append(materialize(ended.filter("matched > 0"), "repeat-ended"))
-        if h:
-            discard(live)
-        live, h = materialize(step.filter("not out").drop("over", "out"), "repeat-live"), h + 1
-        discard(step)
-        if not live.limit(1).count():
+        found = live.groupBy("block", first.alias("symbol")).agg(F.sum("copies").alias("occurrences"), F.min("unit").alias("into"), F.count("*").alias("n")).filter("occurrences > 1").drop("occurrences")
+        step = met(live.withColumn("symbol", first), found, ["block", "symbol"], how="left")
+        over, whole = F.col("into").isNull(), F.size("symbols") == 1
+        step = step.select("unit", "copies", F.col("into").alias("block"), F.when(~over & ~whole, F.slice("symbols", 2, 1 << 20)).alias("symbols"), F.when(over, h).otherwise(h + 1).alias("matched"), (over | (F.col("into") == F.col("unit"))).alias("lead"), (over | whole).alias("out"))
+        path = scratch_path(units.sparkSession, "repeat-step")
+        step.write.partitionBy("out").parquet(path)
+        read = lambda out, columns, p=path: units.sparkSession.read.schema(columns).option("ignoreMissingFiles", True).parquet(f"{p}/out={out}")
+        outs = set(Store(units.sparkSession, path).names(""))
+        if "out=true" in outs:
+            done.append(read("true", "unit long, matched int, lead boolean"))
+        if last is not None:
+            Store(units.sparkSession, last).delete("out=false", True)
+        if "out=false" not in outs:
             return reduce(DataFrame.unionByName, done)
+        live, last, h = read("false", "unit long, copies long, block long, symbols array<long>"), path, h + 1
 
 
 class Judged:
@@ -249,32 +256,67 @@ def _judgements(b: pa.RecordBatch, width: int, radius: int) -> Iterator[tuple[in
         yield j, own.octets[lo : lo + n], at, Judged(n, at, matched, width, radius), lead
 
 
-def _windows(held: DataFrame, width: int, radius: int) -> DataFrame:
-    """Rows of three kinds: open windows (tid, low, copies, digest), the cores of open windows (core), and ranges of windows that occur
-    elsewhere, one for all copies, with their core (tid, low, high, core)."""
-    schema = pa.schema([("tid", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("copies", pa.int64()), ("core", pa.int64()), ("digest", pa.binary())])
+def _pieces(own: Judged, at: np.ndarray, text: memoryview, mask: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
+    """(low, high, piece): ranges of the windows in ``mask`` that agree in their anchors and in how many STEPs of bytes they hold on either
+    side of them, with a hash of those bytes; a window without anchors is a piece by itself."""
+    start = np.arange(len(mask))
+    left, right = (at[own.p] - start) // STEP * STEP, (start + width - at[own.e]) // STEP * STEP
+    named = np.where(own.has, ((own.p * (len(at) + 1) + own.e) * width + left) * width + right, -2 - start)
+    for low, high in _ranges(np.where(mask, named, -1)):
+        if own.has[low]:
+            yield low, high, xxhash.xxh3_64_intdigest(text[at[own.p[low]] - left[low] : at[own.e[low]] + right[low]])
+        else:
+            yield low, high, xxhash.xxh3_64_intdigest(text[low : low + width])
+
+
+def _ranges(named: np.ndarray) -> list[tuple[int, int]]:
+    """(low, high) of the runs of equal names other than -1."""
+    cuts = np.flatnonzero(np.diff(named)) + 1
+    return [(lo, hi) for lo, hi in zip(np.append(0, cuts).tolist(), np.append(cuts, len(named)).tolist(), strict=True) if hi > lo and named[lo] != -1]
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _open_pieces(held: DataFrame, width: int, radius: int) -> DataFrame:
+    """Rows of three kinds: pieces of open windows (tid, low, high, copies, piece), cores of open windows (core), and ranges of windows that
+    occur elsewhere, one for all copies, with their core (tid, low, high, core); the core of windows without anchors is 0."""
+    schema = pa.schema([("tid", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("copies", pa.int64()), ("core", pa.int64()), ("piece", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1, SLICE):
             rows, asked = [], set()
             tids, copies = b.column(0).to_pylist(), b.column(3).to_pylist()
             for j, text, at, own, lead in _judgements(b, width, radius):
-                core = lambda p, e, t=text, a=at: int(np.uint64(xxhash.xxh3_64_intdigest(t[a[p] - radius : max(a[p] + radius + GRAM, a[e])])).view(np.int64))
-                opened = np.flatnonzero(own.open)
-                rows += [(tids[j], i, None, copies[j], None, xxhash.xxh3_128_digest(text[i : i + width])) for i in opened.tolist()]
-                asked |= {core(p, e) if has else 0 for p, e, has in {(int(own.p[i]), int(own.e[i]), bool(own.has[i])) for i in opened.tolist()}}
-                good, m = own.sure & lead[own.before], len(at) + 1
-                named = np.where(good, np.where(own.has, own.p * m + own.e, m * m), -1)  # windows without anchors have one core, 0
-                cuts = np.flatnonzero(np.diff(named)) + 1
-                for low, high in zip(np.append(0, cuts).tolist(), np.append(cuts, len(named)).tolist(), strict=True):
-                    if named[low] >= 0:
-                        rows.append((tids[j], low, high, None, core(own.p[low], own.e[low]) if own.has[low] else 0, None))
+                core = lambda i, t=text, a=at, o=own: _signed(xxhash.xxh3_64_intdigest(t[a[o.p[i]] - radius : max(a[o.p[i]] + radius + GRAM, a[o.e[i]])])) if o.has[i] else 0
+                named = np.where(own.has, own.p * (len(at) + 1) + own.e, (len(at) + 1) ** 2)
+                rows += [(tids[j], lo, hi, copies[j], None, _signed(x)) for lo, hi, x in _pieces(own, at, text, own.open, width)]
+                asked.update(core(lo) for lo, _ in _ranges(np.where(own.open, named, -1)))
+                rows += [(tids[j], lo, hi, None, core(lo), None) for lo, hi in _ranges(np.where(own.sure & lead[own.before], named, -1))]
                 if len(rows) > 50_000:
                     yield _batch(rows, schema)
                     rows = []
             yield _batch(rows + [(None, None, None, None, c, None) for c in asked], schema)
 
-    return held.select("tid", "text", "marks", "copies").mapInArrow(run, "tid long, low int, high int, copies long, core long, digest binary")
+    return held.select("tid", "text", "marks", "copies").mapInArrow(run, "tid long, low int, high int, copies long, core long, piece long")
+
+
+def _sure_pieces(held: DataFrame, width: int, radius: int) -> DataFrame:
+    """(tid, low, high, piece) of the windows in ``ranges`` of the texts."""
+    schema = pa.schema([("tid", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("piece", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1, SLICE):
+            tids, ranges, rows = b.column(0).to_pylist(), b.column(3).to_pylist(), []
+            for j, text, at, own, _ in _judgements(b, width, radius):
+                mask = np.zeros(len(own.sure), bool)
+                for r in ranges[j]:
+                    mask[r["low"] : r["high"]] = True
+                rows += [(tids[j], lo, hi, _signed(x)) for lo, hi, x in _pieces(own, at, text, mask, width)]
+            yield _batch(rows, schema)
+
+    return held.select("tid", "text", "marks", "ranges").mapInArrow(run, "tid long, low int, high int, piece long")
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -283,20 +325,22 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _digests(held: DataFrame, width: int) -> DataFrame:
-    """(digest) of the windows in ``ranges`` of the texts, each once a slice."""
+    """(tid, low, copies, digest) of the windows in ``ranges`` of the texts; ranges without copies are of windows that occur elsewhere anyway."""
+    schema = pa.schema([("tid", pa.int64()), ("low", pa.int32()), ("copies", pa.int64()), ("digest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 0, SLICE):
-            found = set()
-            for text, ranges in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+        for b in slices(batches, 1, SLICE):
+            rows = []
+            for tid, text, ranges in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 view = memoryview(text.as_buffer())
-                found.update(xxhash.xxh3_128_digest(view[i : i + width]) for r in ranges for i in range(r["low"], r["high"]))
-                if len(found) > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["digest"])
-                    found = set()
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["digest"])
+                for r in ranges:
+                    rows += [(tid, i, r["copies"], xxhash.xxh3_128_digest(view[i : i + width])) for i in range(r["low"], r["high"])]
+                    if len(rows) > 50_000:
+                        yield _batch(rows, schema)
+                        rows = []
+            yield _batch(rows, schema)
 
-    return held.mapInArrow(run, "digest binary")
+    return held.select("tid", "text", "ranges").mapInArrow(run, "tid long, low int, copies long, digest binary")
 
 
 def cut(text: bytes | memoryview, repeated: np.ndarray, width: int) -> tuple[int, int, bytes]:
@@ -350,16 +394,20 @@ def repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, radius: int
     marks = met(suffixes.select("tid", "k", "unit", "symbols"), ended, ["unit"]).groupBy("tid").agg(F.collect_list(F.struct("k", "matched", first.alias("lead"))).alias("marks"))
     marked = materialize(held.drop("live").join(marks, "tid", "left"), "repeat-marked", compression="zstd")
     discard(held, suffixes)
-    windows = materialize(_windows(marked, width, radius), "repeat-windows")
-    opened, cores = windows.filter("digest is not null").select("tid", "low", "copies", "digest"), windows.filter("tid is null").select("core").distinct()
-    ranges = windows.filter("high is not null").select("tid", "low", "high", "core")
-    asked = met(ranges, ranges.groupBy("core").agg(F.count("*").alias("n")).join(cores, "core"), ["core"]).groupBy("tid").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    elsewhere = _digests(marked.select("tid", "text").join(asked, "tid").select("text", "ranges"), width)
-    counted = opened.select("digest", "copies", F.lit(1).cast("long").alias("n")).unionByName(elsewhere.distinct().select("digest", F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("n")))
-    twice = counted.groupBy("digest").agg(F.sum("copies").alias("copies"), F.sum("n").alias("n")).filter("copies > 1 and n > 0").select("digest", "n")
+    pieces = materialize(_open_pieces(marked, width, radius), "repeat-pieces")
+    opened, cores = pieces.filter("piece is not null").select("tid", "low", "high", "copies", "piece"), pieces.filter("tid is null").select("core").distinct()
+    ranges = pieces.filter("tid is not null and piece is null").select("tid", "low", "high", "core")
+    by_text = lambda df, *columns: df.groupBy("tid").agg(F.collect_list(F.struct(*columns)).alias("ranges"))  # noqa: E731  # bounded by the text
+    asked = by_text(met(ranges, ranges.groupBy("core").agg(F.count("*").alias("n")).join(cores, "core"), ["core"]), "low", "high")
+    sure = materialize(_sure_pieces(marked.join(asked, "tid"), width, radius), "repeat-sure")
+    every = opened.unionByName(sure.withColumn("copies", F.lit(None).cast("long")))
+    seen = lambda df, key: df.groupBy(key).agg(F.sum(F.coalesce("copies", F.lit(1).cast("long"))).alias("c"), F.count("copies").alias("opened"), F.count("*").alias("n")).filter("c > 1 and opened > 0").select(key, "n")
+    left = by_text(met(every, seen(every, "piece"), ["piece"]), "low", "high", "copies")
+    windows = materialize(_digests(marked.select("tid", "text").join(left, "tid"), width), "repeat-windows")
+    opened, twice = windows.filter("copies is not null"), seen(windows, "digest")
     found = met(opened.select("tid", "low", "digest"), twice, ["digest"]).groupBy("tid").agg(F.collect_list("low").alias("found"))
     out = materialize(_removed(marked.join(found, "tid", "left"), width, radius).join(marked.select("k1", "k2", F.col("copies").alias("n")), ["k1", "k2"]), "repeat-removed")
-    discard(marked, windows)
+    discard(marked, pieces, sure, windows)
     return out
 
 
