@@ -38,9 +38,11 @@ def test_commands(spark, tmp_path, capsys):
     assert go("status")[1]["tombstones"] == 1 and go("compact")[1] == {"tombstones": 1}
     before = (tmp_path / config.FILENAME).read_text()
     assert go("migrate", "--strategy", "fixed")[1]["changes"] == ["chunker"] and (tmp_path / config.FILENAME).read_text() == before
-    assert go("migrate", "--strategy", "fixed", "--model", "m2", "--apply")[1]["recovered"] == "forward"
+    assert go("migrate", "--strategy", "fixed", "--model", "m2", "--apply")[0] == 1  # chunks would be withdrawn
+    assert go("migrate", "--strategy", "fixed", "--model", "m2", "--apply", "--allow-deletes")[1]["recovered"] == "forward"
     assert 'strategy = "fixed"' in (tmp_path / config.FILENAME).read_text() and go("verify")[0] == 0
-    assert go("rollback")[0] == 0 and (tmp_path / config.FILENAME).read_text() == before and go("verify")[0] == 0
+    assert go("rollback")[1]["operations"]["add"] > 0 and (tmp_path / config.FILENAME).read_text() != before and go("rollback", "--apply")[0] == 1
+    assert go("rollback", "--apply", "--allow-deletes")[1]["recovered"] == "forward" and (tmp_path / config.FILENAME).read_text() == before and go("verify")[0] == 0
     seen = go("cache", "stats")[1]["entries"]
     assert seen >= 3 and go("measure", "churn", "--edits", "append")[1]["cdc-rabin"]["append"]["to_embed"] >= 1
     assert go("migrate", "--strategy", "fixed", "--model", "m2")[1]["cost"]["chunks_to_embed"] == 0  # all of it is in the cache
@@ -58,12 +60,42 @@ def test_a_migration_that_stopped_early_goes_back(spark, tmp_path):
     p = Project(spark, tmp_path)
     p.apply()
     journal = tmp_path / ".weftline/migration.json"
-    journal.write_text(json.dumps({"version": 1, "generation": 1, "model_id": "hash:x", "params_hash": "y", "config": "", "previous": "", "config_sha256": ""}))
+    journal.write_text(json.dumps({"version": 2, "kind": "migration", "generation": 1, "model_id": "hash:x", "params_hash": "y", "config": "", "previous": "", "config_sha256": "", "previous_sha256": "", "root": None, "old": None}))
     assert p.recover() == "back" and not journal.exists() and p.recover() == "nothing"
     with pytest.raises(WeftlineError, match="receipt"):
         p.rollback()
 
 
+def test_rollback(spark, tmp_path, monkeypatch):
+    Project.init(spark, tmp_path)
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/a.md").write_text("some words " * 300)
+    p = Project(spark, tmp_path)
+    one, text = p.apply(), (tmp_path / config.FILENAME).read_text()
+    rows = sorted(r.chunk_hash for r in p.index.active_rows().collect())
+    p.migrate(strategy="fixed", apply=True, allow_deletes=True)
+    (tmp_path / "docs/b.md").write_text("a new file")
+    with pytest.raises(WeftlineError, match="no longer make"):  # the old root can't be made of these sources
+        p.rollback()
+    (tmp_path / "docs/b.md").unlink()
+    monkeypatch.setattr(p, "recover", lambda: "stopped")  # a crash between the index and the configuration
+    assert p.rollback(apply=True, allow_deletes=True)["published"] == 3
+    now = p.index.newest()
+    assert (now.corpus_root, now.tables, now.bodies) == (one.corpus_root, one.tables, one.bodies) and (tmp_path / config.FILENAME).read_text() != text
+    again = Project(spark, tmp_path)
+    assert again.recover() == "forward" and (tmp_path / config.FILENAME).read_text() == text and again.recover() == "nothing"
+    assert sorted(r.chunk_hash for r in again.index.active_rows().collect()) == rows and again.index.verify().count() == 0
+    assert again.receipt()["kind"] == "rollback" and again.rollback()["generation"] == 2  # a rollback can be taken back
+    again.migrate(strategy="recursive", apply=True, allow_deletes=True)
+    again.index.vacuum(1)
+    assert again.index.at(3) is None and again.rollback(apply=True, allow_deletes=True)["recovered"] == "forward"  # made anew
+    assert again.index.newest().corpus_root == one.corpus_root and again.index.verify().count() == 0
+    receipt = sorted((tmp_path / ".weftline/receipts").iterdir())[-1]
+    receipt.write_text(receipt.read_text().replace("min_tokens", "min_tokenz", 1))
+    with pytest.raises(ConfigError, match="not what it was"):
+        again.rollback()
+
+
 def test_adoption_of_an_earlier_configuration(spark, tmp_path):
     (tmp_path / "old.toml").write_text('[index]\nbackend = "files"\ndatabase = "state/ix"\n[chunker]\nmin_tokens = 20\n')
     Project.adopt(spark, tmp_path, "old.toml")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import asdict
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,13 +28,22 @@ def parser() -> argparse.ArgumentParser:
     i = sub.add_parser("plan")
     i.add_argument("inputs", nargs="*")
     i.add_argument("--show", type=int, default=0, help="how many operations to list")
-    for name in ("status", "rollback"):
-        sub.add_parser(name)
+    sub.add_parser("status")
+    sub.add_parser("vacuum").add_argument("--retain", type=int, default=2, help="how many generations to keep")
     sub.add_parser("verify").add_argument("--no-sources", action="store_true", help="the index by itself")
     i = sub.add_parser("index")
     i.add_argument("inputs", nargs="*")
-    i.add_argument("--allow-deletes", action="store_true")
-    i.add_argument("--allow-network", action="store_true", help="texts may be sent to an embedding service")
+    m = sub.add_parser("migrate")
+    m.add_argument("--strategy")
+    m.add_argument("--model")
+    m.add_argument("--recover", action="store_true")
+    r = sub.add_parser("rollback")
+    for x in (m, r):
+        x.add_argument("--apply", action="store_true", help="without it, a preview")
+    for x in (i, m, r):
+        x.add_argument("--allow-deletes", action="store_true", help="chunks may be withdrawn")
+        x.add_argument("--allow-empty", action="store_true", help="the index may be left empty")
+        x.add_argument("--allow-network", action="store_true", help="texts may be sent to an embedding service")
     q = sub.add_parser("query")
     q.add_argument("text")
     q.add_argument("--limit", type=int, default=5)
@@ -41,12 +51,6 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("compact")
     c.add_argument("--dry-run", action="store_true")
     c.add_argument("--before", help="a time with its zone, as 2024-01-31T00:00:00+00:00")
-    m = sub.add_parser("migrate")
-    m.add_argument("--strategy")
-    m.add_argument("--model")
-    m.add_argument("--apply", action="store_true")
-    m.add_argument("--recover", action="store_true")
-    m.add_argument("--allow-network", action="store_true")
     c = sub.add_parser("cache")
     c.add_argument("action", choices=("stats", "prune", "vacuum", "export", "import"))
     c.add_argument("path", nargs="?")
@@ -75,7 +79,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> object:
     if args.command == "plan":
         return p.plan(inputs=tuple(args.inputs), show=args.show)
     if args.command == "index":
-        return p.apply(allow_deletes=args.allow_deletes, inputs=tuple(args.inputs)).__dict__
+        return asdict(p.apply(None, args.allow_deletes, tuple(args.inputs), args.allow_empty))
     if args.command == "status":
         now = p.index.newest()
         return p.index.status().first().asDict() | ({"generation": now.generation, "corpus_root": now.corpus_root, "model_id": now.model_id} if now else {"generation": 0})
@@ -87,9 +91,11 @@ def run(args: argparse.Namespace, spark: SparkSession) -> object:
     if args.command == "compact":
         return {"tombstones": p.index.compact(_moment(args.before), args.dry_run)}
     if args.command == "migrate":
-        return {"recovered": p.recover()} if args.recover else p.migrate(args.strategy, args.model, args.apply)
+        return {"recovered": p.recover()} if args.recover else p.migrate(args.strategy, args.model, args.apply, args.allow_deletes, args.allow_empty)
     if args.command == "rollback":
-        return p.rollback().__dict__
+        return p.rollback(args.apply, args.allow_deletes, args.allow_empty)
+    if args.command == "vacuum":
+        return {"deleted": p.index.vacuum(args.retain)}
     return _cache(args, p) if args.command == "cache" else _measure(args, p, spark)
 
 

@@ -17,9 +17,33 @@ def _side(df: DataFrame, p: str, keys: list[str]) -> DataFrame:
     return df.withColumn("nth", nth).withColumnsRenamed({c: f"{p}_{c}" for c in _COLUMNS if c not in keys})
 
 
-def occurrence_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+def _folded(df: DataFrame, name: str) -> DataFrame:
+    """A document's rows, whatever their order, as their number and two sums of hashes."""
+    kinds = {"position": "int", "start_offset": "long", "end_offset": "long", "token_count": "long"}
+    what = [F.col(c).cast(kinds.get(c, "string")) for c in ("chunk_hash", *_COLUMNS)]
+    sums = [F.sum(F.xxhash64(*more, *what, *(c.isNull() for c in what)).cast("decimal(38,0)")) for more in ([], [F.lit(1)])]
+    return df.groupBy("document_id").agg(F.struct(F.count("*").alias("n"), *(x.alias(f"s{k}") for k, x in enumerate(sums))).alias(name))
+
+
+def changed_documents(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(document_id) of documents that are not in both with equal occurrences: one aggregate a side, and a join of a row a document."""
+    both = _folded(old, "a").join(_folded(new, "b"), "document_id", "full")
+    return both.where(~F.col("a").eqNullSafe(F.col("b"))).select("document_id")
+
+
+def occurrence_diff(old: DataFrame, new: DataFrame, changed: DataFrame | None = None) -> DataFrame:
     """One row an operation: kind, document_id, chunk_hash and the old_ and new_ columns. Equal occurrences pair first in first out: by
-    hash and offsets, what is left by hash alone (moves); exact pairs whose count or metadata changed are moves too."""
+    hash and offsets, what is left by hash alone (moves); exact pairs whose count or metadata changed are moves too. Rows of documents that
+    are equal in both (all but ``changed``) are kept where they lie; only the others are matched."""
+    changed = changed_documents(old, new) if changed is None else changed
+    same = new.join(changed, "document_id", "left_anti")
+    both = lambda c: [F.col(c).alias(f"old_{c}"), F.col(c).alias(f"new_{c}")]
+    kept = same.select(F.lit("keep").alias("kind"), "document_id", "chunk_hash", *(x for c in ("position", "start_offset", "end_offset", "token_count") for x in both(c)))
+    mine = lambda df: df.join(changed, "document_id", "left_semi")
+    return _matched(mine(old), mine(new)).unionByName(kept)
+
+
+def _matched(old: DataFrame, new: DataFrame) -> DataFrame:
     exact = ["document_id", "chunk_hash", "start_offset", "end_offset"]
     a = _side(old, "old", exact).withColumnsRenamed({"document_metadata": "old_document_metadata"})
     first = a.join(_side(new, "new", exact), [*exact, "nth"], "full")
@@ -77,6 +101,4 @@ def requires_apply(old: DataFrame | None, new: DataFrame, embed_all: bool = Fals
     """Whether anything differs, metadata included."""
     if embed_all or old is None:
         return True
-    columns = ["document_id", "chunk_hash", *_COLUMNS]
-    a, b = old.select(*columns), new.select(*columns)
-    return bool(a.exceptAll(b).limit(1).count() or b.exceptAll(a).limit(1).count())
+    return bool(changed_documents(old, new).limit(1).count())

@@ -273,7 +273,7 @@ def compact_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{_BOTH}, act as (select document_id, position, case when position = 1 then 'x' || chunk_hash else chunk_hash end as chunk_hash, start_offset, end_offset, token_count from o_occ where position <> 3
   union all select document_id, 9999, chunk_hash, start_offset, end_offset, token_count from o_occ where position = 2)
-select coalesce(e.document_id, a.document_id) as document_id, coalesce(e.position, a.position) as position, case when a.document_id is null then 'position is missing' when e.document_id is null then 'position is unexpected' else 'chunk_hash differs' end as problem
+select coalesce(e.document_id, a.document_id) as document_id, coalesce(e.position, a.position) as position, case when a.document_id is null then 'position not indexed' when e.document_id is null then 'position not in the manifest' else 'other chunk_hash' end as problem
 from o_occ e full join act a on e.document_id = a.document_id and e.position = a.position where a.document_id is null or e.document_id is null or a.chunk_hash <> e.chunk_hash""")
 def verify_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = both(spark, sf_dir)[0]
@@ -317,8 +317,8 @@ def manifest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with d as (select doc_id::varchar as document_id, source, lang from documents where regexp_matches(text, '\\S'))
-select document_id, 'document is missing' as problem from d where source = '{GONE}' union all select document_id, 'document metadata differs' from d where source = '{TOUCHED}' union all select document_id, 'root hash differs' from d where lang = '{EDITED}' and source <> '{GONE}'
-union all select document_id, 'chunk count differs' from d where lang = 'fr' and source <> '{GONE}' union all select document_id, 'hard-cut count differs' from d where lang = 'fr' and source <> '{GONE}' union all select 'another', 'document is unexpected'""")
+select document_id, 'document not indexed' as problem from d where source = '{GONE}' union all select document_id, 'other document metadata' from d where source = '{TOUCHED}' union all select document_id, 'other root hash' from d where lang = '{EDITED}' and source <> '{GONE}'
+union all select document_id, 'other number of chunks' from d where lang = 'fr' and source <> '{GONE}' union all select document_id, 'other number of hard cuts' from d where lang = 'fr' and source <> '{GONE}' union all select 'another', 'document not in the manifest'""")
 def verify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest against documents of which some were withdrawn, changed or added."""
     docs = documents(spark, sf_dir)
@@ -331,8 +331,8 @@ def verify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_BOTH}, t as (select document_id, position from o_occ)
-select document_id, position, unnest(case when position = 0 then ['text does not match chunk hash', 'record digest differs'] when position = 1 then ['vector is invalid'] when position = 2 then ['vector dimensions differ', 'record digest differs'] when position = 3 then ['record digest differs']
-  when position = 4 then ['metadata token_count differs', 'metadata differs', 'record digest differs'] when position = 5 then ['embedding identity differs', 'record digest differs'] when position = 6 then ['metadata is invalid', 'record digest differs'] else [] end) as problem from t""")
+select document_id, position, unnest(case when position = 0 then ['hash is not that of the text', 'other record digest'] when position = 1 then ['vector unusable'] when position = 2 then ['vector of other length', 'other record digest'] when position = 3 then ['other record digest']
+  when position = 4 then ['other token_count in metadata', 'other metadata', 'other record digest'] when position = 5 then ['embedded by another model', 'other record digest'] when position = 6 then ['metadata unreadable', 'other record digest'] else [] end) as problem from t""")
 def verify_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active rows of which text, vector, metadata or identity were changed, by position, against their manifest."""
     rows = occurrences(documents(spark, sf_dir)).withColumns({"instance_id": F.concat_ws(":", "document_id", "position"), "model_id": F.lit("m"), "params_hash": F.lit("p"), "vector": F.array(*(F.lit(x).cast("float") for x in (0.5, -0.25)))})

@@ -1,15 +1,19 @@
 """The index: immutable generations of chunk rows behind commits.
 
-``bodies/<id>`` hold texts and vectors, one row a chunk hash and model, and are only ever added to; ``gen=<n>-<id>`` holds the narrow rows of
-a generation (``chunks``, ``documents``) and its manifest, JSON lines of what it is to hold; ``commits/<n>.json`` names both. An edit writes
-the bodies of new chunks and narrow rows, and never copies a text or vector. Readers take the newest commit, so they see one generation; of
-two writers of a generation one wins.
+``bodies/<id>`` hold texts and vectors, one row a chunk hash and model, in order of hashes, and are only ever added to. Narrow rows
+(``chunks``, tombstones among them), ``documents`` and the manifest (JSON lines of what a generation is to hold, in two copies) lie in
+buckets of document ids: ``rows/<id>/<table>/bucket=<k>``. ``commits/<n>.json`` says for every bucket which part holds it. An edit writes the
+bodies of new chunks and the buckets of changed documents, so what it writes grows with the edit, and never copies a text or vector.
+Readers take the newest commit, so they see one generation, and may hold it by a lease; writers take turns (``leases``). ``vacuum`` deletes
+what neither the newest generations nor a lease needs.
 """
 
 from __future__ import annotations
 
 import uuid
-from dataclasses import asdict, dataclass
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 from typing import Protocol
 
@@ -20,13 +24,15 @@ from .. import wire
 from ..errors import BackendError
 from ..functions.hashing import hash_fields_column, instance_id_column
 from ..operators import diff, embedding, merkle
-from ..tables import CommitLog, file_system, written
+from ..tables import CommitLog, Store, file_system, written
 from . import manifest
+from .leases import READ_SECONDS, Leases
 
 CHUNKS = "instance_id string, document_id string, position int, chunk_hash string, start_offset long, end_offset long, token_count long, metadata string, document_metadata string, model_id string, params_hash string, record_digest string, valid_from timestamp, valid_to timestamp"
 BODIES = "chunk_hash string, text string, vector array<float>"
 DOCUMENTS = "document_id string, root_hash string, chunk_count int, hard_cuts int, metadata string, chunker_id string, chunker_params_hash string, normalizer_version string"
-SCHEMA_VERSION = 3
+SCHEMA_VERSION, BUCKET_ROWS, RETAINED = 4, 1 << 20, 2
+_TABLES = {"chunks": CHUNKS, "documents": DOCUMENTS}
 
 
 def _names(schema: str) -> list[str]:
@@ -40,14 +46,19 @@ def _cast(df: DataFrame, schema: str) -> DataFrame:
 @dataclass(frozen=True)
 class Commit:
     generation: int
-    folder: str
     corpus_root: str
     model_id: str
     params_hash: str
     dimensions: int
     bodies: tuple[str, ...] = ()
+    buckets: int = 1
+    tables: dict[str, dict[str, list[int]]] = field(default_factory=dict)  # table to part to the buckets that it holds
+    fence: int = 0
     schema_version: int = SCHEMA_VERSION
 
+    def parts(self) -> set[str]:
+        return {p for held in self.tables.values() for p in held} | set(self.bodies)
+
 
 class IndexAdapter(Protocol):
     """What a project needs of an index, whatever stores it."""
@@ -104,19 +115,19 @@ def document_problems(expected: DataFrame, actual: DataFrame) -> DataFrame:
     both = expected.select("document_id", F.struct(*values).alias("exp")).join(actual.select("document_id", F.struct(*values).alias("act")), "document_id", "full")
     there = F.col("exp").isNotNull() & F.col("act").isNotNull()
     sane = manifest.canonical(F.col("act.metadata"))
-    checks = [(F.col("act").isNull(), "document is missing"), (F.col("exp").isNull(), "document is unexpected"), (there & _differs(F.col("exp.root_hash"), F.col("act.root_hash")), "root hash differs"), (there & _differs(F.col("exp.chunk_count"), F.col("act.chunk_count")), "chunk count differs")]
-    checks += [(there & _differs(F.col("exp.hard_cuts"), F.col("act.hard_cuts")), "hard-cut count differs"), (there & sane.isNull(), "document metadata is invalid"), (there & sane.isNotNull() & _differs(manifest.canonical(F.col("exp.metadata")), sane), "document metadata differs")]
+    checks = [(F.col("act").isNull(), "document not indexed"), (F.col("exp").isNull(), "document not in the manifest"), (there & _differs(F.col("exp.root_hash"), F.col("act.root_hash")), "other root hash"), (there & _differs(F.col("exp.chunk_count"), F.col("act.chunk_count")), "other number of chunks")]
+    checks += [(there & _differs(F.col("exp.hard_cuts"), F.col("act.hard_cuts")), "other number of hard cuts"), (there & sane.isNull(), "document metadata unreadable"), (there & sane.isNotNull() & _differs(manifest.canonical(F.col("exp.metadata")), sane), "other document metadata")]
     return _first_to_last(["document_id"], checks, both)
 
 
 def problems(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(document_id, position, problem) between a manifest and active rows (document_id, position, chunk_hash, start_offset, end_offset, token_count)."""
     key, values = ["document_id", "position"], ["chunk_hash", "start_offset", "end_offset", "token_count"]
-    twice = actual.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.lit("more than one active row").alias("problem"))
+    twice = actual.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.lit("position held twice").alias("problem"))
     one = actual.groupBy(*key).agg(F.min(F.struct(*values)).alias("act"))
     both = expected.select(*key, F.struct(*values).alias("exp")).join(one, key, "full")
     there = F.col("exp").isNotNull() & F.col("act").isNotNull()
-    checks = [(F.col("act").isNull(), "position is missing"), (F.col("exp").isNull(), "position is unexpected"), *((there & _differs(F.col(f"act.{v}"), F.col(f"exp.{v}")), f"{v} differs") for v in values)]
+    checks = [(F.col("act").isNull(), "position not indexed"), (F.col("exp").isNull(), "position not in the manifest"), *((there & _differs(F.col(f"act.{v}"), F.col(f"exp.{v}")), f"other {v}") for v in values)]
     return _first_to_last(key, checks, both).unionByName(twice)
 
 
@@ -132,58 +143,74 @@ def content_problems(expected: DataFrame, actual: DataFrame, model_id: str, para
     real = hash_fields_column(wire.CHUNK_DOMAIN, F.lit(wire.IDENTITY_SCHEMA), F.col("exp.normalizer_version"), F.col("exp.chunker_id"), F.col("exp.chunker_params_hash"), F.coalesce("text", F.lit("")))
     broken = F.col("vector").isNull() | (F.size("vector") == 0) | F.exists(F.coalesce("vector", F.array()), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     reserved = ("chunk_hash", "start_offset", "end_offset", "token_count")
-    checks = [(_differs(F.col("model_id"), F.lit(model_id)) | _differs(F.col("params_hash"), F.lit(params_hash)), "embedding identity differs"), (invalid, "metadata is invalid")]
-    checks += [(~invalid & named(k).isNotNull() & _differs(named(k), F.col(f"exp.{k}").cast("string")), f"metadata {k} differs") for k in reserved]
+    checks = [(_differs(F.col("model_id"), F.lit(model_id)) | _differs(F.col("params_hash"), F.lit(params_hash)), "embedded by another model"), (invalid, "metadata unreadable")]
+    checks += [(~invalid & named(k).isNotNull() & _differs(named(k), F.col(f"exp.{k}").cast("string")), f"other {k} in metadata") for k in reserved]
     user = lambda text: F.to_json(F.map_filter(F.from_json(text, "map<string,string>"), lambda k, v: ~k.isin(*reserved)))
-    checks += [(~invalid & _differs(user(manifest.canonical(F.col("metadata"))), user(manifest.canonical(F.col("exp.metadata")))), "metadata differs"), (complete & _differs(real, F.col("exp.chunk_hash")), "text does not match chunk hash"), (~complete, "chunk identity is incomplete")]
-    checks += [(broken, "vector is invalid"), (~broken & (F.size("vector") != dimensions), "vector dimensions differ"), (~broken & _differs(F.col("record_digest"), F.col("__digest")), "record digest differs")]
+    checks += [(~invalid & _differs(user(manifest.canonical(F.col("metadata"))), user(manifest.canonical(F.col("exp.metadata")))), "other metadata"), (complete & _differs(real, F.col("exp.chunk_hash")), "hash is not that of the text"), (~complete, "chunker not named")]
+    checks += [(broken, "vector unusable"), (~broken & (F.size("vector") != dimensions), "vector of other length"), (~broken & _differs(F.col("record_digest"), F.col("__digest")), "other record digest")]
     return _first_to_last(key, checks, both.withColumn("__digest", record_digest()))
 
 
-def checked_rows(rows: DataFrame, dead: DataFrame, vectors: DataFrame, dimensions: int) -> None:
-    """Raises if rows to be published repeat an id or a position, if an id was a tombstone's, or if a vector is missing or invalid."""
-    for key in (["instance_id"], ["document_id", "position"]):
-        if (twice := rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").first()) is not None:
-            raise BackendError(f"{' and '.join(key)} {[twice[k] for k in key]} would occur twice")
-    if (risen := rows.join(dead.select("instance_id"), "instance_id", "left_semi").first()) is not None:
-        raise BackendError(f"instance {risen['instance_id']} was withdrawn before")
-    bad = F.col("vector").isNull() | (F.size("vector") != dimensions) | F.exists(F.coalesce("vector", F.array()), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    if not 0 < dimensions <= embedding.MAX_DIMENSIONS or (wrong := vectors.where(bad).first()) is not None:
-        raise BackendError("vectors must be finite and of the index's dimensions" if not 0 < dimensions <= embedding.MAX_DIMENSIONS else f"the vector of {wrong['chunk_hash']} is missing or invalid")
+def checked_rows(rows: DataFrame, dead: DataFrame) -> None:
+    """Raises if rows to be published repeat an id or a position, or if an id was a tombstone's; one job over narrow rows."""
+    twice = lambda key: rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(F.concat(F.lit(" and ".join(key) + " "), F.concat_ws(", ", *(F.col(k).cast("string") for k in key)), F.lit(" would occur twice")).alias("why"))
+    risen = rows.join(dead.select("instance_id"), "instance_id", "left_semi").select(F.concat(F.lit("instance "), "instance_id", F.lit(" was withdrawn before")).alias("why"))
+    if (why := twice(["instance_id"]).unionByName(twice(["document_id", "position"])).unionByName(risen).first()) is not None:
+        raise BackendError(why["why"])
+
+
+def sound(vector: str, dimensions: int) -> Column:
+    """The vector, or an error where it is missing, of another length or not finite; checked while it is read or written."""
+    v = F.col(vector)
+    bad = v.isNull() | (F.size(v) != dimensions) | F.exists(F.coalesce(v, F.array()), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.when(bad, F.raise_error(F.concat(F.lit("the vector of "), "chunk_hash", F.lit(f" is missing, not finite or not of {dimensions} dimensions")))).otherwise(v)
 
 
 class Index:
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-        self.log = CommitLog(spark, f"{self.path}/commits")
+    def __init__(self, spark: SparkSession, path: str, bucket_rows: int = BUCKET_ROWS) -> None:
+        self.spark, self.path, self.bucket_rows = spark, path.rstrip("/"), bucket_rows
+        self.log, self.leases = CommitLog(spark, f"{self.path}/commits"), Leases(spark, self.path)
 
     def newest(self) -> Commit | None:
         found = self.log.newest()
-        if found is None:
-            return None
-        if found[1].get("schema_version") != SCHEMA_VERSION:
-            raise BackendError(f"the index has schema version {found[1].get('schema_version')}, not {SCHEMA_VERSION}")
-        return Commit(**found[1] | {"bodies": tuple(found[1].get("bodies", ()))})
+        return self._commit(found[1]) if found else None
+
+    def at(self, generation: int) -> Commit | None:
+        """A generation that is still kept."""
+        found = self.log.at(generation)
+        return self._commit(found) if found else None
 
-    def _table(self, commit: Commit | None, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{commit.folder}/{name}") if commit else self.spark.createDataFrame([], schema)
+    @staticmethod
+    def _commit(found: dict) -> Commit:
+        if found.get("schema_version") != SCHEMA_VERSION:
+            raise BackendError(f"the index has schema version {found.get('schema_version')}, not {SCHEMA_VERSION}")
+        return Commit(**found | {"bodies": tuple(found.get("bodies", ()))})
+
+    def _paths(self, commit: Commit, table: str, only: set[int] | None = None) -> list[str]:
+        held = commit.tables.get("documents" if table in ("manifest", "mirror") else table, {})
+        return [f"{self.path}/{part}/{table}/bucket={k}" for part, buckets in held.items() for k in buckets if only is None or k in only]
+
+    def _table(self, commit: Commit | None, name: str, only: set[int] | None = None) -> DataFrame:
+        paths = self._paths(commit, name, only) if commit else []
+        return self.spark.read.schema(_TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], _TABLES[name])
 
     def rows(self, commit: Commit | None = None) -> DataFrame:
         """Narrow rows (CHUNKS), tombstones among them."""
-        return self._table(commit or self.newest(), "chunks", CHUNKS)
+        return self._table(commit or self.newest(), "chunks")
 
     def documents(self, commit: Commit | None = None) -> DataFrame:
-        return self._table(commit or self.newest(), "documents", DOCUMENTS)
+        return self._table(commit or self.newest(), "documents")
 
     def bodies(self, commit: Commit | None = None) -> DataFrame:
         """(BODIES) of all chunk hashes, those of tombstones among them."""
         c = commit or self.newest()
         return self.spark.read.schema(BODIES).parquet(*(f"{self.path}/{b}" for b in c.bodies)) if c and c.bodies else self.spark.createDataFrame([], BODIES)
 
-    def manifest_lines(self, commit: Commit | None = None) -> DataFrame:
-        """The manifest as JSON lines (value)."""
+    def manifest_lines(self, commit: Commit | None = None, mirror: bool = False) -> DataFrame:
+        """The manifest, or its mirror, as JSON lines (value)."""
         c = commit or self.newest()
-        return self.spark.read.text(f"{self.path}/{c.folder}/manifest") if c else self.spark.createDataFrame([], "value string")
+        paths = self._paths(c, "mirror" if mirror else "manifest") if c else []
+        return self.spark.read.text(paths) if paths else self.spark.createDataFrame([], "value string")
 
     def active_rows(self, commit: Commit | None = None) -> DataFrame:
         return self.rows(commit).where("valid_to is null")
@@ -194,7 +221,20 @@ class Index:
         return self.active_rows(c).join(self.bodies(c), "chunk_hash", "left")
 
     def status(self) -> DataFrame:
-        return status(self.rows(), self.documents())
+        now = self.newest()
+        return status(self.rows(now), self.documents(now))
+
+    @contextmanager
+    def snapshot(self, seconds: float = READ_SECONDS) -> Iterator[Commit]:
+        """The newest generation, whose files stay while the block lasts (``seconds`` at most), whatever writers and ``vacuum`` do."""
+        while True:
+            if (now := self.newest()) is None:
+                raise BackendError("the index is empty")
+            with self.leases.reading(now.generation, seconds):
+                if self.log.at(now.generation) is None:
+                    continue  # vacuumed before the lease was there
+                yield now
+                return
 
     def plan(self, target: DataFrame, provider: embedding.Provider, cached: DataFrame | None = None, price: float | None = None) -> dict[str, DataFrame]:
         """Writes nothing. target: occurrences with text (CHUNK columns, position, metadata, document_metadata)."""
@@ -208,33 +248,50 @@ class Index:
         """Publishes the target as the next generation; an unchanged one stays. Vectors come from the index, then from ``cache`` (a Cache,
         which gets the new ones), then from the provider; under another model nothing is carried over. ``documents`` (document_id,
         metadata) names those without chunks too; ``expected`` is the generation that was planned against, another one is an error."""
+        if not 0 < provider.dimensions <= embedding.MAX_DIMENSIONS:
+            raise BackendError(f"dimensions must be 1 to {embedding.MAX_DIMENSIONS}")
+        with self.leases.writing() as fence:
+            return self._applied(target, provider, cache, force, documents, expected, batch_size, fence)
+
+    def _applied(self, target: DataFrame, provider: embedding.Provider, cache, force: bool, documents: DataFrame | None, expected: int | None, batch_size: int, fence: int) -> Commit:  # noqa: ANN001
         now = self.newest()
         if expected is not None and expected != (now.generation if now else 0):
             raise BackendError("the index has changed since the plan was made")
         same = now is not None and (now.model_id, now.params_hash) == (provider.model_id, provider.params_hash)
         target = written(manifest.with_identity(target).withColumn("position", F.col("position").cast("int")), "index-target")
-        old = written(self.active_rows(now), "index-active")
         docs = written(manifest.documents(target, documents), "index-documents")
-        if same and not force and not diff.requires_apply(old, target) and not self._documents_changed(docs, now):
+        old, before = self.active_rows(now), self.documents(now)
+        facts = F.struct("root_hash", "metadata", *manifest.IDENTITY)
+        other = before.select("document_id", facts.alias("a")).join(docs.select("document_id", facts.alias("b")), "document_id", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("document_id")
+        changed = diff.changed_documents(old, target).unionByName(other)
+        if not same or force:
+            changed = changed.unionByName(before.select("document_id")).unionByName(docs.select("document_id"))
+        changed = written(changed.distinct(), "index-changed")
+        if now is not None and not changed.limit(1).count():
             return now
         root = merkle.corpus_root(docs.select("document_id", "root_hash"))
-        generation = now.generation + 1 if now else 1
-        ops = diff.occurrence_diff(old if same or now is None else old.limit(0), target.drop("text"))
+        generation, n = (now.generation + 1, now.buckets) if now else (1, 0)
+        if now is None or not same or force:
+            n = max(1, -(-target.count() // self.bucket_rows))
+        new_buckets = now is None or n != now.buckets
+        touched = None if new_buckets else {r[0] for r in changed.select(bucket(n).alias("k")).distinct().collect()}  # one a bucket
+        mine = lambda df: df.join(changed, "document_id", "left_semi")
+        rest = lambda df: df.join(changed, "document_id", "left_anti")
+        was, target = mine(self._table(now, "chunks", touched).where("valid_to is null")), mine(target)
+        ops = diff.occurrence_diff(was if same or now is None else was.limit(0), target.drop("text"), changed)
         scope = f"{provider.model_id}\0{provider.params_hash}\0generation:{generation}"
-        ids = written(carried_ids(ops, old, root, scope), "index-ids")
+        ids = written(carried_ids(ops, was, root, scope), "index-ids")
         bodies, fresh = self._bodies(now if same else None, target, provider, cache, batch_size)
-        rows = written(self._new_rows(target, ids, old, bodies, provider), "index-rows")
-        ts = F.current_timestamp()
-        gone = old.join(ids.select("instance_id"), "instance_id", "left_anti").withColumn("valid_to", ts)
-        buried = self.rows(now).where("valid_to is not null") if now else old.limit(0)
-        checked_rows(rows, gone.select("instance_id").unionByName(buried.select("instance_id")), rows.select("chunk_hash").distinct().join(bodies, "chunk_hash", "left"), provider.dimensions)
-        every = _cast(rows, CHUNKS).unionByName(_cast(gone, CHUNKS)).unionByName(_cast(buried, CHUNKS))
+        rows = written(self._new_rows(target, ids, was, bodies, provider), "index-rows")
+        gone = written(_cast(was.join(ids.select("instance_id"), "instance_id", "left_anti").withColumn("valid_to", F.current_timestamp()), CHUNKS), "index-gone")
+        buried = self.rows(now).where("valid_to is not null")
+        checked_rows(rows, gone.select("instance_id").unionByName(buried.select("instance_id")))
+        stored = self._table(now, "chunks", touched)
+        every = _cast(rows, CHUNKS).unionByName(gone).unionByName(_cast(rest(stored.where("valid_to is null")), CHUNKS)).unionByName(_cast(stored.where("valid_to is not null"), CHUNKS))
+        held = docs if touched is None else docs.where(bucket(n).isin(*touched))
         parts = ([] if not same else list(now.bodies)) + ([self._write_body(fresh)] if fresh is not None else [])
-        return self._publish(self._write(Commit(generation, "", root, provider.model_id, provider.params_hash, provider.dimensions, tuple(parts)), every, docs))
-
-    def _documents_changed(self, docs: DataFrame, now: Commit) -> bool:
-        a, b = docs.select("document_id", "metadata"), self.documents(now).select("document_id", "metadata")
-        return bool(a.exceptAll(b).limit(1).count() or b.exceptAll(a).limit(1).count())
+        made = Commit(generation, root, provider.model_id, provider.params_hash, provider.dimensions, tuple(parts), n, fence=fence)
+        return self._publish(self._write(made, None if new_buckets else now, touched, every, held))
 
     def _bodies(self, now: Commit | None, target: DataFrame, provider: embedding.Provider, cache, batch_size: int) -> tuple[DataFrame, DataFrame | None]:  # noqa: ANN001
         """All bodies that the target needs, and those of them that are new (None if there are none)."""
@@ -244,7 +301,8 @@ class Index:
         if not wanted.limit(1).count():
             return have, None
         vectors = embedding.embed_texts(wanted, provider, batch_size).select("chunk_hash", "vector") if cache is None else embedding.embed_with_cache(wanted, provider, cache, batch_size)
-        fresh = written(_cast(wanted.join(vectors, "chunk_hash"), BODIES), "index-bodies")
+        both = wanted.join(vectors, "chunk_hash", "left").withColumn("vector", sound("vector", provider.dimensions))
+        fresh = written(_cast(both, BODIES), "index-bodies")
         return have.unionByName(fresh), fresh
 
     def _new_rows(self, target: DataFrame, ids: DataFrame, old: DataFrame, bodies: DataFrame, provider: embedding.Provider) -> DataFrame:
@@ -259,31 +317,77 @@ class Index:
         return _cast(kept.withColumn("record_digest", F.col("old_digest")), CHUNKS).unionByName(_cast(made, CHUNKS))
 
     def _write_body(self, fresh: DataFrame) -> str:
+        """In the order of hashes, so that a look for a few hashes passes most of a part over."""
         name = f"bodies/{uuid.uuid4().hex}"
-        fresh.write.parquet(f"{self.path}/{name}")
+        fresh.repartitionByRange("chunk_hash").sortWithinPartitions("chunk_hash").write.parquet(f"{self.path}/{name}")
         return name
 
-    def _write(self, commit: Commit, rows: DataFrame, docs: DataFrame) -> Commit:
-        """Writes a generation's tables and its manifest; the commit with their folder, not published yet."""
-        folder = f"gen={commit.generation:08d}-{uuid.uuid4().hex[:8]}"
-        rows.write.parquet(f"{self.path}/{folder}/chunks")
-        _cast(docs, DOCUMENTS).write.parquet(f"{self.path}/{folder}/documents")
-        stored = self.spark.read.schema(CHUNKS).parquet(f"{self.path}/{folder}/chunks").where("valid_to is null")
-        manifest.to_json(docs, stored).select("json").write.text(f"{self.path}/{folder}/manifest")
-        return Commit(**asdict(commit) | {"folder": folder})
+    def _write(self, commit: Commit, before: Commit | None, touched: set[int] | None, rows: DataFrame, docs: DataFrame) -> Commit:
+        """Writes the buckets ``touched`` (all for None) as a part; the commit with its tables, those of ``before`` elsewhere, not published yet."""
+        part, k = f"rows/{uuid.uuid4().hex}", bucket(commit.buckets).alias("bucket")
+        place = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "document_id").write.partitionBy("bucket")
+        place(_cast(rows, CHUNKS).select("*", k)).parquet(f"{self.path}/{part}/chunks")
+        place(_cast(docs, DOCUMENTS).select("*", k)).parquet(f"{self.path}/{part}/documents")
+        store, tables = Store(self.spark, f"{self.path}/{part}"), {}
+        for name in _TABLES:
+            kept = {p: [b for b in own if b not in touched] for p, own in before.tables[name].items()} if before and touched is not None else {}
+            own = [int(f.removeprefix("bucket=")) for f in store.names(name) if f.startswith("bucket=")]
+            tables[name] = {p: sorted(own) for p, own in (kept | {part: own}).items() if own}
+        made = replace(commit, tables=tables)
+        new = replace(commit, tables={t: {p: own for p, own in held.items() if p == part} for t, held in tables.items()})
+        lines = written(manifest.to_json(self.documents(new), self.active_rows(new)).select(k, "json"), "index-manifest")
+        for copy in ("manifest", "mirror"):
+            lines.repartition("bucket").write.partitionBy("bucket").text(f"{self.path}/{part}/{copy}")
+        return made
 
     def _publish(self, commit: Commit) -> Commit:
+        self.leases.held(commit.fence)
         self.log.publish(commit.generation, asdict(commit))
         return commit
 
+    def republish(self, generation: int, root: str) -> Commit:
+        """A generation that is still kept, as the next one: its tables are the old one's, nothing is written but the commit."""
+        with self.leases.writing() as fence:
+            now, old = self.newest(), self.at(generation)
+            if now is None or old is None:
+                raise BackendError(f"generation {generation} is not kept any more")
+            if old.corpus_root != root:
+                raise BackendError(f"generation {generation} has another root")
+            return self._publish(replace(old, generation=now.generation + 1, fence=fence))
+
+    def vacuum(self, retained: int = RETAINED) -> int:
+        """Deletes the parts that neither the newest ``retained`` generations nor one that a reader holds needs, and their commits; the number
+        of parts. It reserves the index, so no writer's unpublished part is met."""
+        with self.leases.writing() as fence:
+            now, store = self.newest(), Store(self.spark, self.path)
+            if now is None:
+                return 0
+            numbers = [int(f[:-5]) for f in store.names("commits") if f.endswith(".json") and f[:-5].isdigit()]
+            keep = {g for g in numbers if g > now.generation - retained} | self.leases.read_generations()
+            needed = {p for g in keep if (c := self.at(g)) for p in c.parts()}
+            self.leases.held(fence)
+            for g in sorted(set(numbers) - keep):
+                store.delete(f"commits/{g:08d}.json")  # first, so that nobody opens what is going
+            gone = [f"{kind}/{f}" for kind in ("rows", "bodies") for f in store.names(kind) if f"{kind}/{f}" not in needed]
+            for part in gone:
+                store.delete(part, True)
+            return len(gone)
+
     def query(self, text: str, provider: embedding.Provider, k: int = 5) -> DataFrame:
+        """The k nearest chunks. Bodies are scored where they lie, and only what can be among the first k meets its rows and then its text."""
         now = self.newest()
         if now is None:
             raise BackendError("the index is empty")
         if (now.model_id, now.params_hash, now.dimensions) != (provider.model_id, provider.params_hash, provider.dimensions):
             raise BackendError("the index was embedded by another model")
         vector = embedding.embed_checked([text], provider)[0]
-        return embedding.top_k(self.active(now), vector, k, ["document_id", "start_offset"]).select("score", "chunk_hash", "text", "document_id", "start_offset", "end_offset", "metadata")
+        bodies = self.bodies(now)
+        narrow = self.active_rows(now).select("chunk_hash", "document_id", "start_offset", "end_offset", "metadata")
+        best = embedding.late_top_k(bodies.select("chunk_hash", sound("vector", now.dimensions).alias("vector")), narrow, vector, k, ["document_id", "start_offset"])
+        found = written(best, "query-best")
+        hashes = [r[0] for r in found.select("chunk_hash").distinct().limit(1001).collect()]
+        texts = bodies.select("chunk_hash", "text").where(F.col("chunk_hash").isin(hashes)) if len(hashes) <= 1000 else bodies.select("chunk_hash", "text")
+        return F.broadcast(found).join(texts, "chunk_hash").orderBy(F.desc("score"), "document_id", "start_offset").select("score", "chunk_hash", "text", "document_id", "start_offset", "end_offset", "metadata") if hashes else found.select("score", "chunk_hash", F.lit("").alias("text"), "document_id", "start_offset", "end_offset", "metadata")
 
     def verify(self, expected: DataFrame | None = None) -> DataFrame:
         """(document_id, position, problem): the newest generation against its manifest, its texts, vectors and digests, and against the
@@ -291,16 +395,20 @@ class Index:
         wrong = lambda *what: self.spark.createDataFrame([(None, None, w) for w in what], "document_id string, position int, problem string")
         now = self.newest()
         if now is None:
-            return wrong("index does not exist")
-        found = [wrong(*(what for bad, what in ((not now.corpus_root, "corpus root is absent"), (not now.model_id or not now.params_hash, "embedding model identity is absent"), (type(now.dimensions) is not int or now.dimensions <= 0, "vector dimensions are not a positive integer"), (type(now.generation) is not int or now.generation < 1, "generation is not a positive integer")) if bad))]
-        fs, p = file_system(self.spark, f"{self.path}/{now.folder}/manifest")
-        if not fs.exists(p):
-            return reduce(DataFrame.unionByName, [*found, wrong("manifest is absent")])
+            return wrong("no index")
+        found = [wrong(*(what for bad, what in ((not now.corpus_root, "no corpus root"), (not now.model_id or not now.params_hash, "no embedding model"), (type(now.dimensions) is not int or now.dimensions <= 0, "dimensions not positive"), (type(now.generation) is not int or now.generation < 1, "generation not positive")) if bad))]
+        lost = {t for t in ("manifest", "mirror") for path in self._paths(now, t) if not (at := file_system(self.spark, path))[0].exists(at[1])}
+        if "manifest" in lost:
+            return reduce(DataFrame.unionByName, [*found, wrong("no manifest")])
+        if "mirror" in lost:
+            found.append(wrong("no mirror of the manifest"))
         docs, chunks, bad = manifest.from_json(self.manifest_lines(now))
         docs, chunks = written(docs, "verify-documents"), written(chunks, "verify-chunks")
         if merkle.corpus_root(docs.select("document_id", "root_hash")) != now.corpus_root:
-            found.append(wrong("manifest root differs from index root"))
+            found.append(wrong("manifest has another root"))
         none = F.lit(None).cast("int").alias("position")
+        if "mirror" not in lost:
+            found.append(mirror_problems(self.manifest_lines(now), self.manifest_lines(now, True)).select("document_id", none, "problem"))
         active = written(self.active(now), "verify-active")
         found += [d.select("document_id", none, "problem") for d in (bad, document_problems(docs, self.documents(now)))]
         found += [problems(chunks, active), content_problems(chunks.join(docs.select("document_id", *manifest.IDENTITY), "document_id"), active, now.model_id, now.params_hash, now.dimensions)]
@@ -316,15 +424,31 @@ class Index:
         dead = F.col("valid_to").isNotNull() & (F.lit(True) if before is None else F.col("valid_to") <= before)
         n = self.rows(now).where(dead).count()
         if n and not dry_run:
-            rows = written(self.rows(now).where(~dead | dead.isNull()), "compact-rows")
-            bodies, parts = self.bodies(now), now.bodies
-            needed = bodies.join(rows.select("chunk_hash").distinct(), "chunk_hash", "left_semi")
-            if needed.count() < bodies.count():
-                parts = (self._write_body(needed),)
-            self._publish(self._write(Commit(now.generation + 1, "", now.corpus_root, now.model_id, now.params_hash, now.dimensions, parts), rows, written(self.documents(now), "compact-documents")))
+            with self.leases.writing() as fence:
+                rows = written(self.rows(now).where(~dead | dead.isNull()), "compact-rows")
+                bodies, parts = self.bodies(now), now.bodies
+                needed = bodies.join(rows.select("chunk_hash").distinct(), "chunk_hash", "left_semi")
+                if needed.count() < bodies.count():
+                    parts = (self._write_body(needed),)
+                buckets = max(1, -(-rows.count() // self.bucket_rows))
+                made = replace(now, generation=now.generation + 1, bodies=parts, buckets=buckets, fence=fence)
+                self._publish(self._write(made, None, None, rows, self.documents(now)))
         return n
 
 
+def bucket(n: int) -> Column:
+    return F.pmod(F.xxhash64("document_id"), F.lit(n)).cast("int")
+
+
+def mirror_problems(lines: DataFrame, mirror: DataFrame) -> DataFrame:
+    """(document_id, problem) of a manifest's mirror: lines that can't be read, that are not there, or that say something else."""
+    named = lambda df, p: df.select(F.get_json_object("value", "$.document_id").alias("document_id"), F.col("value").alias(p), (F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT") & F.get_json_object("value", "$.document_id").isNotNull()).alias("ok"))
+    torn = named(mirror, "b").where(~F.coalesce("ok", F.lit(False))).select(F.lit(None).cast("string").alias("document_id"), F.lit("mirror of the manifest unreadable").alias("problem")).limit(1)
+    both = named(lines, "a").where("ok").join(named(mirror, "b").where("ok").drop("ok"), "document_id", "full")
+    what = F.when(F.col("b").isNull(), "no mirror of the manifest").when(~F.col("a").eqNullSafe(F.col("b")), "mirror has another manifest")
+    return both.select("document_id", what.alias("problem")).where("problem is not null").unionByName(torn)
+
+
 def occurrences(chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """Chunk rows as index targets: position, metadata and document metadata added."""
     facts = F.to_json(F.struct("boundary_kind", "chunk_index", "end_word", "raw_end_word", "snap_kind", "start_word"))

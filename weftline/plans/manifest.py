@@ -75,7 +75,7 @@ def from_json(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = m.join(cuts, "document_id", "left").select("document_id", "root_hash", F.size("chunks").alias("chunk_count"), F.coalesce("hard_cuts", F.lit(0)).alias("hard_cuts"), text(F.col("metadata")).alias("metadata"), *IDENTITY)
     real = merkle.document_roots(chunks).select("document_id", F.col("root_hash").alias("real"))
     wrong = docs.join(real, "document_id", "left").where(F.col("root_hash").isNotNull() & ~F.col("root_hash").eqNullSafe(F.coalesce("real", F.lit(merkle.EMPTY))))
-    problems = marked.where("bad is not null").select("m.document_id", F.col("bad").alias("problem")).unionByName(wrong.select("document_id", F.lit("manifest is invalid: root hash differs from its chunks").alias("problem")))
+    problems = marked.where("bad is not null").select("m.document_id", F.col("bad").alias("problem")).unionByName(wrong.select("document_id", F.lit("manifest is invalid: root hash is not that of its chunks").alias("problem")))
     return docs, chunks, problems
 
 

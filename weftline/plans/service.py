@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 from datetime import UTC, datetime
 from typing import Any
 
@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from .. import config as cfg
 from ..errors import ConfigError, VerificationError, WeftlineError
-from ..operators import chunking, diff
+from ..operators import chunking, diff, merkle
 from ..sources.cache import Cache
 from ..sources.files import read_documents, unique_ids
 from ..tables import Store, written
+from . import manifest
 from .index import Commit, Index, occurrences
 
 JOURNAL, RECEIPTS, STATE = ".weftline/migration.json", ".weftline/receipts", ".weftline"
@@ -37,6 +38,7 @@ class Prepared:
     operations: dict[str, int]
     cost: dict[str, Any]
     rows: DataFrame
+    chunks: int = 0
 
     def first(self, n: int) -> list[dict[str, Any]]:
         """The first operations in the order of plans."""
@@ -87,7 +89,7 @@ class Project:
         now, provider = self.index.newest(), c.embedding.build()
         known = self.cache.rows().where((F.col("model_id") == provider.model_id) & (F.col("params_hash") == provider.params_hash)).select("chunk_hash")
         out = self.index.plan(target, provider, known, c.embedding.price_per_million_tokens)
-        return Prepared(target, docs.select("document_id", "metadata"), now.generation if now else 0, {r["kind"]: r["n"] for r in out["counts"].collect()}, out["cost"].first().asDict(), out["operations"])
+        return Prepared(target, docs.select("document_id", "metadata"), now.generation if now else 0, {r["kind"]: r["n"] for r in out["counts"].collect()}, out["cost"].first().asDict(), out["operations"], target.count())
 
     def plan(self, config: cfg.Config | None = None, inputs: tuple[str, ...] = (), show: int = 0) -> dict[str, Any]:
         """Counts and cost, and with ``show`` the first so many operations."""
@@ -98,10 +100,17 @@ class Project:
         c = config or self.config
         return self.index.apply(p.target, c.embedding.build(), self.cache, force, p.documents, p.generation, c.embedding.batch_size)
 
-    def apply(self, config: cfg.Config | None = None, allow_deletes: bool = False, inputs: tuple[str, ...] = ()) -> Commit:
-        p = self.prepare(config, inputs=inputs)
-        if p.operations["delete"] and not allow_deletes and p.generation:
+    @staticmethod
+    def _allowed(p: Prepared, deletes: bool, empty: bool) -> None:
+        """Raises if a change would withdraw chunks, or all of them, without consent."""
+        if p.operations["delete"] and not deletes and p.generation:
             raise WeftlineError(f"{p.operations['delete']} chunks would be deleted; allow it explicitly")
+        if not p.chunks and not empty and p.generation:
+            raise WeftlineError("the index would be left empty; allow it explicitly")
+
+    def apply(self, config: cfg.Config | None = None, allow_deletes: bool = False, inputs: tuple[str, ...] = (), allow_empty: bool = False) -> Commit:
+        p = self.prepare(config, inputs=inputs)
+        self._allowed(p, allow_deletes, allow_empty)
         return self.apply_prepared(p, config)
 
     def query(self, text: str, k: int = 5) -> list[dict[str, Any]]:
@@ -115,32 +124,38 @@ class Project:
         if found:
             raise VerificationError("; ".join(f"{r['document_id'] or 'index'}[{r['position']}]: {r['problem']}" for r in found))
 
-    def migrate(self, strategy: str | None = None, model: str | None = None, apply: bool = False) -> dict[str, Any]:
+    def migrate(self, strategy: str | None = None, model: str | None = None, apply: bool = False, allow_deletes: bool = False, allow_empty: bool = False) -> dict[str, Any]:
         """Another chunker or model: preview, or a new generation and then the new configuration, through a journal."""
         self.recover()
-        new, text = self.config.with_changes(strategy, model), self.store.read(cfg.FILENAME)
+        new = self.config.with_changes(strategy, model)
         p = self.prepare(new)
         out = {"changes": [k for k in ("chunker", "embedding") if getattr(new, k) != getattr(self.config, k)], "operations": p.operations, "cost": p.cost}
         if not apply or not out["changes"]:
             return out
-        provider = new.embedding.build()
-        entry = {"version": 1, "config_sha256": _sha(text), "config": cfg.render(new), "previous": text, "generation": p.generation, "params_hash": provider.params_hash, "model_id": provider.model_id}
-        self.store.write(JOURNAL, json.dumps(entry, sort_keys=True), exclusive=True)  # one migration at a time
+        self._allowed(p, allow_deletes, allow_empty)
+        self._journal("migration", cfg.render(new), p.generation, new.embedding.build())
         self.apply_prepared(p, new, force=True)
         return out | {"recovered": self.recover()}
 
+    def _journal(self, kind: str, config: str, generation: int, provider, root: str | None = None) -> None:  # noqa: ANN001
+        """Notes a change of index and configuration before it begins; one at a time. root: what the new generation must have, if known."""
+        text, before = self.store.read(cfg.FILENAME), self.index.newest()
+        old = {k: getattr(before, k) for k in ("generation", "corpus_root", "model_id", "params_hash")} if before else None
+        entry = {"version": 2, "kind": kind, "previous": text, "previous_sha256": _sha(text), "config": config, "config_sha256": _sha(config), "generation": generation, "model_id": provider.model_id, "params_hash": provider.params_hash, "root": root, "old": old}
+        self.store.write(JOURNAL, json.dumps(entry, sort_keys=True), exclusive=True)
+
     def recover(self) -> str:
-        """Ends a migration that was cut short: forward if its generation was published, else back."""
+        """Ends a migration or rollback that was cut short: forward if its generation was published, else back."""
         if not self.store.exists(JOURNAL):
             return "nothing"
         entry, now = json.loads(self.store.read(JOURNAL)), self.index.newest()
-        if entry.get("version") != 1:
+        if entry.get("version") != 2:
             raise ConfigError("the journal is of another version")
-        done = now is not None and now.generation > entry["generation"] and (now.model_id, now.params_hash) == (entry["model_id"], entry["params_hash"])
+        done = now is not None and now.generation > entry["generation"] and (now.model_id, now.params_hash) == (entry["model_id"], entry["params_hash"]) and entry["root"] in (None, now.corpus_root)
         if done:
-            if _sha(self.store.read(cfg.FILENAME)) not in (entry["config_sha256"], _sha(entry["config"])):
-                raise ConfigError("the configuration was changed during a migration")
-            receipt = {"applied_at": datetime.now(UTC).isoformat(), "previous": entry["previous"], "config_sha256": _sha(entry["config"]), **asdict(now)}
+            if _sha(self.store.read(cfg.FILENAME)) not in (entry["previous_sha256"], entry["config_sha256"]):
+                raise ConfigError("the configuration was changed while it was being replaced")
+            receipt = {"kind": entry["kind"], "applied_at": datetime.now(UTC).isoformat(), "old": entry["old"], **{k: entry[k] for k in ("previous", "previous_sha256", "config_sha256")}, **{k: getattr(now, k) for k in ("generation", "corpus_root", "model_id", "params_hash")}}
             self.store.write(f"{RECEIPTS}/{now.generation:08d}.json", json.dumps(receipt, sort_keys=True))
             self.store.write(cfg.FILENAME, entry["config"])
             self.config = cfg.loads(entry["config"])
@@ -149,7 +164,7 @@ class Project:
         return "forward" if done else "back"
 
     def receipt(self) -> dict[str, Any]:
-        """The newest migration that led to the index and the configuration as they are."""
+        """The newest change that led to the index and the configuration as they are."""
         now, sha = self.index.newest(), _sha(self.store.read(cfg.FILENAME))
         found = [json.loads(self.store.read(f"{RECEIPTS}/{n}")) for n in self.store.names(RECEIPTS)]
         same = ("generation", "corpus_root", "model_id", "params_hash")
@@ -158,12 +173,33 @@ class Project:
             raise WeftlineError("no receipt fits the index and the configuration as they are")
         return max(fits, key=lambda r: r["applied_at"])
 
-    def rollback(self) -> Commit:
-        """The configuration before the newest migration, as a new generation of the sources as they are."""
-        text = self.receipt()["previous"]
-        old = cfg.loads(text)
-        out = self.apply_prepared(self.prepare(old), old, force=True)
-        self.store.write(cfg.FILENAME, text)
-        self.config = old
-        self._open()
-        return out
+    def rollback(self, apply: bool = False, allow_deletes: bool = False, allow_empty: bool = False) -> dict[str, Any]:
+        """The configuration and the generation before the newest migration: preview, or through a journal, as a new generation.
+
+        Refused where the stored configuration is not what it was, or where the sources, cut by it, don't make the old root under the old
+        model: what would be published then never existed. The old generation is published again as it lies, or, where ``vacuum`` has taken
+        it, made anew.
+        """
+        self.recover()
+        receipt = self.receipt()
+        old = receipt["old"]
+        if _sha(receipt["previous"]) != receipt["previous_sha256"]:
+            raise ConfigError("the receipt's configuration is not what it was")
+        if old is None:
+            raise WeftlineError("there was no index before")
+        config = cfg.loads(receipt["previous"])
+        p, provider = self.prepare(config), config.embedding.build()
+        root = merkle.corpus_root(manifest.documents(p.target, p.documents).select("document_id", "root_hash"))
+        if (root, provider.model_id, provider.params_hash) != (old["corpus_root"], old["model_id"], old["params_hash"]):
+            raise WeftlineError("the sources no longer make the index as it was; restore them, or migrate forward")
+        out = {"generation": old["generation"], "operations": p.operations, "cost": p.cost}
+        if not apply:
+            return out
+        self._allowed(p, allow_deletes, allow_empty)
+        kept = self.index.at(old["generation"])
+        self._journal("rollback", receipt["previous"], self.index.newest().generation, provider, root)
+        if kept is not None and (kept.corpus_root, kept.model_id, kept.params_hash) == (root, provider.model_id, provider.params_hash):
+            self.index.republish(old["generation"], root)
+        else:
+            self.apply_prepared(p, config, force=True)
+        return out | {"published": self.index.newest().generation, "recovered": self.recover()}

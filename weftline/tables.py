@@ -92,6 +92,11 @@ class CommitLog:
                 return int(name[:-5]), found
         return None
 
+    def at(self, number: int) -> dict | None:
+        """What was published under a number, while it is kept."""
+        fs, p = file_system(self.spark, f"{self.path}/{number:08d}.json")
+        return json.loads(self.spark.read.text(f"{self.path}/{number:08d}.json", wholetext=True).first()[0]) if fs.exists(p) else None
+
     def publish(self, number: int, content: dict) -> None:
         fs, temp = file_system(self.spark, f"{self.path}/.{uuid.uuid4().hex}.tmp")
         _, final = file_system(self.spark, f"{self.path}/{number:08d}.json")
