@@ -1,7 +1,7 @@
 """Removal of long repeated passages by merged Burrows-Wheeler transforms.
 
-Texts are read as bytes and cut at anchors: positions whose 8-byte hash is the strict minimum within RADIUS positions on either side, which
-depends on the bytes around them only, so equal passages are cut alike. A suffix is the run of tokens from an anchor, led by its context.
+Texts are read as bytes and cut at anchors: positions whose 8-byte hash is the minimum within RADIUS positions on either side, and strictly
+so on one of them (in periodic stretches it ends or begins one), which depends on the bytes around them only, so equal passages are cut alike. A suffix is the run of tokens from an anchor, led by its context.
 
 * Each shard (a slice of texts in a task) orders its own suffixes by LF steps over its tokens: the block of a suffix is that of (its token,
   the block of the suffix that follows), refined once a token. Suffixes that are equal as far as a window can reach are one interval.
@@ -60,6 +60,7 @@ class Slice:
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
         h, g = _gram_hashes(np.frombuffer(self.octets, np.uint8)), radius
+        self.hashes = h
         at = np.zeros(0, np.int64)
         if len(h) > 2 * g:
             least, width = h, 1  # minima of ``width`` hashes from each position
@@ -68,7 +69,8 @@ class Slice:
             if width < g:
                 least = np.minimum(least[: width - g], least[g - width :])
             mid = h[g : len(h) - g]
-            at = np.flatnonzero((mid < least[: len(mid)]) & (mid < least[g + 1 : g + 1 + len(mid)])) + g
+            left, right = least[: len(mid)], least[g + 1 : g + 1 + len(mid)]
+            at = np.flatnonzero((mid <= left) & (mid <= right) & ((mid < left) | (mid < right))) + g
         owner = np.searchsorted(self.ends, at, "right")
         inside = (at - g >= self.starts[owner]) & (at + self.right <= self.ends[owner]) if len(at) else np.zeros(0, bool)
         self.at, self.owner = at[inside], owner[inside]
@@ -227,24 +229,44 @@ def merged(units: DataFrame) -> DataFrame:
 
 
 class Judged:
-    """The windows of one text: ``sure`` (occur elsewhere), ``open`` (to be checked), and their cores (first and last anchor inside)."""
+    """The windows of one text: ``sure`` (occur elsewhere), ``open`` (to be checked), and the places of their first and last anchor, or, where
+    a window has none, of the first of its smallest hashes."""
 
-    def __init__(self, n: int, at: np.ndarray, matched: np.ndarray, width: int, radius: int) -> None:
-        ends, right, many = np.append(at[1:], n), radius + GRAM, len(at)
+    def __init__(self, text: memoryview, hashes: np.ndarray, at: np.ndarray, matched: np.ndarray, width: int, radius: int) -> None:
+        n, many, right = len(text), len(at), radius + GRAM
+        ends, start = np.append(at[1:], n), np.arange(n - width + 1)
         reach = np.where(matched > 0, at + right, -1)
         more = matched > 1
         reach[more] = np.maximum(reach[more], ends[np.flatnonzero(more) + matched[more] - 2])
-        start = np.arange(n - width + 1)
         self.before = np.searchsorted(at, start + radius - 1, "right") - 1
         self.sure = reach[self.before] >= start + width
         limit = start + width - right
-        self.p, self.e = np.minimum(self.before + 1, many - 1), np.searchsorted(at, limit, "right") - 1
-        self.has = (self.before + 1 < many) & (at[self.p] <= limit)
-        self.open = ~self.sure & ~(self.has & (matched[self.p] < 1 + self.e - self.p))
-
-
-def _judgements(b: pa.RecordBatch, width: int, radius: int) -> Iterator[tuple[int, memoryview, np.ndarray, Judged, np.ndarray]]:
-    """(row, text, anchors, windows, whether an anchor's suffix leads its block) of texts (tid, text, marks: k, matched, lead)."""
+        p, e = np.minimum(self.before + 1, many - 1), np.searchsorted(at, limit, "right") - 1
+        has = (self.before + 1 < many) & (at[p] <= limit)
+        self.first, self.last = at[p], at[e]
+        loose = np.flatnonzero(~has)
+        if len(loose):
+            seen = np.lib.stride_tricks.sliding_window_view(hashes[radius:], width - radius - right + 1)
+            least = np.concatenate([seen[loose[k : k + 4096]].argmin(1) for k in range(0, len(loose), 4096)])
+            self.first[loose] = self.last[loose] = loose + radius + least
+            self._periodic(text, hashes, loose, width)
+        self.open = ~self.sure & ~(has & (matched[p] < 1 + e - p))
+
+    def _periodic(self, text: memoryview, hashes: np.ndarray, loose: np.ndarray, width: int) -> None:
+        """Windows of a periodic stretch occur again a period later; smallest hashes that return tell the periods."""
+        place, data = self.first[loose], np.frombuffer(text, np.uint8)
+        step = np.diff(place)
+        again = (step > 0) & (np.diff(loose) == 1) & (hashes[place[1:]] == hashes[place[:-1]])
+        low, high = int(loose[0]), int(loose[-1]) + width
+        for period in np.unique(step[again]).tolist():
+            stop = min(high, len(data) - period)
+            differs = np.append(0, np.cumsum(data[low:stop] != data[low + period : stop + period]))
+            same = low + np.flatnonzero(differs[width:] == differs[:-width]) if len(differs) > width else loose[:0]
+            self.sure[same] = self.sure[same + period] = True
+
+
+def _judgements(b: pa.RecordBatch, width: int, radius: int) -> Iterator[tuple[int, memoryview, Judged, np.ndarray]]:
+    """(row, text, windows, whether an anchor's suffix leads its block) of texts (tid, text, marks: k, matched, lead)."""
     own = Slice(b.column(1), radius)
     for j, marks in enumerate(b.column(2)):
         lo, n = own.starts[j], int(own.sizes[j])
@@ -253,26 +275,27 @@ def _judgements(b: pa.RecordBatch, width: int, radius: int) -> Iterator[tuple[in
         if marks.is_valid:
             k, m, first = (np.asarray(x) for x in marks.values.flatten())
             matched[k], lead[k] = m, first.astype(bool)
-        yield j, own.octets[lo : lo + n], at, Judged(n, at, matched, width, radius), lead
+        yield j, own.octets[lo : lo + n], Judged(own.octets[lo : lo + n], own.hashes[lo : lo + n - GRAM + 1], at, matched, width, radius), lead
 
 
-def _pieces(own: Judged, at: np.ndarray, text: memoryview, mask: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
+def _pieces(own: Judged, text: memoryview, mask: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
     """(low, high, piece): ranges of the windows in ``mask`` that agree in their anchors and in how many STEPs of bytes they hold on either
-    side of them, with a hash of those bytes; a window without anchors is a piece by itself."""
+    side of them, with a hash of those bytes."""
     start = np.arange(len(mask))
-    left, right = (at[own.p] - start) // STEP * STEP, (start + width - at[own.e]) // STEP * STEP
-    named = np.where(own.has, ((own.p * (len(at) + 1) + own.e) * width + left) * width + right, -2 - start)
-    for low, high in _ranges(np.where(mask, named, -1)):
-        if own.has[low]:
-            yield low, high, xxhash.xxh3_64_intdigest(text[at[own.p[low]] - left[low] : at[own.e[low]] + right[low]])
-        else:
-            yield low, high, xxhash.xxh3_64_intdigest(text[low : low + width])
+    left, right = (own.first - start) // STEP * STEP, (start + width - own.last) // STEP * STEP
+    for low, high in _ranges(mask, own.first, own.last, left, right):
+        yield low, high, xxhash.xxh3_64_intdigest(text[own.first[low] - left[low] : own.last[low] + right[low]])
 
 
-def _ranges(named: np.ndarray) -> list[tuple[int, int]]:
-    """(low, high) of the runs of equal names other than -1."""
-    cuts = np.flatnonzero(np.diff(named)) + 1
-    return [(lo, hi) for lo, hi in zip(np.append(0, cuts).tolist(), np.append(cuts, len(named)).tolist(), strict=True) if hi > lo and named[lo] != -1]
+def _ranges(mask: np.ndarray, *alike: np.ndarray) -> list[tuple[int, int]]:
+    """(low, high) of the runs in ``mask`` along which all of ``alike`` stay as they are."""
+    new = np.diff(mask)
+    for x in alike:
+        new = new | (np.diff(x) != 0)
+    cuts = np.flatnonzero(new) + 1
+    edges = np.concatenate([[0], cuts, [len(mask)]])
+    held = mask[edges[:-1]] if len(mask) else mask
+    return list(zip(edges[:-1][held].tolist(), edges[1:][held].tolist(), strict=True))
 
 
 def _signed(h: int) -> int:
@@ -281,19 +304,18 @@ def _signed(h: int) -> int:
 
 def _open_pieces(held: DataFrame, width: int, radius: int) -> DataFrame:
     """Rows of three kinds: pieces of open windows (tid, low, high, copies, piece), cores of open windows (core), and ranges of windows that
-    occur elsewhere, one for all copies, with their core (tid, low, high, core); the core of windows without anchors is 0."""
+    occur elsewhere, one for all copies, with their core (tid, low, high, core)."""
     schema = pa.schema([("tid", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("copies", pa.int64()), ("core", pa.int64()), ("piece", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1, SLICE):
             rows, asked = [], set()
             tids, copies = b.column(0).to_pylist(), b.column(3).to_pylist()
-            for j, text, at, own, lead in _judgements(b, width, radius):
-                core = lambda i, t=text, a=at, o=own: _signed(xxhash.xxh3_64_intdigest(t[a[o.p[i]] - radius : max(a[o.p[i]] + radius + GRAM, a[o.e[i]])])) if o.has[i] else 0
-                named = np.where(own.has, own.p * (len(at) + 1) + own.e, (len(at) + 1) ** 2)
-                rows += [(tids[j], lo, hi, copies[j], None, _signed(x)) for lo, hi, x in _pieces(own, at, text, own.open, width)]
-                asked.update(core(lo) for lo, _ in _ranges(np.where(own.open, named, -1)))
-                rows += [(tids[j], lo, hi, None, core(lo), None) for lo, hi in _ranges(np.where(own.sure & lead[own.before], named, -1))]
+            for j, text, own, lead in _judgements(b, width, radius):
+                core = lambda i, t=text, o=own: _signed(xxhash.xxh3_64_intdigest(t[o.first[i] - radius : max(o.first[i] + radius + GRAM, o.last[i])]))
+                rows += [(tids[j], lo, hi, copies[j], None, _signed(x)) for lo, hi, x in _pieces(own, text, own.open, width)]
+                asked.update(core(lo) for lo, _ in _ranges(own.open, own.first, own.last))
+                rows += [(tids[j], lo, hi, None, core(lo), None) for lo, hi in _ranges(own.sure & lead[own.before], own.first, own.last)]
                 if len(rows) > 50_000:
                     yield _batch(rows, schema)
                     rows = []
@@ -309,11 +331,11 @@ def _sure_pieces(held: DataFrame, width: int, radius: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1, SLICE):
             tids, ranges, rows = b.column(0).to_pylist(), b.column(3).to_pylist(), []
-            for j, text, at, own, _ in _judgements(b, width, radius):
+            for j, text, own, _ in _judgements(b, width, radius):
                 mask = np.zeros(len(own.sure), bool)
                 for r in ranges[j]:
                     mask[r["low"] : r["high"]] = True
-                rows += [(tids[j], lo, hi, _signed(x)) for lo, hi, x in _pieces(own, at, text, mask, width)]
+                rows += [(tids[j], lo, hi, _signed(x)) for lo, hi, x in _pieces(own, text, mask, width)]
             yield _batch(rows, schema)
 
     return held.select("tid", "text", "marks", "ranges").mapInArrow(run, "tid long, low int, high int, piece long")
@@ -361,7 +383,7 @@ def _removed(held: DataFrame, width: int, radius: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1, SLICE):
             k1, k2, found, rows = b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5), []
-            for j, text, _, own, _ in _judgements(b, width, radius):
+            for j, text, own, _ in _judgements(b, width, radius):
                 if found[j].is_valid:
                     own.sure[np.asarray(found[j].values, np.int64)] = True
                 if own.sure.any():
