@@ -161,5 +161,10 @@ def casefold_column(text: Column) -> Column:
     return F.when(low.rlike("[" + "".join(_LONG) + "]"), fold(rare)).otherwise(fold(low))
 
 
+_counted = lambda c: unicodedata.category(c)[0] in "LN"
+#: Letters and marks whose folding is, or ends, a token where they are none, or the other way round.
+ODD_FOLDS = "".join(c for c, f in _FOLDS.items() if {_counted(c)} != {_counted(x) for x in f}) + "".join(c for c in map(chr, range(0x110000)) if c != c.lower() and {_counted(c)} != {_counted(x) for x in c.lower()})
+
+
 def sentence_break_column(word: Column) -> Column:
     return word.rlike(r"[.!?](?:[\"'\)\]\}]+)?$")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import casefold_column, words_column
+from ..functions.text import ODD_FOLDS, casefold_column, words_column
 from ..tables import written
 from .embedding import cosine
 
@@ -18,23 +18,69 @@ STOP_WORDS = ("a", "an", "and", "are", "at", "be", "by", "do", "does", "for", "h
 
 
 def tokens_column(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.filter(F.transform(found, casefold_column), lambda t: ~t.isin(*STOP_WORDS))
+    """Folded runs of letters and digits but for stop words. A text is folded once; token by token only where folding moves their ends."""
+    pattern, one = F.lit(r"[\p{L}\p{N}]+"), F.lit(0)
+    whole = F.regexp_extract_all(casefold_column(text), pattern, one)
+    each = F.transform(F.regexp_extract_all(text, pattern, one), casefold_column)
+    found = F.when(text.rlike("[" + ODD_FOLDS + "]"), each).otherwise(whole)
+    return F.filter(found, lambda t: ~t.isin(*STOP_WORDS))
 
 
-def tfidf_scores(queries: DataFrame, texts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, query_id, text_id, score) for all pairs that share a token. idf = ln((N + 1) / (df + 1)) + 1 over the texts, in the query too;
-    with columns ``by`` each group of them is a collection of its own."""
+def _weights(queries: DataFrame, texts: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(by, query_id, token, qw) and (by, text_id, token, w) for the tokens of the queries: weights over the norm of their text. Terms are
+    counted once and written; norms are of all tokens of a text."""
     n = texts.groupBy(*by).agg(F.count("*").alias("n_texts"))
     terms = lambda df, i: df.select(*by, i, F.explode(tokens_column(F.col("text"))).alias("token")).groupBy(*by, i, "token").agg(F.count("*").alias("tf"))
-    q, t = terms(queries, "query_id"), terms(texts, "text_id")
-    df = t.groupBy(*by, "token").agg(F.count("*").alias("df"))
+    q, t = written(terms(queries, "query_id"), "tfidf-queries"), written(terms(texts, "text_id"), "tfidf-texts")
+    df = written(t.groupBy(*by, "token").agg(F.count("*").alias("df")), "tfidf-tokens")
     meet = lambda x: x.join(F.broadcast(n), list(by)) if by else x.crossJoin(F.broadcast(n))  # noqa: E731  # a row a group
     idf = lambda x: meet(x).withColumn("w", F.col("tf") * (F.log((F.col("n_texts") + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0))
     tw, qw = idf(t.join(df, [*by, "token"])), idf(q.join(df, [*by, "token"], "left"))
-    norm = lambda x, i: x.groupBy(*by, i).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"{i}_norm"))
-    dot = qw.select(*by, "query_id", "token", F.col("w").alias("qw")).join(tw.select(*by, "text_id", "token", "w"), [*by, "token"]).groupBy(*by, "query_id", "text_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    return dot.join(norm(qw, "query_id"), [*by, "query_id"]).join(norm(tw, "text_id"), [*by, "text_id"]).select(*by, "query_id", "text_id", (F.col("dot") / (F.col("query_id_norm") * F.col("text_id_norm"))).alias("score"))
+    norm = lambda x, i: x.groupBy(*by, i).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    asked = q.select(*by, "token").distinct()
+    few = F.broadcast(asked) if asked.limit(200_001).count() <= 200_000 else asked
+    own = tw.join(few, [*by, "token"], "left_semi").join(norm(tw, "text_id"), [*by, "text_id"]).select(*by, "text_id", "token", (F.col("w") / F.col("norm")).alias("w"))
+    return qw.join(norm(qw, "query_id"), [*by, "query_id"]).select(*by, "query_id", "token", (F.col("w") / F.col("norm")).alias("qw")), own
+
+
+def tfidf_scores(queries: DataFrame, texts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, query_id, text_id, score) for all pairs that share a token. idf = ln((N + 1) / (df + 1)) + 1 over the texts, in the query too;
+    with columns ``by`` each group of them is a collection of its own."""
+    qw, tw = _weights(queries, texts, by)
+    return qw.join(tw, [*by, "token"]).groupBy(*by, "query_id", "text_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
+
+
+def tfidf_top(queries: DataFrame, texts: DataFrame, k: int, by: tuple[str, ...] = (), margin: float = 1e-5) -> DataFrame:
+    """The rows of ``tfidf_scores`` that can be among the first k of their query, all within ``margin`` of these among them; exact.
+
+    A token can add no more to a score than its weight in the query times its largest weight in any text. Tokens are taken by that bound,
+    largest first, until the rest of them together are below half of the query; scores over these alone give the k-th best a lower bound,
+    and only texts that reach it with the most that the other tokens could add are scored in full. Postings of frequent tokens, which these
+    mostly are, meet only such texts; a token's postings are spread over texts, not brought to one task.
+    """
+    qw, tw = (written(x, "tfidf-weights") for x in _weights(queries, texts, by))
+    most = tw.groupBy(*by, "token").agg(F.max("w").alias("top"))
+    bound = F.col("qw") * F.col("top")
+    after = Window.partitionBy(*by, "query_id").orderBy(bound.desc(), "token")  # the tokens of one query
+    ranked_tokens = qw.join(most, [*by, "token"]).select("*", bound.alias("bound"), F.sum(bound).over(after).alias("until"), F.sum(bound).over(Window.partitionBy(*by, "query_id")).alias("all"))
+    tokens = written(ranked_tokens.select(*by, "query_id", "token", "qw", (F.col("until") - F.col("bound") < F.col("all") / 2).alias("lead"), (F.col("all") - F.col("until")).alias("left")), "tfidf-bounds")
+    query, pair = [*by, "query_id"], [*by, "query_id", "text_id"]
+    few = lambda df: F.broadcast(df) if df.limit(200_001).count() <= 200_000 else df
+    meet = lambda part: tw.join(few(part), [*by, "token"]).groupBy(*pair).agg(F.sum(F.col("qw") * F.col("w")).alias("part"))
+    lead = tokens.where("lead")
+    some = written(meet(lead.select(*query, "token", "qw")), "tfidf-lead")
+    first = some.withColumn("rank", F.row_number().over(Window.partitionBy(*query).orderBy(F.desc("part")))).where(F.col("rank") <= k)  # cut to k in each task
+    least = first.groupBy(*query).agg(F.when(F.count("*") == k, F.min("part")).otherwise(0.0).alias("kth"))
+    rest = lead.groupBy(*query).agg(F.min("left").alias("rest")).join(least, query)
+    close = F.col("part") + F.col("rest") >= F.col("kth") - margin
+    good = some.join(few(rest), query).where(close)
+    # Texts without any of the first tokens count where the others alone reach the bound.
+    other = tokens.where("not lead")
+    alone = other.join(few(rest.where(F.col("rest") >= F.col("kth") - margin).select(*query)), query, "left_semi")
+    wanted = written(good.select(*pair).unionByName(tw.join(few(alone.select(*query, "token")), [*by, "token"]).select(*pair)).distinct(), "tfidf-wanted")
+    full = tw.join(few(other.select(*query, "token", "qw")), [*by, "token"]).join(wanted, pair, "left_semi").groupBy(*pair).agg(F.sum(F.col("qw") * F.col("w")).alias("more"))
+    out = wanted.join(some, pair, "left").join(full, pair, "left")
+    return out.select(*pair, (F.coalesce("part", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
 def holding(texts: DataFrame, passages: DataFrame, text_id: str, passage_id: str, width: int = 3) -> DataFrame:
@@ -112,16 +158,24 @@ def evaluate(chunks: DataFrame, questions: DataFrame, k: int = 5, scorer: Embedd
         raise ValueError("k must be positive")
     if (lost := questions.join(chunks.select("corpus").distinct(), "corpus", "left_anti").first()) is not None:
         raise ValueError(f"question {lost['question_id']!r} asks about an unknown corpus")
+    group, key, most = ["strategy", "corpus"], F.struct("strategy", "query_id"), max(k, 10)
     texts = written(chunks.withColumn("text_id", F.struct("document_id", "chunk_index")), "retrieval-chunks")
-    asked = questions.join(texts.select("strategy", "corpus").distinct(), "corpus")
-    group, q = ("strategy", "corpus"), asked.select("strategy", "corpus", F.col("question_id").alias("query_id"), F.col("query").alias("text"))
-    scored = tfidf_scores(q, texts, group) if scorer is None else embedding_scores(q, texts, scorer, group)
-    few = F.broadcast(asked) if asked.limit(10_001).count() <= 10_000 else asked  # a stated query set against all chunks of its corpus
-    held = F.exists("evidence", lambda e: F.contains(F.col("plain"), plain(e)))
-    every = texts.withColumn("plain", plain(F.col("text"))).join(few, list(group)).select(*group, F.col("question_id").alias("query_id"), "text_id", "text", held.alias("relevant"))
-    every = every.join(scored, [*group, "query_id", "text_id"], "left").withColumns({"score": F.coalesce("score", F.lit(0.0)), "key": F.struct("strategy", "query_id")})
-    every = written(every, "retrieval-scores")
-    top = first_ranked(every, "key", ["text_id"], max(k, 10))
+    asked = questions.join(texts.select(*group).distinct(), "corpus")
+    q = asked.select(*group, F.col("question_id").alias("query_id"), F.col("query").alias("text"))
+    scored = tfidf_scores(q, texts, ("strategy", "corpus")) if scorer is None else embedding_scores(q, texts, scorer, ("strategy", "corpus"))
+    passages = questions.select("corpus", F.col("question_id").alias("query_id"), F.posexplode("evidence").alias("nth", "text")).withColumn("passage", F.struct("query_id", "nth"))
+    held = holding(texts.select(F.struct(*group, "text_id").alias("at"), "text"), passages.select("passage", "text"), "at", "passage")
+    held = held.select("at.*", "passage.query_id").join(passages.select("corpus", "query_id").distinct(), ["corpus", "query_id"]).distinct().withColumn("relevant", F.lit(True))
+    # Pairs with a score or with evidence; all other chunks score 0, and where those are among the first, the lowest ids are.
+    same = [*group, "query_id", "text_id"]
+    pairs = written(scored.join(held, same, "full").select(*same, F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("relevant", F.lit(False)).alias("relevant")), "retrieval-scores")
+    full = pairs.where("score > 0").groupBy(*group, "query_id").agg(F.count("*").alias("n")).where(F.col("n") >= most)
+    short = q.select(*group, "query_id").join(full, [*group, "query_id"], "left_anti")
+    lowest = texts.select(*group, "text_id").withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy("text_id"))).where(F.col("nth") <= most).drop("nth")
+    fill = short.join(F.broadcast(lowest), group).join(pairs, same, "left_anti").select(*same, F.lit(0.0).alias("score"), F.lit(False).alias("relevant"))
+    every = pairs.unionByName(fill).withColumn("key", key)
+    top = first_ranked(every, "key", ["text_id"], most).join(texts.select(*group, "text_id", "text"), [*group, "text_id"])
+    top = written(top, "retrieval-top")
     if (none := top.where("total = 0").first()) is not None:
         raise ValueError(f"strategy {none['strategy']!r} made no chunk that holds the evidence of question {none['query_id']!r}")
     shown = F.array_sort(F.collect_list(F.struct("rank", "text_id.document_id", "text_id.chunk_index", "text", "score", "relevant")))

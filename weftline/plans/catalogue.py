@@ -39,6 +39,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("document_id"), "text", "source", "lang")
 
 
+_COS = "list_dot_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])))"
+
+
 # The corpus before and after an edit: a source is withdrawn, a sentence is put before German documents, one source's metadata changes.
 GONE, EDITED, TOUCHED, PREFIX = "src7", "de", "src1", "A sentence came first."
 
@@ -228,10 +231,13 @@ def plan_cost_embed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cost(spark, sf_dir, True)
 
 
-@query("select false as unchanged, true as edited")
+@query(f"""{_BOTH}, d as (select distinct document_id from (select document_id, position, chunk_hash, touched from o_occ union all select document_id, position, chunk_hash, touched from n_occ) group by document_id, position, chunk_hash, touched having count(*) % 2 = 1)
+select count(*) as changed, count(*) > 0 as edited, false as unchanged from d""")
 def requires_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents an edit changes, and whether that and no edit need a new generation."""
     old, new = both(spark, sf_dir)
-    return spark.createDataFrame([(diff.requires_apply(old, old), diff.requires_apply(old, new))], "unchanged boolean, edited boolean")
+    changed = diff.changed_documents(old, new).agg(F.count("*").alias("changed"))
+    return changed.withColumns({"edited": F.lit(diff.requires_apply(old, new)), "unchanged": F.lit(diff.requires_apply(old, old))})
 
 
 _ID = "substr(sha256('cairn:instance:v1\\x00'::blob || encode('{scope}') || '\\x00'::blob || encode('root') || '\\x00'::blob || encode(document_id) || '\\x00'::blob || encode({pos}::varchar) || '\\x00'::blob || encode(chunk_hash) || '\\x00'::blob), 1, 32)"
@@ -298,10 +304,40 @@ def index_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _applied(spark, sf_dir).rows().select("document_id", "position", "chunk_hash", F.col("valid_to").isNull().alias("active"))
 
 
-@query("select ''::varchar as document_id, 0::int as position, ''::varchar as problem where false")
+@query(f"""{_BOTH}, t as (select document_id, position, token_count from n_occ) select document_id, position, 'other token_count' as problem from t where position = 1 union all select document_id, position, 'position not indexed' from t where position = 9999
+union all select document_id, 9999, 'position not indexed' from t where position = 2""")
 def index_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Problems of an index that nobody tampered with: none."""
-    return _applied(spark, sf_dir).verify()
+    """An index, which nobody tampered with, against sources of which one chunk has other tokens and one more is there."""
+    now = occurrences(revised(documents(spark, sf_dir)), True)
+    more = now.where("position = 2").withColumn("position", F.lit(9999))
+    return _applied(spark, sf_dir).verify(now.withColumn("token_count", F.col("token_count") + (F.col("position") == 1).cast("int")).unionByName(more))
+
+
+_LINE = """'{"document_id":"' || doc_id || '","metadata":{"source":"' || source || '"}}'"""
+
+
+@query(f"""select doc_id::varchar as document_id, case when source = '{GONE}' then 'no mirror of the manifest' else 'mirror has another manifest' end as problem from documents where source in ('{GONE}', '{TOUCHED}')
+union all select null, 'mirror of the manifest unreadable' where exists (select * from documents where lang = '{EDITED}' and source not in ('{GONE}', '{TOUCHED}')) union all select doc_id::varchar, 'no mirror of the manifest' from documents where lang = '{EDITED}' and source not in ('{GONE}', '{TOUCHED}')""")
+def manifest_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest's mirror of which lines are lost, say something else, or are torn."""
+    docs = documents(spark, sf_dir)
+    line = lambda meta: F.to_json(F.struct("document_id", F.struct(meta.alias("source")).alias("metadata")))
+    whole = docs.select(line(F.col("source")).alias("value"))
+    kept = docs.where(F.col("source") != GONE)
+    other = F.when(F.col("source") == TOUCHED, line(F.lit("x"))).when(F.col("lang") == EDITED, F.left(line(F.col("source")), F.lit(20))).otherwise(line(F.col("source")))
+    return index.mirror_problems(whole, kept.select(other.alias("value")))
+
+
+@query(f"""with b as (select vec_id, {_COS} as s from (select * from embeddings order by vec_id limit 1) a, embeddings b),
+r as (select event_id, user_id, event_id % (select count(*) from embeddings) as vec_id from events where event_type <> 'click')
+select user_id, event_id, vec_id, round(s, 6) as score from (select user_id, event_id, r.vec_id, s from r join b using (vec_id) order by s desc, user_id, event_id limit 100)""".replace("select vec_id,", "select b.vec_id,", 1))
+def vector_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest rows to a vector where rows share bodies: with ties, and with bodies that no row needs."""
+    bodies = table(spark, sf_dir, "embeddings")
+    vector, n = bodies.orderBy("vec_id").first()["embedding"], bodies.count()
+    rows = table(spark, sf_dir, "events").where("event_type <> 'click'").select("event_id", "user_id", F.pmod("event_id", F.lit(n)).cast("string").alias("chunk_hash"))
+    out = embedding.late_top_k(bodies.select(F.col("vec_id").cast("string").alias("chunk_hash"), F.col("embedding").alias("vector")), rows, vector, 100, ["user_id", "event_id"])
+    return out.select("user_id", "event_id", F.col("chunk_hash").cast("long").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 _META, _BARE = "'{\"source\":\"' || source || '\"}'", '"metadata":{}'
@@ -396,7 +432,6 @@ def embed_dedupe_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.groupBy("chunk_hash").agg(F.count("*").alias("n")).join(have, "chunk_hash", "left").withColumn("reused", F.coalesce("reused", F.lit(False)))
 
 
-_COS = "list_dot_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])))"
 
 
 @query(f"select vec_id, round(s, 6) as score from (select b.vec_id, {_COS} as s from (select * from embeddings order by vec_id limit 1) a, embeddings b order by s desc, vec_id limit 10)")
@@ -451,8 +486,8 @@ s as (select qw.k as item_id, dw.k as doc_id, sum(qw.w * dw.w) as dot from qw jo
 select * from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from r) where rank <= 5""")
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
-    scores = retrieval.tfidf_scores(q, t).withColumn("score", F.round("score", 6))
+    t = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("text_id"), "text")
+    scores = retrieval.tfidf_top(q, t, 5).withColumn("score", F.round("score", 6))
     return retrieval.ranked(scores, "query_id", ["text_id"]).where("rank <= 5").select(F.col("query_id").alias("item_id"), F.col("text_id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
