@@ -163,9 +163,9 @@ def evaluate(chunks: DataFrame, questions: DataFrame, k: int = 5, scorer: Embedd
     asked = questions.join(texts.select(*group).distinct(), "corpus")
     q = asked.select(*group, F.col("question_id").alias("query_id"), F.col("query").alias("text"))
     scored = tfidf_scores(q, texts, ("strategy", "corpus")) if scorer is None else embedding_scores(q, texts, scorer, ("strategy", "corpus"))
-    passages = questions.select("corpus", F.col("question_id").alias("query_id"), F.posexplode("evidence").alias("nth", "text")).withColumn("passage", F.struct("query_id", "nth"))
-    held = holding(texts.select(F.struct(*group, "text_id").alias("at"), "text"), passages.select("passage", "text"), "at", "passage")
-    held = held.select("at.*", "passage.query_id").join(passages.select("corpus", "query_id").distinct(), ["corpus", "query_id"]).distinct().withColumn("relevant", F.lit(True))
+    passages = questions.select("corpus", F.col("question_id").alias("query_id"), F.posexplode("evidence").alias("nth", "text")).withColumn("pid", F.struct("query_id", "nth"))
+    held = holding(texts.select(F.struct(*group, "text_id").alias("at"), "text"), passages.select("pid", "text"), "at", "pid")
+    held = held.select("at.*", "pid.query_id").join(passages.select("corpus", "query_id").distinct(), ["corpus", "query_id"]).distinct().withColumn("relevant", F.lit(True))
     # Pairs with a score or with evidence; all other chunks score 0, and where those are among the first, the lowest ids are.
     same = [*group, "query_id", "text_id"]
     pairs = written(scored.join(held, same, "full").select(*same, F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("relevant", F.lit(False)).alias("relevant")), "retrieval-scores")
