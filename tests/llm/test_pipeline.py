@@ -33,7 +33,16 @@ def test_every_stage_against_brute_force(spark, steps):
         for i, c in enumerate(groups(list(view))):
             old, new = max(root[i], root[c]), min(root[i], root[c])
             root = [new if x == old else x for x in root]
-    assert {r.doc_id for r in unique} == {ordered[min(i for i, x in enumerate(root) if x == c)].doc_id for c in set(root)} and len(unique) == len(set(root))
+    low = lambda t: "".join(x.lower() if x.isascii() else x for x in t).encode().split()
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := low(r.text)) else set() for r in ordered]
+    stays = set()
+    for c in set(root):  # the first of a group stays, those like it go, the rest are a group again
+        left = [i for i, x in enumerate(root) if x == c]
+        while left:
+            stays.add(left[0])
+            alike = lambda i: len(sets[i] & sets[left[0]]) >= 0.8 * len(sets[i] | sets[left[0]])  # noqa: B023, E731
+            left = [i for i in left[1:] if not alike(i)]
+    assert {r.doc_id for r in unique} == {ordered[i].doc_id for i in stays} and len(unique) == len(stays) < len(ordered)
     grams = lambda t: {tuple(w[i : i + 8]) for w in [t.lower().split()] for i in range(len(w) - 7)}
     bench = [grams(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     leaks = {r.doc_id for r in unique if any(b and len(b & grams(r.text)) >= 0.5 * len(b) for b in bench)}

@@ -6,7 +6,8 @@ the parent) and each of them follows only the edges that its radius allows. A sh
 all pairs; components are found over those. Shards of more than SHARD fingerprints are split into blocks, and every pair of blocks gets a
 tree. Shard trees travel with the shuffle instead of a broadcast: together they hold all fingerprints, which have no size bound.
 
-``keep_one`` looks at several fingerprints of a text, by hash functions of their own, and links where any two lie within RADIUS bits.
+``keep_one`` looks at several fingerprints of a text, by hash functions of their own, and takes those as candidates of which any two lie
+within RADIUS bits; exact comparison of shingles then decides.
 
 Defined results: null text has no shingles and fingerprint zero, which links like any other; null ids never name a component unless it
 has no others (then null); repeated rows are judged each; an empty table gives none.
@@ -14,7 +15,9 @@ has no others (then null); repeated rows are judged each; an empty table gives n
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +25,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, small, sortable
+from .common import BROADCAST_ROWS, fresh, materialize, met, row_key, small, sortable, words
 from .components import components
 
-SHINGLE, RADIUS, HASH_SEED, SHARD, VIEWS = 3, 3, 42, 20_000, 8
+SHINGLE, RADIUS, HASH_SEED, SHARD, VIEWS = 3, 3, 42, 20_000, 16
+CONFIRM_SHINGLE, SIMILARITY, ROUNDS = 5, 0.8, 8
 _CUTS = (0, 13, 26, 39, 52, 64)
 _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)  # bits of each octet
 
@@ -223,17 +227,45 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return with_component(rows, grouped(rows, radius=radius), "doc_id").select("doc_id", F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), F.col("__component").alias("component_id"))
 
 
+def shingle_set(text: Column, width: int = CONFIRM_SHINGLE) -> Column:
+    """The distinct hashes of a text's shingles of ``width`` words, A-Z lower-cased (fewer words: one of all of them; none: empty)."""
+    w = words(F.translate(text, ascii_uppercase, ascii_lowercase))
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1))), lambda k: F.xxhash64(F.array_join(F.slice(w, k, width), " ")))
+    return F.when(F.size(w) == 0, F.array().cast("array<long>")).otherwise(F.array_distinct(each))
+
+
+def confirmed(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+    """(node) of members (node, id, root) that go: in each round the one of the smallest id stays in its group, those whose shingles have at
+    least ``similarity`` in common with its own go, and the rest are a group of their own in the next round. What is left after ``rounds``
+    stays: nothing goes that no exact comparison named."""
+    order, gone, left = F.struct(F.col("id").isNull(), F.col("id"), F.col("node")), [], members
+    for _ in range(rounds):
+        first = left.groupBy("root").agg(F.min_by("node", order).alias("stays"), F.count("*").alias("n")).filter("n > 1")
+        first = first.join(sets.select(F.col("node").alias("stays"), F.col("shingles").alias("theirs")), "stays")
+        pairs = met(left.join(sets, "node"), first, ["root"]).filter("node <> stays")
+        both = F.size(F.array_intersect("shingles", "theirs"))
+        alike = both >= similarity * (F.size("shingles") + F.size("theirs") - both)  # two empty texts are alike
+        judged = materialize(pairs.select("node", "id", "root", alike.alias("alike")), "simhash-judged")
+        gone.append(judged.filter("alike").select("node"))
+        left = judged.filter("not alike").drop("alike")
+        if not left.limit(1).count():
+            break
+    return reduce(DataFrame.unionByName, gone)
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", views: int = VIEWS) -> DataFrame:
     """One row of each group, that of the smallest id, with the columns of ``docs``.
 
-    Rows link if their fingerprints lie within RADIUS bits in any of ``views`` views, as one view alone misses near copies by chance; groups
-    are components over all views. Rows that go are named by a key and the others don't move: by id where ids are unique, else by id and
-    text, and of rows alike in both the first in the order of all columns stays.
+    Rows link if their fingerprints lie within RADIUS bits in any of ``views`` views, as one view alone misses near copies by chance;
+    components over all views are candidates, of which only those go that share CONFIRM_SHINGLE-word shingles by SIMILARITY with the row that
+    stays (``confirmed``). Rows that go are named by 128 bits of id and text and the others don't move; of rows alike in both the first in
+    the order of all columns stays.
     """
-    key = F.xxhash64(F.col(doc_id), F.col(text))
-    narrow = materialize(with_fingerprint(docs.select(key.alias("__key"), F.col(doc_id).alias("__id"), F.col(text).alias("text")), views=views), "simhash-rows")
+    key = row_key(F.col(doc_id), F.col(text))
+    narrow = materialize(with_fingerprint(docs.select(*key, F.col(doc_id).alias("__id"), F.col(text).alias("text")), views=views), "simhash-rows")
     columns = [c for c in narrow.columns if c.startswith("__fp")]
-    one = materialize(narrow.groupBy("__key").agg(F.count("*").alias("__copies"), *(F.first(c).alias(c) for c in ("__id", *columns))), "simhash-keys")
+    one = narrow.groupBy("k1", "k2").agg(F.count("*").alias("__copies"), *(F.first(c).alias(c) for c in ("__id", *columns)))
+    one = materialize(one.withColumn("__key", F.monotonically_increasing_id()), "simhash-keys")
     each = one.select("__key", F.posexplode(F.array(*columns)).alias("view", "fp"))
     per = materialize(each.groupBy("view", "fp").agg(F.min("__key").alias("rep"), F.count("*").alias("n")), "simhash-nodes")
     ends = lambda e, k: e.join(per.select("view", F.col("fp").alias(k), F.col("rep").alias(f"r{k}")), ["view", k])
@@ -242,15 +274,18 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", views:
     equal = with_component(each, materialize(same, "simhash-same"), "__key", "fp", view="view").filter("__key <> __component").select(F.col("__key").alias("a"), F.col("__component").alias("b"))
     found = components(linked.unionByName(equal))
     members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
-    members = materialize(one.select("__key", "__id").join(small(members), F.col("__key") == F.col("node")).select("__key", "__id", "root"), "simhash-members")
-    order = F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), F.col("__key").alias("k"))
-    stay = members.groupBy("root").agg(F.min_by("__key", order).alias("__stays"))
-    gone = members.join(small(materialize(stay, "simhash-stay")), "root").filter("__key <> __stays").select(F.col("__key").alias("__gone"))
-    kept = docs.withColumn("__key", key).join(small(materialize(gone, "simhash-gone")), F.col("__key") == F.col("__gone"), "left_anti")
-    twice = materialize(one.filter("__copies > 1").select(F.col("__key").alias("__twice")), "simhash-twice")
-    if not twice.limit(1).count():
-        return kept.drop("__key")
-    again = F.col("__key") == F.col("__twice")
+    members = materialize(one.select("k1", "k2", F.col("__key").alias("node"), F.col("__id").alias("id"), "__copies").join(small(members), "node"), "simhash-members")
+    texts = met(docs.select(*key, shingle_set(F.col(text)).alias("shingles")), members.select("k1", "k2", "node", F.col("__copies").alias("n")), ["k1", "k2"])
+    sets = materialize(texts.groupBy("node").agg(F.first("shingles").alias("shingles")), "simhash-shingles")
+    left = members.select("node", "id", "root")
+    gone = confirmed(left, sets).join(members.select("node", "k1", "k2"), "node").drop("node")
+    a, b = fresh(docs, "k1"), fresh(docs, "k2")
+    mine = lambda df: small(materialize(df.select(F.col("k1").alias(a), F.col("k2").alias(b)), "simhash-named"))
+    kept = docs.withColumns({a: key[0], b: key[1]}).join(mine(gone), [a, b], "left_anti")
+    repeated = one.filter("__copies > 1")
+    if not repeated.limit(1).count():
+        return kept.select(*docs.columns)
+    twice = mine(repeated)
     every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    first = kept.join(small(twice), again, "left_semi").groupBy("__key").agg(F.min_by(every, F.to_json(F.struct(*sortable(docs)))).alias("__row")).select("__row.*")
-    return kept.join(small(twice), again, "left_anti").drop("__key").unionByName(first)
+    first = kept.join(twice, [a, b], "left_semi").groupBy(a, b).agg(F.min_by(every, F.to_json(F.struct(*sortable(docs)))).alias("__row")).select("__row.*")
+    return kept.join(twice, [a, b], "left_anti").select(*docs.columns).unionByName(first)
