@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.errors import BackendError, VerificationError
+from weftline.errors import BackendError, VerificationError, WeftlineError
 from weftline.functions import hashing, text
 from weftline.operators import chunking, churn, diff, embedding, merkle, retrieval
 from weftline.plans import catalogue, manifest
@@ -300,6 +300,38 @@ def test_cache(spark, tmp_path):
         Cache(spark, f"file://{tmp_path}/copy", readonly=True).put(spark.createDataFrame([row("q", [1.0])], schema))
 
 
+def test_files_that_are_not_chosen_are_not_opened(spark, tmp_path):
+    (tmp_path / "in/[odd] {x}*?").mkdir(parents=True)
+    (tmp_path / "in/[odd] {x}*?/a b.md").write_text("chosen")
+    for name in ("film.mp4", "big.md"):
+        with (tmp_path / "in" / name).open("wb") as f:
+            f.truncate(3 << 30)  # more than a row can hold
+    read = lambda *exclude: [(r.document_id, r.text) for r in read_documents(spark, f"file://{tmp_path}/in", exclude).collect()]
+    assert read("big.md") == [("[odd] {x}*?/a b.md", "chosen")] and read("*.md") == []
+    with pytest.raises(WeftlineError, match="big.md has more than"):
+        read()
+
+
+def test_parts_of_a_cache_stay_few(spark, tmp_path, monkeypatch):
+    from weftline.sources import cache as module
+
+    c = Cache(spark, f"file://{tmp_path}/cache")
+    made = []
+    monkeypatch.setattr(c, "_read", lambda parts, schema: spark.createDataFrame([], schema))
+    monkeypatch.setattr(c, "_part", lambda kind, rows, tier=0: made.append(tier) or f"{kind}-{tier}-{len(made)}")
+    parts: list[str] = []
+    for _ in range(1000):
+        parts = c._tiered("access", [*parts, c._part("access", None)])
+    assert len(parts) <= module.FAN * 4 and max(made) == 3 and len(made) < 1000 * 1.2
+    monkeypatch.undo()
+    monkeypatch.setattr(module, "FAN", 2)
+    for k in range(5):
+        c.put(spark.createDataFrame([(f"k{j}", "m", "p", 1, [float(j)], 1) for j in (k, k + 1)], "chunk_hash string, model_id string, params_hash string, dimensions int, vector array<float>, token_count long"))
+    state = c._state()
+    assert len(state["data"]) <= 3 and len(state["access"]) <= 3 and sorted(r.chunk_hash for r in c.rows().collect()) == [f"k{j}" for j in range(6)]
+    assert c.rows().where("accessed_at > created_at").count() >= 3
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "docs/drafts").mkdir(parents=True)
     (tmp_path / "docs/a.md").write_bytes(b"\xef\xbb\xbfhello \xc3\xa9")

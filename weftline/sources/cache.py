@@ -1,5 +1,9 @@
-"""Embedding cache: one row a (chunk_hash, model_id, params_hash). Parquet parts and a log of accesses, both only ever added to; a commit
-lists the parts that count, so readers see the state before or after a change and a writer that dies changes nothing."""
+"""Embedding cache: one row a (chunk_hash, model_id, params_hash). Parquet parts of data and of accesses in tiers; a commit lists the parts
+that count, so readers see the state before or after a change and a writer that dies changes nothing.
+
+A change adds a part of tier 0. When a tier has FAN parts, the commit that adds the last of them holds one part of the next tier in their
+stead, so after n changes there are about FAN log(n) parts, and a row is written again once a tier. Accesses keep one row a key.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +19,7 @@ from ..tables import CommitLog, file_system, written
 KEY = ["chunk_hash", "model_id", "params_hash"]
 SCHEMA = "chunk_hash string, model_id string, params_hash string, dimensions int, vector array<float>, token_count long, created_at timestamp"
 ACCESS = "chunk_hash string, model_id string, params_hash string, accessed_at timestamp"
-VERSION, IMPORT_BYTES, LINE_BYTES = 1, 512 << 20, 4 << 20
+VERSION, IMPORT_BYTES, LINE_BYTES, FAN = 2, 512 << 20, 4 << 20, 8
 
 
 def stats(rows: DataFrame) -> DataFrame:
@@ -68,11 +72,26 @@ class Cache:
     def _read(self, parts: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{p}" for p in parts)) if parts else self.spark.createDataFrame([], schema)
 
-    def _part(self, kind: str, rows: DataFrame) -> str:
-        name = f"{kind}-{uuid.uuid4().hex}"
+    def _part(self, kind: str, rows: DataFrame, tier: int = 0) -> str:
+        name = f"{kind}-{tier}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{name}")
         return name
 
+    def _tiered(self, kind: str, parts: list[str]) -> list[str]:
+        """The parts, full tiers merged into one part of the next."""
+        tier_of = lambda p: int(p.split("-")[1])
+        tier = 0
+        while tier <= max(map(tier_of, parts), default=-1):
+            full = [p for p in parts if tier_of(p) == tier]
+            if len(full) >= FAN:
+                if kind == "data":
+                    rows = self._read(full, SCHEMA).coalesce(max(1, self.spark.sparkContext.defaultParallelism))  # keys don't repeat over parts
+                else:
+                    rows = self._read(full, ACCESS).groupBy(*KEY).agg(F.max("accessed_at").alias("accessed_at"))
+                parts = [*(p for p in parts if p not in full), self._part(kind, rows, tier + 1)]
+            tier += 1
+        return parts
+
     def _commit(self, change: Callable[[dict], dict | None]) -> None:
         if self.readonly:
             raise BackendError("the cache is read-only")
@@ -99,7 +118,7 @@ class Cache:
     def _touch(self, hits: DataFrame) -> None:
         if hits.limit(1).count():
             part = self._part("access", hits)
-            self._commit(lambda now: now | {"access": [*now["access"], part]})
+            self._commit(lambda now: now | {"access": self._tiered("access", [*now["access"], part])})
 
     def put(self, rows: DataFrame) -> None:
         """Adds rows (KEY, dimensions, vector, token_count), all or none. An invalid row is an error; so is a key with another value than the
@@ -115,10 +134,11 @@ class Cache:
             both = written(one.join(cached.groupBy(*KEY).agg(F.min("old").alias("old")), KEY, "left"), "cache-both")
             if both.where((F.col("lo") != F.col("hi")) | (F.col("old") != F.col("lo"))).limit(1).count():
                 raise BackendError("a key has another value than the one that is cached, or two values")
-            moment = F.current_timestamp()
-            fresh = self._part("data", both.where("old is null").select(*KEY, "lo.dimensions", "lo.vector", "lo.token_count", moment.alias("created_at")))
-            seen = self._part("access", both.where("old is not null").select(*KEY, moment.alias("accessed_at")))
-            return now | {"data": [*now["data"], fresh], "access": [*now["access"], seen]}
+            moment, new = F.current_timestamp(), {}
+            for kind, rows in (("data", both.where("old is null").select(*KEY, "lo.dimensions", "lo.vector", "lo.token_count", moment.alias("created_at"))), ("access", both.where("old is not null").select(*KEY, moment.alias("accessed_at")))):
+                if rows.limit(1).count():
+                    new[kind] = self._tiered(kind, [*now[kind], self._part(kind, rows)])
+            return now | new
 
         if given.limit(1).count():
             self._commit(change)

@@ -17,6 +17,9 @@ from ..tables import file_system
 #: Fixed suffixes of text files.
 SUFFIXES = (".c", ".cc", ".cfg", ".conf", ".cpp", ".css", ".csv", ".go", ".h", ".hpp", ".html", ".ini", ".java", ".js", ".json", ".jsx", ".md", ".mdx", ".php", ".py", ".rb", ".rs", ".rst", ".sh", ".sql", ".tex", ".toml", ".ts", ".tsx", ".txt", ".xml", ".yaml", ".yml")
 
+#: Files of more bytes are not read.
+MOST_BYTES = 512 << 20
+
 
 def _segment(glob: str) -> str:
     """A glob inside one part of a path, as a regular expression of Python and Java."""
@@ -86,21 +89,31 @@ def _inside(path: Column, base: str) -> Column:
     return inside(path)
 
 
-def read_documents(spark: SparkSession, base: str, exclude: tuple[str, ...] = (), suffixes: tuple[str, ...] = SUFFIXES, include: tuple[str, ...] = (), inputs: tuple[str, ...] = (), protect: tuple[str, ...] = ()) -> DataFrame:
-    """document_id (path below ``base``), text, metadata, mtime_ns, size of the text files below ``base``: those among ``inputs`` (files or
-    folders) or, without any, those that a glob of ``include`` fits (all without globs), but for excluded ones and the project's own state
-    (``protect``: paths below the base). Files that lead out of the base by links, that have a NUL byte in the first 8192, that are not
-    UTF-8, or that changed while they were read are errors; a byte-order mark is dropped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_input_paths(spark, base, inputs) or base)
-    own = files.withColumn("document_id", relative_id(spark, F.col("path"), base))
+def chosen_files(spark: SparkSession, base: str, exclude: tuple[str, ...], suffixes: tuple[str, ...], include: tuple[str, ...], inputs: tuple[str, ...], protect: tuple[str, ...]) -> DataFrame:
+    """path, document_id, length and modificationTime of the files that would be read; from the listing alone, no file is opened."""
+    own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_input_paths(spark, base, inputs) or base).select("path", "length", "modificationTime")
+    own = own.withColumn("document_id", relative_id(spark, F.col("path"), base))
     own = own.where(F.lower(F.regexp_extract("document_id", r"(\.[^./]+)$", 1)).isin(*suffixes))
     if include and not inputs:
         own = own.where(_any(F.col("document_id"), [inclusion(g) for g in include]))
     own = own.where(~_any(F.col("document_id"), exclusions(exclude)))
     for p in protect:
         own = own.where((F.col("document_id") != p) & ~F.col("document_id").startswith(p.rstrip("/") + "/"))
-    if inputs:
-        own = own.dropDuplicates(["document_id"])  # a file may be named and lie in a named folder
+    return own.dropDuplicates(["document_id"]) if inputs else own  # a file may be named and lie in a named folder
+
+
+def read_documents(spark: SparkSession, base: str, exclude: tuple[str, ...] = (), suffixes: tuple[str, ...] = SUFFIXES, include: tuple[str, ...] = (), inputs: tuple[str, ...] = (), protect: tuple[str, ...] = (), most_bytes: int = MOST_BYTES) -> DataFrame:
+    """document_id (path below ``base``), text, metadata, mtime_ns, size of the text files below ``base``: those among ``inputs`` (files or
+    folders) or, without any, those that a glob of ``include`` fits (all without globs), but for excluded ones and the project's own state
+    (``protect``: paths below the base). Files that lead out of the base by links, that have a NUL byte in the first 8192, that are not
+    UTF-8, that have more than ``most_bytes``, or that changed while they were read are errors; a byte-order mark is dropped. Files are chosen
+    by their names first; only the chosen ones are opened."""
+    found = chosen_files(spark, base, exclude, suffixes, include, inputs, protect).select("path", "document_id", "length").collect()  # a row a file, as Spark's own list of files is
+    if (large := next((f for f in found if f["length"] > most_bytes), None)) is not None:
+        raise WeftlineError(f"{large['document_id']} has more than {most_bytes} bytes")
+    paths = [re.sub(r"([\\{}\[\]*?])", r"\\\1", f["path"]) for f in found]  # names, not globs
+    files = spark.read.format("binaryFile").load(paths) if paths else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+    own = files.withColumn("document_id", relative_id(spark, F.col("path"), base))
     bad = F.when(F.locate("\0", F.substring("content", 1, 8192).cast("string")) > 0, "not a text file: ").when(F.octet_length("content") != F.col("length"), "the file changed while it was read: ")
     if file_system(spark, base)[0].getScheme() == "file":
         bad = F.when(~_inside(F.col("path"), base), "the file lies outside the base: ").otherwise(bad)
