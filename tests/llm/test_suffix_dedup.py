@@ -40,8 +40,9 @@ def corpus(seed: int) -> list[str | None]:
     return [*out, *out[:5], out[7], out[7], "", None, shared[0], "é" * 30]
 
 
-@pytest.mark.parametrize(("seed", "radius"), [(1, 4), (2, 8), (3, 3)])
-def test_equals_brute_force(spark, seed, radius):
+@pytest.mark.parametrize(("seed", "radius", "hot"), [(1, 4, 2000), (2, 8, 2), (3, 3, 0)])
+def test_equals_brute_force(spark, seed, radius, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     texts = corpus(seed)
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").withColumns({c: F.lit(7) for c in ("k1", "copies", "n", "tid")}).repartition(5)
     got = {r["doc_id"]: r for r in suffix_dedup.without_repeats(docs, width=40, radius=radius).collect()}

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ..tables import Store
 from .common import discard, materialize, met, scratch_path, slices
 
-WIDTH, RADIUS, GRAM, STEP, SLICE = 400, 32, 8, 16, 4 << 20
+WIDTH, RADIUS, GRAM, STEP, SLICE, HOT = 400, 32, 8, 16, 4 << 20, 2000
 _FAR, _MULTIPLIER = 1 << 30, np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,26 +124,26 @@ def _anchored(texts: DataFrame, width: int, radius: int) -> DataFrame:
 
 
 def _candidates(lists: DataFrame, width: int, radius: int) -> DataFrame:
-    """(k1, k2, live) of the texts that may hold a repeat: the numbers of their anchors whose context occurs elsewhere, from 1."""
-    each = lists.select("k1", "k2", "copies", F.posexplode("tokens").alias("k", "t")).select("k1", "k2", "copies", F.col("k") + 1, "t.*").toDF("k1", "k2", "copies", "k", "ctx", "before", "after")
-    twice = each.groupBy("ctx").agg(F.sum("copies").alias("occurrences"), F.count("*").alias("n")).filter("occurrences > 1").select("ctx", "n")
-    live = met(each.drop("copies"), twice, ["ctx"]).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("k", "before", "after"))).alias("live"))  # bounded by the text
-    both = lists.select("k1", "k2", "n", "loose").join(live, ["k1", "k2"], "left").filter("loose or live is not null")
+    """(rid, live) of the rows that may hold a repeat: the numbers of their anchors whose context occurs elsewhere, from 1."""
+    each = lists.select("rid", F.posexplode("tokens").alias("k", "t")).select("rid", (F.col("k") + 1).alias("k"), "t.ctx", "t.before", "t.after")
+    twice = each.groupBy("ctx").agg(F.count("*").alias("n")).filter("n > 1")
+    live = met(each, twice, ["ctx"]).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("k", "before", "after"))).alias("live"))  # bounded by the text
+    both = lists.select("rid", "n", "loose").join(live, "rid", "left").filter("loose or live is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, numbers = [], []
-            for n, loose, live in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
+            for n, loose, live in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 flat = live.values.flatten() if live.is_valid else [np.zeros(0, np.int64)] * 3
                 k, before, after = (np.asarray(x, np.int64) for x in flat)
                 split = np.flatnonzero(np.diff(k) != 1) + 1  # runs of neighbouring anchors
                 firsts, lasts = np.append(0, split)[: len(k)], np.append(split, len(k))[: len(k)] - 1
                 keep.append(loose or (len(k) > 0 and _may_hold(before[firsts], after[lasts], n, width, radius)))
                 numbers.append(k.tolist())
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(numbers, pa.list_(pa.int32()))], names=["k1", "k2", "live"])
+            out = pa.RecordBatch.from_arrays([b.column(0), pa.array(numbers, pa.list_(pa.int32()))], names=["rid", "live"])
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    return both.select("k1", "k2", "n", "loose", "live").mapInArrow(run, "k1 long, k2 long, live array<int>")
+    return both.select("rid", "n", "loose", "live").mapInArrow(run, "rid long, live array<int>")
 
 
 def shard_intervals(tokens: np.ndarray, last: np.ndarray, lead: np.ndarray, depth: np.ndarray) -> np.ndarray:
@@ -203,9 +203,8 @@ def _suffixes(held: DataFrame, width: int, radius: int) -> DataFrame:
     return held.select("tid", "text", "live", "copies").mapInArrow(run, "tid long, k int, unit long, size long, copies long, symbols array<long>")
 
 
-def merged(units: DataFrame) -> DataFrame:
-    """(unit, matched, lead) from (unit, copies, symbols): how many of its symbols another suffix, or another copy, begins with (the first
-    counts for all); lead: whether the unit is the first of its final block, or shares not all of its symbols."""
+def _rounds(units: DataFrame) -> DataFrame:
+    """``merged`` in Spark, an aggregate a round, for contexts with very many intervals."""
     first = F.element_at("symbols", 1)
     live = units.select("unit", "copies", first.alias("block"), F.slice("symbols", 2, 1 << 20).alias("symbols"))
     done, h = [live.filter(F.size("symbols") == 0).select("unit", F.lit(1).alias("matched"), F.lit(True).alias("lead"))], 1
@@ -228,6 +227,69 @@ def merged(units: DataFrame) -> DataFrame:
         live, last, h = read("false", "unit long, copies long, block long, symbols array<long>"), path, h + 1
 
 
+def refined(lead: np.ndarray, symbols: list[np.ndarray], copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(matched, first) of intervals in order of lead: the interleave is refined symbol by symbol until every interval is alone or at its end."""
+    n, sizes = len(lead), np.array([len(x) for x in symbols])
+    starts, flat = np.append(0, np.cumsum(sizes))[:-1], np.concatenate(symbols) if n else np.zeros(0, np.int64)
+    block, live = np.unique(lead, return_inverse=True)[1].astype(np.int64), np.arange(n)
+    matched, first = np.ones(n, np.int64), np.ones(n, bool)
+    for h in range(1, int(sizes.max(initial=0))):
+        live = live[sizes[live] > h]
+        order = live[np.lexsort((live, flat[starts[live] + h], block[live]))]  # stable in each block
+        new = np.append(True, (block[order][1:] != block[order][:-1]) | (flat[starts[order] + h][1:] != flat[starts[order] + h][:-1])) if len(order) else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        together = np.bincount(group, weights=copies[order])[group] > 1 if len(order) else new
+        block[order] = group
+        first[order] = new | ~together
+        live = order[together]
+        matched[live] = h + 1
+    return matched, first
+
+
+def merged(units: DataFrame) -> DataFrame:
+    """(unit, tid, k, matched, lead) from (unit, tid, k, copies, symbols): how many of its symbols another suffix, or another copy, begins
+    with (the first counts for all); lead: whether the unit is the first of its final block, or shares not all of its symbols.
+
+    Shards meet by context: what begins with one context is refined in a task. Contexts of more than HOT intervals are refined by Spark.
+    """
+    units = units.withColumn("context", F.element_at("symbols", 1))
+    hot = units.groupBy("context").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("context", "n")
+    hot = F.broadcast(materialize(hot.select("context"), "repeat-hot"))  # at most one in HOT intervals
+    schema = pa.schema([("unit", pa.int64()), ("tid", pa.int64()), ("k", pa.int32()), ("matched", pa.int32()), ("lead", pa.bool_())])
+
+    def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        lists = t.column("symbols").chunk(0)
+        flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        symbols = np.split(flat[at[0] : at[-1]], (at - at[0])[1:-1])
+        matched, lead = refined(t.column("context").to_numpy(), symbols, t.column("copies").to_numpy())
+        return pa.RecordBatch.from_arrays([*(t.column(c).chunk(0) for c in ("unit", "tid", "k")), pa.array(matched, pa.int32()), pa.array(lead)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            context = b.column(0).to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(context, context[-1], "left"))  # the last context may go on
+            if rows + cut > 100_000 and (cut or held[-1].column(0)[-1].as_py() != context[0]):
+                yield solve([*held, b.slice(0, cut)] if cut else held)
+                held, rows, b = [], 0, b.slice(cut)
+            held.append(b)
+            rows += b.num_rows
+        if held:
+            yield solve(held)
+
+    cold = units.join(hot, "context", "left_anti").select("context", "unit", "tid", "k", "copies", "symbols")
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    done = cold.repartition(parts, "context").sortWithinPartitions("context", "unit").mapInArrow(run, "unit long, tid long, k int, matched int, lead boolean")
+    rest = units.join(hot, "context", "left_semi")
+    if not rest.limit(1).count():
+        return done
+    names = rest.select("unit", "tid", "k")
+    return done.unionByName(_rounds(rest.select("unit", "copies", "symbols")).join(names, "unit").select("unit", "tid", "k", "matched", "lead"))
+
+
 class Judged:
     """The windows of one text: ``sure`` (occur elsewhere), ``open`` (to be checked), and the places of their first and last anchor, or, where
     a window has none, of the first of its smallest hashes."""
@@ -347,20 +409,24 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _digests(held: DataFrame, width: int) -> DataFrame:
-    """(tid, low, copies, digest) of the windows in ``ranges`` of the texts; ranges without copies are of windows that occur elsewhere anyway."""
+    """(tid, low, copies, digest) of the windows in ``ranges`` of the texts; those of ranges without copies, which occur elsewhere anyway, only
+    as digests, each once a slice."""
     schema = pa.schema([("tid", pa.int64()), ("low", pa.int32()), ("copies", pa.int64()), ("digest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1, SLICE):
-            rows = []
+            rows, found = [], set()
             for tid, text, ranges in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 view = memoryview(text.as_buffer())
                 for r in ranges:
-                    rows += [(tid, i, r["copies"], xxhash.xxh3_128_digest(view[i : i + width])) for i in range(r["low"], r["high"])]
-                    if len(rows) > 50_000:
-                        yield _batch(rows, schema)
-                        rows = []
-            yield _batch(rows, schema)
+                    if r["copies"] is None:
+                        found.update(xxhash.xxh3_128_digest(view[i : i + width]) for i in range(r["low"], r["high"]))
+                    else:
+                        rows += [(tid, i, r["copies"], xxhash.xxh3_128_digest(view[i : i + width])) for i in range(r["low"], r["high"])]
+                    if len(rows) + len(found) > 100_000:
+                        yield _batch(rows + [(None, None, None, d) for d in found], schema)
+                        rows, found = [], set()
+            yield _batch(rows + [(None, None, None, d) for d in found], schema)
 
     return held.select("tid", "text", "ranges").mapInArrow(run, "tid long, low int, copies long, digest binary")
 
@@ -402,18 +468,21 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
 def repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """(k1, k2, n, n_removed, n_spans, kept) of every distinct text that loses something; n: its rows."""
     texts = keyed(docs.select(text), text).select("k1", "k2", F.col("__octets").alias("text")).filter(F.octet_length("text") >= width)
-    lists = _anchored(texts, width, radius).groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("loose").alias("loose"), F.first("tokens").alias("tokens"))
-    lists = materialize(lists, "repeat-anchors")
-    wanted = _candidates(lists, width, radius).join(lists.select("k1", "k2", "copies"), ["k1", "k2"])
+    lists = materialize(_anchored(texts, width, radius).withColumn("rid", F.monotonically_increasing_id()), "repeat-anchors")
+    names = lists.select("rid", "k1", "k2")
+    copies = names.groupBy("k1", "k2").agg(F.count("*").alias("copies"))
+    wanted = _candidates(lists, width, radius).join(names, "rid").groupBy("k1", "k2").agg(F.first("live").alias("live")).join(copies, ["k1", "k2"])
     rows = met(texts, wanted.withColumn("n", F.col("copies")), ["k1", "k2"])
     held = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("live").alias("live"), F.first("copies").alias("copies"))
     held = materialize(held.withColumn("tid", F.monotonically_increasing_id()), "repeat-texts", compression="zstd")
     discard(lists)
     suffixes = materialize(_suffixes(held, width, radius), "repeat-suffixes")
     heads = suffixes.filter("symbols is not null")
-    ended = merged(heads.select("unit", "copies", "symbols")).join(heads.select("unit", F.col("size").alias("n")), "unit")
-    first = F.col("lead") & F.col("symbols").isNotNull()
-    marks = met(suffixes.select("tid", "k", "unit", "symbols"), ended, ["unit"]).groupBy("tid").agg(F.collect_list(F.struct("k", "matched", first.alias("lead"))).alias("marks"))
+    ended = materialize(merged(heads.select("unit", "tid", "k", "copies", "symbols")), "repeat-merged")
+    others = suffixes.filter("symbols is null").select("tid", "k", "unit")  # further rows of their shard's intervals
+    again = met(others, ended.join(heads.filter("size > 1").select("unit", F.col("size").alias("n")), "unit").select("unit", "matched", "n"), ["unit"])
+    every = ended.select("tid", "k", "matched", "lead").unionByName(again.select("tid", "k", "matched", F.lit(False).alias("lead")))
+    marks = every.groupBy("tid").agg(F.collect_list(F.struct("k", "matched", "lead")).alias("marks"))
     marked = materialize(held.drop("live").join(marks, "tid", "left"), "repeat-marked", compression="zstd")
     discard(held, suffixes)
     pieces = materialize(_open_pieces(marked, width, radius), "repeat-pieces")
