@@ -66,6 +66,31 @@ def test_a_migration_that_stopped_early_goes_back(spark, tmp_path):
         p.rollback()
 
 
+def test_a_splitter_of_one_s_own(spark, tmp_path, monkeypatch):
+    class Piece:
+        def __init__(self, text):
+            self.page_content = text
+
+    lines = chunking.Own("lines", lambda t: [Piece(x) for x in t.split("\n")])
+    monkeypatch.setattr(chunking, "OWN", {})
+    chunking.register("lines", lambda: lines)
+    Project.init(spark, tmp_path)
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/a.md").write_text("one line\n\nanother  line here\nand one line")
+    p = Project(spark, tmp_path)
+    p.apply()
+    assert p.migrate(strategy="lines", apply=True, allow_deletes=True)["recovered"] == "forward"
+    got = sorted((r.position, r.text, r.start_offset, r.end_offset) for r in p.index.active().collect())
+    assert got == [(0, "one line", 0, 8), (1, "another line here", 10, 28), (2, "and one line", 29, 41)] and p.verify() is None
+    assert {r.chunker_id for r in p.index.documents().collect()} == {"lines"} and Project(spark, tmp_path).config.chunker.build() == lines
+    assert chunking.Own("lines", str.split, "2").params_hash != lines.params_hash
+    with pytest.raises(ValueError, match="does not hold"):
+        chunking.split("some text", chunking.Own("bad", lambda t: ["other"]))
+    for wrong in ("fixed", "lines"):
+        with pytest.raises(ConfigError):
+            chunking.register(wrong, lambda: lines)
+
+
 def test_rollback(spark, tmp_path, monkeypatch):
     Project.init(spark, tmp_path)
     (tmp_path / "docs").mkdir()
