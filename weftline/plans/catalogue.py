@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
@@ -506,9 +506,9 @@ def churn_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"reembed_fraction": F.round("reembed_fraction", 9), "estimated_cost": F.round("estimated_cost", 12)})
 
 
-def _edit(name: str, sql: str | None = None) -> None:
+def _edit(name: str, sql: str | None = None, derived: Callable[[], Column] = lambda: F.col("text")) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = churn.edited(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), name)
+        out = churn.edited(spread(table(spark, sf_dir, "documents")).select("doc_id", derived().alias("text")), name)
         return out.select("doc_id", F.md5("text").alias("digest"))
 
     key = f"edit_{name.replace('-', '_')}"
@@ -531,8 +531,10 @@ _SECOND = _HEAD.replace("(text,", "(rest,")
 _edit("delete-sentence", rf"""with a as (select doc_id, text, {_FIRST} as one from documents), b as (select *, substr(text, length(one) + 1) as rest from a), c as (select *, case when {_SECOND} <> '' then {_SECOND} else regexp_replace(rest, '\s+$', '') end as two from b),
 d as (select *, regexp_replace(regexp_replace(substr(rest, length(two) + 1), '^\s+', ''), '\s+$', '') as tail from c)
 select doc_id, md5(case when regexp_matches(rest, '\S') then regexp_replace(one, '\s+$', '') || case when tail <> '' then ' ' || tail else '' end || case when text like '%' || chr(10) then chr(10) else '' end else text end) as digest from d""")
-_edit("delete-paragraph", _md5("text", "true"))  # one paragraph: the edit is not allowed
-_edit("reorder-sections", _md5("text", "true"))
+# The tables' texts are one paragraph without headings, so these two edits work on texts that are made of them.
+_SECOND_ONE = "'Second paragraph of ' || doc_id || '.'"
+_edit("delete-paragraph", rf"select doc_id, md5(case when {_SOLID} then regexp_replace({_PLAIN}, '^\s+', '') || {_NL} || 'Third.' else {_SECOND_ONE} end) as digest from documents", lambda: F.concat("text", F.lit("\n\nSecond paragraph of "), "doc_id", F.lit(".\n\nThird.")))
+_edit("reorder-sections", rf"select doc_id, md5('# Title' || {_NL} || '## Two' || {_NL} || 'Body of ' || doc_id || '.' || {_NL} || regexp_replace('## One' || {_NL} || replace(text, '#', ''), '\s+$', '') || {_NL}) as digest from documents", lambda: F.concat(F.lit("# Title\n\n## One\n\n"), F.replace("text", F.lit("#"), F.lit("")), F.lit("\n\n## Two\n\nBody of "), "doc_id", F.lit(".\n")))
 _AT = "length(text) // 3 + length(regexp_extract(substr(text, length(text) // 3 + 1), '^[^A-Za-z]*'))"
 _SPOT = f"case when {_AT} < length(text) then {_AT} else length(regexp_extract(text, '^[^A-Za-z]*')) end"
 _edit("replace-same-length", f"with p as (select doc_id, text, {_SPOT} as k from documents) select doc_id, md5(case when regexp_matches(text, '[A-Za-z]') then substr(text, 1, k) || case substr(text, k + 1, 1) when 'z' then 'a' when 'Z' then 'A' else chr(ascii(substr(text, k + 1, 1)) + 1) end || substr(text, k + 2) else text end) as digest from p")
