@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
-from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, fresh, materialize, met, row_key, small, sortable, words
+from .common import BROADCAST_ROWS, fresh, materialize, met, row_key, small, sortable
 from .components import components
 
 SHINGLE, RADIUS, HASH_SEED, SHARD, VIEWS = 3, 3, 42, 20_000, 16
@@ -227,11 +226,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return with_component(rows, grouped(rows, radius=radius), "doc_id").select("doc_id", F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), F.col("__component").alias("component_id"))
 
 
-def shingle_set(text: Column, width: int = CONFIRM_SHINGLE) -> Column:
-    """The distinct hashes of a text's shingles of ``width`` words, A-Z lower-cased (fewer words: one of all of them; none: empty)."""
-    w = words(F.translate(text, ascii_uppercase, ascii_lowercase))
-    each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1))), lambda k: F.xxhash64(F.array_join(F.slice(w, k, width), " ")))
-    return F.when(F.size(w) == 0, F.array().cast("array<long>")).otherwise(F.array_distinct(each))
+def with_shingles(rows: DataFrame, text: str = "text", width: int = CONFIRM_SHINGLE) -> DataFrame:
+    """(node, shingles): the distinct hashes of a text's shingles of ``width`` words, A-Z lower-cased (fewer words: one of all of them; none:
+    empty)."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            found = [_shingle_hashes(t.as_py(), width) for t in b.column(1)]
+            lists = [np.zeros(0, np.int64) if h is None else np.unique(h).view(np.int64) for h in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return rows.select("node", text).mapInArrow(run, "node long, shingles array<long>")
 
 
 def confirmed(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
@@ -275,8 +280,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", views:
     found = components(linked.unionByName(equal))
     members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     members = materialize(one.select("k1", "k2", F.col("__key").alias("node"), F.col("__id").alias("id"), "__copies").join(small(members), "node"), "simhash-members")
-    texts = met(docs.select(*key, shingle_set(F.col(text)).alias("shingles")), members.select("k1", "k2", "node", F.col("__copies").alias("n")), ["k1", "k2"])
-    sets = materialize(texts.groupBy("node").agg(F.first("shingles").alias("shingles")), "simhash-shingles")
+    texts = met(docs.select(*key, F.col(text).alias("text")), members.select("k1", "k2", "node", F.col("__copies").alias("n")), ["k1", "k2"])
+    sets = materialize(with_shingles(texts.groupBy("node").agg(F.first("text").alias("text"))), "simhash-shingles")
     left = members.select("node", "id", "root")
     gone = confirmed(left, sets).join(members.select("node", "k1", "k2"), "node").drop("node")
     a, b = fresh(docs, "k1"), fresh(docs, "k2")
