@@ -29,7 +29,7 @@ def test_every_stage_against_brute_force(spark, steps):
     assert {r.doc_id for r in good} == {r[0] for r in con.sql(f"select doc_id from ({quality.sql()}) where kept").fetchall()}
     ordered = sorted(good, key=lambda r: r.doc_id)
     root = list(range(len(ordered)))  # groups over all views
-    for view in zip(*(simhash.fingerprints(r.text) for r in ordered)):
+    for view in zip(*(simhash.fingerprints(r.text, simhash.CANDIDATE_SHINGLE) for r in ordered)):
         for i, c in enumerate(groups(list(view))):
             old, new = max(root[i], root[c]), min(root[i], root[c])
             root = [new if x == old else x for x in root]

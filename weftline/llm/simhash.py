@@ -29,6 +29,7 @@ from .components import components
 
 SHINGLE, RADIUS, HASH_SEED, SHARD, VIEWS = 3, 3, 42, 20_000, 16
 CONFIRM_SHINGLE, SIMILARITY, ROUNDS = 5, 0.8, 8
+CANDIDATE_SHINGLE, HOT_SETS = 2, 100  # words a shingle of the views; how many groups' sets of shingles are broadcast at most
 _CUTS = (0, 13, 26, 39, 52, 64)
 _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)  # bits of each octet
 
@@ -70,7 +71,7 @@ def _mixed(h: np.ndarray, view: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def with_fingerprint(df: DataFrame, text: str = "text", keep: list[str] | None = None, views: int = 1) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str = "text", keep: list[str] | None = None, views: int = 1, width: int = SHINGLE) -> DataFrame:
     """The columns ``keep`` and __fp (long: the fingerprint's 64 bits), then __fp1, __fp2 and so on for further views."""
     keep = keep or [c for c in df.columns if c != text]
     names = ["__fp", *(f"__fp{v}" for v in range(1, views))]
@@ -81,7 +82,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", keep: list[str] | None =
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
             texts = b.column(b.schema.get_field_index("__text"))
-            fps = np.array([fingerprints(t.as_py(), SHINGLE, views) for t in texts], np.uint64).reshape(-1, views).astype(np.int64)
+            fps = np.array([fingerprints(t.as_py(), width, views) for t in texts], np.uint64).reshape(-1, views).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *(pa.array(np.ascontiguousarray(fps[:, v])) for v in range(views))], names=[*keep, *names])
 
     return df.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("__text")).mapInArrow(run, schema)
@@ -247,7 +248,7 @@ def confirmed(members: DataFrame, sets: DataFrame, similarity: float = SIMILARIT
     for _ in range(rounds):
         first = left.groupBy("root").agg(F.min_by("node", order).alias("stays"), F.count("*").alias("n")).filter("n > 1")
         first = first.join(sets.select(F.col("node").alias("stays"), F.col("shingles").alias("theirs")), "stays")
-        pairs = met(left.join(sets, "node"), first, ["root"]).filter("node <> stays")
+        pairs = met(left.join(sets, "node"), first, ["root"], most=HOT_SETS).filter("node <> stays")
         both = F.size(F.array_intersect("shingles", "theirs"))
         alike = both >= similarity * (F.size("shingles") + F.size("theirs") - both)  # two empty texts are alike
         judged = materialize(pairs.select("node", "id", "root", alike.alias("alike")), "simhash-judged")
@@ -261,13 +262,14 @@ def confirmed(members: DataFrame, sets: DataFrame, similarity: float = SIMILARIT
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", views: int = VIEWS) -> DataFrame:
     """One row of each group, that of the smallest id, with the columns of ``docs``.
 
-    Rows link if their fingerprints lie within RADIUS bits in any of ``views`` views, as one view alone misses near copies by chance;
+    Rows link if their fingerprints, of CANDIDATE_SHINGLE words, lie within RADIUS bits in any of ``views`` views, as one view alone, or longer
+    shingles, miss near copies;
     components over all views are candidates, of which only those go that share CONFIRM_SHINGLE-word shingles by SIMILARITY with the row that
     stays (``confirmed``). Rows that go are named by 128 bits of id and text and the others don't move; of rows alike in both the first in
     the order of all columns stays.
     """
     key = row_key(F.col(doc_id), F.col(text))
-    narrow = materialize(with_fingerprint(docs.select(*key, F.col(doc_id).alias("__id"), F.col(text).alias("text")), views=views), "simhash-rows")
+    narrow = materialize(with_fingerprint(docs.select(*key, F.col(doc_id).alias("__id"), F.col(text).alias("text")), views=views, width=CANDIDATE_SHINGLE), "simhash-rows")
     columns = [c for c in narrow.columns if c.startswith("__fp")]
     one = narrow.groupBy("k1", "k2").agg(F.count("*").alias("__copies"), *(F.first(c).alias(c) for c in ("__id", *columns)))
     one = materialize(one.withColumn("__key", F.monotonically_increasing_id()), "simhash-keys")
