@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from weftline.llm import simhash
@@ -98,3 +99,25 @@ def test_groups_nulls_repeats_and_empty(spark):
     unique = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     assert sorted(r.doc_id for r in simhash.keep_one(unique).collect()) == [3, 4, 5, 8]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 8])
+def test_confirmation_is_complete_whatever_the_rounds(spark, rounds):
+    rng = random.Random(5)
+    kinds = [frozenset(rng.sample(range(1, 400), 20)) for _ in range(12)] + [frozenset()]
+    nodes = []
+    for n in range(160):
+        base = kinds[rng.randrange(13)]
+        nodes.append((n, rng.choice([None, rng.randrange(90)]), n % 2, sorted({*list(base)[rng.randrange(3) if base else 0 :], *rng.sample(range(400, 500), rng.randrange(2) if base else 0)})))
+    members = spark.createDataFrame([x[:3] for x in nodes], "node long, id long, root long")
+    sets = spark.createDataFrame([(x[0], x[3]) for x in nodes], "node long, shingles array<long>")
+    want = set()
+    for root in (0, 1):
+        left = sorted((x for x in nodes if x[2] == root), key=lambda x: (x[1] is None, x[1] or 0, x[0]))
+        while left:
+            a = set(left[0][3])
+            go = [x for x in left[1:] if len(a & set(x[3])) * 10 >= len(a | set(x[3])) * 8]
+            want |= {x[0] for x in go}
+            left = [x for x in left[1:] if x not in go]
+    got = [r.node for r in simhash.confirmed(members, sets, rounds=rounds).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 40

@@ -240,22 +240,53 @@ def with_shingles(rows: DataFrame, text: str = "text", width: int = CONFIRM_SHIN
     return rows.select("node", text).mapInArrow(run, "node long, shingles array<long>")
 
 
+def _alike(similarity: float, a: str = "shingles", b: str = "theirs") -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return both >= similarity * (F.size(a) + F.size(b) - both)  # two empty texts are alike
+
+
+def _order() -> Column:
+    return F.struct(F.col("id").isNull(), F.col("id"), F.col("node"))
+
+
+def rest(left: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> list[DataFrame]:
+    """Tables (node) of what goes by the rule of ``confirmed``, from all pairs that are alike in place of one leader a round: of equal sets the
+    first stays in the running, and sets that are alike share one of the first shingles that size allows to differ, rarest first. A row
+    stays once no row before it that is alike is left."""
+    own = left.join(sets, "node").select("node", "root", "shingles", _order().alias("o"), *row_key(F.col("shingles")))
+    own = materialize(own.join(own.groupBy("root", "k1", "k2").agg(F.min("o").alias("least")), ["root", "k1", "k2"]), "simhash-left")
+    one = own.filter("o = least")
+    each = one.select("root", "node", "o", F.explode(F.when(F.size("shingles") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("shingles"))).alias("s"))
+    ranked = each.join(each.groupBy("root", "s").agg(F.count("*").alias("n")), ["root", "s"]).groupBy("root", "node", "o").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("r"))
+    some = ranked.select("root", "node", "o", F.explode(F.expr(f"slice(r, 1, int(floor({1 - similarity} * size(r) + 1e-9)) + 1)")).alias("r")).filter("r.n > 1").select("root", "node", "o", "r.s")
+    some = materialize(some, "simhash-prefixes")
+    pairs = some.alias("x").join(some.alias("y"), ["root", "s"]).filter("x.o < y.o").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    with_sets = pairs.join(one.select(F.col("node").alias("a"), "shingles"), "a").join(one.select(F.col("node").alias("b"), F.col("shingles").alias("theirs")), "b")
+    edges, gone = materialize(with_sets.filter(_alike(similarity)).select("a", "b"), "simhash-alike"), [own.filter("o > least").select("node")]
+    while edges.limit(1).count():
+        stay = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        go = materialize(edges.join(stay, "a", "left_semi").select("b").distinct(), "simhash-go")
+        gone.append(go.select(F.col("b").alias("node")))
+        edges = materialize(edges.join(go, "b", "left_anti").join(go.select(F.col("b").alias("a")), "a", "left_anti"), "simhash-alike")
+    return gone
+
+
 def confirmed(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """(node) of members (node, id, root) that go: in each round the one of the smallest id stays in its group, those whose shingles have at
-    least ``similarity`` in common with its own go, and the rest are a group of their own in the next round. What is left after ``rounds``
-    stays: nothing goes that no exact comparison named."""
-    order, gone, left = F.struct(F.col("id").isNull(), F.col("id"), F.col("node")), [], members
+    least ``similarity`` in common with its own go, and the rest are a group of their own in the next round. Groups of more kinds of texts
+    than ``rounds`` end by the same rule over pairs (``rest``)."""
+    gone, left = [], members
     for _ in range(rounds):
-        first = left.groupBy("root").agg(F.min_by("node", order).alias("stays"), F.count("*").alias("n")).filter("n > 1")
+        first = left.groupBy("root").agg(F.min_by("node", _order()).alias("stays"), F.count("*").alias("n")).filter("n > 1")
         first = first.join(sets.select(F.col("node").alias("stays"), F.col("shingles").alias("theirs")), "stays")
         pairs = met(left.join(sets, "node"), first, ["root"], most=HOT_SETS).filter("node <> stays")
-        both = F.size(F.array_intersect("shingles", "theirs"))
-        alike = both >= similarity * (F.size("shingles") + F.size("theirs") - both)  # two empty texts are alike
-        judged = materialize(pairs.select("node", "id", "root", alike.alias("alike")), "simhash-judged")
+        judged = materialize(pairs.select("node", "id", "root", _alike(similarity).alias("alike")), "simhash-judged")
         gone.append(judged.filter("alike").select("node"))
         left = judged.filter("not alike").drop("alike")
         if not left.limit(1).count():
             break
+    else:
+        gone += rest(left, sets, similarity)
     return reduce(DataFrame.unionByName, gone)
 
 
