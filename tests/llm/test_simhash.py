@@ -121,3 +121,12 @@ def test_confirmation_is_complete_whatever_the_rounds(spark, rounds):
             left = [x for x in left[1:] if x not in go]
     got = [r.node for r in simhash.confirmed(members, sets, rounds=rounds).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
+
+
+def test_views_at_once_are_the_views_one_by_one():
+    rng = random.Random(8)
+    for n in (0, 1, 2, 7, 255, 256, 257, 300, 4097, 9000):
+        text = " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+        hashes = simhash._shingle_hashes(text, 2)
+        want = [0] * 5 if hashes is None else [simhash._majority(simhash._mixed(hashes, v) if v else hashes) for v in range(5)]
+        assert simhash.fingerprints(text, 2, 5) == want and simhash.fingerprints(text, 2, 1) == want[:1]

@@ -30,6 +30,7 @@ from .components import components
 SHINGLE, RADIUS, HASH_SEED, SHARD, VIEWS = 3, 3, 42, 20_000, 16
 CONFIRM_SHINGLE, SIMILARITY, ROUNDS = 5, 0.8, 8
 CANDIDATE_SHINGLE, HOT_SETS = 2, 100  # words a shingle of the views; how many groups' sets of shingles are broadcast at most
+_BLOCK = 255  # hashes of a text whose bits are counted in octets at once
 _CUTS = (0, 13, 26, 39, 52, 64)
 _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)  # bits of each octet
 
@@ -62,11 +63,25 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 def fingerprints(text: str | None, width: int = SHINGLE, views: int = VIEWS) -> list[int]:
     """The fingerprint and those under further hash functions, each a mix of the first's hashes."""
     hashes = _shingle_hashes(text, width)
-    return [0] * views if hashes is None else [_majority(_mixed(hashes, v) if v else hashes) for v in range(views)]
+    if hashes is None:
+        return [0] * views
+    return _majorities(hashes, views) if views > 1 else [_majority(hashes)]
 
 
-def _mixed(h: np.ndarray, view: int) -> np.ndarray:
-    h = (h ^ np.uint64(view * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+def _majorities(hashes: np.ndarray, views: int) -> list[int]:
+    """``_majority`` in every view. Bits of _BLOCK hashes are octets of 0 or 1, which are added eight at a time and can't overflow."""
+    ones = np.zeros(64 * views, np.int64)
+    for lo in range(0, len(hashes), _BLOCK):
+        part = hashes[lo : lo + _BLOCK]
+        mixed = _mixed(part[:, None], np.arange(views))
+        mixed[:, 0] = part
+        bits = np.unpackbits(mixed.astype("<u8").view(np.uint8).ravel(), bitorder="little").reshape(len(part), 64 * views)
+        ones += bits.view(np.uint64).sum(0, np.uint64).view(np.uint8)
+    return np.packbits(2 * ones.reshape(views, 64) > len(hashes), axis=1, bitorder="little").view("<u8").ravel().tolist()
+
+
+def _mixed(h: np.ndarray, view: int | np.ndarray) -> np.ndarray:
+    h = (h ^ (np.atleast_1d(np.asarray(view, np.uint64)) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
