@@ -324,7 +324,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", views:
     ends = lambda e, k: e.join(per.select("view", F.col("fp").alias(k), F.col("rep").alias(f"r{k}")), ["view", k])
     linked = ends(ends(links(per, view="view"), "a"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     same = per.filter("n > 1").select(F.col("view").alias("__nview"), F.col("fp").alias("__nfp"), F.col("n").alias("__n"), F.col("rep").alias("__component"))
-    equal = with_component(each, materialize(same, "simhash-same"), "__key", "fp", view="view").filter("__key <> __component").select(F.col("__key").alias("a"), F.col("__component").alias("b"))
+    equal = with_component(each, materialize(same, "simhash-same"), "__key", "fp", view="view").filter("__key <> __component")
+    stars = equal.groupBy("__key").agg(F.array_sort(F.collect_set("__component")).alias("reps"))  # at most one a view
+    equal = stars.select(F.explode(F.concat(F.array("__key"), F.slice("reps", 2, views))).alias("a"), F.col("reps")[0].alias("b")).distinct()
     found = components(linked.unionByName(equal))
     members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     members = materialize(one.select("k1", "k2", F.col("__key").alias("node"), F.col("__id").alias("id"), "__copies").join(small(members), "node"), "simhash-members")
