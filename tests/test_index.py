@@ -423,6 +423,15 @@ def test_churn_grid_has_every_strategy_and_edit(spark, tmp_path):
         assert r.reembed_fraction == pytest.approx((new - old).total() / new.total())
 
 
+def test_churn_grid_writes_no_texts(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, f"One {i} is here. Two words follow it.", "s", "en") for i in range(5)], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, real = [], churn.written
+    for module in (catalogue, churn):
+        monkeypatch.setattr(module, "written", lambda df, name: seen.append((df.columns, df.count())) or real(df, name))
+    assert catalogue.churn_grid(spark, str(tmp_path)).count() == 45
+    assert seen and not any({"text", "chunk_hash"} & set(columns) or n > 50 for columns, n in seen)
+
+
 CORPORA = [
     ("guide", "a.md", "# Field guide\n\nOwls hunt at night. They fly without a sound! Can you hear owls?\n\n## Food\n\nOwls eat mice and voles. A pellet tells what an owl ate.\n\n## Nests\n\nMost owls nest in hollow trees. Some owls take old nests.\n"),
     ("guide", "b.md", "A short note on herons."),

@@ -6,15 +6,20 @@ import hashlib
 import itertools
 import re
 import string
-from collections.abc import Callable, Iterable
+from collections import Counter
+from collections.abc import Callable, Iterable, Mapping
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import wire
+from ..functions.text import Stream, normalize
 from ..tables import written
+from .chunking import Chunker, Cut
 
 #: Fixed texts of the synthetic edits.
 SENTENCE = "The calibrated inspection marker was recorded for this benchmark."
@@ -160,6 +165,91 @@ def bag_churn(old: DataFrame, new: DataFrame, price_per_million: float | None =
     return out.withColumns({"reembed_fraction": F.when(F.col("new_chunks") > 0, F.col("to_embed") / F.col("new_chunks")).otherwise(0.0), "estimated_cost": F.col("tokens_to_embed") * rate})
 
 
+def _leading(a: list, b: list, block: int = 256) -> int:
+    """How many leading elements two lists share."""
+    n = min(len(a), len(b))
+    lo = next((k for k in range(0, n, block) if a[k : k + block] != b[k : k + block]), n)
+    return next((k for k in range(lo, min(n, lo + block)) if a[k] != b[k]), min(n, lo + block))
+
+
+def shared_ends(a: Stream, b: Stream) -> tuple[int, int]:
+    """How many words at the start, and then at the end, two streams share, with the paragraphs that begin at them."""
+    n = min(len(a), len(b))
+    first = min(_leading(a.words, b.words), _leading(a.paragraph.tolist(), b.paragraph.tolist()))
+    last = min(_leading(a.words[::-1], b.words[::-1]), _leading(a.paragraph[::-1].tolist(), b.paragraph[::-1].tolist()))
+    return first, min(last, n - first)
+
+
+def changed_bodies(old: Stream, old_cuts: list[Cut], new: Stream, new_cuts: list[Cut], ends: tuple[int, int]) -> dict[str, tuple[int, int]]:
+    """Text to (more occurrences than before, tokens) of the chunks that an edit makes or takes away. Chunks inside the words that both
+    versions share (``ends``) are compared by place, so only others are put together."""
+    first, last = ends
+
+    def places(stream: Stream, cuts: list[Cut]) -> Counter:
+        n = len(stream)
+        return Counter((0, a, b) if b <= first else (1, a - n, b - n) if a >= n - last else (2, a, b) for a, b, *_ in cuts if b > a)
+
+    was, now = places(old, old_cuts), places(new, new_cuts)
+    out: dict[str, tuple[int, int]] = {}
+    for stream, mine, other, sign in ((old, was, now, -1), (new, now, was, 1)):
+        for (kind, a, b), count in mine.items():
+            more = count if kind == 2 else count - other[kind, a, b]
+            if more > 0:
+                lo, hi = (a + len(stream), b + len(stream)) if kind == 1 else (a, b)
+                body = stream.slice(lo, hi)
+                out[body] = (out.get(body, (0, 0))[0] + sign * more, stream.tokens(lo, hi))
+    return {body: found for body, found in out.items() if found[0]}
+
+
+def grid(docs: DataFrame, strategies: Mapping[str, Chunker], operations: tuple[str, ...] = tuple(EDITS), text: str = "text") -> DataFrame:
+    """``bag_churn`` by (strategy, operation) where each edit is made in every document: of every cell whose strategy makes chunks.
+
+    A document is normalised once a version, and each strategy cuts it in place; only chunks that an edit makes or takes away leave the task,
+    as 128 bits of their text. What an edit leaves in a document is on both sides of the bag, so the sums over these differences are
+    those over all chunks."""
+    names = list(strategies)
+
+    def differences(t: str) -> Iterable[tuple[int, int, bytes, int, int]]:
+        old = normalize(t)
+        before = [strategies[s].cuts(old) for s in names]
+        for k, cuts in enumerate(before):
+            if n := sum(c[1] > c[0] for c in cuts):
+                yield k, -1, bytes(16), n, 0
+        digests: dict[str, bytes] = {}
+        for o, operation in enumerate(operations):
+            try:
+                revised = EDITS[operation](t) if t else t
+            except ValueError:
+                continue
+            if revised == t:
+                continue
+            new = normalize(revised)
+            ends = shared_ends(old, new)
+            for k, s in enumerate(names):
+                for body, (more, tokens) in changed_bodies(old, before[k], new, strategies[s].cuts(new), ends).items():
+                    if body not in digests:
+                        digests[body] = hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                    yield k, o, digests[body], more, tokens
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            found = (x for t in b.column(0) for x in differences(t.as_py() or ""))
+            while rows := list(itertools.islice(found, 5000)):
+                k, o, digest, more, tokens = zip(*rows, strict=True)
+                keys = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(o, pa.int32()), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(more, pa.int64()), pa.array(tokens, pa.int64())], names=["s", "o", "k1", "k2", "more", "tokens"])
+
+    cut = docs.select(text).mapInArrow(run, "s int, o int, k1 long, k2 long, more long, tokens long")
+    each = cut.groupBy("s", "o", "k1", "k2").agg(F.sum("more").alias("more"), F.min("tokens").alias("tokens"))
+    up, down = F.greatest("more", F.lit(0).cast("long")), F.greatest(-F.col("more"), F.lit(0).cast("long"))
+    cells = written(each.groupBy("s", "o").agg(F.sum("more").alias("more"), F.sum(up).alias("to_embed"), F.sum(down).alias("removed"), F.sum(up * F.col("tokens")).alias("tokens_to_embed")), "churn-cells")
+    every = cells.where("o < 0").select("s", F.col("more").alias("old_chunks"), F.explode(F.array(*(F.lit(o) for o in range(len(operations))))).alias("o"))  # a row a cell
+    out = every.join(F.broadcast(cells.where("o >= 0")), ["s", "o"], "left").fillna(0, ["more", "to_embed", "removed", "tokens_to_embed"])
+    named = lambda values, at: F.element_at(F.array(*map(F.lit, values)), F.col(at) + 1)
+    out = out.withColumn("new_chunks", F.col("old_chunks") + F.col("more")).select(named(names, "s").alias("strategy"), named(operations, "o").alias("operation"), "old_chunks", "new_chunks", (F.col("old_chunks") - F.col("removed")).alias("reused"), "removed", "to_embed", "tokens_to_embed")
+    return out.withColumn("reembed_fraction", F.when(F.col("new_chunks") > 0, F.col("to_embed") / F.col("new_chunks")).otherwise(0.0))
+
+
 def edit_cases(docs: DataFrame, corpus: str = "corpus") -> DataFrame:
     """(corpus, operation, document_id, original, revised): all edits of one document a corpus, the longest that allows every one of them,
     of two as long the one with the lower id. ``docs``: corpus, document_id, text. A corpus without such a document is an error."""

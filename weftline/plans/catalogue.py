@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -551,9 +550,5 @@ def churn_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strategies by edits over all documents: chunks made new, their share and tokens."""
     docs, by = documents(spark, sf_dir).select("document_id", "text"), ("strategy", "operation")
     cells = spark.createDataFrame([(s, e) for s in STRATEGIES for e in churn.EDITS], "strategy string, operation string")
-    cut = lambda d, s: chunking.chunk_documents(d, STRATEGIES[s]).select(F.lit(s).alias("strategy"), "chunk_hash", "token_count")
-    old = written(reduce(DataFrame.unionByName, (cut(docs, s) for s in STRATEGIES)), "churn").join(F.broadcast(cells), "strategy")
-    changed = {e: written(churn.edited(docs, e), "churn-edit") for e in churn.EDITS}
-    new = reduce(DataFrame.unionByName, (cut(d, s).withColumn("operation", F.lit(e)) for e, d in changed.items() for s in STRATEGIES))
-    out = churn.bag_churn(old, new, by=by).select(*by, "old_chunks", "new_chunks", "reused", "to_embed", "tokens_to_embed", "reembed_fraction")
+    out = churn.grid(docs, STRATEGIES).select(*by, "old_chunks", "new_chunks", "reused", "to_embed", "tokens_to_embed", "reembed_fraction")
     return cells.join(F.broadcast(out), list(by), "left").fillna(0)  # one row a cell, also without chunks
