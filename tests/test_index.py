@@ -423,6 +423,39 @@ def test_churn_grid_has_every_strategy_and_edit(spark, tmp_path):
         assert r.reembed_fraction == pytest.approx((new - old).total() / new.total())
 
 
+def test_nearest_makes_no_row_a_pair(spark):
+    rows = [(i, i % 3, [float(i % 7), 1.0, float(i % 5)]) for i in range(300)] + [(300, 1, [0.0, 0.0, 0.0]), (301, None, [1.0]), (302, 2, None)]
+    df = spark.createDataFrame(rows, "v long, label int, e array<float>").coalesce(2)
+    found = embedding.nearest(df, df.where("v % 100 = 0"), 4, "v", "label", "e").collect()
+    assert len(found) <= 4 * 4 * 2  # four queries, two tasks
+
+    def cosine(a, b):
+        norms = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / norms, 9) if norms else 0.0
+
+    for q in (0, 100, 200, 300):
+        scored = sorted((-cosine(rows[q][2], e), v) for v, _, e in rows if v != q and e and len(e) == 3)[:4]
+        assert sorted((-r.score, r.v) for r in found if r.q == q)[:4] == scored
+
+
+def test_a_run_commits_to_the_cache_a_few_times_however_many_rows(spark, tmp_path):
+    wanted = spark.range(200).selectExpr("sha2(string(id), 256) as chunk_hash", "concat('text ', id) as text", "1L as token_count")
+    store, provider = Cache(spark, f"file://{tmp_path}/cache"), embedding.HashProvider("m", 4)
+    assert embedding.embed_with_cache(wanted, provider, store, commit_rows=10).count() == 200
+    assert store.log.newest()[0] <= 8 and store.rows().count() == 200
+
+
+def test_holding_keeps_no_text_beside_each_word(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "One two  THREE four five six."), (1, "nothing of it"), (None, "zero one two three four five six. seven"), (2, None)], "t int, text string")
+    asked = spark.createDataFrame([(7, "one two three four five six."), (8, "two THREE")], "p int, text string")
+    out = retrieval.holding(texts, asked, "t", "p")
+    assert Counter((r.t, r.p) for r in out.collect()) == Counter([(1, 7), (1, 8), (None, 7), (None, 8)])
+    seen, real = [], retrieval.written
+    monkeypatch.setattr(retrieval, "written", lambda df, name: seen.append(df.columns) or real(df, name))
+    retrieval.holding(texts, asked, "t", "p").count()
+    assert seen == [["__id", "__pid", "passage"]]
+
+
 def test_churn_grid_writes_no_texts(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(i, f"One {i} is here. Two words follow it.", "s", "en") for i in range(5)], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     seen, real = [], churn.written

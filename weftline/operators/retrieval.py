@@ -87,15 +87,18 @@ def holding(texts: DataFrame, passages: DataFrame, text_id: str, passage_id: str
     """(text_id, passage_id) of every text that holds a passage, case and white space apart. The words inside a passage, all but its first and
     last, are whole words of the text, so texts meet passages by their first ``width`` inner words, in a hash join, and are then compared;
     passages that are too short for that are a stated query set against all texts."""
-    own = texts.select(text_id, plain(F.col("text")).alias("body"))
     asked = passages.select(passage_id, plain(F.col("text")).alias("passage")).withColumn("w", F.split("passage", " "))
     asked = asked.withColumn("key", F.when(F.size("w") >= width + 2, F.array_join(F.slice("w", 2, width), " "))).drop("w")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("v") - width + 1, F.lit(1))), lambda k: F.array_join(F.slice("v", k, width), " "))
-    each = own.withColumn("v", F.split("body", " ")).select(text_id, "body", F.explode(F.array_distinct(grams)).alias("key"))
     keyed, short = asked.where("key is not null"), asked.where("key is null").drop("key")
-    few = lambda df: F.broadcast(df) if df.limit(10_001).count() <= 10_000 else df
-    met = each.join(few(keyed), "key").unionByName(own.join(few(short), F.contains("body", "passage")), allowMissingColumns=True)
-    return met.where(F.contains("body", "passage")).select(text_id, passage_id)
+    few = lambda df, n=10_000: F.broadcast(df) if df.limit(n + 1).count() <= n else df
+    # Ids alone go with a text's keys, as a text beside each of its keys would be as many copies as it has words.
+    each = texts.select(F.col(text_id).alias("__id"), F.split(plain(F.col("text")), " ").alias("v")).select("__id", F.explode(grams).alias("key"))
+    may = written(each.join(few(keyed), "key").select("__id", F.col(passage_id).alias("__pid"), "passage").distinct(), "holding-candidates")
+    met = texts.join(few(may, 200_000), F.col(text_id).eqNullSafe(F.col("__id"))).select(text_id, F.col("__pid").alias(passage_id), "text", "passage")
+    if short.limit(1).count():
+        met = met.unionByName(texts.join(few(short), F.lit(True)).select(text_id, passage_id, "text", "passage"))
+    return met.where(F.contains(plain(F.col("text")), F.col("passage"))).select(text_id, passage_id)
 
 
 class EmbeddingScorer(Protocol):

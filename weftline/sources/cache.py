@@ -20,6 +20,8 @@ KEY = ["chunk_hash", "model_id", "params_hash"]
 SCHEMA = "chunk_hash string, model_id string, params_hash string, dimensions int, vector array<float>, token_count long, created_at timestamp"
 ACCESS = "chunk_hash string, model_id string, params_hash string, accessed_at timestamp"
 VERSION, IMPORT_BYTES, LINE_BYTES, FAN = 2, 512 << 20, 4 << 20, 8
+#: Keys that are looked up by broadcast at most.
+KNOWN = 100_000
 
 
 def stats(rows: DataFrame) -> DataFrame:
@@ -105,7 +107,8 @@ class Cache:
 
     def contains(self, keys: DataFrame) -> DataFrame:
         """(KEY, hit) of the distinct keys; no access is noted."""
-        return lookup(self.rows(), keys).select(*KEY, F.col("vector").isNotNull().alias("hit"))
+        held = self._read(self._state()["data"], SCHEMA).select(*KEY).distinct().withColumn("hit", F.lit(True))  # vectors stay where they lie
+        return keys.select(*KEY).distinct().join(held, KEY, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
     def get(self, keys: DataFrame) -> DataFrame:
         """Looks keys up; on a writable cache hits count as accesses."""
@@ -127,11 +130,14 @@ class Cache:
         if (why := given.select(invalid().alias("why")).where("why is not null").first()) is not None:
             raise BackendError(f"a row can't be cached: {why['why']}")
         value = F.struct("dimensions", "token_count", "vector")
-        one = given.groupBy(*KEY).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+        one = written(given.groupBy(*KEY).agg(F.min(value).alias("lo"), F.max(value).alias("hi")), "cache-one")
 
         def change(now: dict) -> dict | None:
-            cached = self._read(now["data"], SCHEMA).select(*KEY, value.alias("old"))
-            both = written(one.join(cached.groupBy(*KEY).agg(F.min("old").alias("old")), KEY, "left"), "cache-both")
+            cached = self._read(now["data"], SCHEMA)
+            known = written(cached.select(*KEY).join(one.select(*KEY), KEY, "left_semi").distinct(), "cache-known")  # keys alone; few, if any, move on
+            few = F.broadcast(known) if known.limit(KNOWN + 1).count() <= KNOWN else known
+            old = cached.join(few, KEY, "left_semi").groupBy(*KEY).agg(F.min(value).alias("old"))
+            both = written(one.join(old, KEY, "left"), "cache-both")
             if both.where((F.col("lo") != F.col("hi")) | (F.col("old") != F.col("lo"))).limit(1).count():
                 raise BackendError("a key has another value than the one that is cached, or two values")
             moment, new = F.current_timestamp(), {}
