@@ -423,6 +423,14 @@ def test_churn_grid_has_every_strategy_and_edit(spark, tmp_path):
         assert r.reembed_fraction == pytest.approx((new - old).total() / new.total())
 
 
+def test_hash_features_are_remembered_by_the_batch(monkeypatch):
+    provider = embedding.HashProvider("m", 8)
+    monkeypatch.setattr(embedding, "_MOST_DIGESTS", 3)
+    want = [provider.one(t) for t in ("", "One two one two.", "straße ÄÖ one")]
+    assert want[0] == [0.0] * 8 and len(embedding._DIGESTS) <= 3 + 5
+    assert [provider.one(t) for t in ("", "One two one two.", "straße ÄÖ one")] == want
+
+
 def test_nearest_makes_no_row_a_pair(spark):
     rows = [(i, i % 3, [float(i % 7), 1.0, float(i % 5)]) for i in range(300)] + [(300, 1, [0.0, 0.0, 0.0]), (301, None, [1.0]), (302, 2, None)]
     df = spark.createDataFrame(rows, "v long, label int, e array<float>").coalesce(2)
