@@ -28,14 +28,15 @@ def tokens_column(text: Column) -> Column:
 
 def _weights(queries: DataFrame, texts: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(by, query_id, token, qw) and (by, text_id, token, w) for the tokens of the queries: weights over the norm of their text. Terms are
-    counted once and written; norms are of all tokens of a text."""
+    counted once and weighed once, where they lie unless a vocabulary is large; norms are of all tokens of a text."""
     n = texts.groupBy(*by).agg(F.count("*").alias("n_texts"))
     terms = lambda df, i: df.select(*by, i, F.explode(tokens_column(F.col("text"))).alias("token")).groupBy(*by, i, "token").agg(F.count("*").alias("tf"))
     q, t = written(terms(queries, "query_id"), "tfidf-queries"), written(terms(texts, "text_id"), "tfidf-texts")
     df = written(t.groupBy(*by, "token").agg(F.count("*").alias("df")), "tfidf-tokens")
     meet = lambda x: x.join(F.broadcast(n), list(by)) if by else x.crossJoin(F.broadcast(n))  # noqa: E731  # a row a group
     idf = lambda x: meet(x).withColumn("w", F.col("tf") * (F.log((F.col("n_texts") + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0))
-    tw, qw = idf(t.join(df, [*by, "token"])), idf(q.join(df, [*by, "token"], "left"))
+    some = F.broadcast(df) if df.limit(200_001).count() <= 200_000 else df
+    tw, qw = written(idf(t.join(some, [*by, "token"])).select(*by, "text_id", "token", "w"), "tfidf-all"), idf(q.join(some, [*by, "token"], "left"))
     norm = lambda x, i: x.groupBy(*by, i).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     asked = q.select(*by, "token").distinct()
     few = F.broadcast(asked) if asked.limit(200_001).count() <= 200_000 else asked
