@@ -123,6 +123,27 @@ def test_confirmation_is_complete_whatever_the_rounds(spark, rounds):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
 
 
+@pytest.mark.parametrize("heads", [5, 32])
+def test_rest_is_complete_and_its_pairs_grow_with_the_rows(spark, heads):
+    rng = random.Random(9)
+    nodes = [(n, n % 2, sorted(rng.sample(range(24), 20))) for n in range(64)]  # all share shingles, few are alike
+    members = spark.createDataFrame([(n, n, root) for n, root, _ in nodes], "node long, id long, root long")
+    sets = spark.createDataFrame([(n, s) for n, _, s in nodes], "node long, shingles array<long>")
+    want = set()
+    for root in (0, 1):
+        left = [x for x in nodes if x[1] == root]
+        while left:
+            go = [x for x in left[1:] if len({*left[0][2]} & {*x[2]}) * 10 >= len({*left[0][2]} | {*x[2]}) * 8]
+            want |= {x[0] for x in go}
+            left = [x for x in left[1:] if x not in go]
+    got = [r.node for df in simhash.rest(members, sets, heads=heads) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 5 < len(want) < 62
+    for n in (100, 200):
+        some = spark.range(n).selectExpr("0L as root", "7L as s", "id as node", "struct(false as x, id as id, id as node) as o")
+        pairs, late = simhash.candidates(some, heads)
+        assert pairs.count() == n * heads - heads * (heads + 1) // 2 and late.count() == n - heads
+
+
 def test_views_at_once_are_the_views_one_by_one():
     rng = random.Random(8)
     for n in (0, 1, 2, 7, 255, 256, 257, 300, 4097, 9000):

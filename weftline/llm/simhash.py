@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, fresh, materialize, met, row_key, small, sortable
@@ -30,6 +30,7 @@ from .components import components
 SHINGLE, RADIUS, HASH_SEED, SHARD, VIEWS = 3, 3, 42, 20_000, 16
 CONFIRM_SHINGLE, SIMILARITY, ROUNDS = 5, 0.8, 8
 CANDIDATE_SHINGLE, HOT_SETS = 2, 100  # words a shingle of the views; how many groups' sets of shingles are broadcast at most
+HEADS, HOT_HEADS = 32, 5_000  # first rows of a shingle that a round compares; how many shingles' are broadcast at most
 _BLOCK = 255  # hashes of a text whose bits are counted in octets at once
 _CUTS = (0, 13, 26, 39, 52, 64)
 _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)  # bits of each octet
@@ -154,20 +155,35 @@ def _keys(fp: Column) -> Column:
 _VIEW_BITS = 40  # a shard's key below, its view above
 
 
+def _hot(keyed: DataFrame, n: int, shard: int) -> DataFrame | None:
+    """(hk, g): keys of more than ``shard`` of the n values, and into how many blocks each is cut; None if there is none. Keys are counted by
+    hash first, a quarter of a shard a count, and one by one only where a count is that large."""
+    if n <= shard:  # a value has a key but once
+        return None
+    keyed = keyed.withColumn("c", F.pmod(F.xxhash64("k"), F.lit(-(-40 * n // shard))))
+    many = materialize(keyed.groupBy("c").agg(F.count("*").alias("n")).filter(F.col("n") > shard).select("c"), "simhash-many")
+    if not many.limit(1).count():
+        return None
+    sizes = keyed.join(small(many), "c", "left_semi").groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > shard)
+    hot = materialize(sizes.select(F.col("k").alias("hk"), F.ceil(F.col("n") / shard).alias("g")), "simhash-hot")
+    return hot if hot.limit(1).count() else None
+
+
 def links(fps: DataFrame, fp: str = "fp", radius: int = RADIUS, shard: int = SHARD, view: str | None = None) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that make the same components as all pairs within the radius (at most 3); with a column
     ``view`` (view, a, b), each view by itself."""
     if radius > RADIUS:
         raise ValueError(f"five blocks find links of up to {RADIUS} bits")
-    of = F.shiftleft(F.col(view).cast("long"), _VIEW_BITS) if view else F.lit(0).cast("long")
-    keyed = fps.select(F.explode(F.transform(_keys(F.col(fp)), lambda k: k.bitwiseOR(of))).alias("k"), F.col(fp).alias("v"))
-    sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
-    hot = materialize(sizes.filter(F.col("n") > shard).select(F.col("k").alias("hk"), F.ceil(F.col("n") / shard).alias("g")), "simhash-hot")
-    rows = keyed.withColumn("pair", F.lit(0).cast("long"))
-    if hot.limit(1).count():  # blocks of a hot shard: each of its rows meets every block once
-        marked = keyed.join(small(hot), F.col("k") == F.col("hk"), "left")
+    of = F.col(view).cast("long") if view else F.lit(0).cast("long")
+    t = F.explode(F.array(*(F.lit(n).cast("long") for n in range(10))))
+    # A shard's key follows from the value and the number of its table, so only these are shuffled.
+    flat = fps.select(F.col(fp).alias("v"), of.alias("w"), t.alias("t")).select("v", F.shiftleft("w", 4).bitwiseOR(F.col("t")).alias("t"))
+    key = F.element_at(_keys(F.col("v")), F.col("t").bitwiseAND(F.lit(15)).cast("int") + 1).bitwiseOR(F.shiftleft(F.shiftrightunsigned("t", 4), _VIEW_BITS))
+    rows, hot = flat.withColumn("pair", F.lit(0).cast("long")), _hot(flat.select("v", "t", key.alias("k")), fps.count(), shard)
+    if hot is not None:  # blocks of a hot shard: each of its rows meets every block once
+        marked = flat.withColumn("k", key).join(small(hot), F.col("k") == F.col("hk"), "left")
         b, o = F.pmod(F.xxhash64("v"), F.col("g")), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("g"), F.lit(1)) - 1))
-        rows = marked.withColumn("o", o).withColumn("pair", F.coalesce(F.least(b, "o") * F.col("g") + F.greatest(b, "o"), F.lit(0))).select("k", "v", "pair")
+        rows = marked.withColumn("o", o).withColumn("pair", F.coalesce(F.least(b, "o") * F.col("g") + F.greatest(b, "o"), F.lit(0))).select("v", "t", "pair")
 
     def run(batches):  # noqa: ANN001, ANN202
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -205,7 +221,7 @@ def links(fps: DataFrame, fp: str = "fp", radius: int = RADIUS, shard: int = SHA
             yield from solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = rows.select("k", "v", "pair").repartition(parts, "k", "pair").sortWithinPartitions("k", "pair")
+    ready = rows.select("v", "t", "pair").repartition(parts, key, F.col("pair")).select(key.alias("k"), "v", "pair").sortWithinPartitions("k", "pair")
     found = ready.mapInArrow(run, "view long, a long, b long")
     return (found if view else found.drop("view")).distinct()
 
@@ -264,32 +280,50 @@ def _order() -> Column:
     return F.struct(F.col("id").isNull(), F.col("id"), F.col("node"))
 
 
-def rest(left: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> list[DataFrame]:
-    """Tables (node) of what goes by the rule of ``confirmed``, from all pairs that are alike in place of one leader a round: of equal sets the
-    first stays in the running, and sets that are alike share one of the first shingles that size allows to differ, rarest first. A row
-    stays once no row before it that is alike is left."""
+def candidates(some: DataFrame, heads: int = HEADS) -> tuple[DataFrame, DataFrame]:
+    """From prefixes (root, s, node, o): pairs (a, b) of each row with those before it among the first ``heads`` rows of a shingle, and (node)
+    of rows that a shingle with more rows has later, for which more may come before. Pairs grow with the rows, not with a group's square."""
+    at = F.row_number().over(Window.partitionBy("root", "s").orderBy("o"))
+    first = some.withColumn("k", at).filter(F.col("k") <= heads).groupBy("root", "s").agg(F.array_sort(F.collect_list("o")).alias("heads"))
+    facts = some.groupBy("root", "s").agg(F.count("*").alias("n")).filter("n > 1").join(first, ["root", "s"])
+    seen = materialize(met(some, facts.withColumn("more", F.col("n") > heads), ["root", "s"], most=HOT_HEADS), "simhash-heads")
+    before = F.transform(F.filter("heads", lambda h: h < F.col("o")), lambda h: h["node"])
+    pairs = seen.select(F.explode(before).alias("a"), F.col("node").alias("b")).distinct()
+    return pairs, seen.filter(F.col("more") & (F.col("o") > F.element_at("heads", -1))).select("node").distinct()
+
+
+def rest(left: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, heads: int = HEADS) -> list[DataFrame]:
+    """Tables (node) of what goes by the rule of ``confirmed``, many that stay a round in place of one: of equal sets the first stays in the
+    running, and sets that are alike share one of the first shingles that size allows to differ, rarest first. A row stays once no row before
+    it that is alike is left, and all that may be are known: those are the first rows of each of its shingles (``candidates``), which at
+    least the first ``heads`` rows of a group have no others than. Rows that neither stay nor go meet again in the next round."""
     own = left.join(sets, "node").select("node", "root", "shingles", _order().alias("o"), *row_key(F.col("shingles")))
     own = materialize(own.join(own.groupBy("root", "k1", "k2").agg(F.min("o").alias("least")), ["root", "k1", "k2"]), "simhash-left")
     one = own.filter("o = least")
     each = one.select("root", "node", "o", F.explode(F.when(F.size("shingles") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("shingles"))).alias("s"))
     ranked = each.join(each.groupBy("root", "s").agg(F.count("*").alias("n")), ["root", "s"]).groupBy("root", "node", "o").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("r"))
     some = ranked.select("root", "node", "o", F.explode(F.expr(f"slice(r, 1, int(floor({1 - similarity} * size(r) + 1e-9)) + 1)")).alias("r")).filter("r.n > 1").select("root", "node", "o", "r.s")
-    some = materialize(some, "simhash-prefixes")
-    pairs = some.alias("x").join(some.alias("y"), ["root", "s"]).filter("x.o < y.o").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    with_sets = pairs.join(one.select(F.col("node").alias("a"), "shingles"), "a").join(one.select(F.col("node").alias("b"), F.col("shingles").alias("theirs")), "b")
-    edges, gone = materialize(with_sets.filter(_alike(similarity)).select("a", "b"), "simhash-alike"), [own.filter("o > least").select("node")]
-    while edges.limit(1).count():
-        stay = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        go = materialize(edges.join(stay, "a", "left_semi").select("b").distinct(), "simhash-go")
-        gone.append(go.select(F.col("b").alias("node")))
-        edges = materialize(edges.join(go, "b", "left_anti").join(go.select(F.col("b").alias("a")), "a", "left_anti"), "simhash-alike")
+    some, gone = materialize(some, "simhash-prefixes"), [own.filter("o > least").select("node")]
+    while some.limit(1).count():
+        pairs, late = candidates(some, heads)
+        with_sets = pairs.join(one.select(F.col("node").alias("a"), "shingles"), "a").join(one.select(F.col("node").alias("b"), F.col("shingles").alias("theirs")), "b")
+        edges, late = materialize(with_sets.filter(_alike(similarity)).select("a", "b"), "simhash-alike"), materialize(late, "simhash-late")
+        while edges.limit(1).count():
+            stay = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti").join(late.select(F.col("node").alias("a")), "a", "left_anti")
+            go = materialize(edges.join(stay, "a", "left_semi").select(F.col("b").alias("node")).distinct(), "simhash-go")
+            if not go.limit(1).count():
+                break  # what is left waits for rows whose own are not all known
+            gone.append(go)
+            edges = materialize(edges.join(go.select(F.col("node").alias("b")), "b", "left_anti").join(go.select(F.col("node").alias("a")), "a", "left_anti"), "simhash-alike")
+            late = materialize(late.join(go, "node", "left_anti"), "simhash-late")
+        some = materialize(some.join(late.unionByName(edges.select(F.col("b").alias("node"))).distinct(), "node", "left_semi"), "simhash-prefixes")
     return gone
 
 
 def confirmed(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """(node) of members (node, id, root) that go: in each round the one of the smallest id stays in its group, those whose shingles have at
     least ``similarity`` in common with its own go, and the rest are a group of their own in the next round. Groups of more kinds of texts
-    than ``rounds`` end by the same rule over pairs (``rest``)."""
+    than ``rounds`` end by the same rule over shingles that they share (``rest``)."""
     gone, left = [], members
     for _ in range(rounds):
         first = left.groupBy("root").agg(F.min_by("node", _order()).alias("stays"), F.count("*").alias("n")).filter("n > 1")
@@ -321,8 +355,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", views:
     one = materialize(one.withColumn("__key", F.monotonically_increasing_id()), "simhash-keys")
     each = one.select("__key", F.posexplode(F.array(*columns)).alias("view", "fp"))
     per = materialize(each.groupBy("view", "fp").agg(F.min("__key").alias("rep"), F.count("*").alias("n")), "simhash-nodes")
-    ends = lambda e, k: e.join(per.select("view", F.col("fp").alias(k), F.col("rep").alias(f"r{k}")), ["view", k])
-    linked = ends(ends(links(per, view="view"), "a"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    near = materialize(links(per, view="view"), "simhash-links")
+    asked = materialize(near.select("view", F.explode(F.array("a", "b")).alias("fp")).distinct(), "simhash-ends")
+    reps = small(materialize(per.join(small(asked), ["view", "fp"]).select("view", "fp", "rep"), "simhash-reps"))
+    ends = lambda e, k: e.join(reps.select("view", F.col("fp").alias(k), F.col("rep").alias(f"r{k}")), ["view", k])
+    linked = ends(ends(near, "a"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     same = per.filter("n > 1").select(F.col("view").alias("__nview"), F.col("fp").alias("__nfp"), F.col("n").alias("__n"), F.col("rep").alias("__component"))
     equal = with_component(each, materialize(same, "simhash-same"), "__key", "fp", view="view").filter("__key <> __component")
     stars = equal.groupBy("__key").agg(F.array_sort(F.collect_set("__component")).alias("reps"))  # at most one a view
@@ -330,8 +367,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", views:
     found = components(linked.unionByName(equal))
     members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     members = materialize(one.select("k1", "k2", F.col("__key").alias("node"), F.col("__id").alias("id"), "__copies").join(small(members), "node"), "simhash-members")
-    texts = met(docs.select(*key, F.col(text).alias("text")), members.select("k1", "k2", "node", F.col("__copies").alias("n")), ["k1", "k2"])
-    sets = materialize(with_shingles(texts.groupBy("node").agg(F.first("text").alias("text"))), "simhash-shingles")
+    texts = met(docs.select(*key, F.col(text).alias("text")), members.select("k1", "k2", "node", "__copies", F.col("__copies").alias("n")), ["k1", "k2"])
+    once = texts.filter("__copies > 1").groupBy("node").agg(F.first("text").alias("text"))  # texts of other rows stay where they lie
+    sets = materialize(with_shingles(texts.filter("__copies = 1").select("node", "text").unionByName(once)), "simhash-shingles")
     left = members.select("node", "id", "root")
     gone = confirmed(left, sets).join(members.select("node", "k1", "k2"), "node").drop("node")
     a, b = fresh(docs, "k1"), fresh(docs, "k2")
