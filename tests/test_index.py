@@ -548,3 +548,21 @@ def test_passages_are_found_wherever_they_stand(spark):
     got = retrieval.holding(spark.createDataFrame(texts, "t long, text string"), spark.createDataFrame(passages, "p long, text string"), "t", "p", 2)
     fold = lambda x: " ".join((x or "").casefold().split())
     assert sorted(map(tuple, got.collect())) == sorted((t, p) for t, a in texts for p, b in passages if a is not None and fold(b) in fold(a))
+
+
+def test_a_revision_is_cut_only_about_its_edit():
+    from weftline.functions.text import normalize, renormalized
+
+    text = " ".join(f"word{i * i % 997} lies{i % 13}" + ("." if i % 7 == 0 else "") + ("\n\n" if i % 90 == 89 else "") for i in range(3000))
+    old, own = normalize(text), catalogue.STRATEGIES | {"back": chunking.Fixed(48, 12)}
+    for operation, edit in churn.EDITS.items():
+        whole = normalize(edit(text))
+        new, first, last = renormalized(old, edit(text))
+        assert (new.words, new.starts.tolist(), new.ends.tolist(), new.paragraph.tolist(), new.sentence_ends) == (whole.words, whole.starts.tolist(), whole.ends.tolist(), whole.paragraph.tolist(), whole.sentence_ends)
+        for name, chunker in own.items():
+            cutting = churn.Cutting(chunker, old)
+            i, j, spans = cutting.recut(new, first, last)
+            by = len(new) - len(old)
+            assert cutting.spans[:i] + spans + [(a + by, b + by) for a, b in cutting.spans[j:]] == [c[:2] for c in chunker.cuts(whole)]
+            if operation in ("insert-sentence", "delete-sentence", "replace-same-length") and name not in ("fixed", "back"):
+                assert len(spans) < 20 < len(cutting.spans)

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterable, Mapping
 from typing import Any
@@ -17,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import wire
-from ..functions.text import Stream, normalize
+from ..functions.text import Stream, normalize, renormalized
 from ..tables import written
-from .chunking import Chunker, Cut
+from .chunking import Chunker, Cut, Semantic, lexical_similarity
 
 #: Fixed texts of the synthetic edits.
 SENTENCE = "The calibrated inspection marker was recorded for this benchmark."
@@ -37,23 +38,30 @@ def _trimmed(text: str, a: int, b: int) -> Span:
     return b - len(text[a:b].lstrip()), b
 
 
-def sentences(text: str) -> list[Span]:
-    """What ends with a mark before white space or the end; a rest without a mark is one too."""
-    ends = [m.end() for m in re.finditer(r"[.!?](?!\S)", text)]
-    body = len(text.rstrip())
-    cuts = [0, *ends, *([body] if not ends or ends[-1] < body else [])]
-    return [_trimmed(text, a, b) for a, b in itertools.pairwise(cuts) if text[a:b].strip()]
+def sentences(text: str, most: int | None = None) -> list[Span]:
+    """What ends with a mark before white space or the end, or the first ``most`` of these; a rest without a mark is one too."""
+
+    def cuts() -> Iterable[int]:
+        end = 0
+        for m in re.finditer(r"[.!?](?!\S)", text):
+            yield (end := m.end())
+        if end < (body := len(text.rstrip())):
+            yield body
+
+    found = (_trimmed(text, a, b) for a, b in itertools.pairwise(itertools.chain([0], cuts())) if text[a:b].strip())
+    return list(itertools.islice(found, most))
 
 
 def paragraphs(text: str) -> list[Span]:
     """What lies between blank lines."""
-    gaps = [(0, 0), *(m.span() for m in re.finditer(r"\r?\n[ \t]*\r?\n", text)), (len(text), len(text))]
+    blank = re.finditer(r"\r?\n[ \t]*\r?\n", text) if "\n" in text else ()
+    gaps = [(0, 0), *(m.span() for m in blank), (len(text), len(text))]
     return [(a, b) for (_, a), (b, _) in itertools.pairwise(gaps) if text[a:b].strip()]
 
 
 def sections(text: str) -> list[Span]:
     """What headings begin, if there are two; else paragraphs. A title that stands over sections of a lower level is none of them."""
-    heads = [(m.start(), len(m[1])) for m in re.finditer(r"^(#{1,6})[ \t]+[^\r\n]+", text, re.MULTILINE)]
+    heads = [(m.start(), len(m[1])) for m in re.finditer(r"^(#{1,6})[ \t]+[^\r\n]+", text, re.MULTILINE)] if "#" in text else []
     if len(heads) < 2:
         spans = paragraphs(text)
         levels = [len(m[0]) if (m := re.match(r"#{1,6}(?= )", text[a:b])) else 0 for a, b in spans]
@@ -90,10 +98,10 @@ def _without(text: str, span: Span, gap: str) -> str:
 
 def _bump(text: str) -> str:
     """The first ASCII letter from a third of the text on, or else from its start, becomes the next one of the alphabet."""
-    letters = [m.start() for m in re.finditer("[A-Za-z]", text)]
-    if not letters:
+    letter = re.compile("[A-Za-z]")
+    if not (found := letter.search(text, len(text) // 3) or letter.search(text)):
         raise ValueError("the text has no ASCII letter")
-    at = next((k for k in letters if k >= len(text) // 3), letters[0])
+    at = found.start()
     alphabet = string.ascii_lowercase if text[at].islower() else string.ascii_uppercase
     return text[:at] + alphabet[(alphabet.index(text[at]) + 1) % 26] + text[at + 1 :]
 
@@ -125,10 +133,10 @@ def replace_all(text: str, find: str | None = None, new: str | None = None) -> s
 
 
 EDITS: dict[str, Callable[[str], str]] = {
-    "insert-sentence": lambda t: _inserted(t, _nth(sentences(t), 1, "sentences"), SENTENCE, " "),
+    "insert-sentence": lambda t: _inserted(t, _nth(sentences(t, 1), 1, "sentences"), SENTENCE, " "),
     "insert-paragraph": lambda t: _inserted(t, _nth(paragraphs(t)[:2][::-1], 1, "paragraphs"), PARAGRAPH, "\n\n"),
     "insert-section": lambda t: _inserted(t, _nth(sections(t), 1, "sections"), SECTION, "\n\n"),
-    "delete-sentence": lambda t: _without(t, _nth(sentences(t), 2, "sentences"), " "),
+    "delete-sentence": lambda t: _without(t, _nth(sentences(t, 2), 2, "sentences"), " "),
     "delete-paragraph": lambda t: _without(t, _nth(paragraphs(t), 2, "paragraphs"), "\n\n").lstrip(),
     "replace-same-length": _bump,
     "reorder-sections": _reordered,
@@ -165,55 +173,87 @@ def bag_churn(old: DataFrame, new: DataFrame, price_per_million: float | None =
     return out.withColumns({"reembed_fraction": F.when(F.col("new_chunks") > 0, F.col("to_embed") / F.col("new_chunks")).otherwise(0.0), "estimated_cost": F.col("tokens_to_embed") * rate})
 
 
-def _leading(a: list, b: list, block: int = 256) -> int:
-    """How many leading elements two lists share."""
-    n = min(len(a), len(b))
-    lo = next((k for k in range(0, n, block) if a[k : k + block] != b[k : k + block]), n)
-    return next((k for k in range(lo, min(n, lo + block)) if a[k] != b[k]), min(n, lo + block))
-
-
-def shared_ends(a: Stream, b: Stream) -> tuple[int, int]:
-    """How many words at the start, and then at the end, two streams share, with the paragraphs that begin at them."""
-    n = min(len(a), len(b))
-    first = min(_leading(a.words, b.words), _leading(a.paragraph.tolist(), b.paragraph.tolist()))
-    last = min(_leading(a.words[::-1], b.words[::-1]), _leading(a.paragraph[::-1].tolist(), b.paragraph[::-1].tolist()))
-    return first, min(last, n - first)
-
-
-def changed_bodies(old: Stream, old_cuts: list[Cut], new: Stream, new_cuts: list[Cut], ends: tuple[int, int]) -> dict[str, tuple[int, int]]:
-    """Text to (more occurrences than before, tokens) of the chunks that an edit makes or takes away. Chunks inside the words that both
-    versions share (``ends``) are compared by place, so only others are put together."""
-    first, last = ends
-
-    def places(stream: Stream, cuts: list[Cut]) -> Counter:
-        n = len(stream)
-        return Counter((0, a, b) if b <= first else (1, a - n, b - n) if a >= n - last else (2, a, b) for a, b, *_ in cuts if b > a)
-
-    was, now = places(old, old_cuts), places(new, new_cuts)
-    out: dict[str, tuple[int, int]] = {}
-    for stream, mine, other, sign in ((old, was, now, -1), (new, now, was, 1)):
-        for (kind, a, b), count in mine.items():
-            more = count if kind == 2 else count - other[kind, a, b]
-            if more > 0:
-                lo, hi = (a + len(stream), b + len(stream)) if kind == 1 else (a, b)
-                body = stream.slice(lo, hi)
-                out[body] = (out.get(body, (0, 0))[0] + sign * more, stream.tokens(lo, hi))
-    return {body: found for body, found in out.items() if found[0]}
+class Cutting:
+    """The chunks that a chunker makes of a stream, and of revisions of it those that differ."""
+
+    def __init__(self, chunker: Chunker, old: Stream) -> None:
+        self.chunker, self.body, self.n = chunker, old.slicer(), len(old)
+        # A chunker that counts words otherwise than one by one cuts revisions whole.
+        self.units = list(chunker.units(old)) if isinstance(chunker, Semantic) and chunker.similarity is lexical_similarity else None
+        if self.units is None:
+            self.spans = [c[:2] for c in chunker.cuts(old)]
+            self.starts = [a for a, _ in self.spans]
+        else:
+            ends = [0, *(e for _, _, made in self.units for e in made)]
+            self.spans = list(itertools.pairwise(ends))
+            self.unit_starts = [a for a, _, _ in self.units]
+            self.before = list(itertools.accumulate((len(made) for _, _, made in self.units), initial=0))  # spans that end before a unit
+
+    def count(self) -> int:
+        return sum(b > a for a, b in self.spans)
+
+    def recut(self, new: Stream, first: int, last: int) -> tuple[int, int, list[Span]]:
+        """(i, j, spans): in a revision that shares its first and last words with the stream, ``spans`` stand in place of the old ones from
+        number i up to j; the others are the same words. Chunks that end before any cut could see the edit stay, and where a chunk
+        starts as an old one did and sees shared words only, so do all after it."""
+        later, by = len(new) - last, len(new) - self.n
+        if self.units is not None:
+            k = max(0, bisect_left(self.unit_starts, first) - 1)  # all units before end inside the first words
+            at, since, _ = self.units[k]
+            ends = [since]
+            for a, s, made in self.chunker.units(new, at, since):
+                if min(a, s) >= later:
+                    j = bisect_left(self.unit_starts, a - by)
+                    if j < len(self.units) and self.units[j][:2] == (a - by, s - by):
+                        return self.before[k], self.before[j], list(itertools.pairwise(ends))
+                ends += made
+            return self.before[k], len(self.spans), list(itertools.pairwise(ends))
+        if not hasattr(self.chunker, "walk"):
+            return 0, len(self.spans), [c[:2] for c in self.chunker.cuts(new)]
+        back, ahead = self.chunker.sight
+        i = bisect_left(self.starts, first - ahead)
+        out: list[Span] = []
+        for a, b, *_ in self.chunker.walk(new, self.starts[i] if self.starts else 0):
+            if a >= later + back:
+                j = bisect_left(self.starts, a - by)
+                if j < len(self.starts) and self.starts[j] == a - by:
+                    return i, j, out
+            out.append((a, b))
+        return i, len(self.spans), out
+
+    def changed_bodies(self, new: Stream, first: int, last: int) -> dict[str, tuple[int, int]]:
+        """Text to (more occurrences than before, tokens) of the chunks that a revision makes or takes away. Chunks inside shared words are
+        compared by place, so only others are put together."""
+        i, j, now = self.recut(new, first, last)
+        was, by, later = self.spans[i:j], len(new) - self.n, self.n - last
+        # Where the spans of shared words would lie in the revision; chunkers of one's own may make a span twice, theirs are compared by text.
+        alike = self.units is None and not hasattr(self.chunker, "walk")
+        moved = {} if alike else {(a, b): (a, b) if b <= first else (a + by, b + by) for a, b in was if b <= first or a >= later}
+        same = set(moved.values()).intersection(now)
+        out: dict[str, tuple[int, int]] = {}
+        gone = [s for s in was if moved.get(s) not in same]
+        for body, spans, sign in ((self.body, gone, -1), (new.slicer(), [s for s in now if s not in same], 1)):
+            for a, b in spans:
+                if b > a:
+                    text = body(a, b)
+                    out[text] = (out[text][0] + sign if text in out else sign, b - a)
+        return {text: found for text, found in out.items() if found[0]}
 
 
 def grid(docs: DataFrame, strategies: Mapping[str, Chunker], operations: tuple[str, ...] = tuple(EDITS), text: str = "text") -> DataFrame:
     """``bag_churn`` by (strategy, operation) where each edit is made in every document: of every cell whose strategy makes chunks.
 
-    A document is normalised once a version, and each strategy cuts it in place; only chunks that an edit makes or takes away leave the task,
-    as 128 bits of their text. What an edit leaves in a document is on both sides of the bag, so the sums over these differences are
+    A document is normalised and cut once by each strategy; of a version, only the words between those that it shares with the document are
+    normalised, and chunks are cut anew from the first that can see the edit up to where cuts meet the old ones. Only chunks that an edit
+    makes or takes away leave the task, as 128 bits of their text. What an edit leaves in a document is on both sides of the bag, so the sums over these differences are
     those over all chunks."""
     names = list(strategies)
 
     def differences(t: str) -> Iterable[tuple[int, int, bytes, int, int]]:
         old = normalize(t)
-        before = [strategies[s].cuts(old) for s in names]
-        for k, cuts in enumerate(before):
-            if n := sum(c[1] > c[0] for c in cuts):
+        before = [Cutting(strategies[s], old) for s in names]
+        for k, cutting in enumerate(before):
+            if n := cutting.count():
                 yield k, -1, bytes(16), n, 0
         digests: dict[str, bytes] = {}
         for o, operation in enumerate(operations):
@@ -223,13 +263,12 @@ def grid(docs: DataFrame, strategies: Mapping[str, Chunker], operations: tuple[s
                 continue
             if revised == t:
                 continue
-            new = normalize(revised)
-            ends = shared_ends(old, new)
-            for k, s in enumerate(names):
-                for body, (more, tokens) in changed_bodies(old, before[k], new, strategies[s].cuts(new), ends).items():
-                    if body not in digests:
-                        digests[body] = hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                    yield k, o, digests[body], more, tokens
+            shared = renormalized(old, revised)
+            for k, cutting in enumerate(before):
+                for body, (more, tokens) in cutting.changed_bodies(*shared).items():
+                    if (digest := digests.get(body)) is None:
+                        digest = digests[body] = hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                    yield k, o, digest, more, tokens
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
