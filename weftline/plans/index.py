@@ -1,6 +1,6 @@
 """The index: immutable generations of chunk rows behind commits.
 
-``bodies/<id>`` hold texts and vectors, one row a chunk hash and model, in order of hashes, and are only ever added to. Narrow rows
+``bodies/<id>`` hold texts and vectors, one row a chunk hash and model, each file in order of hashes, and are only ever added to. Narrow rows
 (``chunks``, tombstones among them), ``documents`` and the manifest (JSON lines of what a generation is to hold, in two copies) lie in
 buckets of document ids: ``rows/<id>/<table>/bucket=<k>``. ``commits/<n>.json`` says for every bucket which part holds it. An edit writes the
 bodies of new chunks and the buckets of changed documents, so what it writes grows with the edit, and never copies a text or vector.
@@ -24,7 +24,7 @@ from .. import wire
 from ..errors import BackendError
 from ..functions.hashing import hash_fields_column, instance_id_column
 from ..operators import diff, embedding, merkle
-from ..tables import CommitLog, Store, file_system, written
+from ..tables import CommitLog, Store, discard, file_system, release, written
 from . import manifest
 from .leases import READ_SECONDS, Leases
 
@@ -32,6 +32,8 @@ CHUNKS = "instance_id string, document_id string, position int, chunk_hash strin
 BODIES = "chunk_hash string, text string, vector array<float>"
 DOCUMENTS = "document_id string, root_hash string, chunk_count int, hard_cuts int, metadata string, chunker_id string, chunker_params_hash string, normalizer_version string"
 SCHEMA_VERSION, BUCKET_ROWS, RETAINED = 4, 1 << 20, 2
+#: How many hashes of earlier bodies that changed rows need are broadcast; for more, all of these bodies are moved.
+FEW = 200_000
 _TABLES = {"chunks": CHUNKS, "documents": DOCUMENTS}
 
 
@@ -43,6 +45,11 @@ def _cast(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*(F.col(c).cast(t).alias(c) for c, t in (x.split(" ") for x in schema.split(", "))))
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """Written and read back; hashes in hexadecimal are half as large in this compression."""
+    return written(df, name, "zstd")
+
+
 @dataclass(frozen=True)
 class Commit:
     generation: int
@@ -135,8 +142,12 @@ def content_problems(expected: DataFrame, actual: DataFrame, model_id: str, para
     """(document_id, position, problem) of what rows carry: ``actual`` are active rows with text and vector, ``expected`` the manifest's
     rows with metadata and the identity of their document's chunker."""
     key = ["document_id", "position"]
-    e = expected.select(*key, F.struct("chunk_hash", "start_offset", "end_offset", "token_count", "metadata", *manifest.IDENTITY).alias("exp"))
-    both = actual.join(e, key)
+    e = _exp(expected)
+    return _content_problems(actual.join(e, key), model_id, params_hash, dimensions)
+
+
+def _content_problems(both: DataFrame, model_id: str, params_hash: str, dimensions: int) -> DataFrame:
+    key = ["document_id", "position"]
     parsed, named = F.try_parse_json("metadata"), lambda k: F.get_json_object("metadata", f"$.{k}")
     invalid = parsed.isNull() | ~F.coalesce(F.schema_of_variant(parsed), F.lit("")).startswith("OBJECT")
     complete = reduce(lambda a, b: a & b, (F.coalesce(F.col(f"exp.{c}") != "", F.lit(False)) for c in manifest.IDENTITY))
@@ -151,6 +162,10 @@ def content_problems(expected: DataFrame, actual: DataFrame, model_id: str, para
     return _first_to_last(key, checks, both.withColumn("__digest", record_digest()))
 
 
+def _exp(expected: DataFrame) -> DataFrame:
+    return expected.select("document_id", "position", F.struct("chunk_hash", "start_offset", "end_offset", "token_count", "metadata", *manifest.IDENTITY).alias("exp"))
+
+
 def checked_rows(rows: DataFrame, dead: DataFrame) -> None:
     """Raises if rows to be published repeat an id or a position, or if an id was a tombstone's; one job over narrow rows."""
     twice = lambda key: rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(F.concat(F.lit(" and ".join(key) + " "), F.concat_ws(", ", *(F.col(k).cast("string") for k in key)), F.lit(" would occur twice")).alias("why"))
@@ -258,74 +273,107 @@ class Index:
         if expected is not None and expected != (now.generation if now else 0):
             raise BackendError("the index has changed since the plan was made")
         same = now is not None and (now.model_id, now.params_hash) == (provider.model_id, provider.params_hash)
-        target = written(manifest.with_identity(target).withColumn("position", F.col("position").cast("int")), "index-target")
-        docs = written(manifest.documents(target, documents), "index-documents")
+        target = _kept(manifest.with_identity(target).withColumn("position", F.col("position").cast("int")), "index-target")
+        docs = _kept(manifest.documents(target, documents), "index-documents")
         old, before = self.active_rows(now), self.documents(now)
-        facts = F.struct("root_hash", "metadata", *manifest.IDENTITY)
-        other = before.select("document_id", facts.alias("a")).join(docs.select("document_id", facts.alias("b")), "document_id", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("document_id")
-        changed = diff.changed_documents(old, target).unionByName(other)
-        if not same or force:
-            changed = changed.unionByName(before.select("document_id")).unionByName(docs.select("document_id"))
-        changed = written(changed.distinct(), "index-changed")
-        if now is not None and not changed.limit(1).count():
+        source, used, whole = target, [], now is None or not same or force  # all documents count as changed
+        if whole:
+            changed, idle = None, now is not None and not any(df.limit(1).count() for df in (docs, before, old))
+        else:
+            facts = F.struct("root_hash", "metadata", *manifest.IDENTITY)
+            other = before.select("document_id", facts.alias("a")).join(docs.select("document_id", facts.alias("b")), "document_id", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("document_id")
+            changed = _kept(diff.changed_documents(old, target).unionByName(other).distinct(), "index-changed")
+            idle = not changed.limit(1).count()
+        lasting = [docs] if changed is None else [docs, changed]
+        if idle:
+            discard(source, *lasting)
             return now
         root = merkle.corpus_root(docs.select("document_id", "root_hash"))
         generation, n = (now.generation + 1, now.buckets) if now else (1, 0)
-        if now is None or not same or force:
+        if whole:
             n = max(1, -(-target.count() // self.bucket_rows))
-        new_buckets = now is None or n != now.buckets
-        touched = None if new_buckets else {r[0] for r in changed.select(bucket(n).alias("k")).distinct().collect()}  # one a bucket
-        mine = lambda df: df.join(changed, "document_id", "left_semi")
-        rest = lambda df: df.join(changed, "document_id", "left_anti")
+        touched = None if whole else {r[0] for r in changed.select(bucket(n).alias("k")).distinct().collect()}  # one a bucket
+        mine = lambda df: df if whole else df.join(changed, "document_id", "left_semi")
+        rest = lambda df: df.limit(0) if whole else df.join(changed, "document_id", "left_anti")
         was, target = mine(self._table(now, "chunks", touched).where("valid_to is null")), mine(target)
-        ops = diff.occurrence_diff(was if same or now is None else was.limit(0), target.drop("text"), changed)
         scope = f"{provider.model_id}\0{provider.params_hash}\0generation:{generation}"
-        ids = written(carried_ids(ops, was, root, scope), "index-ids")
-        bodies, fresh = self._bodies(now if same else None, target, provider, cache, batch_size)
-        rows = written(self._new_rows(target, ids, was, bodies, provider), "index-rows")
-        gone = written(_cast(was.join(ids.select("instance_id"), "instance_id", "left_anti").withColumn("valid_to", F.current_timestamp()), CHUNKS), "index-gone")
+        have, fresh, part = self._bodies(now if same else None, target, provider, cache, batch_size)
+        release(self.spark)
+        if now is None or not same:  # nothing is carried over, so rows get their ids where they lie
+            ids, gone = None, was
+        else:
+            everything = whole and was.select("document_id").unionByName(target.select("document_id")).distinct()
+            ops = diff.occurrence_diff(was, target.drop("text"), everything if whole else changed)
+            ids = _kept(carried_ids(ops, was, root, scope), "index-ids")
+            gone = was.join(ids.select("instance_id"), "instance_id", "left_anti")
+            used.append(ids)
+        rows = _kept(self._new_rows(target, ids, was, have, fresh, provider, root, scope, used), "index-rows")
+        gone = _kept(_cast(gone.withColumn("valid_to", F.current_timestamp()), CHUNKS), "index-gone")
+        discard(source, *used)
         buried = self.rows(now).where("valid_to is not null")
         checked_rows(rows, gone.select("instance_id").unionByName(buried.select("instance_id")))
         stored = self._table(now, "chunks", touched)
         every = _cast(rows, CHUNKS).unionByName(gone).unionByName(_cast(rest(stored.where("valid_to is null")), CHUNKS)).unionByName(_cast(stored.where("valid_to is not null"), CHUNKS))
         held = docs if touched is None else docs.where(bucket(n).isin(*touched))
-        parts = ([] if not same else list(now.bodies)) + ([self._write_body(fresh)] if fresh is not None else [])
+        parts = ([] if not same else list(now.bodies)) + ([part] if part else [])
         made = Commit(generation, root, provider.model_id, provider.params_hash, provider.dimensions, tuple(parts), n, fence=fence)
-        return self._publish(self._write(made, None if new_buckets else now, touched, every, held))
-
-    def _bodies(self, now: Commit | None, target: DataFrame, provider: embedding.Provider, cache, batch_size: int) -> tuple[DataFrame, DataFrame | None]:  # noqa: ANN001
-        """All bodies that the target needs, and those of them that are new (None if there are none)."""
-        have = self.bodies(now) if now else self.spark.createDataFrame([], BODIES)
-        inputs = embedding.distinct_inputs(target.select("chunk_hash", "text", "token_count"))
-        wanted = written(inputs.join(have.select("chunk_hash"), "chunk_hash", "left_anti"), "index-wanted")
-        if not wanted.limit(1).count():
-            return have, None
-        vectors = embedding.embed_texts(wanted, provider, batch_size).select("chunk_hash", "vector") if cache is None else embedding.embed_with_cache(wanted, provider, cache, batch_size)
-        both = wanted.join(vectors, "chunk_hash", "left").withColumn("vector", sound("vector", provider.dimensions))
-        fresh = written(_cast(both, BODIES), "index-bodies")
-        return have.unionByName(fresh), fresh
-
-    def _new_rows(self, target: DataFrame, ids: DataFrame, old: DataFrame, bodies: DataFrame, provider: embedding.Provider) -> DataFrame:
-        """(CHUNKS) of the target. A row that is as it was keeps its digest; only others meet their text and vector to make one."""
+        made = self._publish(self._write(made, None if whole else now, touched, every, held))
+        discard(*lasting, rows, gone)
+        return made
+
+    def _bodies(self, now: Commit | None, target: DataFrame, provider: embedding.Provider, cache, batch_size: int) -> tuple[DataFrame | None, DataFrame | None, str | None]:  # noqa: ANN001
+        """Bodies that the index has, those that the target needs besides, and the part to which these were written (None if there are none)."""
+        have = self.bodies(now) if now else None
+        wanted = embedding.distinct_inputs(target.select("chunk_hash", "text", "token_count"))
+        if have is not None:
+            wanted = wanted.join(have.select("chunk_hash"), "chunk_hash", "left_anti")
+        if cache is None:
+            both, used = embedding.embed_texts(wanted, provider, batch_size), []
+        else:
+            wanted = _kept(wanted, "index-wanted")
+            both, used = wanted.join(embedding.embed_with_cache(wanted, provider, cache, batch_size), "chunk_hash", "left"), [wanted]
+        part = self._write_body(_cast(both.withColumn("vector", sound("vector", provider.dimensions)), BODIES))
+        fresh = self.spark.read.schema(BODIES).parquet(f"{self.path}/{part}")
+        discard(*used)
+        if not fresh.limit(1).count():
+            Store(self.spark, self.path).delete(part, True)
+            return have, None, None
+        return have, fresh, part
+
+    def _new_rows(self, target: DataFrame, ids: DataFrame | None, old: DataFrame, have: DataFrame | None, fresh: DataFrame | None, provider: embedding.Provider, root: str, scope: str, used: list[DataFrame]) -> DataFrame:
+        """(CHUNKS) of the target. A row that is as it was keeps its digest; only others meet their text and vector to make one, and of the
+        bodies of earlier generations only those that these need are moved."""
+        known = {"model_id": F.lit(provider.model_id), "params_hash": F.lit(provider.params_hash), "valid_to": F.lit(None).cast("timestamp")}
+        digested = lambda df, bodies: _cast(df.join(bodies, "chunk_hash", "left").withColumn("record_digest", record_digest()), CHUNKS)
+        if ids is None:
+            fresh_id = instance_id_column(F.lit(scope), F.lit(root), F.col("document_id"), F.col("position"), F.col("chunk_hash"))
+            rows = target.drop("text").withColumns(known | {"instance_id": fresh_id, "valid_from": F.current_timestamp()}).select(*(c for c in _names(CHUNKS) if c != "record_digest"))
+            return digested(rows, fresh if fresh is not None else self.spark.createDataFrame([], BODIES))
         same = ["document_id", "position", "chunk_hash", "start_offset", "end_offset", "token_count", "metadata"]
         before = old.select("instance_id", F.col("valid_from").alias("since"), F.struct(*same).alias("was"), F.col("record_digest").alias("old_digest"))
-        rows = target.drop("text").join(ids, ["document_id", "position", "chunk_hash"]).join(before, "instance_id", "left")
-        rows = rows.withColumns({"model_id": F.lit(provider.model_id), "params_hash": F.lit(provider.params_hash), "valid_from": F.coalesce("since", F.current_timestamp()), "valid_to": F.lit(None).cast("timestamp")})
+        rows = target.drop("text", *manifest.IDENTITY).join(ids, ["document_id", "position", "chunk_hash"]).join(before, "instance_id", "left")
+        rows = rows.withColumns(known | {"valid_from": F.coalesce("since", F.current_timestamp())})
         unchanged = F.coalesce(F.struct(*same).eqNullSafe(F.col("was")), F.lit(False))
-        kept, moved = rows.where(unchanged), rows.where(~unchanged)
-        made = moved.join(bodies, "chunk_hash", "left").withColumn("record_digest", record_digest())
-        return _cast(kept.withColumn("record_digest", F.col("old_digest")), CHUNKS).unionByName(_cast(made, CHUNKS))
+        rows = _kept(_cast(rows.withColumn("record_digest", F.when(unchanged, F.col("old_digest")).otherwise("")), CHUNKS), "index-narrow")
+        used.append(rows)
+        moved, bodies = rows.where("record_digest = ''"), have
+        if fresh is not None:
+            older = _kept(moved.select("chunk_hash").join(fresh.select("chunk_hash"), "chunk_hash", "left_anti").distinct(), "index-older")
+            few = older.limit(FEW + 1).count() <= FEW
+            bodies = fresh.unionByName(have.join(F.broadcast(older), "chunk_hash", "left_semi") if few else have)
+            used.append(older)
+        return rows.where("record_digest <> '' or record_digest is null").unionByName(digested(moved.drop("record_digest"), bodies))
 
     def _write_body(self, fresh: DataFrame) -> str:
-        """In the order of hashes, so that a look for a few hashes passes most of a part over."""
+        """Each file in the order of hashes, so that a look for a few hashes passes most of its pages over."""
         name = f"bodies/{uuid.uuid4().hex}"
-        fresh.repartitionByRange("chunk_hash").sortWithinPartitions("chunk_hash").write.parquet(f"{self.path}/{name}")
+        fresh.sortWithinPartitions("chunk_hash").write.option("compression", "zstd").parquet(f"{self.path}/{name}")
         return name
 
     def _write(self, commit: Commit, before: Commit | None, touched: set[int] | None, rows: DataFrame, docs: DataFrame) -> Commit:
         """Writes the buckets ``touched`` (all for None) as a part; the commit with its tables, those of ``before`` elsewhere, not published yet."""
         part, k = f"rows/{uuid.uuid4().hex}", bucket(commit.buckets).alias("bucket")
-        place = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "document_id").write.partitionBy("bucket")
+        place = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "document_id").write.partitionBy("bucket").option("compression", "zstd")
         place(_cast(rows, CHUNKS).select("*", k)).parquet(f"{self.path}/{part}/chunks")
         place(_cast(docs, DOCUMENTS).select("*", k)).parquet(f"{self.path}/{part}/documents")
         store, tables = Store(self.spark, f"{self.path}/{part}"), {}
@@ -335,9 +383,12 @@ class Index:
             tables[name] = {p: sorted(own) for p, own in (kept | {part: own}).items() if own}
         made = replace(commit, tables=tables)
         new = replace(commit, tables={t: {p: own for p, own in held.items() if p == part} for t, held in tables.items()})
-        lines = written(manifest.to_json(self.documents(new), self.active_rows(new)).select(k, "json"), "index-manifest")
-        for copy in ("manifest", "mirror"):
-            lines.repartition("bucket").write.partitionBy("bucket").text(f"{self.path}/{part}/{copy}")
+        lines = manifest.to_json(self.documents(new), self.active_rows(new), k).select("bucket", "json")
+        save = lambda df, copy: df.write.partitionBy("bucket").option("compression", "gzip").text(f"{self.path}/{part}/{copy}")
+        save(lines, "manifest")
+        if any(f.startswith("bucket=") for f in store.names("manifest")):
+            lines = self.spark.read.text(f"{self.path}/{part}/manifest")  # as it was written, in files of one bucket
+        save(lines, "mirror")
         return made
 
     def _publish(self, commit: Commit) -> Commit:
@@ -403,15 +454,18 @@ class Index:
         if "mirror" in lost:
             found.append(wrong("no mirror of the manifest"))
         docs, chunks, bad = manifest.from_json(self.manifest_lines(now))
-        docs, chunks = written(docs, "verify-documents"), written(chunks, "verify-chunks")
+        docs, chunks = _kept(docs, "verify-documents"), _kept(chunks, "verify-chunks")
         if merkle.corpus_root(docs.select("document_id", "root_hash")) != now.corpus_root:
             found.append(wrong("manifest has another root"))
         none = F.lit(None).cast("int").alias("position")
         if "mirror" not in lost:
             found.append(mirror_problems(self.manifest_lines(now), self.manifest_lines(now, True)).select("document_id", none, "problem"))
-        active = written(self.active(now), "verify-active")
+        active = self.active_rows(now)
+        # Narrow rows meet first, so that texts and vectors are moved once.
+        asked = _exp(chunks.join(docs.select("document_id", *manifest.IDENTITY), "document_id"))
+        held = active.select("instance_id", "document_id", "position", "chunk_hash", "start_offset", "end_offset", "token_count", "metadata", "model_id", "params_hash", "record_digest").join(asked, ["document_id", "position"]).join(self.bodies(now), "chunk_hash", "left")
         found += [d.select("document_id", none, "problem") for d in (bad, document_problems(docs, self.documents(now)))]
-        found += [problems(chunks, active), content_problems(chunks.join(docs.select("document_id", *manifest.IDENTITY), "document_id"), active, now.model_id, now.params_hash, now.dimensions)]
+        found += [problems(chunks, active), _content_problems(held, now.model_id, now.params_hash, now.dimensions)]
         if expected is not None:
             found.append(problems(expected, active))
         return reduce(DataFrame.unionByName, (f.select("document_id", F.col("position").cast("int").alias("position"), "problem") for f in found)).distinct()
@@ -444,7 +498,8 @@ def mirror_problems(lines: DataFrame, mirror: DataFrame) -> DataFrame:
     """(document_id, problem) of a manifest's mirror: lines that can't be read, that are not there, or that say something else."""
     named = lambda df, p: df.select(F.get_json_object("value", "$.document_id").alias("document_id"), F.col("value").alias(p), (F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT") & F.get_json_object("value", "$.document_id").isNotNull()).alias("ok"))
     torn = named(mirror, "b").where(~F.coalesce("ok", F.lit(False))).select(F.lit(None).cast("string").alias("document_id"), F.lit("mirror of the manifest unreadable").alias("problem")).limit(1)
-    both = named(lines, "a").where("ok").join(named(mirror, "b").where("ok").drop("ok"), "document_id", "full")
+    digest = lambda df, p: named(df, p).where("ok").select("document_id", F.unhex(F.sha2(p, 256)).alias(p))
+    both = digest(lines, "a").join(digest(mirror, "b"), "document_id", "full")
     what = F.when(F.col("b").isNull(), "no mirror of the manifest").when(~F.col("a").eqNullSafe(F.col("b")), "mirror has another manifest")
     return both.select("document_id", what.alias("problem")).where("problem is not null").unionByName(torn)
 

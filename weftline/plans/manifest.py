@@ -51,15 +51,21 @@ def documents(target: DataFrame, every: DataFrame | None = None) -> DataFrame:
     return out.unionByName(bare.select("document_id", F.lit(merkle.EMPTY).alias("root_hash"), F.lit(0).alias("chunk_count"), F.lit(0).alias("hard_cuts"), canonical(F.col("metadata")).alias("metadata"), *(F.lit("").alias(c) for c in IDENTITY)))
 
 
-def to_json(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(document_id, json) from (DOCUMENT) and (document_id, position, RECORD)."""
-    packed = F.struct("position", "chunk_hash", "end_offset", "metadata", "start_offset", "token_count")
-    own = chunks.select("document_id", packed.alias("p")).groupBy("document_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+def to_json(docs: DataFrame, chunks: DataFrame, by: Column | None = None) -> DataFrame:
+    """(document_id, json) from (DOCUMENT) and (document_id, position, RECORD). With ``by``, a named column of document ids, rows of one value
+    lie together, and the value comes first; documents and their chunks meet in one shuffle."""
+    packed, facts = F.struct("position", "chunk_hash", "end_offset", "metadata", "start_offset", "token_count"), F.struct("root_hash", "metadata", *IDENTITY)
+    own = chunks.select("document_id", packed.alias("p")).unionByName(docs.select("document_id", facts.alias("d")), True)
+    key = ["document_id"]
+    if by is not None:
+        own = own.select(by, "*")
+        key = [own.columns[0], "document_id"]
+        own = own.repartition(key[0])
+    both = own.groupBy(*key).agg(F.array_sort(F.collect_list("p")).alias("ps"), F.max("d").alias("d")).where("d is not null").select(*key, "ps", "d.*")
     # Variants have no order, so rows are sorted first and parsed then.
     records = F.transform("ps", lambda p: F.struct(p["chunk_hash"].alias("chunk_hash"), p["end_offset"].alias("end_offset"), F.try_parse_json(p["metadata"]).alias("metadata"), p["start_offset"].alias("start_offset"), p["token_count"].alias("token_count")))
-    both = docs.withColumn("meta", F.try_parse_json("metadata")).join(own, "document_id", "left")
-    whole = F.struct("chunker_id", "chunker_params_hash", F.coalesce(records, F.array()).alias("chunks"), "document_id", F.col("meta").alias("metadata"), "normalizer_version", "root_hash", F.lit(SCHEMA_VERSION).alias("schema_version"))
-    return both.select("document_id", F.to_json(whole).alias("json"))
+    whole = F.struct("chunker_id", "chunker_params_hash", records.alias("chunks"), "document_id", F.try_parse_json("metadata").alias("metadata"), "normalizer_version", "root_hash", F.lit(SCHEMA_VERSION).alias("schema_version"))
+    return both.select(*key, F.to_json(whole).alias("json"))
 
 
 def from_json(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
