@@ -566,3 +566,22 @@ def test_a_revision_is_cut_only_about_its_edit():
             assert cutting.spans[:i] + spans + [(a + by, b + by) for a, b in cutting.spans[j:]] == [c[:2] for c in chunker.cuts(whole)]
             if operation in ("insert-sentence", "delete-sentence", "replace-same-length") and name not in ("fixed", "back"):
                 assert len(spans) < 20 < len(cutting.spans)
+
+
+def test_tfidf_top_writes_no_row_a_term(spark, monkeypatch):
+    words = ["alpha", "Beta", "gamma", "ΣΊΣΥΦΟΣ", "Straße", "été", "the", "x1", "ᾀͅ", "ǰ", "µm"]
+    rows = [(i % 37 if i % 11 else None, " ".join(words[(i * j + j * j) % len(words)] + (str(i % 5) if j % 4 == 0 else "") for j in range(i % 9))) for i in range(80)] + [(90, None), (91, "")]
+    texts = spark.createDataFrame(rows, "text_id int, text string")
+    asked = spark.createDataFrame([("a", "Alpha beta0 STRASSE"), ("b", "σίσυφος the été x1"), ("c", "unknown words"), ("d", None), ("a", "gamma"), (None, "alpha")], "query_id string, text string")
+    want = {(r.query_id, r.text_id): r.score for r in retrieval.tfidf_scores(asked, texts).collect()}
+    monkeypatch.setattr(retrieval, "FREQUENT", 3)
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    seen, real = [], retrieval.written
+    monkeypatch.setattr(retrieval, "written", lambda df, name: seen.append(df.columns) or real(df, name))
+    found = {(r.query_id, r.text_id): r.score for r in retrieval.tfidf_top(asked, texts, 4).collect()}
+    assert seen == [["text_id", "tokens", "tfs"], ["token", "df"]]
+    assert len(found) >= 8 and all(want[p] == pytest.approx(score) for p, score in found.items())
+    for q in ("a", "b"):
+        kth = sorted((v for (x, _), v in want.items() if x == q), reverse=True)[:4][-1]
+        assert {p for p, v in want.items() if p[0] == q and v >= kth - 1e-9} <= set(found)
+    assert set(found) <= set(want)

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ODD_FOLDS, casefold_column, words_column
+from ..functions.text import HARD_FOLDS, ODD_FOLDS, casefold_column, lowered, words_column
 from ..tables import written
 from .embedding import cosine
 
@@ -22,7 +25,8 @@ def tokens_column(text: Column) -> Column:
     pattern, one = F.lit(r"[\p{L}\p{N}]+"), F.lit(0)
     whole = F.regexp_extract_all(casefold_column(text), pattern, one)
     each = F.transform(F.regexp_extract_all(text, pattern, one), casefold_column)
-    found = F.when(text.rlike("[" + ODD_FOLDS + "]"), each).otherwise(whole)
+    hard = F.when(text.rlike("[" + ODD_FOLDS + "]"), each).otherwise(whole)
+    found = F.when(text.rlike(HARD_FOLDS), hard).otherwise(F.regexp_extract_all(lowered(text), pattern, one))
     return F.filter(found, lambda t: ~t.isin(*STOP_WORDS))
 
 
@@ -51,9 +55,87 @@ def tfidf_scores(queries: DataFrame, texts: DataFrame, by: tuple[str, ...] = ())
     return qw.join(tw, [*by, "token"]).groupBy(*by, "query_id", "text_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
 
 
+#: Weights of a stated query set that goes with the tasks, cells of its matrix, frequent tokens that are broadcast, texts scored at once.
+ASKED, CELLS, FREQUENT, BLOCK = 200_000, 4_000_000, 200_000, 512
+
+
+def packed_terms(texts: DataFrame) -> DataFrame:
+    """(text_id, tokens, tfs): the distinct tokens of each row and how often it has them, counted where the text lies."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                ids, lists = batch.slice(lo, BLOCK).columns
+                words = lists.flatten().dictionary_encode()
+                many = max(1, len(words.dictionary))
+                cells, tfs = np.unique(pc.list_parent_indices(lists).to_numpy().astype(np.int64) * many + words.indices.to_numpy(), return_counts=True)
+                at = pa.array(np.searchsorted(cells // many, np.arange(len(ids) + 1)).astype(np.int32))
+                tokens = pa.ListArray.from_arrays(at, words.dictionary.take(pa.array(cells % many)))
+                yield pa.RecordBatch.from_arrays([ids, tokens, pa.ListArray.from_arrays(at, pa.array(tfs.astype(np.int32)))], names=["text_id", "tokens", "tfs"])
+
+    kind = texts.schema["text_id"].dataType.simpleString()
+    return texts.select("text_id", tokens_column(F.col("text")).alias("tokens")).mapInArrow(run, f"text_id {kind}, tokens array<string>, tfs array<int>")
+
+
 def tfidf_top(queries: DataFrame, texts: DataFrame, k: int, by: tuple[str, ...] = (), margin: float = 1e-5) -> DataFrame:
     """The rows of ``tfidf_scores`` that can be among the first k of their query, all within ``margin`` of these among them; exact.
 
+    A stated query set (ASKED) goes with the tasks: blocks of texts, as rows of weights of the tokens that are asked, meet it in a matrix
+    product, and each task keeps what comes near its own k-th best. Norms need all tokens: frequent ones are weighed by broadcast, only
+    others are shuffled. Groups ``by`` and larger query sets take joins by bounds."""
+    if by or k < 1:
+        return _joined_top(queries, texts, k, by, margin)
+    spark, number = texts.sparkSession, texts.count()
+    if texts.groupBy("text_id").count().where("count > 1").limit(1).count():  # rows of one id are one text
+        texts = texts.groupBy("text_id").agg(F.concat_ws("\n", F.collect_list("text")).alias("text"))
+    packed = written(packed_terms(texts), "tfidf-packed")
+    df = written(packed.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")), "tfidf-tokens")
+    idf = F.log((F.lit(number) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0
+    terms = packed_terms(queries.withColumnRenamed("query_id", "text_id")).select("text_id", F.inline(F.arrays_zip("tokens", "tfs"))).groupBy("text_id", F.col("tokens").alias("token")).agg(F.sum("tfs").alias("tf"))
+    asked = terms.join(df, "token", "left").select("text_id", "token", (F.col("tf") * idf).alias("w"), F.col("df").isNotNull().alias("met"), idf.alias("idf")).where("text_id is not null").limit(ASKED + 1).collect()
+    ids, tokens = sorted({r["text_id"] for r in asked}), sorted({r["token"] for r in asked if r["met"]})
+    if len(asked) > ASKED or len(ids) * len(tokens) > CELLS:
+        return _joined_top(queries, texts, k, by, margin)
+    row, column = ({x: n for n, x in enumerate(xs)} for xs in (tokens, ids))
+    weights, rare, square = np.zeros((len(tokens), len(ids))), np.zeros(len(tokens)), np.zeros(len(ids))
+    for r in asked:
+        square[column[r["text_id"]]] += r["w"] ** 2
+        if r["met"]:
+            weights[row[r["token"]], column[r["text_id"]]], rare[row[r["token"]]] = r["w"], r["idf"]
+    weights /= np.sqrt(np.maximum(square, 1e-300))
+    often = F.broadcast(df.orderBy(F.desc("df"), "token").limit(FREQUENT))
+    each = packed.select("text_id", F.inline(F.arrays_zip("tokens", "tfs"))).select("text_id", F.col("tokens").alias("token"), F.col("tfs").alias("tf"))
+    part = lambda found: found.groupBy("text_id").agg(F.sum(F.pow(F.col("tf") * idf, F.lit(2.0))).alias("n"))
+    norms = part(each.join(often, "token")).unionByName(part(each.join(often.select("token"), "token", "left_anti").join(df, "token")))
+    norms = norms.groupBy("text_id").agg(F.sqrt(F.sum("n")).alias("norm"))
+    sent = spark.sparkContext.broadcast((tokens, rare, weights))
+
+    def run(batches):  # noqa: ANN001, ANN202
+        own, factors, matrix = sent.value
+        own, best = pa.array(own, pa.string()), np.zeros((k, matrix.shape[1]))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                found, words, tfs, norm = batch.slice(lo, BLOCK).columns
+                at = pc.index_in(words.flatten(), value_set=own)
+                here = at.is_valid().to_numpy(zero_copy_only=False)
+                codes = at.fill_null(0).to_numpy()[here]
+                block = np.zeros((len(found), len(own)))
+                block[pc.list_parent_indices(words).to_numpy()[here], codes] = tfs.flatten().to_numpy()[here] * factors[codes]
+                scores = block @ matrix / norm.to_numpy()[:, None]
+                best = np.sort(np.concatenate([best, scores]), axis=0)[-k:] if len(scores) else best
+                r, q = np.nonzero((scores > 0) & (scores >= best[0] - margin))
+                if len(r):
+                    yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), found.take(pa.array(r)), pa.array(scores[r, q])], names=["q", "text_id", "score"])
+
+    kind = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *texts.schema.fields]}
+    near = packed.join(norms, "text_id").mapInArrow(run, f"q int, text_id {kind['text_id']}, score double")
+    names = spark.createDataFrame(list(enumerate(ids)), f"q int, query_id {kind['query_id']}")
+    return near.join(F.broadcast(names), "q").select("query_id", "text_id", "score")  # a row a query that was asked
+
+
+def _joined_top(queries: DataFrame, texts: DataFrame, k: int, by: tuple[str, ...], margin: float) -> DataFrame:
+    """``tfidf_top`` by joins.
+
     A token can add no more to a score than its weight in the query times its largest weight in any text. Tokens are taken by that bound,
     largest first, until the rest of them together are below half of the query; scores over these alone give the k-th best a lower bound,
     and only texts that reach it with the most that the other tokens could add are scored in full. Postings of frequent tokens, which these
