@@ -585,3 +585,19 @@ def test_tfidf_top_writes_no_row_a_term(spark, monkeypatch):
         kth = sorted((v for (x, _), v in want.items() if x == q), reverse=True)[:4][-1]
         assert {p for p, v in want.items() if p[0] == q and v >= kth - 1e-9} <= set(found)
     assert set(found) <= set(want)
+
+
+def test_an_index_writes_texts_once_beside_its_bodies(spark, tmp_path, monkeypatch):
+    import os
+
+    from weftline.plans import index
+
+    seen, real = [], index.written
+    monkeypatch.setattr(index, "written", lambda df, name, *more: (out := real(df, name, *more), seen.append((name, df.columns, out.inputFiles())))[0])
+    ix = Index(spark, f"file://{tmp_path}/ix")
+    for text_of in (GUIDE, "one more sentence first. " + GUIDE):
+        ix.apply(target(spark, [("guide.md", text_of), ("other.md", "a short note")]), HASH)
+    assert [name for name, columns, _ in seen if "text" in columns] == ["index-target"] * 2
+    assert not [f for _, _, files in seen for f in files if os.path.exists(f.removeprefix("file://"))]
+    seen.clear()
+    assert ix.verify().count() == 0 and seen and not any("text" in columns for _, columns, _ in seen)
